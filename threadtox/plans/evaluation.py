@@ -124,3 +124,154 @@ def mccv_summary_frame(spark, d) -> DataFrame:
        FROM ({auroc_sql(_VAL, ['split'], 'api')})"""))
 def q_mccv_summary(spark, d):
     return mccv_summary_frame(spark, d)
+
+
+# ---- A4 / A7 / A8 / A9 / A10 / A12 --------------------------------------------------------------
+
+_TRAIN = "(SELECT * FROM split_table WHERE part = 'train')"
+
+
+@register("class_prior", "A4 F14", with_splits(
+    f"""SELECT setting, split, CAST(SUM(label) AS BIGINT) AS pos, CAST(SUM(1 - label) AS BIGINT) AS neg,
+              round(SUM(label) / count(*), {R9}) AS prior,
+              round(CASE WHEN SUM(label) > 0 AND SUM(1 - label) > 0 THEN ln(SUM(label) / SUM(1 - label)) END, {R9}) AS bias
+       FROM {_TRAIN} GROUP BY setting, split"""))
+def q_class_prior(spark, d):
+    t = split_table(spark, d).where(F.col("part") == "train")
+    c = M.class_prior(t, ["setting", "split"])
+    return c.select("setting", "split", "pos", "neg", r9(F.col("prior")).alias("prior"), r9(F.col("bias")).alias("bias"))
+
+
+@register("confusion", "A7 P11", with_splits(
+    """SELECT split, CAST(count_if(api > 0.5 AND label = 1) AS BIGINT) AS tp,
+              CAST(count_if(api > 0.5 AND label <> 1) AS BIGINT) AS fp,
+              CAST(count_if(NOT api > 0.5 AND label <> 1) AS BIGINT) AS tn,
+              CAST(count_if(NOT api > 0.5 AND label = 1) AS BIGINT) AS fn
+       FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY split"""))
+def q_confusion(spark, d):
+    return M.confusion(gc_val(spark, d), ["split"], score="api")
+
+
+@register("threshold_metrics", "A8", with_splits(
+    f"""SELECT split, tp, fp, tn, fn,
+              round(CASE WHEN tp + fp + tn + fn > 0 THEN (tp + tn) / (tp + fp + tn + fn) ELSE 0 END, {R9}) AS accuracy,
+              round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, {R9}) AS precision,
+              round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, {R9}) AS recall
+       FROM (SELECT split, CAST(count_if(api > 0.5 AND label = 1) AS BIGINT) AS tp,
+                    CAST(count_if(api > 0.5 AND label <> 1) AS BIGINT) AS fp,
+                    CAST(count_if(NOT api > 0.5 AND label <> 1) AS BIGINT) AS tn,
+                    CAST(count_if(NOT api > 0.5 AND label = 1) AS BIGINT) AS fn
+             FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY split)"""))
+def q_threshold_metrics(spark, d):
+    m = M.threshold_metrics(gc_val(spark, d), ["split"], score="api")
+    return m.select("split", "tp", "fp", "tn", "fn", *[r9(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall")])
+
+
+_BINNED = ("(SELECT split, label, 1 + greatest(0, least(198, CAST(ceil(api * 199.0::DOUBLE) AS BIGINT) - 1)) AS b "
+           "FROM split_table WHERE setting = 'gc' AND part = 'val')")
+
+
+@register("auc_binned", "A9", with_splits(
+    f"SELECT split, n_pos, n_neg, round(COALESCE(auroc, 0.0), {R9}) AS auc_binned FROM ({auroc_sql(_BINNED, ['split'], 'b')})"))
+def q_auc_binned(spark, d):
+    a = M.auc_binned(gc_val(spark, d), ["split"], score="api")
+    return a.select("split", "n_pos", "n_neg", r9(F.col("auc_binned")).alias("auc_binned"))
+
+
+def _delong_sql(source: str, keys: list[str], score: str) -> str:
+    k = ", ".join(keys)
+    w = f"PARTITION BY {k} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+      WITH g AS (SELECT {k}, {score} AS score,
+                        CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS pos,
+                        CAST(SUM(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS DOUBLE) AS neg
+                 FROM {source} GROUP BY {k}, {score}),
+      r AS (SELECT *, COALESCE(SUM(neg) OVER ({w}), 0) AS nb, COALESCE(SUM(pos) OVER ({w}), 0) AS pb,
+                   SUM(pos) OVER (PARTITION BY {k}) AS P, SUM(neg) OVER (PARTITION BY {k}) AS N FROM g),
+      c AS (SELECT {k}, P, N, pos, neg, (nb + 0.5::DOUBLE * neg) / N AS v10,
+                   (P - pb - pos + 0.5::DOUBLE * pos) / P AS v01 FROM r),
+      a AS (SELECT {k}, max(P) AS P, max(N) AS N, SUM(pos * v10) / max(P) AS auc,
+                   SUM(pos * v10 * v10) AS q10, SUM(neg * v01 * v01) AS q01 FROM c GROUP BY {k}),
+      v AS (SELECT {k}, P, N, auc, CASE WHEN P > 1 AND N > 1 THEN
+                   (q10 - P * auc * auc) / (P - 1) / P + (q01 - N * auc * auc) / (N - 1) / N END AS variance FROM a)
+      SELECT {k}, CAST(P AS BIGINT) AS n_pos, CAST(N AS BIGINT) AS n_neg, round(auc, {R9}) AS auroc,
+             round(variance, {R9}) AS variance,
+             round(greatest(0.0, auc - {M.Z_95} * sqrt(variance)), {R9}) AS ci_low,
+             round(least(1.0, auc + {M.Z_95} * sqrt(variance)), {R9}) AS ci_high
+      FROM v"""
+
+
+@register("auroc_ci", "A10", with_splits(_delong_sql(_VAL, ["split"], "api")))
+def q_auroc_ci(spark, d):
+    a = M.auroc_ci(gc_val(spark, d), ["split"], score="api")
+    return a.select("split", "n_pos", "n_neg", *[r9(F.col(c)).alias(c) for c in ("auroc", "variance", "ci_low", "ci_high")])
+
+
+@register("calibration_in_large", "A12", with_splits(
+    f"""SELECT split, round(avg(api), {R9}) AS mean_score, round(avg(CAST(label AS DOUBLE)), {R9}) AS gold_rate,
+              count(*) AS n FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY split"""))
+def q_calibration(spark, d):
+    c = M.calibration_in_large(gc_val(spark, d), ["split"], score="api")
+    return c.select("split", r9(F.col("mean_score")).alias("mean_score"), r9(F.col("gold_rate")).alias("gold_rate"), "n")
+
+
+# ---- J1 / A11 / U3 --------------------------------------------------------------------------------
+
+@register("join_scores", "J1 S3", fx.with_fixtures(
+    "SELECT gc.id, gc.label, gc.api, t.TOXICITY AS ca_score FROM gc LEFT JOIN toxicity_scores t ON gc.id = t.id",
+    "toxicity_scores"))
+def q_join_scores(spark, d):
+    j = join_scores(fx.comments(spark, d), fx.toxicity_scores(spark, d), "TOXICITY")
+    return j.select("id", "label", "api", "ca_score")
+
+
+_CA_VAL = ("(SELECT v.split, v.label, t.TOXICITY AS ca_score FROM split_table v JOIN toxicity_scores t ON v.id = t.id "
+           f"WHERE v.setting = 'gc' AND v.part = 'val' AND v.split < {POOLED})")
+
+
+@register("ca_auroc_by_split", "A2 J1", fx.with_fixtures(
+    f"""WITH split_table AS ({split_table_sql()})
+        SELECT split, n_pos, n_neg, round(auroc, {R9}) AS auroc FROM ({auroc_sql(_CA_VAL, ['split'], 'ca_score')})""",
+    "settings", "toxicity_scores"))
+def q_ca_auroc_by_split(spark, d):
+    v = gc_val(spark, d).where(F.col("split") < POOLED)
+    j = join_scores(v, fx.toxicity_scores(spark, d), "TOXICITY")
+    a = M.auroc(j, ["split"], score="ca_score")
+    return a.select("split", "n_pos", "n_neg", r9(F.col("auroc")).alias("auroc"))
+
+
+def _paired_sql() -> str:
+    u = fx.U(f"concat_ws(':', '{SEED}', replicate, id)")
+    both = f"""(SELECT replicate, 'system' AS system, label, CASE WHEN swap THEN api ELSE ca END AS score FROM sw
+               UNION ALL SELECT replicate, 'baseline' AS system, label, CASE WHEN swap THEN ca ELSE api END AS score FROM sw)"""
+    return f"""WITH split_table AS ({split_table_sql()}),
+      pooled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY split) AS rn FROM split_table
+                 WHERE setting = 'gc' AND part = 'val' AND split < {POOLED}) WHERE rn = 1),
+      v AS (SELECT p.id, p.label, p.api, t.TOXICITY AS ca FROM pooled p JOIN toxicity_scores t ON p.id = t.id),
+      rep AS (SELECT v.*, unnest(range(0, {REPLICATES + 1})) AS replicate FROM v),
+      sw AS (SELECT replicate, id, label, ca, api, (replicate > 0 AND ca <> api AND {u} < 0.5::DOUBLE) AS swap FROM rep),
+      m AS ({auroc_sql(both, ['replicate', 'system'])}),
+      d AS (SELECT replicate, max(CASE WHEN system = 'system' THEN auroc END) AS s,
+                   max(CASE WHEN system = 'baseline' THEN auroc END) AS b FROM m GROUP BY replicate)
+      SELECT round(o.s, {R9}) AS metric_system, round(o.b, {R9}) AS metric_baseline, round(o.s - o.b, {R9}) AS delta,
+             round((1 + (SELECT count(*) FROM d WHERE replicate > 0 AND abs(s - b) >= abs(o.s - o.b) - 1e-12::DOUBLE))
+                   / {float(REPLICATES + 1)}::DOUBLE, {R9}) AS p_value,
+             CAST({REPLICATES} AS BIGINT) AS replicates
+      FROM d o WHERE replicate = 0"""
+
+
+@register("paired_randomization", "A11 E3", fx.with_fixtures(_paired_sql(), "settings", "toxicity_scores"))
+def q_paired_randomization(spark, d):
+    pooled = S.pooled_eval_set(split_table(spark, d), POOLED)
+    v = join_scores(pooled, fx.toxicity_scores(spark, d), "TOXICITY")
+    p = M.paired_randomization(v, "ca_score", "api", replicates=REPLICATES, seed=SEED)
+    return p.select(*[r9(F.col(c)).alias(c) for c in ("metric_system", "metric_baseline", "delta", "p_value")],
+                    "replicates")
+
+
+@register("predictions_wide", "U3", with_splits(
+    "SELECT id, " + ", ".join(f"max(CASE WHEN split = {i} THEN api END) AS split{i}" for i in range(SPLITS))
+    + " FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY id"))
+def q_predictions_wide(spark, d):
+    long = gc_val(spark, d).select("id", "split", F.col("api").alias("score"))
+    return M.predictions_wide(long, list(range(SPLITS)))
