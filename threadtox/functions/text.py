@@ -32,7 +32,7 @@ def sql_literal(s: str) -> str:
 
 def word_tokens_sql(expr: str) -> str:
     return (f"list_filter(string_split(translate(lower({expr}), {sql_literal(WORD_FILTERS)}, "
-            f"{sql_literal(_SPACES)}), ' '), t -> t <> '')")
+            f"{sql_literal(_SPACES)}), ' '), lambda t: t <> '')")
 
 
 def pad_pre(ids: Column, n: int, value: int = 0) -> Column:
@@ -43,7 +43,7 @@ def pad_pre(ids: Column, n: int, value: int = 0) -> Column:
 
 def pad_pre_sql(expr: str, n: int, value: int = 0) -> str:
     kept = f"list_slice({expr}, greatest(len({expr}) - {n - 1}, 1), len({expr}))"
-    return f"list_concat(list_transform(range({n} - len({kept})), x -> {value}), {kept})"
+    return f"list_concat(list_transform(range({n} - len({kept})), lambda x: {value}), {kept})"
 
 
 def pad_post(ids: Column, n: int, value: int = 0) -> Column:
@@ -52,7 +52,7 @@ def pad_post(ids: Column, n: int, value: int = 0) -> Column:
 
 
 def pad_post_sql(expr: str, n: int, value: int = 0) -> str:
-    return f"list_concat({expr}, list_transform(range({n} - len({expr})), x -> {value}))"
+    return f"list_concat({expr}, list_transform(range({n} - len({expr})), lambda x: {value}))"
 
 
 def pair_budget(len_a: Column, len_b: Column, budget: int) -> tuple[Column, Column]:

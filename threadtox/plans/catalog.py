@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadtox.plans import evaluation  # noqa: F401
+from threadtox.plans import context, evaluation  # noqa: F401
 from threadtox.plans.registry import QUERIES, Query
 
 

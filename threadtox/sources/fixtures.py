@@ -112,7 +112,7 @@ def annotations(spark: SparkSession, data_dir: str) -> DataFrame:
 def _code_sql(cond: str) -> str:
     v = U(f"concat_ws(':', id, '{cond}', w)")
     t = f"(CASE WHEN label = 1 THEN {TOXIC_VOTE[(1, cond)]}::DOUBLE ELSE {TOXIC_VOTE[(0, cond)]}::DOUBLE END)"
-    return (f"list_transform(range({ANNOTATORS}), w -> CASE WHEN {v} < {UNSURE_SHARE}::DOUBLE THEN 'UNSURE' "
+    return (f"list_transform(range({ANNOTATORS}), lambda w: CASE WHEN {v} < {UNSURE_SHARE}::DOUBLE THEN 'UNSURE' "
             f"WHEN {v} < {t} / 3.0::DOUBLE THEN 'VERY TOXIC' WHEN {v} < {t} THEN 'TOXIC' ELSE 'NON-TOXIC' END)")
 
 
