@@ -84,14 +84,15 @@ def auroc_ci(df: DataFrame, keys: Sequence[str] = (), score: str = "score", labe
     keys = list(keys)
     st = score_table(df, keys, score, label, buckets)
     n_pos, n_neg = F.col("P").cast("double"), F.col("N").cast("double")
-    v10 = (F.col("neg_below") + F.lit(0.5) * F.col("neg")) / n_neg
-    v01 = (F.col("P") - F.col("pos_below") - F.col("pos") + F.lit(0.5) * F.col("pos")) / n_pos
+    # guarded divisions: a group missing a class gets nulls instead of a division error
+    v10 = F.when(F.col("N") > 0, (F.col("neg_below") + F.lit(0.5) * F.col("neg")) / n_neg)
+    v01 = F.when(F.col("P") > 0, (F.col("P") - F.col("pos_below") - F.col("pos") + F.lit(0.5) * F.col("pos")) / n_pos)
     agg = st.groupBy(*keys).agg(
         F.sum(F.col("pos") * v10).alias("__s10"), F.sum(F.col("pos") * v10 * v10).alias("__q10"),
         F.sum(F.col("neg") * v01 * v01).alias("__q01"),
         F.first("P").alias("n_pos"), F.first("N").alias("n_neg"))
     p, n = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
-    auc = F.col("__s10") / p
+    auc = F.when(p > 0, F.col("__s10") / p)
     s10 = (F.col("__q10") - p * auc * auc) / (p - F.lit(1.0))
     s01 = (F.col("__q01") - n * auc * auc) / (n - F.lit(1.0))
     var = s10 / p + s01 / n

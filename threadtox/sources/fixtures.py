@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from threadtox.functions.hashing import duckdb_uniform as U
 from threadtox.functions.hashing import uniform
+from threadtox.functions.text import SPECIAL_TOKENS, word_tokens_sql
 from threadtox.operators.ranking import previous_value
 from threadtox.sources.tables import table
 
@@ -107,6 +108,24 @@ def annotations(spark: SparkSession, data_dir: str) -> DataFrame:
                     F.lit(ANNOTATORS).alias("toxicity_annotator_count"))
 
 
+def word_vectors(spark: SparkSession, data_dir: str) -> DataFrame:
+    """word, vector: the vocabulary word with id k gets the embedding row vec_id = k - 1 (later words none)."""
+    from threadtox.operators.text import word_index
+    wi = word_index(comments(spark, data_dir))
+    emb = table(spark, data_dir, "embeddings").select((F.col("vec_id") + F.lit(1)).alias("word_id"),
+                                                      F.col("embedding").alias("vector"))
+    return wi.join(emb, "word_id").select("word", "vector")
+
+
+def pair_vocab(spark: SparkSession, data_dir: str) -> DataFrame:
+    """token, token_id: the special tokens (ids 0..3), then the ranked words of the comments."""
+    from threadtox.operators.text import word_index
+    spark_specials = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id long")
+    wi = word_index(comments(spark, data_dir)).select(
+        F.col("word").alias("token"), (F.col("word_id") + F.lit(len(SPECIAL_TOKENS) - 1)).alias("token_id"))
+    return spark_specials.unionByName(wi)
+
+
 # --- DuckDB twins (CTE bodies) ---------------------------------------------------------------------
 
 def _code_sql(cond: str) -> str:
@@ -135,15 +154,26 @@ SQL = {
                    floor({U("concat('t', doc_id)")} * 11) / 10.0::DOUBLE AS target FROM documents""",
     "annotations": f"""SELECT id, text, parent, label, {_code_sql('oc')} AS tox_codes_oc,
                           {_code_sql('ic')} AS tox_codes_ic, {ANNOTATORS} AS toxicity_annotator_count FROM gc""",
+    "word_index": f"""SELECT word, row_number() OVER (ORDER BY freq DESC, fk) AS word_id, freq FROM (
+                        SELECT word, count(*) AS freq, min(id * 10000000 + pos) AS fk FROM (
+                          SELECT id, unnest(tk) AS word, generate_subscripts(tk, 1) AS pos
+                          FROM (SELECT id, {word_tokens_sql('text')} AS tk FROM gc)) GROUP BY word)""",
+    "word_vectors": "SELECT w.word, e.embedding AS vector FROM word_index w JOIN embeddings e ON e.vec_id = w.word_id - 1",
+    "pair_vocab": ("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(SPECIAL_TOKENS))
+                   + f") v(token, token_id) UNION ALL SELECT word AS token, word_id + {len(SPECIAL_TOKENS) - 1} AS token_id "
+                   "FROM word_index"),
 }
 
 
 def with_fixtures(sql: str, *names: str) -> str:
     """Prefix a query with the CTEs it needs (gc always comes first: the others read it)."""
-    order = ["gc", "gn", "settings", "toxicity_scores", "threads", "cctk", "annotations"]
+    order = ["gc", "gn", "settings", "toxicity_scores", "threads", "cctk", "annotations", "word_index",
+             "word_vectors", "pair_vocab"]
     need = set(names) | {"gc"}
     if "settings" in need:
         need.add("gn")
+    if need & {"word_vectors", "pair_vocab"}:
+        need.add("word_index")
     ctes = [f"{n} AS ({SQL[n]})" for n in order if n in need]
     body = sql.strip()
     if body.upper().startswith("WITH "):
