@@ -47,8 +47,10 @@ def pad_pre_sql(expr: str, n: int, value: int = 0) -> str:
 
 
 def pad_post(ids: Column, n: int, value: int = 0) -> Column:
-    """Right-pad with ``value`` to length ``n`` (callers guarantee ``size(ids) <= n``)."""
-    return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(F.lit(n) - F.size(ids), F.lit(0))))
+    """Right-pad with ``value`` (cast to the element type of ``ids``) to length ``n``; callers guarantee
+    ``size(ids) <= n`` (longer input is returned unchanged, never cut)."""
+    fill = F.array_repeat(F.lit(value), F.greatest(F.lit(n) - F.size(ids), F.lit(0)))
+    return F.concat(ids, F.transform(fill, lambda x: x.cast("long")))
 
 
 def pad_post_sql(expr: str, n: int, value: int = 0) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadtox.functions.text import SPECIAL_TOKENS, pad_post, pair_budget
+from threadtox.operators.text import tokens_to_ids
 
 
 def binarize(target: Column) -> Column:
@@ -44,52 +45,37 @@ def truncate_pair(tokens_a: Column, tokens_b: Column, max_len: int) -> tuple[Col
 
 
 def pair_features(df: DataFrame, vocab: DataFrame, tokens_a: str, tokens_b: str | None, max_len: int,
-                  label: str = "label", label_list: Sequence = (0, 1), key: str = "id") -> DataFrame:
+                  label: str = "label", label_list: Sequence = (0, 1), key: str = "id",
+                  unknown: str = SPECIAL_TOKENS[1]) -> DataFrame:
     """Encoder inputs for (text_a, optional text_b): input_ids, input_mask, segment_ids (each padded to
     ``max_len``), label_id and is_real_example.
 
-    A missing or empty ``tokens_b`` falls back to the single-sequence form. Token -> id goes through a join
-    with ``vocab(token, token_id)`` (exploded tokens, re-collected in position order); tokens absent from the
-    vocabulary map to [UNK].
+    A missing or empty ``tokens_b`` falls back to the single-sequence form. Token -> id goes through an
+    equi-join with ``vocab(token, token_id)`` (exploded tokens, re-collected in position order); tokens the
+    vocabulary lacks map to the id of ``unknown`` (looked up lazily, as a scalar subquery).
     """
     cls, sep = F.lit(SPECIAL_TOKENS[2]), F.lit(SPECIAL_TOKENS[3])
-    a = F.coalesce(F.col(tokens_a), F.array().cast("array<string>"))
-    b = F.coalesce(F.col(tokens_b), F.array().cast("array<string>")) if tokens_b else F.array().cast("array<string>")
+    empty = F.array().cast("array<string>")
+    a = F.coalesce(F.col(tokens_a), empty)
+    b = F.coalesce(F.col(tokens_b), empty) if tokens_b else empty
     has_b = F.size(b) > 0
     ta, tb = truncate_pair(a, b, max_len)
+    single = truncate_single(a, max_len)
     tokens = F.when(has_b, F.concat(F.array(cls), ta, F.array(sep), tb, F.array(sep))) \
-        .otherwise(F.concat(F.array(cls), truncate_single(a, max_len), F.array(sep)))
-    n_a = F.when(has_b, F.size(ta)).otherwise(F.size(truncate_single(a, max_len)))
-    segments = F.concat(F.array_repeat(F.lit(0), n_a + F.lit(2)),
-                        F.array_repeat(F.lit(1), F.when(has_b, F.size(tb) + F.lit(1)).otherwise(F.lit(0))))
-    base = df.select(F.col(key).alias("__key"), tokens.alias("__tokens"), segments.alias("__seg"),
+        .otherwise(F.concat(F.array(cls), single, F.array(sep)))
+    n_a = F.when(has_b, F.size(ta)).otherwise(F.size(single))
+    n_b = F.when(has_b, F.size(tb) + F.lit(1)).otherwise(F.lit(0))
+    segments = F.concat(F.array_repeat(F.lit(0).cast("long"), n_a + F.lit(2)),
+                        F.array_repeat(F.lit(1).cast("long"), n_b))
+    base = df.select(F.col(key), tokens.alias("__tokens"), segments.alias("__seg"),
                      label_index(F.col(label), label_list).alias("label_id"))
-    ids = tokens_to_ids(base, vocab, "__tokens", "__ids", key="__key")
-    n = F.size(F.col("__ids"))
+    unk = vocab.where(F.col("token") == F.lit(unknown)).select(F.min("token_id").cast("long")).scalar()
+    ids = tokens_to_ids(base, vocab, "__tokens", "__ids", key=key, word="token", index="token_id", unknown_id=unk)
+    zero = 0
     return ids.select(
-        F.col("__key").alias(key),
-        pad_post(F.col("__ids"), max_len).alias("input_ids"),
-        pad_post(F.array_repeat(F.lit(1).cast("long"), n), max_len).alias("input_mask"),
-        pad_post(F.col("__seg").cast("array<long>"), max_len).alias("segment_ids"),
+        F.col(key),
+        pad_post(F.col("__ids"), max_len, zero).alias("input_ids"),
+        pad_post(F.array_repeat(F.lit(1).cast("long"), F.size(F.col("__ids"))), max_len, zero).alias("input_mask"),
+        pad_post(F.col("__seg"), max_len, zero).alias("segment_ids"),
         F.col("label_id"),
         F.lit(True).alias("is_real_example"))
-
-
-def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens: str, out: str, key: str = "id",
-                  unknown: str = SPECIAL_TOKENS[1]) -> DataFrame:
-    """Map every token to its id through an equi-join on the token (unknown tokens -> id of ``unknown``).
-
-    Tokens are exploded with their position, joined with the vocabulary (AQE broadcasts a small one and
-    splits hot tokens of a large one), and collected back per row in position order. The collected list
-    of a row is bounded by that row's own token count.
-    """
-    unk_id = vocab.where(F.col("token") == F.lit(unknown)).select(F.col("token_id").alias("__unk"))
-    ex = df.select(F.col(key).alias("__k"), F.posexplode(F.col(tokens)).alias("__pos", "__tok"))
-    j = ex.join(vocab.select(F.col("token").alias("__tok"), F.col("token_id").alias("__tid")), "__tok", "left")
-    j = j.withColumn("__one", F.lit(1)).join(F.broadcast(unk_id.withColumn("__one", F.lit(1))), "__one", "left")
-    j = j.select("__k", "__pos", F.coalesce(F.col("__tid"), F.col("__unk")).cast("long").alias("__tid"))
-    coll = j.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("__pos", "__tid"))).alias("__pairs"))
-    coll = coll.select(F.col("__k").alias(key), F.transform("__pairs", lambda x: x["__tid"]).alias(out))
-    # rows without tokens have no exploded rows: bring them back with an empty list
-    back = df.join(coll, key, "left")
-    return back.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<long>")))

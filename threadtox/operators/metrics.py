@@ -39,15 +39,12 @@ def score_table(df: DataFrame, keys: Sequence[str], score: str = "score", label:
          .groupBy(*keys, F.col(score).alias("score"))
          .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
               F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg")))
-    rng = g.groupBy(*keys).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"))
-    g = _attach(g, rng, keys)
-    width = F.col("__hi") - F.col("__lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("score") - F.col("__lo")) / width * F.lit(buckets)),
-                                       F.lit(buckets - 1))).otherwise(F.lit(0))
+    # Monotone score range buckets (scores are probabilities; values outside [0, 1] are clamped into the
+    # end buckets, which keeps the order and so the exactness, only with less spread).
+    bucket = F.least(F.greatest(F.floor(F.col("score") * F.lit(float(buckets))), F.lit(0)), F.lit(buckets - 1))
     rt = running_totals(g, keys, [F.col("score")], [bucket],
                         {"pos_below": F.col("pos"), "neg_below": F.col("neg")}, totals=True)
-    return (rt.withColumnRenamed("total_pos_below", "P").withColumnRenamed("total_neg_below", "N")
-            .drop("__lo", "__hi"))
+    return rt.withColumnRenamed("total_pos_below", "P").withColumnRenamed("total_neg_below", "N")
 
 
 def _degenerate(value: Column, ok: Column, degenerate: str) -> Column:

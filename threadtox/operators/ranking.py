@@ -49,7 +49,14 @@ def running_totals(df: DataFrame, partition_by: Sequence[str], order_by: Sequenc
                   *[values[v].alias(f"__v_{v}") for v in vnames])
     keys = pcols + bnames
 
-    per_bucket = d.groupBy(*keys).agg(*[F.sum(f"__v_{v}").alias(f"__s_{v}") for v in vnames])
+    # One shuffle on (p, b) feeds everything: the running total inside the bucket and the bucket total
+    # come from the same window pass, and the bucket table is aggregated from that already-partitioned
+    # output, so the input is read once (both consumers share the exchange).
+    bucket = Window.partitionBy(*keys)
+    inside = bucket.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.select("*", *[F.coalesce(F.sum(f"__v_{v}").over(inside), F.lit(0)).alias(f"__l_{v}") for v in vnames],
+                     *[F.sum(f"__v_{v}").over(bucket).alias(f"__t_{v}") for v in vnames])
+    per_bucket = local.groupBy(*keys).agg(*[F.max(f"__t_{v}").alias(f"__s_{v}") for v in vnames])
     before = Window.partitionBy(*pcols).orderBy(*bnames).rowsBetween(Window.unboundedPreceding, -1)
     off_cols = [F.coalesce(F.sum(f"__s_{v}").over(before), F.lit(0)).alias(f"__o_{v}") for v in vnames]
     if totals:
@@ -57,12 +64,9 @@ def running_totals(df: DataFrame, partition_by: Sequence[str], order_by: Sequenc
         off_cols += [F.sum(f"__s_{v}").over(whole).alias(f"total_{v}") for v in vnames]
     offsets = per_bucket.select(*keys, *off_cols)
 
-    inside = Window.partitionBy(*keys).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    local = d.select("*", *[F.coalesce(F.sum(f"__v_{v}").over(inside), F.lit(0)).alias(f"__l_{v}")
-                            for v in vnames])
     j = _null_safe_join(local, offsets, keys, bounded_buckets)
     out = j.select("*", *[(F.col(f"__o_{v}") + F.col(f"__l_{v}")).alias(v) for v in vnames])
-    drop = bnames + [f"__{p}_{v}" for v in vnames for p in ("v", "o", "l")]
+    drop = bnames + [f"__{p}_{v}" for v in vnames for p in ("v", "o", "l", "t")]
     return out.drop(*drop)
 
 

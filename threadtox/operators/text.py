@@ -54,7 +54,7 @@ def vocab_size(index: DataFrame) -> DataFrame:
 
 
 def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens: str, out: str, key: str = "id",
-                  word: str = "word", index: str = "word_id", unknown_id: int | None = None) -> DataFrame:
+                  word: str = "word", index: str = "word_id", unknown_id: int | Column | None = None) -> DataFrame:
     """Map each token to its vocabulary id, keeping order. Tokens outside the vocabulary are dropped
     (``unknown_id=None``) or mapped to ``unknown_id``. Rows without tokens get an empty list."""
     ex = df.select(F.col(key).alias("__k"), F.posexplode(F.col(tokens)).alias("__pos", "__w"))
@@ -62,7 +62,8 @@ def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens: str, out: str, key: s
     if unknown_id is None:
         j = ex.join(v, "__w", "inner")
     else:
-        j = ex.join(v, "__w", "left").withColumn("__id", F.coalesce(F.col("__id"), F.lit(unknown_id).cast("long")))
+        unk = unknown_id if isinstance(unknown_id, Column) else F.lit(unknown_id)
+        j = ex.join(v, "__w", "left").withColumn("__id", F.coalesce(F.col("__id"), unk.cast("long")))
     coll = j.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("__pos", "__id"))).alias("__p"))
     coll = coll.select(F.col("__k").alias(key), F.transform("__p", lambda x: x["__id"]).alias(out))
     return df.join(coll, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<long>")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadtox.plans import context, evaluation, text  # noqa: F401
+from threadtox.plans import context, evaluation, features, text  # noqa: F401
 from threadtox.plans.registry import QUERIES, Query
 
 

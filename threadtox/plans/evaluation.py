@@ -11,6 +11,7 @@ from threadtox.operators import splits as S
 from threadtox.operators.scoring import join_scores
 from threadtox.plans.registry import register
 from threadtox.plans.sql import SEED, SPLITS, TEST_SIZE, auroc_sql, split_table_sql
+from threadtox.session import materialized_once
 from threadtox.sources import fixtures as fx
 
 R9 = 9          # doubles are compared rounded to 9 decimals in both engines
@@ -23,7 +24,9 @@ def r9(c):
 
 
 def split_table(spark: SparkSession, d: str) -> DataFrame:
-    return S.mccv_split(fx.comment_settings(spark, d), splits=SPLITS, seed=SEED, test_size=TEST_SIZE)
+    """The MCCV split table of both settings (written once per session, like the study's split files)."""
+    return materialized_once(spark, ("split_table", d), lambda: S.mccv_split(
+        fx.comment_settings(spark, d), splits=SPLITS, seed=SEED, test_size=TEST_SIZE))
 
 
 def gc_val(spark: SparkSession, d: str) -> DataFrame:

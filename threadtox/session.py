@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -54,3 +54,31 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh, unique path under the shared checkpoint folder (for written intermediate tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/threadtox-{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage of an intermediate that several later steps consume: without it, every consumer
+    re-runs the whole upstream plan (Spark cannot share the shuffles once column pruning has made the
+    branches differ). The files live in the cluster's shared folder, so a lost executor costs nothing.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+_MEMO: dict[tuple, str] = {}
+
+
+def materialized_once(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """``materialize(build())`` once per (application, key); later calls read the same files."""
+    k = (spark.sparkContext.applicationId,) + tuple(key)
+    path = _MEMO.get(k)
+    if path is None:
+        df = build()
+        path = scratch_path(spark, "-".join(str(x) for x in key[:1]))
+        df.write.mode("errorifexists").parquet(path)
+        _MEMO[k] = path
+    return spark.read.parquet(path)

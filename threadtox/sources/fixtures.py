@@ -22,6 +22,7 @@ from threadtox.functions.hashing import duckdb_uniform as U
 from threadtox.functions.hashing import uniform
 from threadtox.functions.text import SPECIAL_TOKENS, word_tokens_sql
 from threadtox.operators.ranking import previous_value
+from threadtox.session import materialized_once
 from threadtox.sources.tables import table
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -36,7 +37,11 @@ GN_FLIP = 0.05
 
 
 def comments(spark: SparkSession, data_dir: str) -> DataFrame:
-    """gc comments: id, text, parent, label, api."""
+    """gc comments: id, text, parent, label, api (written once per session: every study query reads it)."""
+    return materialized_once(spark, ("comments", data_dir), lambda: _comments(spark, data_dir))
+
+
+def _comments(spark: SparkSession, data_dir: str) -> DataFrame:
     docs = table(spark, data_dir, "documents").select("doc_id", "text", "source")
     docs = previous_value(docs, ["source"], "doc_id", "text", out="parent")
     lab = table(spark, data_dir, "labels").select("doc_id", "toxic")
@@ -47,17 +52,22 @@ def comments(spark: SparkSession, data_dir: str) -> DataFrame:
     return c.withColumn("api", api)
 
 
+def _flip_gn(label, id_col):
+    flip = uniform(F.concat(F.lit("gn:"), id_col.cast("string"))) < F.lit(GN_FLIP)
+    return F.when(flip, F.lit(1) - label).otherwise(label)
+
+
 def comments_gn(spark: SparkSession, data_dir: str) -> DataFrame:
     """gn comments: the same rows with ~5% of the labels flipped."""
     c = comments(spark, data_dir)
-    flip = uniform(F.concat(F.lit("gn:"), F.col("id").cast("string"))) < F.lit(GN_FLIP)
-    return c.withColumn("label", F.when(flip, F.lit(1) - F.col("label")).otherwise(F.col("label")))
+    return c.withColumn("label", _flip_gn(F.col("label"), F.col("id")))
 
 
 def comment_settings(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Both settings in one table with a ``setting`` column (gc, gn)."""
-    return (comments(spark, data_dir).withColumn("setting", F.lit("gc"))
-            .unionByName(comments_gn(spark, data_dir).withColumn("setting", F.lit("gn"))))
+    """Both settings in one table with a ``setting`` column (gc, gn), from a single comments plan."""
+    c = comments(spark, data_dir).withColumn("setting", F.explode(F.array(F.lit("gc"), F.lit("gn"))))
+    return c.withColumn("label", F.when(F.col("setting") == "gn", _flip_gn(F.col("label"), F.col("id")))
+                        .otherwise(F.col("label")))
 
 
 def toxicity_scores(spark: SparkSession, data_dir: str) -> DataFrame:
