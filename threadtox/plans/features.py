@@ -82,3 +82,15 @@ def q_concat_features(spark, d):
     pb = T.masked_mean_pool(t, vec, 64, tokens="b", out="pb")
     j = pa.join(pb, "id")
     return j.select("id", F.transform(F.concat("pa", "pb"), lambda x: F.round(x, R6)).alias("features"))
+
+
+WORDPIECE_TOP = 2000
+
+
+@register("wordpiece_tokens", "F3")
+def q_wordpiece_tokens(spark, d):
+    from threadtox.operators import wordpiece as W
+    from threadtox.session import materialize
+    c = fx.comments(spark, d)
+    vocab = materialize(W.wordpiece_vocab(c, top_words=WORDPIECE_TOP), "wordpiece-vocab")
+    return W.wordpiece_tokens(c, vocab).select("id", "pieces")
