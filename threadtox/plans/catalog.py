@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadtox.plans import context, evaluation, features, io, scoring, text  # noqa: F401
+from threadtox.plans import context, evaluation, features, io, models, scoring, text  # noqa: F401
 from threadtox.plans.registry import QUERIES, Query
 
 
