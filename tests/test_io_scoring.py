@@ -21,7 +21,7 @@ def test_csv_round_trip_keeps_quotes_newlines_blanks(spark):
 
 
 def test_tsv_quote_off_keeps_quote_characters(spark):
-    df = spark.createDataFrame([('a"b', "c")], "x string, y string")
+    df = spark.createDataFrame([('a"b', "c")], "x string, y string").coalesce(1)
     path = scratch_path(spark, "t-tsv")
     files.write_tsv(df, path, header=True)
     got = sorted(tuple(r) for r in files.read_tsv(spark, path).collect())

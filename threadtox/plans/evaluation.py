@@ -243,7 +243,15 @@ def q_ca_auroc_by_split(spark, d):
     return a.select("split", "n_pos", "n_neg", r9(F.col("auroc")).alias("auroc"))
 
 
-def _paired_sql() -> str:
+def _metric_sql(evaluator: str, both: str) -> str:
+    if evaluator == "auroc":
+        return auroc_sql(both, ['replicate', 'system'])
+    # accuracy at the 0.5 threshold (score > 0.5 predicts toxic)
+    return f"""SELECT replicate, system, CAST(SUM(CASE WHEN (score > 0.5) = (label = 1) THEN 1 ELSE 0 END) AS DOUBLE)
+                      / count(*) AS auroc FROM {both} GROUP BY replicate, system"""
+
+
+def _paired_sql(evaluator: str = "auroc") -> str:
     u = fx.U(f"concat_ws(':', '{SEED}', replicate, id)")
     both = f"""(SELECT replicate, 'system' AS system, label, CASE WHEN swap THEN api ELSE ca END AS score FROM sw
                UNION ALL SELECT replicate, 'baseline' AS system, label, CASE WHEN swap THEN ca ELSE api END AS score FROM sw)"""
@@ -253,7 +261,7 @@ def _paired_sql() -> str:
       v AS (SELECT p.id, p.label, p.api, t.TOXICITY AS ca FROM pooled p JOIN toxicity_scores t ON p.id = t.id),
       rep AS (SELECT v.*, unnest(range(0, {REPLICATES + 1})) AS replicate FROM v),
       sw AS (SELECT replicate, id, label, ca, api, (replicate > 0 AND ca <> api AND {u} < 0.5::DOUBLE) AS swap FROM rep),
-      m AS ({auroc_sql(both, ['replicate', 'system'])}),
+      m AS ({_metric_sql(evaluator, both)}),
       d AS (SELECT replicate, max(CASE WHEN system = 'system' THEN auroc END) AS s,
                    max(CASE WHEN system = 'baseline' THEN auroc END) AS b FROM m GROUP BY replicate)
       SELECT round(o.s, {R9}) AS metric_system, round(o.b, {R9}) AS metric_baseline, round(o.s - o.b, {R9}) AS delta,
@@ -272,6 +280,16 @@ def q_paired_randomization(spark, d):
                     "replicates")
 
 
+@register("paired_randomization_accuracy", "A11 E3", fx.with_fixtures(_paired_sql("accuracy"), "settings",
+                                                                       "toxicity_scores"))
+def q_paired_randomization_accuracy(spark, d):
+    pooled = S.pooled_eval_set(split_table(spark, d), POOLED)
+    v = join_scores(pooled, fx.toxicity_scores(spark, d), "TOXICITY")
+    p = M.paired_randomization(v, "ca_score", "api", replicates=REPLICATES, seed=SEED, evaluator="accuracy")
+    return p.select(*[r9(F.col(c)).alias(c) for c in ("metric_system", "metric_baseline", "delta", "p_value")],
+                    "replicates")
+
+
 @register("predictions_wide", "U3", with_splits(
     "SELECT id, " + ", ".join(f"max(CASE WHEN split = {i} THEN api END) AS split{i}" for i in range(SPLITS))
     + " FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY id"))

@@ -7,7 +7,7 @@ trailing blanks. Parquet is preferred for everything after ingestion.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -43,7 +43,17 @@ def write_tsv(df: DataFrame, path: str, header: bool = True, mode: str = "errori
 
 
 def capped_scan(df: DataFrame, n: int, order: str = "id", bucket_bits: int = 16) -> DataFrame:
-    """The first ``n`` rows in ``order`` (a unique integer column), exactly, without gathering candidates
-    into one task: exact ranks per id range (buckets of ``order >> bucket_bits``), then a filter."""
-    ranked = exact_row_number(df, [], [F.col(order)], [F.shiftright(F.col(order), bucket_bits)], name="__rn")
+    """The first ``n`` rows in ``order`` (a unique integer column), exactly.
+
+    Buckets of ``order >> bucket_bits`` are counted first; only buckets that start before row ``n`` can
+    hold a kept row, and there are at most ``n`` of them (each holds a row), so that bucket list is
+    broadcast to prune the scan before anything wide is shuffled. The survivors are ranked exactly.
+    """
+    bucket = F.shiftright(F.col(order), bucket_bits)
+    counts = df.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    keep = starts.where(F.col("__start") < F.lit(n)).select("__b")
+    pruned = df.withColumn("__b", bucket).join(F.broadcast(keep), "__b", "left_semi").drop("__b")
+    ranked = exact_row_number(pruned, [], [F.col(order)], [F.shiftright(F.col(order), bucket_bits)], name="__rn")
     return ranked.where(F.col("__rn") <= F.lit(n)).drop("__rn")
