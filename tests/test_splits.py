@@ -50,3 +50,11 @@ def test_scan_split_reads_val_from_gc(spark):
     assert {(r.setting, r.part) for r in rows} == {("gn", "train"), ("gn", "dev"), ("gc", "val")}
     pooled = S.pooled_eval_set(st, 2)
     assert pooled.count() == pooled.select("id").distinct().count()
+
+
+def test_prefix_digits_follow_row_count():
+    assert S.prefix_digits_for(1000) == 3
+    assert S.prefix_digits_for(1 << 18) == 3
+    # 10^11 rows per key: 5 hex digits keep a (key, prefix) bucket near 2^18 rows
+    d = S.prefix_digits_for(10 ** 11)
+    assert d == 5 and 10 ** 11 / 16 ** d <= 1 << 18

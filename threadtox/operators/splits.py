@@ -8,6 +8,7 @@ so no split is ever ranked inside a single task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,10 +18,27 @@ from threadtox.functions.hashing import sort_key
 from threadtox.operators.ranking import exact_row_number
 
 PARTS = ("train", "dev", "val")
-
-
-def _rank_by_hash(df: DataFrame, partition_by: Sequence[str], key: Column, prefix_digits: int,
-                  bounded: bool) -> DataFrame:
+BUCKET_ROWS = 1 << 18        # target rows per (key, hash-prefix) ranking task
+BROADCAST_OFFSETS = 1 << 20  # largest offset table (keys x buckets) that is broadcast
+
+
+def prefix_digits_for(rows_per_key: int, target: int = BUCKET_ROWS, minimum: int = 3) -> int:
+    """Hex digits of hash prefix so that one (key, prefix) bucket holds about ``target`` rows: md5 hex is
+    uniform, so each extra digit divides the bucket by 16."""
+    if rows_per_key <= target:
+        return minimum
+    return max(minimum, math.ceil(math.log(rows_per_key / target, 16)))
+
+
+def _rank_by_hash(df: DataFrame, partition_by: Sequence[str], key: Column, prefix_digits: int | None,
+                  n_keys: int) -> DataFrame:
+    """Exact rank in hash order per ``partition_by`` key. Without ``prefix_digits`` the prefix length
+    follows the row count (one count of the input, read from parquet metadata when it is a scan);
+    ``n_keys`` bounds the number of keys, and the offset table is broadcast only when
+    n_keys x 16^digits stays under ``BROADCAST_OFFSETS`` (otherwise AQE picks the join with real sizes)."""
+    if prefix_digits is None:
+        prefix_digits = prefix_digits_for(df.count())
+    bounded = n_keys * 16 ** prefix_digits <= BROADCAST_OFFSETS
     d = df.withColumn("__key", key)
     ranked = exact_row_number(d, partition_by, [F.col("__key"), F.col("id")],
                               [F.substring(F.col("__key"), 1, prefix_digits)],
@@ -29,18 +47,22 @@ def _rank_by_hash(df: DataFrame, partition_by: Sequence[str], key: Column, prefi
 
 
 def mccv_split(df: DataFrame, splits: int = 10, seed: int = 42, test_size: float = 0.2,
-               by: Sequence[str] = ("setting",), prefix_digits: int = 3) -> DataFrame:
+               by: Sequence[str] = ("setting",), prefix_digits: int | None = None,
+               n_by: int = 2) -> DataFrame:
     """Monte-Carlo cross-validation: ``splits`` independent shuffles, each cut into exact parts.
 
     val = ceil(test_size * n) rows, dev = the same count (as the study draws it), train = the rest.
     Adds ``split`` and ``part`` (and keeps every input column). One pass: rows are exploded over the
-    split numbers, never re-read per split.
+    split numbers, never re-read per split. ``n_by`` bounds the number of ``by`` value combinations (two
+    settings); the offset table then has at most n_by x splits x 16^digits rows.
     """
     by = [b for b in by if b in df.columns]
+    if prefix_digits is None:
+        # rows per (by, split) key: at most the input rows (each id once per setting and split)
+        prefix_digits = prefix_digits_for(df.count())
     e = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     key = sort_key(F.col("split") + F.lit(seed), F.col("id"))
-    # (by values) x splits x 16^digits buckets: a bounded offset table, safe to broadcast.
-    r = _rank_by_hash(e, list(by) + ["split"], key, prefix_digits, bounded=len(by) <= 1)
+    r = _rank_by_hash(e, list(by) + ["split"], key, prefix_digits, n_keys=(n_by if by else 1) * splits)
     n_val = F.ceil(F.col("__n").cast("double") * F.lit(float(test_size))).cast("long")
     pos = F.col("__rank") - F.lit(1)
     part = (F.when(pos < n_val, F.lit("val"))
@@ -49,17 +71,18 @@ def mccv_split(df: DataFrame, splits: int = 10, seed: int = 42, test_size: float
     return r.withColumn("part", part).drop("__rank", "__n")
 
 
-def holdout_split(df: DataFrame, test_size: float = 0.1, seed: int = 42, prefix_digits: int = 3) -> DataFrame:
+def holdout_split(df: DataFrame, test_size: float = 0.1, seed: int = 42,
+                  prefix_digits: int | None = None) -> DataFrame:
     """Two-way split: ceil(test_size * n) rows go to ``dev``, the rest to ``train``."""
     key = sort_key(F.lit(seed), F.col("id"))
-    r = _rank_by_hash(df, [], key, prefix_digits, bounded=True)
+    r = _rank_by_hash(df, [], key, prefix_digits, n_keys=1)
     n_dev = F.ceil(F.col("__n").cast("double") * F.lit(float(test_size))).cast("long")
     part = F.when(F.col("__rank") - F.lit(1) < n_dev, F.lit("dev")).otherwise(F.lit("train"))
     return r.withColumn("part", part).drop("__rank", "__n")
 
 
 def balanced_downsample(df: DataFrame, label: str = "label", seed: int = 42, by: Sequence[str] = (),
-                        prefix_digits: int = 3) -> DataFrame:
+                        prefix_digits: int | None = None, n_by: int = 2) -> DataFrame:
     """Keep, per class, the first m rows in hash order, where m = size of the smallest class.
 
     With ``by`` (e.g. setting) the minimum is taken over every (by, class) group, so all settings end
@@ -67,7 +90,7 @@ def balanced_downsample(df: DataFrame, label: str = "label", seed: int = 42, by:
     """
     key = sort_key(F.lit(seed), F.lit("balance"), F.col("id"))
     parts = list(by) + [label]
-    r = _rank_by_hash(df, parts, key, prefix_digits, bounded=True)
+    r = _rank_by_hash(df, parts, key, prefix_digits, n_keys=(n_by if by else 1) * 2)
     # m = min over the (by, label) groups of their size; a one-row table joined on a constant key.
     sizes = (df.groupBy(*parts).agg(F.count(F.lit(1)).alias("__size"))
              .agg(F.min("__size").alias("__m")).withColumn("__one", F.lit(1)))
