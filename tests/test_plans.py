@@ -21,7 +21,10 @@ def test_no_python_in_native_plans(spark, sf, name):
 
 
 def test_split_ranking_window_is_bucketed(spark, sf):
-    df = catalog.QUERIES["mccv_split"].build(spark, sf)
+    # the operator itself (the registered query reads the split table it wrote once per session)
+    from threadtox.operators import splits as S
+    from threadtox.sources import fixtures as fx
+    df = S.mccv_split(fx.comment_settings(spark, sf), splits=10, seed=42)
     df.collect()
     text = plan_text(df)
     # the row-level window is partitioned by (setting, split, bucket): a hash exchange, not SinglePartition,

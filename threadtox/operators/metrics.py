@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadtox.functions.hashing import uniform
@@ -205,14 +205,15 @@ def paired_randomization(df: DataFrame, system: str, baseline: str, label: str =
          .agg(F.max(F.when(F.col("system") == "system", F.col("value"))).alias("__sys"),
               F.max(F.when(F.col("system") == "baseline", F.col("value"))).alias("__base"))
          .withColumn("__delta", F.col("__sys") - F.col("__base")))
-    obs = d.where(F.col("replicate") == 0).select(F.col("__sys").alias("metric_system"),
-                                                  F.col("__base").alias("metric_baseline"),
-                                                  F.col("__delta").alias("delta"))
-    perm = d.where(F.col("replicate") > 0).select("__delta")
-    joined = _attach(perm, obs, [])
-    hits = joined.agg(F.sum(F.when(F.abs(F.col("__delta")) >= F.abs(F.col("delta")) - F.lit(tolerance), 1)
-                            .otherwise(0)).cast("long").alias("hits"))
-    out = _attach(obs, hits, [])
+    # d has R + 1 rows (bounded by the parameter): one window over it brings the observed delta to every
+    # replicate, so d is consumed once and the expanded rows are aggregated once.
+    whole = Window.partitionBy()
+    obs_of = lambda c: F.max(F.when(F.col("replicate") == 0, F.col(c))).over(whole)
+    d = d.select("replicate", "__delta", obs_of("__sys").alias("metric_system"),
+                 obs_of("__base").alias("metric_baseline"), obs_of("__delta").alias("delta"))
+    hit = (F.col("replicate") > 0) & (F.abs(F.col("__delta")) >= F.abs(F.col("delta")) - F.lit(tolerance))
+    out = d.groupBy("metric_system", "metric_baseline", "delta").agg(
+        F.sum(F.when(hit, 1).otherwise(0)).cast("long").alias("hits"))
     return out.select("metric_system", "metric_baseline", "delta",
                       ((F.col("hits") + F.lit(1)).cast("double") / F.lit(float(replicates + 1))).alias("p_value"),
                       F.lit(replicates).cast("long").alias("replicates"))

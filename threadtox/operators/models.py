@@ -128,15 +128,19 @@ def predict(model: PipelineModel, regime: str, df: DataFrame, cfg: TrainConfig =
 # ---- selection on the dev part (X5 / M7) ----------------------------------------------------------
 
 def select_best(candidates: DataFrame, order: str = "candidate", metric: str = "metric",
-                patience: int = 3) -> DataFrame:
+                patience: int = 3, decimals: int | None = 12) -> DataFrame:
     """Early stopping over an ordered candidate table: walk candidates in order, stop once ``patience``
     consecutive candidates fail to improve on the best so far; return the best evaluated candidate
     (earliest on ties): best_candidate, best_metric, stopped_at, evaluated.
 
-    The candidate table is small (one row per checkpoint / grid point), so plain windows are used.
+    Metrics are compared after rounding to ``decimals``: two equal fractions reached through different
+    counts (14/17 = 28/34) can differ in the last bit, and that noise must neither count as an
+    improvement nor break a tie. The candidate table is small (one row per checkpoint / grid point), so
+    plain windows are used.
     """
     w = Window.orderBy(order)
-    c = candidates.select(order, metric).withColumn("__best_before", F.max(metric).over(
+    m = F.col(metric) if decimals is None else F.round(F.col(metric), decimals)
+    c = candidates.select(order, m.alias(metric)).withColumn("__best_before", F.max(metric).over(
         w.rowsBetween(Window.unboundedPreceding, -1)))
     c = c.withColumn("__improved", F.col("__best_before").isNull() | (F.col(metric) > F.col("__best_before")))
     c = c.withColumn("__rank", F.row_number().over(w))
@@ -148,7 +152,9 @@ def select_best(candidates: DataFrame, order: str = "candidate", metric: str = "
                .join(F.broadcast(stop.withColumn("__one", F.lit(1))), "__one", "left")
                .where(F.col("__stop").isNull() | (F.col("__rank") <= F.col("__stop"))))
     best = bounded.agg(
-        F.min_by(F.col(order), F.struct(-F.col(metric), F.col("__rank"))).alias("best_candidate"),
+        # a candidate without a metric (dev part missing a class) is never the best: min_by skips nulls
+        F.min_by(F.col(order), F.when(F.col(metric).isNotNull(), F.struct(-F.col(metric), F.col("__rank"))))
+        .alias("best_candidate"),
         F.max(F.col(metric)).alias("best_metric"),
         F.max(F.col(order)).alias("stopped_at"),
         F.count(F.lit(1)).alias("evaluated"))
@@ -167,7 +173,8 @@ def fit_with_dev_selection(regime: str, train: DataFrame, dev: DataFrame, grid:
         model = fit(regime, train, c, vectors, key)
         dev_auc = M.auroc(predict(model, regime, dev, c, vectors, key), score="score").first()["auroc"]
         history.append((i, float(reg), dev_auc))
-        if best_auc is None or (dev_auc is not None and dev_auc > best_auc):
+        # compared at 12 decimals, as in select_best
+        if best_auc is None or (dev_auc is not None and round(dev_auc, 12) > round(best_auc, 12)):
             best_model, best_auc, stale = model, dev_auc, 0
         else:
             stale += 1

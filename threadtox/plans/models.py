@@ -72,7 +72,8 @@ _DEV = "(SELECT * FROM split_table WHERE setting = 'gc' AND part = 'dev')"
 
 def _select_best_sql(patience: int) -> str:
     from threadtox.plans.sql import auroc_sql
-    return f"""WITH cand AS (SELECT split AS candidate, auroc AS metric FROM ({auroc_sql(_DEV, ['split'], 'api')})),
+    return f"""WITH cand AS (SELECT split AS candidate, round(auroc, 12) AS metric
+                           FROM ({auroc_sql(_DEV, ['split'], 'api')})),
       c AS (SELECT *, max(metric) OVER (ORDER BY candidate ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bb,
                    row_number() OVER (ORDER BY candidate) AS rk FROM cand),
       d AS (SELECT *, (bb IS NULL OR metric > bb) AS imp FROM c),
@@ -80,7 +81,7 @@ def _select_best_sql(patience: int) -> str:
                    AND CURRENT ROW) AS run FROM d),
       s AS (SELECT min(rk) AS stop FROM e WHERE run >= {patience}),
       b AS (SELECT e.* FROM e, s WHERE s.stop IS NULL OR e.rk <= s.stop)
-      SELECT CAST(arg_min(candidate, (-metric, rk)) AS INTEGER) AS best_candidate, round(max(metric), {R9}) AS best_metric,
+      SELECT CAST(arg_min(candidate, (-metric, rk)) FILTER (WHERE metric IS NOT NULL) AS INTEGER) AS best_candidate, round(max(metric), {R9}) AS best_metric,
              CAST(max(candidate) AS INTEGER) AS stopped_at, count(*) AS evaluated FROM b"""
 
 
