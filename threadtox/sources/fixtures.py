@@ -119,7 +119,12 @@ def annotations(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, data_dir: str) -> DataFrame:
-    """word, vector: the vocabulary word with id k gets the embedding row vec_id = k - 1 (later words none)."""
+    """word, vector: the vocabulary word with id k gets the embedding row vec_id = k - 1 (later words none).
+    Written once per session: it rests on the full vocabulary ranking, which its readers would redo."""
+    return materialized_once(spark, ("word_vectors", data_dir), lambda: _word_vectors(spark, data_dir))
+
+
+def _word_vectors(spark: SparkSession, data_dir: str) -> DataFrame:
     from threadtox.operators.text import word_index
     wi = word_index(comments(spark, data_dir))
     emb = table(spark, data_dir, "embeddings").select((F.col("vec_id") + F.lit(1)).alias("word_id"),
@@ -128,7 +133,12 @@ def word_vectors(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def pair_vocab(spark: SparkSession, data_dir: str) -> DataFrame:
-    """token, token_id: the special tokens (ids 0..3), then the ranked words of the comments."""
+    """token, token_id: the special tokens (ids 0..3), then the ranked words of the comments (written once
+    per session, like word_vectors)."""
+    return materialized_once(spark, ("pair_vocab", data_dir), lambda: _pair_vocab(spark, data_dir))
+
+
+def _pair_vocab(spark: SparkSession, data_dir: str) -> DataFrame:
     from threadtox.operators.text import word_index
     spark_specials = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id long")
     wi = word_index(comments(spark, data_dir)).select(
