@@ -34,6 +34,16 @@ def test_capped_scan_exact(spark):
     assert got == list(range(10))
 
 
+def test_capped_scan_sparse_ids_against_brute_force(spark):
+    # sparse ids over many buckets (and bucket groups of the offset pass), caps inside and beyond the table,
+    # broadcast and non-broadcast keep lists
+    ids = sorted({(i * 7919) % 100_003 for i in range(3000)})
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    for n, mb in ((1, 10), (37, 10), (1000, 10), (1000, 1_000_000), (5000, 1_000_000)):
+        got = sorted(r.id for r in files.capped_scan(df, n, bucket_bits=3, max_broadcast=mb).collect())
+        assert got == ids[:n]
+
+
 def test_split_sink_partitions(spark):
     df = spark.createDataFrame([(0, "gc", "val", 1), (1, "gn", "train", 2)], "split int, setting string, part string, id long")
     path = scratch_path(spark, "t-splits")

@@ -7,11 +7,11 @@ trailing blanks. Parquet is preferred for everything after ingestion.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from threadtox.operators.ranking import exact_row_number
+from threadtox.operators.ranking import exact_row_number, running_totals
 
 COMMENT_SCHEMA = StructType([
     StructField("id", LongType()), StructField("text", StringType()), StructField("parent", StringType()),
@@ -42,18 +42,22 @@ def write_tsv(df: DataFrame, path: str, header: bool = True, mode: str = "errori
     df.write.mode(mode).option("sep", "\t").option("quote", "").option("header", str(header).lower()).csv(path)
 
 
-def capped_scan(df: DataFrame, n: int, order: str = "id", bucket_bits: int = 16) -> DataFrame:
+def capped_scan(df: DataFrame, n: int, order: str = "id", bucket_bits: int = 16,
+                max_broadcast: int = 1_000_000) -> DataFrame:
     """The first ``n`` rows in ``order`` (a unique integer column), exactly.
 
-    Buckets of ``order >> bucket_bits`` are counted first; only buckets that start before row ``n`` can
-    hold a kept row, and there are at most ``n`` of them (each holds a row), so that bucket list is
-    broadcast to prune the scan before anything wide is shuffled. The survivors are ranked exactly.
+    Buckets of ``order >> bucket_bits`` are counted first, and each bucket's start row comes from the
+    two-level running total (so the bucket table, which grows with the id range, is never ordered in one
+    task). Only buckets that start before row ``n`` can hold a kept row, and there are at most ``n`` of
+    them (each holds a row): that list prunes the scan before anything wide is shuffled — broadcast when
+    ``n <= max_broadcast``, otherwise joined as AQE sees fit. The survivors are ranked exactly.
     """
     bucket = F.shiftright(F.col(order), bucket_bits)
     counts = df.groupBy(bucket.alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"))
+    starts = running_totals(counts, [], [F.col("__b")], [F.shiftright(F.col("__b"), 12)], {"__start": F.col("__c")})
     keep = starts.where(F.col("__start") < F.lit(n)).select("__b")
-    pruned = df.withColumn("__b", bucket).join(F.broadcast(keep), "__b", "left_semi").drop("__b")
+    if n <= max_broadcast:
+        keep = F.broadcast(keep)
+    pruned = df.withColumn("__b", bucket).join(keep, "__b", "left_semi").drop("__b")
     ranked = exact_row_number(pruned, [], [F.col(order)], [F.shiftright(F.col(order), bucket_bits)], name="__rn")
     return ranked.where(F.col("__rn") <= F.lit(n)).drop("__rn")
