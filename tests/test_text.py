@@ -76,8 +76,10 @@ def test_word_vector_parse_last_wins(spark):
 def test_masked_mean_pool_counts_unknown_tokens(spark):
     vec = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "word string, vector array<float>")
     df = spark.createDataFrame([(1, ["a", "b", "zz", "a"]), (2, ["q"]), (3, [])], "id long, tokens array<string>")
-    got = {r.id: r.pooled for r in T.masked_mean_pool(df, vec, 2).collect()}
-    assert got[1] == pytest.approx([5.0 / 4, 8.0 / 4])
-    assert got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
+    # broadcast path, and the (document, word)-count path taken beyond the broadcast bound
+    for bound in (2_000_000, 0):
+        got = {r.id: r.pooled for r in T.masked_mean_pool(df, vec, 2, max_broadcast=bound).collect()}
+        assert got[1] == pytest.approx([5.0 / 4, 8.0 / 4])
+        assert got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
     first = {r.id: r.pooled for r in T.first_pool(df, vec, 2).collect()}
     assert first == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}

@@ -100,14 +100,26 @@ def embedding_lookup(vocab: DataFrame, vectors: DataFrame, dim: int, word: str =
     return j.withColumn("vector", F.coalesce(F.col("vector"), zero))
 
 
-def masked_mean_pool(df: DataFrame, vectors: DataFrame, dim: int, tokens: str = "tokens", key: str = "id",
-                     out: str = "pooled") -> DataFrame:
+def masked_mean_pool(df: DataFrame, vectors: DataFrame, dim: int | Column, tokens: str = "tokens", key: str = "id",
+                     out: str = "pooled", max_broadcast: int = 2_000_000) -> DataFrame:
     """Sum of the token vectors over the real tokens / (number of real tokens + 1e-10); tokens without a
     vector contribute zeros but still count. Vector sums use the ``Summarizer`` aggregate (partial
-    aggregation, no per-row list), then one left join back."""
+    aggregation, no per-row list), then one left join back.
+
+    The vector table is counted first. Within ``max_broadcast`` words it is broadcast: token hits stay in
+    their document's partition, so the partial aggregate leaves one vector per document before the
+    shuffle. Beyond it, tokens are first reduced to (document, word) counts, and the join ships one
+    vector per distinct word of a document, weighted by its count.
+    """
     ex = df.select(F.col(key).alias("__k"), F.explode(F.col(tokens)).alias("word"))
-    j = ex.join(vectors.select("word", array_to_vector(F.col("vector")).alias("__v")), "word", "inner")
-    sums = j.groupBy("__k").agg(Summarizer.sum(F.col("__v")).alias("__s"))
+    vec = vectors.select("word", array_to_vector(F.col("vector")).alias("__v"))
+    if vectors.count() <= max_broadcast:
+        j = ex.join(F.broadcast(vec), "word", "inner")
+        sums = j.groupBy("__k").agg(Summarizer.sum(F.col("__v")).alias("__s"))
+    else:
+        pairs = ex.groupBy("__k", "word").agg(F.count(F.lit(1)).cast("double").alias("__n"))
+        j = pairs.join(vec, "word", "inner")
+        sums = j.groupBy("__k").agg(Summarizer.sum(F.col("__v"), F.col("__n")).alias("__s"))
     sums = sums.select(F.col("__k").alias(key), vector_to_array(F.col("__s")).alias("__sum"))
     base = df.select(key, F.size(F.col(tokens)).alias("__n"))
     zero = F.array_repeat(F.lit(0.0), dim)
