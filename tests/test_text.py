@@ -67,6 +67,17 @@ def test_texts_to_sequences_drops_unknown_and_keeps_empty(spark):
     assert got == {1: [2, 1, 2], 2: [], 3: []}
 
 
+def test_tokens_to_ids_join_paths_agree(spark):
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("[UNK]", 9)], "word string, word_id long")
+    df = spark.createDataFrame([(1, ["b", "x", "a", "b"]), (2, ["zz"]), (3, [])], "id long, t array<string>")
+    for bound in (2_000_000, 0):  # broadcast vocabulary / shuffle join beyond the bound
+        got = {r.id: r.ids for r in T.tokens_to_ids(df, vocab, "t", "ids", max_broadcast=bound).collect()}
+        assert got == {1: [2, 1, 2], 2: [], 3: []}
+        got = {r.id: r.ids for r in T.tokens_to_ids(df, vocab, "t", "ids", unknown_id=9,
+                                                    max_broadcast=bound).collect()}
+        assert got == {1: [2, 9, 1, 2], 2: [9], 3: []}
+
+
 def test_word_vector_parse_last_wins(spark):
     lines = spark.createDataFrame([(0, "cat 0.5 1.0"), (1, "dog 1 2"), (2, "cat 3 4")], "o long, value string")
     got = {r.word: r.vector for r in T.parse_word_vectors(lines, order=F.col("o")).collect()}
@@ -81,5 +92,6 @@ def test_masked_mean_pool_counts_unknown_tokens(spark):
         got = {r.id: r.pooled for r in T.masked_mean_pool(df, vec, 2, max_broadcast=bound).collect()}
         assert got[1] == pytest.approx([5.0 / 4, 8.0 / 4])
         assert got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
-    first = {r.id: r.pooled for r in T.first_pool(df, vec, 2).collect()}
-    assert first == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+    for bound in (2_000_000, 0):
+        first = {r.id: r.pooled for r in T.first_pool(df, vec, 2, max_broadcast=bound).collect()}
+        assert first == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}

@@ -54,11 +54,18 @@ def vocab_size(index: DataFrame) -> DataFrame:
 
 
 def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens: str, out: str, key: str = "id",
-                  word: str = "word", index: str = "word_id", unknown_id: int | Column | None = None) -> DataFrame:
+                  word: str = "word", index: str = "word_id", unknown_id: int | Column | None = None,
+                  max_broadcast: int = 2_000_000) -> DataFrame:
     """Map each token to its vocabulary id, keeping order. Tokens outside the vocabulary are dropped
-    (``unknown_id=None``) or mapped to ``unknown_id``. Rows without tokens get an empty list."""
+    (``unknown_id=None``) or mapped to ``unknown_id``. Rows without tokens get an empty list.
+
+    A vocabulary within ``max_broadcast`` words (counted first) is broadcast, so token rows never leave
+    their document's partition before the per-document collect; a larger one is a shuffle join on the
+    word (AQE splits hot words)."""
     ex = df.select(F.col(key).alias("__k"), F.posexplode(F.col(tokens)).alias("__pos", "__w"))
     v = vocab.select(F.col(word).alias("__w"), F.col(index).cast("long").alias("__id"))
+    if vocab.count() <= max_broadcast:
+        v = F.broadcast(v)
     if unknown_id is None:
         j = ex.join(v, "__w", "inner")
     else:
@@ -129,9 +136,13 @@ def masked_mean_pool(df: DataFrame, vectors: DataFrame, dim: int | Column, token
 
 
 def first_pool(df: DataFrame, vectors: DataFrame, dim: int, tokens: str = "tokens", key: str = "id",
-               out: str = "pooled") -> DataFrame:
-    """Vector of the first token (zeros when the text is empty or the word has no vector)."""
+               out: str = "pooled", max_broadcast: int = 2_000_000) -> DataFrame:
+    """Vector of the first token (zeros when the text is empty or the word has no vector); the vector
+    table is broadcast when a count shows it within ``max_broadcast`` words."""
     first = df.select(key, F.try_element_at(F.col(tokens), F.lit(1)).alias("word"))
-    j = first.join(vectors.select("word", "vector"), "word", "left")
+    vec = vectors.select("word", "vector")
+    if vectors.count() <= max_broadcast:
+        vec = F.broadcast(vec)
+    j = first.join(vec, "word", "left")
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return j.select(key, F.coalesce(F.col("vector"), zero).cast("array<double>").alias(out))
