@@ -41,7 +41,7 @@ def q_word_index(spark, d):
     "SELECT CAST(max(word_id) + 1 AS BIGINT) AS vocab_size, CAST(max(word_id) + 3 AS BIGINT) AS embedding_rows "
     "FROM word_index", "word_index"))
 def q_vocab_size(spark, d):
-    return T.vocab_size(T.word_index(fx.comments(spark, d)))
+    return T.vocab_size(fx.vocabulary(spark, d))
 
 
 def _train_vocab(spark, d):
@@ -81,7 +81,7 @@ def q_pad_sequences(spark, d):
        FROM word_index w LEFT JOIN word_vectors v ON w.word = v.word""", "word_vectors"))
 def q_embedding_lookup(spark, d):
     vec = fx.word_vectors(spark, d)
-    e = T.embedding_lookup(T.word_index(fx.comments(spark, d)), vec, 64)
+    e = T.embedding_lookup(fx.vocabulary(spark, d), vec, 64)
     return e.select("word", "word_id", "vector")
 
 

@@ -124,9 +124,15 @@ def word_vectors(spark: SparkSession, data_dir: str) -> DataFrame:
     return materialized_once(spark, ("word_vectors", data_dir), lambda: _word_vectors(spark, data_dir))
 
 
-def _word_vectors(spark: SparkSession, data_dir: str) -> DataFrame:
+def vocabulary(spark: SparkSession, data_dir: str) -> DataFrame:
+    """word, word_id, freq: the ranked vocabulary of the comments (written once per session; word vectors
+    and the pair vocabulary are both built on it)."""
     from threadtox.operators.text import word_index
-    wi = word_index(comments(spark, data_dir))
+    return materialized_once(spark, ("vocabulary", data_dir), lambda: word_index(comments(spark, data_dir)))
+
+
+def _word_vectors(spark: SparkSession, data_dir: str) -> DataFrame:
+    wi = vocabulary(spark, data_dir)
     emb = table(spark, data_dir, "embeddings").select((F.col("vec_id") + F.lit(1)).alias("word_id"),
                                                       F.col("embedding").alias("vector"))
     return wi.join(emb, "word_id").select("word", "vector")
@@ -139,9 +145,8 @@ def pair_vocab(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def _pair_vocab(spark: SparkSession, data_dir: str) -> DataFrame:
-    from threadtox.operators.text import word_index
     spark_specials = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, token_id long")
-    wi = word_index(comments(spark, data_dir)).select(
+    wi = vocabulary(spark, data_dir).select(
         F.col("word").alias("token"), (F.col("word_id") + F.lit(len(SPECIAL_TOKENS) - 1)).alias("token_id"))
     return spark_specials.unionByName(wi)
 
