@@ -27,3 +27,14 @@ def test_broadcast_and_distributed_agree(spark):
     assert a[1] == ["un", "##aff", "##able", "people", ",", "un", "##aff", "##able", "!"]
     assert a[2] == ["a", "##b", "##c", "a", "##b", "a"]
     assert a[3] == [] and a[4] == [] and a[5] == [W.UNK]
+
+
+def test_derived_vocabulary_layout(spark):
+    from threadtox.functions.text import SPECIAL_TOKENS
+    df = spark.createDataFrame([(1, "ab ab cd b"), (2, "cd ab ef")], "id long, text string")
+    v = [r.token for r in W.wordpiece_vocab(df, top_words=2).orderBy("token_id").collect()]
+    assert v[:4] == list(SPECIAL_TOKENS)
+    chars = set("abcdef")
+    assert set(v[4:4 + 2 * len(chars)]) == chars | {"##" + c for c in chars}
+    # top words by count (ab 3, cd 2, ef 1), ties by token; single characters are not words
+    assert v[4 + 2 * len(chars):] == ["ab", "cd"]

@@ -142,12 +142,14 @@ def wordpiece_vocab(df: DataFrame, text: str = "text", top_words: int = 2000, lo
     continuation form), then the ``top_words`` most frequent basic tokens (ties by token). token, token_id."""
     from threadtox.functions.text import SPECIAL_TOKENS
     spark = df.sparkSession
-    toks = df.select(F.explode(basic_tokenize(F.col(text), lower)).alias("t"))
-    chars = (toks.select(F.explode(F.split(F.col("t"), "")).alias("c")).where(F.col("c") != "").distinct())
+    # one Python pass: both consumers read the same token-count aggregate (its shuffle is shared), and
+    # characters come from the distinct tokens rather than from every token occurrence
+    counts_all = df.select(F.explode(basic_tokenize(F.col(text), lower)).alias("t")).groupBy("t").count()
+    chars = (counts_all.select(F.explode(F.split(F.col("t"), "")).alias("c")).where(F.col("c") != "").distinct())
     char_tokens = chars.select(F.col("c").alias("token"), F.lit(1).alias("__grp"), F.col("c").alias("__o")) \
         .unionByName(chars.select(F.concat(F.lit(CONTINUATION), F.col("c")).alias("token"), F.lit(2).alias("__grp"),
                                   F.col("c").alias("__o")))
-    counts = toks.where(F.length("t") > 1).groupBy("t").count()
+    counts = counts_all.where(F.length("t") > 1)
     top = (counts.orderBy(F.col("count").desc(), F.col("t")).limit(top_words)
            .select(F.col("t").alias("token"), F.lit(3).alias("__grp"),
                    F.format_string("%020d", F.lit(10 ** 12) - F.col("count")).alias("__o")))
