@@ -10,6 +10,7 @@ from threadtox.operators import text as T
 from threadtox.plans.evaluation import split_table, with_splits
 from threadtox.plans.registry import register
 from threadtox.plans.sql import split_table_sql
+from threadtox.session import materialized_once
 from threadtox.sources import fixtures as fx
 
 SEQ_LEN = 64
@@ -45,8 +46,12 @@ def q_vocab_size(spark, d):
 
 
 def _train_vocab(spark, d):
-    train = split_table(spark, d).where((F.col("setting") == "gc") & (F.col("split") == 0) & (F.col("part") == "train"))
-    return T.word_index(train)
+    """Vocabulary of the first training part (written once per session: sequences and padding share it)."""
+    def build():
+        train = split_table(spark, d).where((F.col("setting") == "gc") & (F.col("split") == 0)
+                                            & (F.col("part") == "train"))
+        return T.word_index(train)
+    return materialized_once(spark, ("train_vocab", d), build)
 
 
 _TRAIN_VOCAB_SQL = f"""train_vocab AS (
