@@ -46,3 +46,21 @@ def test_previous_value_matches_lag(spark):
     j = got.join(ref.select("o", "prev_ref"), "o")
     assert j.count() == 200
     assert j.where(~F.col("prev").eqNullSafe(F.col("prev_ref"))).count() == 0
+
+
+def test_hot_thread_parent_and_topic_against_windows(spark):
+    from threadtox.operators.context import thread_parent, thread_topic
+    # one thread holds a third of all posts; turns are sparse integers
+    rows = [("hot", i * 5 + 1, f"h{i}") for i in range(1000)]
+    rows += [(f"c{i % 200}", i * 3 + 2, f"t{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, text string")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    ref = df.select("conv_id", "turn", F.lag("text").over(w).alias("p_ref"),
+                    F.first("text").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                    .alias("t_ref"))
+    got = thread_topic(thread_parent(df, shift_bits=4), out="topic")
+    j = got.join(ref, ["conv_id", "turn"])
+    assert j.count() == 3000
+    assert j.where(~F.col("parent").eqNullSafe(F.col("p_ref")) | (F.col("topic") != F.col("t_ref"))).count() == 0
+    # the hot thread is ranked in many (thread, turn >> 4) buckets, not in one task
+    assert df.where(F.col("conv_id") == "hot").select(F.shiftright("turn", 4)).distinct().count() > 100
