@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadtox.functions.hashing import uniform
 from threadtox.operators.ranking import running_totals
 
 # --- fixed values -------------------------------------------------------------------------------
@@ -31,10 +30,20 @@ def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
             .drop("__one"))
 
 
+BROADCAST_OFFSETS = 1 << 20  # largest (keys x buckets) offset table that is broadcast
+
+
 def score_table(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label",
-                buckets: int = 1024) -> DataFrame:
-    """One row per (keys, distinct score): pos, neg, pos_below, neg_below (strictly lower scores), P, N."""
+                buckets: int = 1024, n_keys: int | None = None) -> DataFrame:
+    """One row per (keys, distinct score): pos, neg, pos_below, neg_below (strictly lower scores), P, N.
+
+    ``n_keys`` bounds the number of key groups when the caller knows it from parameters (splits,
+    replicates); the bucket-offset table (n_keys x buckets rows) is then broadcast while it stays within
+    ``BROADCAST_OFFSETS``. Without keys there is one group."""
     keys = list(keys)
+    if not keys:
+        n_keys = 1
+    bounded = n_keys is not None and n_keys * buckets <= BROADCAST_OFFSETS
     g = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
          .groupBy(*keys, F.col(score).alias("score"))
          .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
@@ -43,7 +52,7 @@ def score_table(df: DataFrame, keys: Sequence[str], score: str = "score", label:
     # end buckets, which keeps the order and so the exactness, only with less spread).
     bucket = F.least(F.greatest(F.floor(F.col("score") * F.lit(float(buckets))), F.lit(0)), F.lit(buckets - 1))
     rt = running_totals(g, keys, [F.col("score")], [bucket],
-                        {"pos_below": F.col("pos"), "neg_below": F.col("neg")}, totals=True)
+                        {"pos_below": F.col("pos"), "neg_below": F.col("neg")}, totals=True, bounded_buckets=bounded)
     return rt.withColumnRenamed("total_pos_below", "P").withColumnRenamed("total_neg_below", "N")
 
 
@@ -53,7 +62,7 @@ def _degenerate(value: Column, ok: Column, degenerate: str) -> Column:
 
 
 def auroc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-          degenerate: str = "null", buckets: int = 1024) -> DataFrame:
+          degenerate: str = "null", buckets: int = 1024, n_keys: int | None = None) -> DataFrame:
     """Exact area under the ROC curve per group: keys, n_pos, n_neg, auroc.
 
     auroc = sum over positives of (#negatives scored lower + half the tied negatives) / (P * N), with the
@@ -61,7 +70,7 @@ def auroc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label:
     group that lacks one class: 'null' (default), 'one' or 'zero'.
     """
     keys = list(keys)
-    st = score_table(df, keys, score, label, buckets)
+    st = score_table(df, keys, score, label, buckets, n_keys)
     num = F.col("pos").cast("decimal(38,0)") * (F.lit(2) * F.col("neg_below") + F.col("neg")).cast("decimal(38,0)")
     agg = st.groupBy(*keys).agg(F.sum(num).alias("__num"), F.first("P").alias("n_pos"), F.first("N").alias("n_neg"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
@@ -71,7 +80,7 @@ def auroc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label:
 
 
 def auroc_ci(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-             level_z: float = Z_95, buckets: int = 1024) -> DataFrame:
+             level_z: float = Z_95, buckets: int = 1024, n_keys: int | None = None) -> DataFrame:
     """AUROC with DeLong's variance and a normal interval (clipped to [0, 1]).
 
     Per positive: V10 = (negatives below + half tied) / N; per negative: V01 = (positives above + half
@@ -79,7 +88,7 @@ def auroc_ci(df: DataFrame, keys: Sequence[str] = (), score: str = "score", labe
     the same component, so the sums run over the score table, weighted by counts.
     """
     keys = list(keys)
-    st = score_table(df, keys, score, label, buckets)
+    st = score_table(df, keys, score, label, buckets, n_keys)
     n_pos, n_neg = F.col("P").cast("double"), F.col("N").cast("double")
     # guarded divisions: a group missing a class gets nulls instead of a division error
     v10 = F.when(F.col("N") > 0, (F.col("neg_below") + F.lit(0.5) * F.col("neg")) / n_neg)
@@ -110,12 +119,12 @@ def binned_score(score: Column, thresholds: int = BINNED_THRESHOLDS) -> Column:
 
 
 def auc_binned(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-               thresholds: int = BINNED_THRESHOLDS) -> DataFrame:
+               thresholds: int = BINNED_THRESHOLDS, n_keys: int | None = None) -> DataFrame:
     """Training-time AUC: ROC over fixed thresholds, trapezoid rule. The trapezoid over the threshold grid
     equals the exact tie-aware AUROC of the binned score, so the same plan is reused (groups missing a class
     give 0, as the rate divisions return 0 there)."""
     b = df.withColumn("__bin", binned_score(F.col(score), thresholds))
-    return auroc(b, keys, "__bin", label, degenerate="zero").withColumnRenamed("auroc", "auc_binned")
+    return auroc(b, keys, "__bin", label, degenerate="zero", n_keys=n_keys).withColumnRenamed("auroc", "auc_binned")
 
 
 def confusion(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
@@ -170,12 +179,12 @@ EVALUATORS = ("auroc", "auc_binned", "accuracy")
 
 
 def evaluate(df: DataFrame, keys: Sequence[str], evaluator: str, score: str = "score",
-             label: str = "label") -> DataFrame:
+             label: str = "label", n_keys: int | None = None) -> DataFrame:
     """Metric named by ``evaluator`` per group, in a column called ``value``."""
     if evaluator == "auroc":
-        return auroc(df, keys, score, label).select(*keys, F.col("auroc").alias("value"))
+        return auroc(df, keys, score, label, n_keys=n_keys).select(*keys, F.col("auroc").alias("value"))
     if evaluator == "auc_binned":
-        return auc_binned(df, keys, score, label).select(*keys, F.col("auc_binned").alias("value"))
+        return auc_binned(df, keys, score, label, n_keys=n_keys).select(*keys, F.col("auc_binned").alias("value"))
     if evaluator == "accuracy":
         return threshold_metrics(df, keys, score, label).select(*keys, F.col("accuracy").alias("value"))
     raise ValueError(f"evaluator must be one of {EVALUATORS}")
@@ -193,14 +202,15 @@ def paired_randomization(df: DataFrame, system: str, baseline: str, label: str =
     base = df.select(F.col(id_col).alias("__id"), F.col(label).alias("label"),
                      F.col(system).alias("__a"), F.col(baseline).alias("__b"))
     rep = base.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    swap = (F.col("replicate") > 0) & (F.col("__a") != F.col("__b")) & (
-        uniform(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"),
-                            F.col("__id").cast("string"))) < F.lit(0.5))
+    # u < 1/2 exactly when the top bit of the md5 is 0, i.e. its first hex digit is 0-7: one character
+    # compare instead of a base conversion per (row, replicate)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("__id").cast("string")))
+    swap = (F.col("replicate") > 0) & (F.col("__a") != F.col("__b")) & (F.substring(digest, 1, 1) < F.lit("8"))
     both = rep.select("replicate", "label", F.explode(F.array(
         F.struct(F.lit("system").alias("system"), F.when(swap, F.col("__b")).otherwise(F.col("__a")).alias("score")),
         F.struct(F.lit("baseline").alias("system"), F.when(swap, F.col("__a")).otherwise(F.col("__b")).alias("score"))
     )).alias("__s")).select("replicate", "label", "__s.system", "__s.score")
-    m = evaluate(both, ["replicate", "system"], evaluator)
+    m = evaluate(both, ["replicate", "system"], evaluator, n_keys=(replicates + 1) * 2)
     d = (m.groupBy("replicate")
          .agg(F.max(F.when(F.col("system") == "system", F.col("value"))).alias("__sys"),
               F.max(F.when(F.col("system") == "baseline", F.col("value"))).alias("__base"))

@@ -110,12 +110,12 @@ _VAL = "(SELECT * FROM split_table WHERE setting = 'gc' AND part = 'val')"
 @register("auroc_by_split", "A2", with_splits(
     f"SELECT split, n_pos, n_neg, round(auroc, {R9}) AS auroc FROM ({auroc_sql(_VAL, ['split'], 'api')})"))
 def q_auroc_by_split(spark, d):
-    a = M.auroc(gc_val(spark, d), ["split"], score="api")
+    a = M.auroc(gc_val(spark, d), ["split"], score="api", n_keys=SPLITS)
     return a.select("split", "n_pos", "n_neg", r9(F.col("auroc")).alias("auroc"))
 
 
 def mccv_summary_frame(spark, d) -> DataFrame:
-    per = M.auroc(gc_val(spark, d), ["split"], score="api")
+    per = M.auroc(gc_val(spark, d), ["split"], score="api", n_keys=SPLITS)
     s = M.mccv_summary(per)
     return s.select(F.col("n_splits").cast("long").alias("n_splits"), r9(F.col("mean")).alias("mean_auroc"),
                     r9(F.col("sem")).alias("sem_auroc"))
@@ -152,7 +152,7 @@ def q_class_prior(spark, d):
               CAST(count_if(NOT api > 0.5 AND label = 1) AS BIGINT) AS fn
        FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY split"""))
 def q_confusion(spark, d):
-    return M.confusion(gc_val(spark, d), ["split"], score="api")
+    return M.confusion(gc_val(spark, d), ["split"], score="api", n_keys=SPLITS)
 
 
 @register("threshold_metrics", "A8", with_splits(
@@ -166,7 +166,7 @@ def q_confusion(spark, d):
                     CAST(count_if(NOT api > 0.5 AND label = 1) AS BIGINT) AS fn
              FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY split)"""))
 def q_threshold_metrics(spark, d):
-    m = M.threshold_metrics(gc_val(spark, d), ["split"], score="api")
+    m = M.threshold_metrics(gc_val(spark, d), ["split"], score="api", n_keys=SPLITS)
     return m.select("split", "tp", "fp", "tn", "fn", *[r9(F.col(c)).alias(c) for c in ("accuracy", "precision", "recall")])
 
 
@@ -177,7 +177,7 @@ _BINNED = ("(SELECT split, label, 1 + greatest(0, least(198, CAST(ceil(api * 199
 @register("auc_binned", "A9", with_splits(
     f"SELECT split, n_pos, n_neg, round(COALESCE(auroc, 0.0), {R9}) AS auc_binned FROM ({auroc_sql(_BINNED, ['split'], 'b')})"))
 def q_auc_binned(spark, d):
-    a = M.auc_binned(gc_val(spark, d), ["split"], score="api")
+    a = M.auc_binned(gc_val(spark, d), ["split"], score="api", n_keys=SPLITS)
     return a.select("split", "n_pos", "n_neg", r9(F.col("auc_binned")).alias("auc_binned"))
 
 
@@ -206,7 +206,7 @@ def _delong_sql(source: str, keys: list[str], score: str) -> str:
 
 @register("auroc_ci", "A10", with_splits(_delong_sql(_VAL, ["split"], "api")))
 def q_auroc_ci(spark, d):
-    a = M.auroc_ci(gc_val(spark, d), ["split"], score="api")
+    a = M.auroc_ci(gc_val(spark, d), ["split"], score="api", n_keys=SPLITS)
     return a.select("split", "n_pos", "n_neg", *[r9(F.col(c)).alias(c) for c in ("auroc", "variance", "ci_low", "ci_high")])
 
 
@@ -214,7 +214,7 @@ def q_auroc_ci(spark, d):
     f"""SELECT split, round(avg(api), {R9}) AS mean_score, round(avg(CAST(label AS DOUBLE)), {R9}) AS gold_rate,
               count(*) AS n FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY split"""))
 def q_calibration(spark, d):
-    c = M.calibration_in_large(gc_val(spark, d), ["split"], score="api")
+    c = M.calibration_in_large(gc_val(spark, d), ["split"], score="api", n_keys=SPLITS)
     return c.select("split", r9(F.col("mean_score")).alias("mean_score"), r9(F.col("gold_rate")).alias("gold_rate"), "n")
 
 
@@ -239,7 +239,7 @@ _CA_VAL = ("(SELECT v.split, v.label, t.TOXICITY AS ca_score FROM split_table v
 def q_ca_auroc_by_split(spark, d):
     v = gc_val(spark, d).where(F.col("split") < POOLED)
     j = join_scores(v, fx.toxicity_scores(spark, d), "TOXICITY")
-    a = M.auroc(j, ["split"], score="ca_score")
+    a = M.auroc(j, ["split"], score="ca_score", n_keys=SPLITS)
     return a.select("split", "n_pos", "n_neg", r9(F.col("auroc")).alias("auroc"))
 
 

@@ -12,6 +12,7 @@ from threadtox.operators import splits as S
 from threadtox.operators.features import binarize
 from threadtox.plans.evaluation import R9, SEED, r9, split_table, with_splits
 from threadtox.plans.registry import register
+from threadtox.plans.sql import SPLITS
 from threadtox.session import scratch_path
 from threadtox.sources import fixtures as fx
 
@@ -88,7 +89,7 @@ def _select_best_sql(patience: int) -> str:
 @register("select_best", "X5", with_splits(_select_best_sql(3)))
 def q_select_best(spark, d):
     st = split_table(spark, d).where((F.col("setting") == "gc") & (F.col("part") == "dev"))
-    cand = M.auroc(st, ["split"], score="api").select(F.col("split").alias("candidate"), F.col("auroc").alias("metric"))
+    cand = M.auroc(st, ["split"], score="api", n_keys=SPLITS).select(F.col("split").alias("candidate"), F.col("auroc").alias("metric"))
     b = ML.select_best(cand, "candidate", "metric", 3)
     return b.select(F.col("best_candidate").cast("int").alias("best_candidate"), r9(F.col("best_metric")).alias("best_metric"),
                     F.col("stopped_at").cast("int").alias("stopped_at"), "evaluated")
@@ -103,7 +104,7 @@ def mccv_experiment(spark, d, regime: str, setting: str, repeats: int = REPEATS,
         model = ML.fit(regime, train, cfg, vec)
         p = ML.predict(model, regime, val, cfg, vec, keep=("split", "label"))
         preds = p if preds is None else preds.unionByName(p)
-    scores = M.auroc(preds, ["split"], score="score")
+    scores = M.auroc(preds, ["split"], score="score", n_keys=SPLITS)
     return scores, preds
 
 
@@ -134,7 +135,7 @@ def q_transfer_eval(spark, d):
     model = ML.fit("ooc", train, CFG)
     val = split_table(spark, d).where((F.col("setting") == "gc") & (F.col("part") == "val"))
     preds = ML.predict(model, "ooc", val, CFG, keep=("split", "label"))
-    return M.auroc(preds, ["split"], score="score")
+    return M.auroc(preds, ["split"], score="score", n_keys=SPLITS)
 
 
 @register("model_roundtrip", "K4", heavy=True)
