@@ -95,3 +95,12 @@ def test_masked_mean_pool_counts_unknown_tokens(spark):
     for bound in (2_000_000, 0):
         first = {r.id: r.pooled for r in T.first_pool(df, vec, 2, max_broadcast=bound).collect()}
         assert first == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+
+
+def test_word_index_independent_of_bucket_width(spark):
+    rows = [(i * 37 % 1009, " ".join(f"w{(i * j) % 23}" for j in range(1, 6))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    ranks = [{r.word: (r.word_id, r.freq) for r in T.word_index(df, id_bucket_bits=b).collect()} for b in (0, 3, 20)]
+    ranks.append({r.word: (r.word_id, r.freq) for r in T.word_index(df).collect()})
+    assert all(r == ranks[0] for r in ranks)
+    assert sorted(v[0] for v in ranks[0].values()) == list(range(1, len(ranks[0]) + 1))

@@ -8,6 +8,8 @@ own text. The vocabulary rank is global but computed in buckets (see :mod:`ranki
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -30,13 +32,21 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return ex.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def word_index(df: DataFrame, text: str = "text", key: str = "id", id_bucket_bits: int = 12) -> DataFrame:
+ID_BUCKETS = 4096  # most first-position buckets per frequency class in the vocabulary rank
+
+
+def word_index(df: DataFrame, text: str = "text", key: str = "id", id_bucket_bits: int | None = None) -> DataFrame:
     """Ranked vocabulary: word, word_id (1..V by frequency desc, ties by first appearance), freq.
 
     "First appearance" is the smallest (row key, token position), i.e. rows are read in key order. The
     rank is exact and global, computed per bucket (count, key >> bits) plus bucket offsets, so neither the
-    many count-1 words nor one huge count class is ranked inside a single task.
+    many count-1 words nor one huge count class is ranked inside a single task. Without ``id_bucket_bits``
+    the shift follows the largest key (one aggregate over the key column): at least 12 bits, and enough
+    that a frequency class has at most ``ID_BUCKETS`` buckets, which bounds the offset table.
     """
+    if id_bucket_bits is None:
+        max_key = df.agg(F.max(F.col(key))).first()[0] or 0
+        id_bucket_bits = max(12, math.ceil(math.log2((max_key + 1) / ID_BUCKETS))) if max_key > 0 else 12
     ex = df.select(F.col(key).alias("__k"), F.posexplode(word_tokens(F.col(text))).alias("__pos", "word"))
     stats = ex.groupBy("word").agg(F.count(F.lit(1)).alias("freq"),
                                    F.min(F.struct("__k", "__pos")).alias("__first"))
