@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +35,31 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python functions find it anywhere.
+
+    The archive is made on the driver and served to the executors by Spark (``addPyFile``); it holds code only.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    if root.suffix != ".zip" and root.is_dir():  # else the package is imported from an archive already
+        archive = Path(tempfile.mkdtemp(prefix="threadtox-code-")) / "threadtox_code.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, str(Path(root.name) / f.relative_to(root)))
+        sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, choosing a local one only when none is configured."""
     sc = spark.sparkContext
@@ -44,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="threadtox-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
