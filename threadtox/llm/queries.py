@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadtox.llm import decontam, dedup, token_counts, url_rules
+from threadtox.llm import decontam, dedup, line_quality, token_counts, url_rules
 from threadtox.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,9 @@ FROM urls u LEFT JOIN fits f ON f.page_id = u.page_id AND f.host = u.host AND f.
 """)
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, default="allow")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), min_words=50, max_repeat=50) \
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
