@@ -17,7 +17,7 @@ How the join is kept small:
   min(|A & p|, |B & p|). So what is left of a list are pairs whose sizes and overlaps allow a link by that
   bound (joined by size, not by list), and pairs that share a shingle outside the centre, which are posted
   once more under these shingles only. Members that were not compared with the centre (too different in
-  size or signature) are joined with the rest of the list.
+  size) are joined with the rest of the list.
 * Groups: a pair inside one component cannot change any group, so it is not looked at again.
 
 No link between different groups is lost by this, and a group of n near copies costs about n pairs, not
@@ -116,7 +116,7 @@ def _near_in_size(a, b, percent: int):
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, match: int, percent: int, size: int) -> DataFrame:
-    """Of the pairs (a, b) those that agree on ``match`` coordinates, with what their full sets have in common.
+    """Of the pairs (a, b) those that agree on ``match`` coordinates (0: all), with what their full sets have in common.
 
     Returns a, b, n_a, n_b, both (overlap), linked, outside (the shingles of a that b has not).
     """
@@ -126,7 +126,10 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, match: int, p
 
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
     texts = typed(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL")
-    found = pairs.join(side("a"), "a").join(side("b"), "b").filter(agree >= match).drop("sig_a", "sig_b")
+    found = pairs.join(side("a"), "a").join(side("b"), "b")
+    if match:
+        found = found.filter(agree >= match)
+    found = found.drop("sig_a", "sig_b")
     for x in "ab":
         found = found.join(texts.select(F.col("doc_id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")), f"id_{x}")
 
@@ -207,8 +210,8 @@ def _centre_pairs(lists: DataFrame, centre: DataFrame, percent: int) -> DataFram
 
 def links(classes: DataFrame, docs: DataFrame, percent: int, coords: int, match: int, size: int) -> DataFrame | None:
     """Links (a, b) between classes, enough of them to connect every group; None if there is none to look for."""
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return materialize(confirm(pairs, classes, docs, match, percent, size), "compared")
+    def confirmed(pairs: DataFrame, least: int) -> DataFrame:
+        return materialize(confirm(pairs, classes, docs, least, percent, size), "compared")
 
     def only_links(compared: DataFrame) -> DataFrame:
         return compared.filter("linked").select("a", "b")
@@ -222,7 +225,7 @@ def links(classes: DataFrame, docs: DataFrame, percent: int, coords: int, match:
     if lists.isEmpty():
         return None
     centre = materialize(centres(lists.withColumn("root", F.col("node"))), "centres")
-    first = confirmed(_centre_pairs(lists.withColumn("root", F.col("node")), centre, percent))
+    first = confirmed(_centre_pairs(lists.withColumn("root", F.col("node")), centre, percent), 0)
     edges = only_links(first)
     roots = components(edges)
 
@@ -251,7 +254,7 @@ def links(classes: DataFrame, docs: DataFrame, percent: int, coords: int, match:
     follow = F.expr(f"{percent} * (x.n + y.n) <= {100 + percent} * (least(x.both, y.both) + 1 + least(x.after, y.after))")
     beyond = across(lists, follow)
 
-    second = confirmed(unseen.unionAll(allowed).unionAll(beyond).distinct())
+    second = confirmed(unseen.unionAll(allowed).unionAll(beyond).distinct(), match)
     return edges.unionAll(only_links(second))
 
 
