@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadtox.llm import decontam, dedup, html_text, line_quality, token_counts, url_rules
+from threadtox.llm import attention_lm, decontam, dedup, html_text, line_quality, token_counts, url_rules
 from threadtox.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.extract(pages, html_text.train(pages))
+
+
+@query("op7_attention_lm")
+def op7_attention_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return attention_lm.score(table(spark, sf_dir, "documents"), vocabulary, modulus=7, remainder=2)

@@ -73,37 +73,36 @@ class Vocabulary:
                    pattern.replace(r"\s", r"\p{White_Space}"), [t["content"] for t in spec["added_tokens"]])
 
 
-def merge_all(pre: list[bytes], v: Vocabulary) -> np.ndarray:
-    """How many symbols survive of each pre-token (none of them empty)."""
-    n = np.fromiter(map(len, pre), dtype=np.int64, count=len(pre))
-    raw = np.frombuffer(b"".join(pre), dtype=np.uint8)
+def merge_all(raw: np.ndarray, n: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """What survives of pre-tokens given end to end as bytes, of ``n`` bytes each (none of 0): their numbers, the symbols."""
     sym = v.inner[raw]
     ends = np.cumsum(n)
     sym[ends - 1] = v.last[raw[ends - 1]]
-    seq = np.repeat(np.arange(len(pre)), n)
-    out = n.copy()
+    seq = np.repeat(np.arange(len(n)), n)
+    done: list[tuple[np.ndarray, np.ndarray]] = []
     while len(sym):
         inside = seq[1:] == seq[:-1]
         pair = sym[:-1] << 32 | sym[1:]
         at = np.minimum(np.searchsorted(v.pairs, pair), len(v.pairs) - 1)
         known = inside & (v.pairs[at] == pair)
         rank = np.append(np.where(known, v.ranks[at], NONE), NONE)
-        starts = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
-        best = np.minimum.reduceat(rank, starts)
-        size = np.diff(np.append(starts, len(seq)))
-        best = np.repeat(best, size)
-        hit = (rank == best) & (best != NONE)
+        starts = np.flatnonzero(np.append(True, ~inside))
+        best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(seq))))
         # occurrences that overlap (a pair of equal symbols): every second one of a run, from its left
-        where = np.flatnonzero(hit)
+        where = np.flatnonzero((rank == best) & (best != NONE))
         fresh = np.append(True, np.diff(where) > 1)
         run_start = where[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]] if len(where) else where
         where = where[(where - run_start) % 2 == 0]
         sym[where] = v.merged[at[where]]
-        keep = best != NONE  # a sequence that merges nothing is finished
+        finished = best == NONE  # a sequence that merges nothing
+        done.append((seq[finished], sym[finished]))
+        keep = ~finished
         keep[where + 1] = False
-        np.subtract.at(out, seq[where], 1)
         sym, seq = sym[keep], seq[keep]
-    return out
+    if not done:
+        return np.zeros(len(n), dtype=np.int64), sym
+    seq, sym = (np.concatenate(x) for x in zip(*done, strict=True))
+    return np.bincount(seq, minlength=len(n)), sym[np.argsort(seq, kind="stable")]
 
 
 class Counter:
@@ -127,7 +126,8 @@ class Counter:
     def words(self, words: list[str]) -> list[int]:
         split = [self._pieces(w) for w in words]
         pre = {p: i for i, p in enumerate(dict.fromkeys(p for _, own in split for p in own))}
-        size = merge_all(list(pre), self.v).tolist() if pre else []
+        raw = np.frombuffer(b"".join(pre), dtype=np.uint8)
+        size = merge_all(raw, np.fromiter(map(len, pre), dtype=np.int64, count=len(pre)), self.v)[0].tolist()
         return [special + sum(size[pre[p]] for p in own) for special, own in split]
 
     def texts(self, texts: list[str]) -> list[int]:
