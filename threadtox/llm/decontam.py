@@ -243,18 +243,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, **options
                         F.sha2(named, 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, **options) -> DataFrame:
-    """``docs`` without the documents that contain a window; all columns stay. Rows are judged by their text.
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 10, size: int = SHINGLE, max_mb: float = 64) -> DataFrame:
+    """``docs`` without the rows that contain a window; all columns stay. A filter by row: no shuffle, no key."""
+    sc = docs.sparkSession.sparkContext
 
-    A text that occurs in several rows gets one answer for all of them, so the answers join back by doc_id and
-    text hash; rows with a null doc_id are joined by the hash alone.
-    """
-    import uuid
-
-    own = uuid.uuid4().hex[:8]
-    key = F.coalesce(F.xxhash64("text"), F.lit(0))
-    bad = spans(docs, items, window, **options).filter(F.size("hits") > 0) \
-        .select(F.coalesce("doc_id", F.lit(0)).alias(f"id_{own}"), key.alias(f"text_{own}")).distinct()
-    at = [F.coalesce(docs["doc_id"].cast("long"), F.lit(0)) == F.col(f"id_{own}"),
-          F.coalesce(F.xxhash64(docs["text"].cast("string")), F.lit(0)) == F.col(f"text_{own}")]
-    return docs.join(bad, at, "left_anti")
+    def without(shared):
+        def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for rows, texts in ta.sliced(batch, "text"):
+                w = ta.words_of(texts, ta.ALNUM_LOWER)
+                start, _ = find(w, shared.value)
+                clean = np.ones(len(texts), dtype=bool)
+                clean[np.searchsorted(w.first, start, "right") - 1] = False
+                yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(clean))
+        return of
+
+    for i, block in enumerate(blocks(items, window, size, max_mb)):
+        if i:
+            docs = materialize(docs, "clean")
+        if len(block.known):
+            shared = sc.broadcast(block)
+            block.post({r.gram % 2**64: r.n for r in gram_counts(docs, shared).collect()})  # at most the block's shingles
+            shared.unpersist()
+            docs = arrow_map(docs, without(sc.broadcast(block)), docs.schema)
+    return docs

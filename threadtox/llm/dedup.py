@@ -34,6 +34,7 @@ result. Other input columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -301,14 +302,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, coords: int = 48, match:
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without near duplicates: of each group the rows of its smallest doc_id stay, once.
+    """``docs`` without near duplicates: of each group the rows of its smallest doc_id stay, equal rows of it once.
 
-    Repeated rows of one doc_id count as copies; one of them stays. Rows with a null doc_id stay.
+    If a doc_id has several texts, all of them stay with the one that stands for its group. Rows with a null doc_id
+    stay.
     """
-    import uuid
-
     own = uuid.uuid4().hex[:8]
-    kept = near_duplicates(docs, **options).filter("kept AND doc_id IS NOT NULL") \
-        .select(F.col("doc_id").alias(f"id_{own}")).distinct()
-    named = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.join(kept, F.col("doc_id") == F.col(f"id_{own}"), "left_semi").unionAll(docs.filter("doc_id IS NULL"))
+    kept = near_duplicates(docs, **options).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(f"id_{own}")).distinct()
+    first = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id").cast("long") == F.col(f"id_{own}"), "left_semi") \
+        .withColumn(f"text_{own}", F.xxhash64("text")).dropDuplicates(["doc_id", f"text_{own}"]).drop(f"text_{own}")
+    return first.unionAll(docs.filter("doc_id IS NULL"))

@@ -110,26 +110,32 @@ def _counts(texts: list[bytes]) -> dict[str, np.ndarray]:
             "n_symbols": symbols[edges[1:]] - symbols[edges[:-1]], "n_repeat_words": repeats}
 
 
+def _verdicts(texts: list[bytes], chain: crf.Chain, min_words: int, max_repeat: int, min_share: float):
+    """Of a slice of texts: base counts, repeated lines, base_failed, content_share, kept."""
+    c = _counts(texts)
+    lines = [_lines(t.decode("utf-8", "replace")) for t in texts]
+    failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat * c["n_words"])
+    x = np.array([features(*line) for own, bad in zip(lines, failed, strict=True) if not bad for line in own],
+                 dtype=np.float64).reshape(-1, len(FEATURES))
+    lengths = np.array([0 if bad else len(own) for own, bad in zip(lines, failed, strict=True)], dtype=np.int64)
+    label = crf.viterbi(chain, x, lengths)
+    at = np.concatenate([[0], np.cumsum(lengths)])
+    share = []
+    for i, own in enumerate(lines):
+        size = np.array([len(line.encode().split()) for line, _ in own]) if lengths[i] else np.zeros(0)
+        share.append(float((size * label[at[i]:at[i + 1]]).sum() / size.sum()) if lengths[i] else None)
+    kept = [not bad and s >= min_share for s, bad in zip(share, failed, strict=True)]
+    return c, [sum(again for _, again in own) for own in lines], failed, share, kept
+
+
 def judge(docs: DataFrame, chain: crf.Chain, min_words: int = 50, max_repeat: int = 50, min_share: float = 0.5) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the counts, base_failed, content_share, kept."""
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for rows, texts in ta.sliced(batch, "text"):
-            c = _counts(texts)
-            lines = [_lines(t.decode("utf-8", "replace")) for t in texts]
-            failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat * c["n_words"])
-            x = np.array([features(*line) for own, bad in zip(lines, failed, strict=True) if not bad for line in own],
-                         dtype=np.float64).reshape(-1, len(FEATURES))
-            lengths = np.array([0 if bad else len(own) for own, bad in zip(lines, failed, strict=True)], dtype=np.int64)
-            label = crf.viterbi(chain, x, lengths)
-            at = np.concatenate([[0], np.cumsum(lengths)])
-            share = []
-            for i, own in enumerate(lines):
-                size = np.array([len(line.encode().split()) for line, _ in own]) if lengths[i] else np.zeros(0)
-                share.append(float((size * label[at[i]:at[i + 1]]).sum() / size.sum()) if lengths[i] else None)
-            kept = [not bad and s >= min_share for s, bad in zip(share, failed, strict=True)]
+            c, repeats, failed, share, kept = _verdicts(texts, chain, min_words, max_repeat, min_share)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(rows.start, rows.stop - rows.start), pa.array(c["n_words"]), pa.array(c["word_chars"]),
-                pa.array(c["n_symbols"]), pa.array([sum(again for _, again in own) for own in lines], pa.int64()),
+                pa.array(c["n_symbols"]), pa.array(repeats, pa.int64()),
                 pa.array(c["n_repeat_words"]), pa.array(failed), pa.array(share, pa.float64()), pa.array(kept, pa.bool_())],
                 names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"])
 
@@ -141,3 +147,15 @@ def judge(docs: DataFrame, chain: crf.Chain, min_words: int = 50, max_repeat: in
 def quality(docs: DataFrame, labels: DataFrame, sample: int = 2000, **rules) -> DataFrame:
     """``judge`` with a CRF trained on the rated documents."""
     return judge(docs, train(docs, labels, sample), **rules)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, sample: int = 2000, min_words: int = 50, max_repeat: int = 50, min_share: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
+    chain = train(docs, labels, sample)
+
+    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for rows, texts in ta.sliced(batch, "text"):
+            kept = _verdicts(texts, chain, min_words, max_repeat, min_share)[-1]
+            yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(kept, pa.bool_()))
+
+    return arrow_map(docs, of, docs.schema)

@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadtox.llm import attention_lm, decontam, dedup, html_text, line_quality, token_counts, url_rules
+from threadtox.llm import (
+    attention_lm,
+    decontam,
+    dedup,
+    html_text,
+    licenses,
+    line_quality,
+    line_templates,
+    mixing,
+    token_counts,
+    url_rules,
+)
 from threadtox.llm.rows import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +146,140 @@ def op7_attention_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None =
 
         vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return attention_lm.score(table(spark, sf_dir, "documents"), vocabulary, modulus=7, remainder=2)
+
+
+def _line_dedup_sql(depth: int, min_docs: int, min_share: int) -> str:
+    return f"""
+WITH lines AS MATERIALIZED (
+  SELECT doc_id, line, list_filter(string_split_regex(line, '[\\x09-\\x0D\\x20]+'), lambda t: t <> '') AS t
+  FROM (SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents
+        WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+), parsed AS MATERIALIZED (
+  SELECT doc_id, line, m, len(m) || ' ' || array_to_string(m[1:{depth}], ' ') AS leaf
+  FROM (SELECT doc_id, line, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m
+        FROM lines WHERE len(t) > 0)
+), leaves AS (SELECT leaf FROM parsed GROUP BY leaf HAVING count(*) >= {min_docs}
+), kinds AS MATERIALIZED (
+  SELECT leaf, line, any_value(m) AS m, count(*) AS docs FROM parsed WHERE leaf IN (SELECT leaf FROM leaves) GROUP BY leaf, line
+), flat AS MATERIALIZED (
+  SELECT leaf, line, docs, i, m[i] AS token FROM (SELECT leaf, line, docs, m, unnest(range(1, len(m) + 1)) AS i FROM kinds)
+), constant AS (
+  SELECT leaf, i, token FROM flat WHERE i > {depth} GROUP BY leaf, i, token HAVING sum(docs) >= {min_docs}
+), templates AS MATERIALIZED (
+  SELECT f.line, string_agg(CASE WHEN f.i <= {depth} OR c.token IS NOT NULL THEN f.token ELSE '<*>' END, ' ' ORDER BY f.i) AS template
+  FROM flat f LEFT JOIN constant c ON c.leaf = f.leaf AND c.i = f.i AND c.token = f.token GROUP BY f.line
+  HAVING 100 * count(*) FILTER ((f.i <= {depth} OR c.token IS NOT NULL) AND f.token <> '<*>') >= {min_share} * count(*)
+), often AS (
+  SELECT template, min(doc_id) AS holder FROM (SELECT DISTINCT p.doc_id, t.template FROM parsed p JOIN templates t ON t.line = p.line)
+  GROUP BY template HAVING count(*) >= {min_docs}
+), gone AS (
+  SELECT p.doc_id, list(DISTINCT p.line) AS lines FROM parsed p JOIN templates t ON t.line = p.line JOIN often o ON o.template = t.template
+  WHERE p.doc_id > o.holder GROUP BY p.doc_id
+), kept AS (
+  SELECT d.*, string_split(d.text, chr(10)) AS l, list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(g.lines, []), x)) AS k
+  FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id
+)"""
+
+
+LINE_DEDUP = {"depth": 3, "min_docs": 5, "min_share": 80}
+
+
+@query("op5_line_dedup", _line_dedup_sql(**LINE_DEDUP) + """
+SELECT doc_id, array_to_string(k, chr(10)) AS text, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(k) AS BIGINT) AS n_dropped
+FROM kept
+""")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_templates(docs, counts=True, **LINE_DEDUP)
+
+
+def _license_sql() -> str:
+    known = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{name}'" for name, p in licenses.SENTENCES)
+    left = "array_to_string(list_transform(ids, lambda x: ';' || x || ';'), '')"
+    for run, name in licenses.RULES:
+        left = f"replace({left}, '{''.join(f';{x};' for x in run)}', '[{name}]')"
+    norm = "lower(s)"
+    for pattern, to in (("[\"''`*#/<>()\\t\\r ]+", " "), ("licence", "license"), ("version", "v"), ("^[ .,;:!?-]+|[ .,;:!?-]+$", "")):
+        norm = f"regexp_replace({norm}, '{pattern}', '{to}', 'g')"
+    return f"""
+WITH parts AS (
+  SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(text, '{licenses.BREAK}'), lambda s: regexp_matches(s, '{licenses.HINT}')) AS p
+  FROM documents
+), flat AS (
+  SELECT r, i, {norm} AS s FROM (SELECT r, i, p[i] AS s FROM (SELECT r, p, unnest(range(1, len(p) + 1)) AS i FROM parts))
+), named AS (
+  SELECT r, list(id ORDER BY i) AS ids FROM (SELECT r, i, CASE {known} END AS id FROM flat) WHERE id IS NOT NULL GROUP BY r
+), matched AS (
+  SELECT p.doc_id, coalesce(n.ids, []) AS ids FROM parts p LEFT JOIN named n ON n.r = p.r
+), done AS (SELECT doc_id, ids, {left} AS rest FROM matched
+), lists AS (SELECT doc_id, ids, rest, regexp_extract_all(rest, '\\[([^\\]]+)\\]', 1) AS names FROM done)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+  coalesce(array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i), ','), '') AS licenses,
+  CAST(len(regexp_extract_all(rest, ';([^;]+);', 1)) AS BIGINT) AS n_unmatched
+FROM lists
+"""
+
+
+@query("op6_license_scan", _license_sql())
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _mixing_sql(target_entropy: float, max_repeat: float, seed: int, block_docs: int) -> str:
+    def md5(parts: str) -> str:
+        return f"CAST('0x' || substr(md5({parts}), 1, 15) AS BIGINT)"
+
+    doc = "coalesce(CAST(doc_id AS VARCHAR), '')"
+    weight = "pow(tokens / total, a)"
+    entropy = (f"(SELECT -sum(w / n * ln(w / n)) FROM (SELECT {weight} AS w, sum({weight}) OVER () AS n FROM shares))")
+    repeats = f"(SELECT max(total * w / n / tokens) FROM (SELECT tokens, total, {weight} AS w, sum({weight}) OVER () AS n FROM shares))"
+    return f"""
+WITH RECURSIVE sized AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+')) AS n_tokens FROM documents
+), sums AS MATERIALIZED (SELECT source, CAST(sum(n_tokens) AS DOUBLE) AS tokens, count(*) AS docs FROM sized GROUP BY source
+), shares AS MATERIALIZED (SELECT *, sum(tokens) OVER () AS total, count(*) OVER () AS n_sources FROM sums WHERE tokens > 0
+), by_entropy(step, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN a ELSE lo END, CASE WHEN ok THEN hi ELSE a END
+  FROM (SELECT step, lo, hi, a, {entropy} >= {target_entropy} * (SELECT ln(max(n_sources)) FROM shares) AS ok
+        FROM (SELECT *, (lo + hi) / 2 AS a FROM by_entropy WHERE step < 40))
+), by_repeat(step, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
+  SELECT step + 1, CASE WHEN over THEN a ELSE lo END, CASE WHEN over THEN hi ELSE a END
+  FROM (SELECT step, lo, hi, a, {repeats} > {max_repeat} AS over FROM (SELECT *, (lo + hi) / 2 AS a FROM by_repeat WHERE step < 40))
+), as_is AS (SELECT {entropy} >= {target_entropy} * (SELECT ln(max(n_sources)) FROM shares) AS flat FROM (SELECT 1.0 AS a)
+), start_at AS (SELECT CASE WHEN (SELECT flat FROM as_is) THEN 1.0 ELSE (SELECT (lo + hi) / 2 FROM by_entropy WHERE step = 40) END AS a
+), alpha AS (
+  SELECT CASE WHEN over THEN greatest(a, (SELECT (lo + hi) / 2 FROM by_repeat WHERE step = 40)) ELSE a END AS a
+  FROM (SELECT a, {repeats} > {max_repeat} AS over FROM start_at)
+), quotas AS (
+  SELECT source, CAST(tokens AS BIGINT) AS tokens, CAST((docs + {block_docs} - 1) // {block_docs} AS BIGINT) AS blocks,
+         CAST(floor(w / sum(w) OVER () * total + 1e-6) AS BIGINT) AS quota
+  FROM (SELECT s.*, {weight} AS w FROM shares s, alpha)
+), plan AS (SELECT source, blocks, quota // tokens AS full_passes, quota % tokens AS rest FROM quotas WHERE quota > 0
+), drawn AS MATERIALIZED (
+  SELECT z.*, p.full_passes, p.rest, {md5(f"'{seed}:' || {doc}")} % p.blocks AS block,
+         unnest(range(1, p.full_passes + CASE WHEN p.rest > 0 THEN 1 ELSE 0 END + 1)) AS epoch
+  FROM sized z JOIN plan p ON p.source = z.source
+), blocks AS (
+  SELECT source, epoch, block, row_number() OVER o AS block_rank,
+         coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT source, epoch, block, sum(n_tokens) AS tokens FROM drawn GROUP BY ALL)
+  WINDOW o AS (PARTITION BY source, epoch ORDER BY {md5(f"'{seed}:' || epoch || ':' || block")}, block)
+), placed AS (
+  SELECT *, row_number() OVER i AS place, sum(n_tokens) OVER (i ROWS UNBOUNDED PRECEDING) AS so_far FROM drawn
+  WINDOW i AS (PARTITION BY source, epoch, block ORDER BY {md5(f"'{seed}:' || epoch || ':' || {doc}")}, doc_id, n_tokens)
+)
+SELECT p.doc_id, p.source, CAST(p.epoch AS BIGINT) AS epoch, CAST(b.block_rank AS BIGINT) AS block_rank, CAST(p.place AS BIGINT) AS place,
+       CAST(p.n_tokens AS BIGINT) AS n_tokens
+FROM placed p JOIN blocks b ON b.source = p.source AND b.epoch = p.epoch AND b.block = p.block
+WHERE p.epoch <= p.full_passes OR b.before + p.so_far <= p.rest
+"""
+
+
+MIXING = {"target_entropy": 0.98, "max_repeat": 2.0, "seed": 1, "block_docs": 1000}
+
+
+@query("op8_source_mixing", _mixing_sql(**MIXING))
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), **MIXING)
