@@ -61,6 +61,8 @@ MEANS = {word: kind for kind, words in {
     "talk": "comment comments respond reply replies discussion disqus thread feedback review reviews responses talk guestbook",
     "share": "share social follow like tweet facebook twitter print byline author meta date",
 }.items() for word in words.split()}
+#: A tag that the page breaks off in.
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -161,13 +163,15 @@ class Leaves(HTMLParser):
 
 def leaves(page: str) -> list[Leaf]:
     """The leaf blocks of a page, with features."""
+    at = page.rfind("<!--")
+    if at >= 0 and "-->" not in page[at:]:
+        page = page[:at]  # a comment that never ends
     p = Leaves()
-    p.feed(page)
+    p.feed(_UNFINISHED.sub("", page))
     p.close()
     p.flush()
-    n = len(p.leaves)
-    for i, leaf in enumerate(p.leaves):
-        leaf.features = [_slot(x) for x in dict.fromkeys(_named(leaf, i, n))]
+    for leaf in p.leaves:
+        leaf.features = [_slot(x) for x in dict.fromkeys(_named(leaf))]
     return p.leaves
 
 
@@ -175,7 +179,7 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) % DIMS
 
 
-def _named(leaf: Leaf, i: int, n: int) -> Iterator[str]:
+def _named(leaf: Leaf) -> Iterator[str]:
     yield "one"
     tags = [e.tag for e in leaf.path]
     for t in set(tags):
@@ -203,7 +207,6 @@ def _named(leaf: Leaf, i: int, n: int) -> Iterator[str]:
     if "©" in leaf.text:
         yield "copyright"
     yield f"heading {bool(tags) and tags[-1] in ('h1', 'h2', 'h3', 'h4')} {near}"
-    yield "first" if i == 0 else "last" if i == n - 1 else "inner"
 
 
 def matrix(pages: list[list[Leaf]]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +240,7 @@ class Layout:
 
     def __init__(self, seed: int, main: list[str], other: list[str]):
         self.r = random.Random(seed)
-        self.main, self.other = main or _FALLBACK, other or _FALLBACK
+        self.main, self.other = (main or _FALLBACK)[:self.r.randint(1, 12)], other or _FALLBACK
         self.out: list[str] = []
         self.labels: list[tuple[str, int]] = []
 
@@ -350,8 +353,9 @@ class Layout:
 
     def page(self) -> tuple[str, list[tuple[str, int]]]:
         r = self.r
-        before = [f for f in (self.head, self.menu, self.notice, self.ad, self.bare_ad, self.form, self.bare_notice, self.side) if r.random() < 0.4]
-        after = [f for f in (self.side, self.comments, self.comments, self.ad, self.form, self.notice, self.menu, self.foot, self.foot) if r.random() < 0.5]
+        some, more = r.choice([0, 0.3, 0.4, 0.5]), r.choice([0, 0.4, 0.5, 0.6])
+        before = [f for f in (self.head, self.menu, self.notice, self.ad, self.bare_ad, self.form, self.bare_notice, self.side) if r.random() < some]
+        after = [f for f in (self.side, self.comments, self.comments, self.ad, self.form, self.notice, self.menu, self.foot, self.foot) if r.random() < more]
         outer = r.choice([None, None, ("div", ' class="wrapper"'), ("div", ' id="page"'), ("main", "")])
         self.out.append("<html><head><title>x</title></head><body>")
         def fill():
@@ -396,7 +400,7 @@ def training_pages(pages: DataFrame, sample: int = 150, layouts: int = 4) -> lis
     for k in range(max(len(rows), 30) * layouts):
         main = mains[k % len(mains)]
         other = mains[(k * 7 + 3) % len(mains)] or main
-        text, marked = Layout(k, main[1:13] or main, other).page()
+        text, marked = Layout(k, main[1:] or main, other).page()
         page = leaves(text)
         if [leaf.text for leaf in page] == [t for t, _ in marked]:  # else a layout's markup ran blocks together
             out.append((page, [y for _, y in marked]))
