@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from threadtox.llm.rows import typed
 
 #: A text without any of these cannot hold a known sentence.
-HINT = "(?i)licen[cs]|warrant|permission|redistribut|public domain|all rights reserved|spdx"
+HINT = "(?i)licen[cs]|warrant|permission|redistribut|public domain|all rights reserved|spdx|endorse|copyright notice|any later v|cc0|provided as is|gnu gpl|bsd|cc by"
 #: Identifier and pattern of known licence sentences, in order; patterns match normalised sentences.
 SENTENCES: tuple[tuple[str, str], ...] = (
     ("spdx-apache-2", "spdx-license-identifier: apache-2[.]0"),
