@@ -20,12 +20,13 @@ def test_csv_round_trip_keeps_quotes_newlines_blanks(spark):
         files.write_csv(df, path)                               # refuses an existing target
 
 
-def test_tsv_quote_off_keeps_quote_characters(spark):
-    df = spark.createDataFrame([('a"b', "c")], "x string, y string").coalesce(1)
-    path = scratch_path(spark, "t-tsv")
-    files.write_tsv(df, path, header=True)
-    got = sorted(tuple(r) for r in files.read_tsv(spark, path).collect())
-    assert got == [("a\"b", "c"), ("x", "y")]
+def test_tsv_keeps_every_field_of_ragged_lines(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text('a\tb\nc\td\te\tf\n\ng\n\t\nx"y\t"q"\n', encoding="utf-8")
+    got = [r.fields for r in files.read_tsv(spark, str(tmp_path)).collect()]
+    assert got == [["a", "b"], ["c", "d", "e", "f"], [""], ["g"], ["", ""], ['x"y', '"q"']]
+    (tmp_path / "a.tsv").write_text('"a\tb"\tc\n"say ""hi"""\t""\tx"y\n\n', encoding="utf-8")
+    got = [r.fields for r in files.read_tsv(spark, str(tmp_path), quote='"').collect()]
+    assert got == [["a\tb", "c"], ['say "hi"', "", 'x"y'], [""]]
 
 
 def test_capped_scan_exact(spark):
@@ -84,3 +85,32 @@ def test_external_score_statuses(spark):
 def test_char_cap_counts_characters(spark):
     df = spark.createDataFrame([("é" * 2500,)], "t string")
     assert df.select(F.length(SC.char_cap(F.col("t")))).first()[0] == 2000
+
+
+def test_each_failed_row_is_retried_once_whatever_is_read_later(spark, tmp_path):
+    log = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        def score(text, language):
+            with open(os.path.join(log, uuid.uuid4().hex), "w") as f:
+                f.write(f"{text} {language}")
+            if language is None and text.startswith("bad"):
+                raise RuntimeError
+            return 0.5
+        return score
+
+    df = spark.createDataFrame([(f"k{i % 20}", f"{'bad' if i % 2 else 'good'} {i}") for i in range(40)], "id string, text string")
+    out = SC.external_score(df, factory=factory)
+    assert out.count() == 40 and out.where("status = 'retried'").count() == 20 and dict(out.dtypes)["id"] == "string"
+    calls = [p.read_text() for p in tmp_path.iterdir()]
+    assert len(calls) == len(set(calls)) == 60
+
+
+def test_votes_of_nobody_have_no_rate(spark):
+    from threadtox.operators import annotations as A
+    df = spark.createDataFrame([(1, [], ["TOXIC"]), (2, None, ["NOT", "VERY TOXIC"])], "id long, tox_codes_oc array<string>, tox_codes_ic array<string>")
+    assert {(r.id, r.condition): r.rate for r in A.annotator_rate(df).collect()} == {(1, "oc"): None, (1, "ic"): 1.0, (2, "oc"): None, (2, "ic"): 0.5}
+    assert [r.sensitive for r in A.context_sensitivity(df).collect()] == [None, None]

@@ -71,10 +71,10 @@ def test_tokens_to_ids_join_paths_agree(spark):
     vocab = spark.createDataFrame([("a", 1), ("b", 2), ("[UNK]", 9)], "word string, word_id long")
     df = spark.createDataFrame([(1, ["b", "x", "a", "b"]), (2, ["zz"]), (3, [])], "id long, t array<string>")
     for bound in (2_000_000, 0):  # broadcast vocabulary / shuffle join beyond the bound
-        got = {r.id: r.ids for r in T.tokens_to_ids(df, vocab, "t", "ids", max_broadcast=bound).collect()}
+        got = {r.id: r.ids for r in T.tokens_to_ids(df, vocab, "t", "ids", max_broadcast_mb=bound).collect()}
         assert got == {1: [2, 1, 2], 2: [], 3: []}
         got = {r.id: r.ids for r in T.tokens_to_ids(df, vocab, "t", "ids", unknown_id=9,
-                                                    max_broadcast=bound).collect()}
+                                                    max_broadcast_mb=bound).collect()}
         assert got == {1: [2, 9, 1, 2], 2: [9], 3: []}
 
 
@@ -89,11 +89,11 @@ def test_masked_mean_pool_counts_unknown_tokens(spark):
     df = spark.createDataFrame([(1, ["a", "b", "zz", "a"]), (2, ["q"]), (3, [])], "id long, tokens array<string>")
     # broadcast path, and the (document, word)-count path taken beyond the broadcast bound
     for bound in (2_000_000, 0):
-        got = {r.id: r.pooled for r in T.masked_mean_pool(df, vec, 2, max_broadcast=bound).collect()}
+        got = {r.id: r.pooled for r in T.masked_mean_pool(df, vec, 2, max_broadcast_mb=bound).collect()}
         assert got[1] == pytest.approx([5.0 / 4, 8.0 / 4])
         assert got[2] == [0.0, 0.0] and got[3] == [0.0, 0.0]
     for bound in (2_000_000, 0):
-        first = {r.id: r.pooled for r in T.first_pool(df, vec, 2, max_broadcast=bound).collect()}
+        first = {r.id: r.pooled for r in T.first_pool(df, vec, 2, max_broadcast_mb=bound).collect()}
         assert first == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
 
 
@@ -104,3 +104,17 @@ def test_word_index_independent_of_bucket_width(spark):
     ranks.append({r.word: (r.word_id, r.freq) for r in T.word_index(df).collect()})
     assert all(r == ranks[0] for r in ranks)
     assert sorted(v[0] for v in ranks[0].values()) == list(range(1, len(ranks[0]) + 1))
+
+
+def test_repeated_and_null_ids_keep_their_own_tokens(spark):
+    rows = [(7, ["a"]), (7, ["a", "b"]), (7, ["a", "b"]), (None, ["b", "x"]), (None, []), (8, ["x"]), (8, ["b", "b", "b"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2)], "word string, word_id long")
+    vec = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [0.0, 3.0])], "word string, vector array<float>")
+    ids = {"a": 1, "b": 2}
+    for mb in (100, 0):
+        got = sorted(((r.id, r.tokens, r.seq) for r in T.tokens_to_ids(df, vocab, "tokens", "seq", max_broadcast_mb=mb).collect()), key=str)
+        assert got == sorted([(i, t, [ids[x] for x in t if x in ids]) for i, t in rows], key=str)
+        pooled = sorted(((r.id, [round(x, 6) for x in r.pooled]) for r in T.masked_mean_pool(df, vec, 2, max_broadcast_mb=mb).collect()), key=str)
+        want = [(i, [round(2.0 * t.count("a") / max(len(t), 1), 6), round(3.0 * t.count("b") / max(len(t), 1), 6)]) for i, t in rows]
+        assert pooled == sorted(want, key=str)

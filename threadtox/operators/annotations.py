@@ -34,6 +34,11 @@ def toxic_votes(codes: Column) -> Column:
     return F.size(F.filter(codes, lambda c: c.isin(*TOXIC_CODES)))
 
 
+def toxic_rate(codes: Column) -> Column:
+    """Toxic share of the votes; null without votes (a null or empty list)."""
+    return F.try_divide(toxic_votes(codes).cast("double"), F.size(codes).cast("double"))
+
+
 def annotator_rate(df: DataFrame, key: str = "id") -> DataFrame:
     """One row per (post, condition): n_votes, n_toxic, rate (toxic share of the votes)."""
     per = F.explode(F.array(*[F.struct(F.lit(k).alias("condition"), F.col(c).alias("codes"))
@@ -41,15 +46,13 @@ def annotator_rate(df: DataFrame, key: str = "id") -> DataFrame:
     r = df.select(F.col(key), per).select(key, "__c.condition", "__c.codes")
     return r.select(key, "condition", F.size("codes").cast("long").alias("n_votes"),
                     toxic_votes(F.col("codes")).cast("long").alias("n_toxic"),
-                    (toxic_votes(F.col("codes")).cast("double") / F.size("codes").cast("double")).alias("rate"))
+                    toxic_rate(F.col("codes")).alias("rate"))
 
 
 def context_sensitivity(df: DataFrame, threshold: float = 0.3, key: str = "id") -> DataFrame:
     """Per post: toxic rate without (oc) and with (ic) context, delta = ic - oc, and whether |delta| reaches
-    ``threshold`` (the post's perceived toxicity depends on its parent)."""
-    def rate(c: str) -> Column:
-        return toxic_votes(F.col(c)).cast("double") / F.size(F.col(c)).cast("double")
-    out = df.select(F.col(key), rate(CONDITIONS["oc"]).alias("rate_oc"), rate(CONDITIONS["ic"]).alias("rate_ic"))
+    ``threshold`` (the post's perceived toxicity depends on its parent); null where a condition has no votes."""
+    out = df.select(F.col(key), toxic_rate(F.col(CONDITIONS["oc"])).alias("rate_oc"), toxic_rate(F.col(CONDITIONS["ic"])).alias("rate_ic"))
     out = out.withColumn("delta", F.col("rate_ic") - F.col("rate_oc"))
     # rates are ratios of small integers: compare with a tolerance so 0.7 - 0.4 counts as 0.3
     return out.withColumn("sensitive", F.abs(F.col("delta")) >= F.lit(threshold - 1e-9))

@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from threadtox.functions.hashing import uniform_py
-from threadtox.session import scratch_path
+from threadtox.session import materialize as write_once
 
 # --- fixed values -------------------------------------------------------------------------------
 MAX_CHARS = 2000          # characters sent to the external scorer
@@ -75,7 +76,7 @@ def _pass(factory: Callable[[], Scorer], language: str | None, max_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = factory()
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "score": [_call(scorer, t, language, max_chars) for t in b["__text"]]})
+            yield b.assign(score=[_call(scorer, t, language, max_chars) for t in b["__text"]])
     return run
 
 
@@ -85,21 +86,21 @@ def external_score(df: DataFrame, text: Column | str = "text", factory: Callable
     """id, score, status ('ok', 'retried', 'failed'). Failed rows keep score -1.
 
     Concurrency against the service is the number of partitions; repartition ``df`` beforehand to
-    throttle. With ``materialize`` the first pass is written to the shared checkpoint folder, so task
-    retries or the second pass never call the service again for rows already scored.
+    throttle. The id keeps its type. With ``materialize`` both passes are written to the shared checkpoint folder as
+    they run, so neither the second pass nor any later reading of the result calls the service again. The failed
+    rows travel with their text, so repeated or null ids are each scored once per row.
     """
     t = F.col(text) if isinstance(text, str) else text
     src = df.select(F.col(key).alias("id"), t.alias("__text"))
-    first = src.mapInPandas(_pass(factory, None, max_chars), "id long, score double")
-    if materialize:
-        spark = df.sparkSession
-        path = scratch_path(spark, "score-pass1")
-        first.write.mode("errorifexists").parquet(path)
-        first = spark.read.parquet(path)
-    ok = first.where(F.col("score") >= 0).withColumn("status", F.lit("ok"))
-    failed_ids = first.where(F.col("score") < 0).select("id")
-    again = (src.join(failed_ids, "id", "left_semi")
-             .mapInPandas(_pass(factory, retry_language, max_chars), "id long, score double")
-             .withColumn("status", F.when(F.col("score") < 0, F.lit("failed")).otherwise(F.lit("retried"))))
-    return ok.unionByName(again)
+    schema = StructType([*src.schema.fields, StructField("score", DoubleType())])
+
+    def call(rows: DataFrame, language: str | None, tag: str) -> DataFrame:
+        scored = rows.mapInPandas(_pass(factory, language, max_chars), schema)
+        return write_once(scored, tag) if materialize else scored
+
+    first = call(src, None, "score-pass1")
+    ok = first.where(F.col("score") >= 0).select("id", "score", F.lit("ok").alias("status"))
+    again = call(first.where(F.col("score") < 0).select("id", "__text"), retry_language, "score-pass2")
+    return ok.unionByName(again.select(
+        "id", "score", F.when(F.col("score") < 0, F.lit("failed")).otherwise(F.lit("retried")).alias("status")))
 

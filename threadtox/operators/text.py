@@ -63,27 +63,53 @@ def vocab_size(index: DataFrame) -> DataFrame:
         .withColumn("embedding_rows", F.col("vocab_size") + F.lit(2))
 
 
+BROADCAST_MB = 100   # largest side table (as it lies in memory) that is broadcast
+
+
+def fits_broadcast(n_rows: int, row_bytes: int, max_mb: float) -> bool:
+    """Whether ``n_rows`` rows of about ``row_bytes`` bytes each stay within ``max_mb`` megabytes."""
+    return n_rows * row_bytes <= max_mb * 1e6
+
+
+def _by_content(df: DataFrame, tokens: str, key: str) -> DataFrame:
+    """``df`` with 96 hash bits of the token list: a result that depends on the tokens alone joins back by key and
+    content, so rows that share an id, or have none, keep their own results."""
+    return df.withColumns({"__h": F.xxhash64(tokens), "__g": F.hash(tokens)})
+
+
+def _join_content(d: DataFrame, r: DataFrame, key: str) -> DataFrame:
+    r = r.withColumnsRenamed({"__h": "__rh", "__g": "__rg"})
+    cond = d[key].eqNullSafe(r["__k"]) & (d["__h"] == r["__rh"]) & (d["__g"] == r["__rg"])
+    return d.join(r, cond, "left").drop("__k", "__rh", "__rg", "__h", "__g")
+
+
 def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens: str, out: str, key: str = "id",
                   word: str = "word", index: str = "word_id", unknown_id: int | Column | None = None,
-                  max_broadcast: int = 2_000_000) -> DataFrame:
+                  max_broadcast_mb: float = BROADCAST_MB) -> DataFrame:
     """Map each token to its vocabulary id, keeping order. Tokens outside the vocabulary are dropped
-    (``unknown_id=None``) or mapped to ``unknown_id``. Rows without tokens get an empty list.
-
-    A vocabulary within ``max_broadcast`` words (counted first) is broadcast, so token rows never leave
-    their document's partition before the per-document collect; a larger one is a shuffle join on the
-    word (AQE splits hot words)."""
-    ex = df.select(F.col(key).alias("__k"), F.posexplode(F.col(tokens)).alias("__pos", "__w"))
+    (``unknown_id=None``) or mapped to ``unknown_id``. Rows without tokens get an empty list; repeated and null
+    ids are fine.
+
+    A vocabulary within ``max_broadcast_mb`` (counted first; about 100 bytes a word) is broadcast, so token rows
+    never leave their document's partition before the per-document collect. Beyond it a text is first reduced to its
+    distinct words with their positions, and those are joined on the word (AQE splits hot words)."""
+    d = _by_content(df, tokens, key)
+    ex = d.select(F.col(key).alias("__k"), "__h", "__g", F.posexplode(F.col(tokens)).alias("__pos", "__w"))
     v = vocab.select(F.col(word).alias("__w"), F.col(index).cast("long").alias("__id"))
-    if vocab.count() <= max_broadcast:
-        v = F.broadcast(v)
-    if unknown_id is None:
-        j = ex.join(v, "__w", "inner")
+    how = "inner" if unknown_id is None else "left"
+    at = ["__k", "__h", "__g"]
+    if fits_broadcast(vocab.count(), 100, max_broadcast_mb):
+        j = ex.join(F.broadcast(v), "__w", how)
     else:
+        words = ex.groupBy(*at, "__w").agg(F.collect_set("__pos").alias("__at"))
+        j = words.join(v, "__w", how).select(*at, F.explode("__at").alias("__pos"), "__id")
+    if unknown_id is not None:
         unk = unknown_id if isinstance(unknown_id, Column) else F.lit(unknown_id)
-        j = ex.join(v, "__w", "left").withColumn("__id", F.coalesce(F.col("__id"), unk.cast("long")))
-    coll = j.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("__pos", "__id"))).alias("__p"))
-    coll = coll.select(F.col("__k").alias(key), F.transform("__p", lambda x: x["__id"]).alias(out))
-    return df.join(coll, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<long>")))
+        j = j.withColumn("__id", F.coalesce(F.col("__id"), unk.cast("long")))
+    # a set: rows with equal id and tokens give equal (position, id) pairs
+    coll = j.groupBy(*at).agg(F.array_sort(F.collect_set(F.struct("__pos", "__id"))).alias("__p"))
+    coll = coll.select(*at, F.transform("__p", lambda x: x["__id"]).alias("__found_ids"))
+    return _join_content(d, coll, key).withColumn(out, F.coalesce(F.col("__found_ids"), F.array().cast("array<long>"))).drop("__found_ids")
 
 
 def texts_to_sequences(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "seq",
@@ -117,41 +143,51 @@ def embedding_lookup(vocab: DataFrame, vectors: DataFrame, dim: int, word: str =
     return j.withColumn("vector", F.coalesce(F.col("vector"), zero))
 
 
+def _vector_bytes(vectors: DataFrame) -> int:
+    """About the memory of one row of a vector table: 8 bytes a component, and the word."""
+    first = vectors.select(F.size("vector").alias("n")).first()
+    return 100 + 8 * max(0, first.n if first and first.n is not None else 0)
+
+
 def masked_mean_pool(df: DataFrame, vectors: DataFrame, dim: int | Column, tokens: str = "tokens", key: str = "id",
-                     out: str = "pooled", max_broadcast: int = 2_000_000) -> DataFrame:
+                     out: str = "pooled", max_broadcast_mb: float = BROADCAST_MB) -> DataFrame:
     """Sum of the token vectors over the real tokens / (number of real tokens + 1e-10); tokens without a
     vector contribute zeros but still count. Vector sums use the ``Summarizer`` aggregate (partial
-    aggregation, no per-row list), then one left join back.
+    aggregation, no per-row list), then one left join back by id and token content, so repeated and null ids
+    keep their own results.
 
-    The vector table is counted first. Within ``max_broadcast`` words it is broadcast: token hits stay in
-    their document's partition, so the partial aggregate leaves one vector per document before the
-    shuffle. Beyond it, tokens are first reduced to (document, word) counts, and the join ships one
-    vector per distinct word of a document, weighted by its count.
+    Within ``max_broadcast_mb`` (words counted, times the vector's bytes) the vector table is broadcast: token hits
+    stay in their document's partition, so the partial aggregate leaves one vector per document before the
+    shuffle. Beyond it, tokens are first reduced to (document, word) counts, and the join ships one vector per
+    distinct word of a document, weighted by its count.
     """
-    ex = df.select(F.col(key).alias("__k"), F.explode(F.col(tokens)).alias("word"))
+    d = _by_content(df.select(key, tokens), tokens, key)
+    at = ["__k", "__h", "__g"]
+    # each row has one first token: their number says how many equal rows of an id the sum holds
+    ex = d.select(F.col(key).alias("__k"), "__h", "__g", F.posexplode(F.col(tokens)).alias("__pos", "word")) \
+        .select(*at, "word", F.lit(1.0).alias("__n"), F.when(F.col("__pos") == 0, 1).otherwise(0).alias("__rows"))
     vec = vectors.select("word", array_to_vector(F.col("vector")).alias("__v"))
-    if vectors.count() <= max_broadcast:
-        j = ex.join(F.broadcast(vec), "word", "inner")
-        sums = j.groupBy("__k").agg(Summarizer.sum(F.col("__v")).alias("__s"))
+    if fits_broadcast(vectors.count(), _vector_bytes(vectors), max_broadcast_mb):
+        vec = F.broadcast(vec)
     else:
-        pairs = ex.groupBy("__k", "word").agg(F.count(F.lit(1)).cast("double").alias("__n"))
-        j = pairs.join(vec, "word", "inner")
-        sums = j.groupBy("__k").agg(Summarizer.sum(F.col("__v"), F.col("__n")).alias("__s"))
-    sums = sums.select(F.col("__k").alias(key), vector_to_array(F.col("__s")).alias("__sum"))
-    base = df.select(key, F.size(F.col(tokens)).alias("__n"))
+        ex = ex.groupBy(*at, "word").agg(F.sum("__n").alias("__n"), F.sum("__rows").alias("__rows"))
     zero = F.array_repeat(F.lit(0.0), dim)
-    r = base.join(sums, key, "left").withColumn("__sum", F.coalesce(F.col("__sum"), zero))
-    pooled = F.transform("__sum", lambda x: x / (F.col("__n").cast("double") + F.lit(POOL_EPS)))
+    hits = ex.join(vec, "word", "left").withColumn("__v", F.coalesce("__v", array_to_vector(zero)))
+    sums = hits.groupBy(*at).agg(Summarizer.sum(F.col("__v"), F.col("__n")).alias("__s"), F.sum("__rows").alias("__rows"))
+    sums = sums.select(*at, vector_to_array(F.col("__s")).alias("__sum"), "__rows")
+    r = _join_content(d, sums, key)
+    total = F.coalesce(F.transform("__sum", lambda x: x / F.col("__rows")), zero)
+    pooled = F.transform(total, lambda x: x / (F.size(tokens).cast("double") + F.lit(POOL_EPS)))
     return r.select(key, pooled.alias(out))
 
 
 def first_pool(df: DataFrame, vectors: DataFrame, dim: int, tokens: str = "tokens", key: str = "id",
-               out: str = "pooled", max_broadcast: int = 2_000_000) -> DataFrame:
+               out: str = "pooled", max_broadcast_mb: float = BROADCAST_MB) -> DataFrame:
     """Vector of the first token (zeros when the text is empty or the word has no vector); the vector
-    table is broadcast when a count shows it within ``max_broadcast`` words."""
+    table is broadcast when its count times a row's bytes lies within ``max_broadcast_mb``."""
     first = df.select(key, F.try_element_at(F.col(tokens), F.lit(1)).alias("word"))
     vec = vectors.select("word", "vector")
-    if vectors.count() <= max_broadcast:
+    if fits_broadcast(vectors.count(), _vector_bytes(vectors), max_broadcast_mb):
         vec = F.broadcast(vec)
     j = first.join(vec, "word", "left")
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)

@@ -11,7 +11,7 @@ from threadtox.plans.registry import register
 from threadtox.plans.text import R6, _POOL_SQL
 from threadtox.sources import fixtures as fx
 
-MAX_LEN = 64
+MAX_LEN = 128   # pieces the study's encoder reads
 
 _TOKS = (f"toks AS (SELECT id, label, {word_tokens_sql('text')} AS a, "
          f"COALESCE({word_tokens_sql('parent')}, []) AS b FROM gc)")
@@ -64,9 +64,6 @@ def q_pair_features(spark, d):
     return FE.pair_features(_tokens(spark, d), fx.pair_vocab(spark, d), "a", "b", MAX_LEN)
 
 
-_CONCAT_SQL = _POOL_SQL.replace("SELECT t.id, list_transform", "SELECT t.id AS id, list_transform", 1)
-
-
 def _concat_sql() -> str:
     text_pool = _POOL_SQL
     parent_pool = _POOL_SQL.replace(word_tokens_sql('text'), f"COALESCE({word_tokens_sql('parent')}, [])")

@@ -13,6 +13,7 @@ from threadtox.sources import fixtures as fx
 from threadtox.sources import files, sinks
 
 CAP = 100_000   # rows of the transfer corpus the study reads
+CUT = 137       # a cap below every table here, so that it cuts
 
 
 @register("scan_csv_comments", "S1", fx.with_fixtures("SELECT id, text, parent, label, api FROM gc"))
@@ -23,12 +24,22 @@ def q_scan_csv_comments(spark, d):
 
 
 @register("scan_tsv", "S6", """
-    SELECT CAST(doc_id AS VARCHAR) AS _c0, lang AS _c1, source AS _c2, CAST(n_chars AS VARCHAR) AS _c3 FROM documents""")
+    WITH lines AS (SELECT unnest(string_split(replace(replace(l, chr(13), ' '), ' ', chr(9)), chr(10))) AS line FROM (
+      SELECT CASE WHEN doc_id % 4 = 0 THEN coalesce(text, '')
+                  WHEN doc_id % 4 = 1 THEN concat(doc_id, ' ', coalesce(lang, ''), '  "', coalesce(source, ''), '"')
+                  WHEN doc_id % 4 = 2 THEN ''
+                  ELSE concat(' ', n_chars, ' x ', coalesce(source, ''), ' ') END AS l FROM documents))
+    SELECT string_split(line, chr(9)) AS fields FROM lines""")
 def q_scan_tsv(spark, d):
-    # written without a header: every part file would carry its own header line, and the reader keeps
-    # header lines as data (tests/test_io_scoring.py checks that on a one-file write)
+    """Ragged lines: whole texts cut into fields at their blanks and into lines at their breaks, empty lines, empty
+    fields at either end, quote characters."""
+    line = F.when(F.col("doc_id") % 4 == 0, F.coalesce("text", F.lit(""))) \
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit('  "'),
+                                                 F.coalesce("source", F.lit("")), F.lit('"'))) \
+        .when(F.col("doc_id") % 4 == 2, F.lit("")) \
+        .otherwise(F.concat(F.lit(" "), F.col("n_chars").cast("string"), F.lit(" x "), F.coalesce("source", F.lit("")), F.lit(" ")))
     path = scratch_path(spark, "documents-tsv")
-    files.write_tsv(fx.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), path, header=False)
+    fx.table(spark, d, "documents").select(F.regexp_replace(line, "[\\r ]", "\t").alias("value")).write.text(path)
     return files.read_tsv(spark, path)
 
 
@@ -39,6 +50,13 @@ def q_scan_capped(spark, d):
     return c.select("id", F.col("comment_text").alias("text"), "target")
 
 
+@register("scan_capped_cut", "S4 X4", fx.with_fixtures(
+    f"SELECT id, comment_text AS text, target FROM cctk ORDER BY id LIMIT {CUT}", "cctk"))
+def q_scan_capped_cut(spark, d):
+    c = files.capped_scan(fx.cctk(spark, d), CUT, bucket_bits=6)
+    return c.select("id", F.col("comment_text").alias("text"), "target")
+
+
 @register("sink_splits", "K1", with_splits("SELECT setting, split, part, id, label FROM split_table"))
 def q_sink_splits(spark, d):
     path = scratch_path(spark, "splits")

@@ -13,15 +13,10 @@ from threadtox.plans.sql import split_table_sql
 from threadtox.session import materialized_once
 from threadtox.sources import fixtures as fx
 
-SEQ_LEN = 64
+SEQ_LEN = 512   # tokens the study's recurrent classifier reads
 R6 = 6
 
 
-def dim_of(vectors):
-    """Vector width as a lazy scalar subquery (no driver round trip)."""
-    return vectors.select(F.max(F.size("vector"))).scalar()
-
-
 @register("word_tokens", "F1", fx.with_fixtures(f"SELECT id, {word_tokens_sql('text')} AS tokens FROM gc"))
 def q_word_tokens(spark, d):
     return fx.comments(spark, d).select("id", word_tokens(F.col("text")).alias("tokens"))

@@ -7,6 +7,8 @@ trailing blanks. Parquet is preferred for everything after ingestion.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -32,10 +34,24 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_tsv(spark: SparkSession, path: str, quote: str | None = None) -> DataFrame:
-    """Tab-separated lines as string columns _c0.._cN; the first line is data (no header handling).
-    ``quote=None`` turns quoting off: quote characters stay in the values verbatim."""
-    return (spark.read.option("sep", "\t").option("header", "false")
-            .option("quote", "" if quote is None else quote).csv(path))
+    """Every line of tab-separated files as ``fields`` (array<string>): all fields of all lines, however many a
+    line has; an empty field is '', an empty line one empty field. The first line is data (no header handling).
+
+    ``quote=None`` leaves quote characters in the values. With a quote character, a field that begins with it runs to
+    the quote that stands before a tab or the line's end; a doubled quote inside stands for one. A quoted field
+    cannot hold a line break (each line is read on its own, so any file splits into tasks).
+    """
+    lines = spark.read.text(path)
+    if quote is None:
+        return lines.select(F.split("value", "\t", -1).alias("fields"))
+    q = re.escape(quote)
+    # a tab is put at the end so that every field, the last one too, ends with one
+    parts = F.regexp_extract_all(F.concat("value", F.lit("\t")), F.lit(f"(?:{q}(?:[^{q}]|{q}{q})*{q}|[^\t]*)\t"), F.lit(0))
+    bare = F.transform(parts, lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
+    fields = F.transform(bare, lambda x: F.when(
+        x.rlike(f"(?s)^{q}.*{q}$") & (F.length(x) > 1),
+        F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit(quote * 2), F.lit(quote))).otherwise(x))
+    return lines.select(fields.alias("fields"))
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, mode: str = "errorifexists") -> None:
