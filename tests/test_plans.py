@@ -20,16 +20,22 @@ def test_no_python_in_native_plans(spark, sf, name):
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 
-def test_split_ranking_window_is_bucketed(spark, sf):
-    # the operator itself (the registered query reads the split table it wrote once per session)
+def test_splits_shuffle_no_rows(spark, sf):
+    # the operators on wide rows: the text never lies below an exchange, only cut keys are joined (broadcast)
     from threadtox.operators import splits as S
     from threadtox.sources import fixtures as fx
-    df = S.mccv_split(fx.comment_settings(spark, sf), splits=10, seed=42)
-    df.collect()
-    text = plan_text(df)
-    # the row-level window is partitioned by (setting, split, bucket): a hash exchange, not SinglePartition,
-    # sits under every Window that sees raw rows
-    assert "hashpartitioning(setting" in text
+    wide = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id as id", "text", "lang as setting", "cast(doc_id % 3 = 0 as int) as label")
+    for df in (S.mccv_split(wide, splits=10), S.holdout_split(wide), S.balanced_downsample(wide, by=["setting"])):
+        df.select("id", "text").collect()
+        text = plan_text(df.select("id", "text"))
+        assert "Exchange hashpartitioning" not in text and "Window" not in text and "BroadcastExchange" in text
+    assert fx.comments(spark, sf).count() > 0
+
+
+def test_scan_split_reads_only_its_folders(spark, sf):
+    text = plan_text(catalog.QUERIES["scan_split"].build(spark, sf))
+    filters = [x for x in text.split("PartitionFilters: ")[1:]]
+    assert filters and all("split" in x.split("]")[0] for x in filters) and "Exchange" not in text
 
 
 def test_filters_and_pruning_reach_the_scan(spark, sf):

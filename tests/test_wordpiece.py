@@ -1,32 +1,36 @@
 from threadtox.operators import wordpiece as W
 
 
-def test_split_word_examples():
-    vocab = {"un", "##aff", "##able", "a", "##b"}
-    assert W.split_word("unaffable", vocab) == ["un", "##aff", "##able"]
-    assert W.split_word("ab", vocab) == ["a", "##b"]
-    assert W.split_word("xyz", vocab) == [W.UNK]
-    assert W.split_word("a" * 101, {"a", "##a"}) == [W.UNK]
-
-
-def test_basic_tokens():
-    assert W.basic_tokens("Héllo, WORLD!! it's 東京\x00 ok") == ["hello", ",", "world", "!", "!", "it", "'", "s",
-                                                                 "東", "京", "ok"]
+def longest_match(word, vocab, limit=W.MAX_WORD_CHARS):
+    """Brute force: of all ways to cut a word into pieces, the one whose first piece is longest, and so on."""
+    best, todo = None, [((), 0)]
+    while todo and len(word) <= limit:
+        pieces, at = todo.pop()
+        if at == len(word):
+            best = list(pieces)
+            break
+        ends = [e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocab]
+        todo = [((*pieces, ("##" if at else "") + word[at:ends[0]]), ends[0])] if ends else []
+    return best or [W.UNK]
+
+
+def test_basic_tokens(spark):
+    text = "Héllo, WORLD!! it's 東京\x00 ok\u200d\ufffd a\xa0b\u3000c\r\nd\t€5+x «q» \U00020001z"
+    assert W.basic_tokens("Héllo, WORLD!! it's 東京\x00 ok", lower=True) == ["hello", ",", "world", "!", "!", "it", "'", "s", "東", "京", "ok"]
     assert W.basic_tokens(None) == [] and W.basic_tokens("") == []
-    assert W.basic_tokens("Héllo", lower=False) == ["Héllo"]
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    assert [r.x for r in df.select(W.basic_tokenize(df.t).alias("x")).collect()] == [W.basic_tokens(text), [], []]
+    assert W.basic_tokens("Héllo") == ["Héllo"]
 
 
-def test_broadcast_and_distributed_agree(spark):
-    rows = [(1, "Unaffable people, unaffable!"), (2, "abc ab a"), (3, ""), (4, None), (5, "x" * 120)]
+def test_pieces_are_the_longest_matches(spark):
+    rows = [(1, "Unaffable people, unaffable!"), (2, "abc ab a"), (3, ""), (4, None), (5, "x" * 220), (6, "x" * 150), (1, "ab"), (None, "abc"), (None, "people")]
     df = spark.createDataFrame(rows, "id long, text string")
-    vocab = spark.createDataFrame([(t,) for t in ["[UNK]", "un", "##aff", "##able", "a", "##b", "##c", "people",
-                                                    ",", "!", "x", "##x"]], "token string")
-    a = {r.id: r.pieces for r in W.wordpiece_tokens(df, vocab).collect()}
-    b = {r.id: r.pieces for r in W.wordpiece_tokens(df, vocab, max_broadcast=0).collect()}
-    assert a == b
-    assert a[1] == ["un", "##aff", "##able", "people", ",", "un", "##aff", "##able", "!"]
-    assert a[2] == ["a", "##b", "##c", "a", "##b", "a"]
-    assert a[3] == [] and a[4] == [] and a[5] == [W.UNK]
+    vocab = ["[UNK]", "un", "##aff", "##able", "a", "##b", "##c", "people", ",", "!", "x", "##x", "##xxx"]
+    got = W.wordpiece_tokens(df, spark.createDataFrame([(t,) for t in vocab], "token string")).collect()
+    want = [(i, t, [p for w in W.basic_tokens(t) for p in longest_match(w, set(vocab))]) for i, t in rows]
+    assert sorted(((r.id, r.text, r.pieces) for r in got), key=str) == sorted(want, key=str)
+    assert [p for i, _, p in want if i == 5] == [[W.UNK]] and ["un", "##aff", "##able"] == want[0][2][-4:-1]
 
 
 def test_derived_vocabulary_layout(spark):

@@ -71,13 +71,13 @@ def fits_broadcast(n_rows: int, row_bytes: int, max_mb: float) -> bool:
     return n_rows * row_bytes <= max_mb * 1e6
 
 
-def _by_content(df: DataFrame, tokens: str, key: str) -> DataFrame:
+def by_content(df: DataFrame, tokens: str) -> DataFrame:
     """``df`` with 96 hash bits of the token list: a result that depends on the tokens alone joins back by key and
     content, so rows that share an id, or have none, keep their own results."""
     return df.withColumns({"__h": F.xxhash64(tokens), "__g": F.hash(tokens)})
 
 
-def _join_content(d: DataFrame, r: DataFrame, key: str) -> DataFrame:
+def join_content(d: DataFrame, r: DataFrame, key: str) -> DataFrame:
     r = r.withColumnsRenamed({"__h": "__rh", "__g": "__rg"})
     cond = d[key].eqNullSafe(r["__k"]) & (d["__h"] == r["__rh"]) & (d["__g"] == r["__rg"])
     return d.join(r, cond, "left").drop("__k", "__rh", "__rg", "__h", "__g")
@@ -93,7 +93,7 @@ def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens: str, out: str, key: s
     A vocabulary within ``max_broadcast_mb`` (counted first; about 100 bytes a word) is broadcast, so token rows
     never leave their document's partition before the per-document collect. Beyond it a text is first reduced to its
     distinct words with their positions, and those are joined on the word (AQE splits hot words)."""
-    d = _by_content(df, tokens, key)
+    d = by_content(df, tokens)
     ex = d.select(F.col(key).alias("__k"), "__h", "__g", F.posexplode(F.col(tokens)).alias("__pos", "__w"))
     v = vocab.select(F.col(word).alias("__w"), F.col(index).cast("long").alias("__id"))
     how = "inner" if unknown_id is None else "left"
@@ -109,7 +109,7 @@ def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens: str, out: str, key: s
     # a set: rows with equal id and tokens give equal (position, id) pairs
     coll = j.groupBy(*at).agg(F.array_sort(F.collect_set(F.struct("__pos", "__id"))).alias("__p"))
     coll = coll.select(*at, F.transform("__p", lambda x: x["__id"]).alias("__found_ids"))
-    return _join_content(d, coll, key).withColumn(out, F.coalesce(F.col("__found_ids"), F.array().cast("array<long>"))).drop("__found_ids")
+    return join_content(d, coll, key).withColumn(out, F.coalesce(F.col("__found_ids"), F.array().cast("array<long>"))).drop("__found_ids")
 
 
 def texts_to_sequences(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "seq",
@@ -161,7 +161,7 @@ def masked_mean_pool(df: DataFrame, vectors: DataFrame, dim: int | Column, token
     shuffle. Beyond it, tokens are first reduced to (document, word) counts, and the join ships one vector per
     distinct word of a document, weighted by its count.
     """
-    d = _by_content(df.select(key, tokens), tokens, key)
+    d = by_content(df.select(key, tokens), tokens)
     at = ["__k", "__h", "__g"]
     # each row has one first token: their number says how many equal rows of an id the sum holds
     ex = d.select(F.col(key).alias("__k"), "__h", "__g", F.posexplode(F.col(tokens)).alias("__pos", "word")) \
@@ -175,7 +175,7 @@ def masked_mean_pool(df: DataFrame, vectors: DataFrame, dim: int | Column, token
     hits = ex.join(vec, "word", "left").withColumn("__v", F.coalesce("__v", array_to_vector(zero)))
     sums = hits.groupBy(*at).agg(Summarizer.sum(F.col("__v"), F.col("__n")).alias("__s"), F.sum("__rows").alias("__rows"))
     sums = sums.select(*at, vector_to_array(F.col("__s")).alias("__sum"), "__rows")
-    r = _join_content(d, sums, key)
+    r = join_content(d, sums, key)
     total = F.coalesce(F.transform("__sum", lambda x: x / F.col("__rows")), zero)
     pooled = F.transform(total, lambda x: x / (F.size(tokens).cast("double") + F.lit(POOL_EPS)))
     return r.select(key, pooled.alias(out))

@@ -2,16 +2,14 @@
 
 Two steps:
 
-* basic tokenisation (clean control characters, space out CJK ideographs, lower-case and strip accents,
-  split off punctuation) — a small per-row helper run in Arrow batches, because it needs Unicode
-  normalisation that Spark SQL does not offer;
-* greedy longest-match-first split of each basic token into vocabulary pieces (continuations carry the
-  ``##`` prefix; a token with no split, or longer than 100 characters, becomes [UNK]).
-
-The split runs against a broadcast vocabulary when the vocabulary's size is within ``max_broadcast``
-(checked with a count first); beyond that it runs as a distributed plan: every distinct token's candidate
-substrings are joined with the vocabulary, the longest match per start position is aggregated, and the
-greedy walk is an ``aggregate`` over at most 100 positions — no broadcast, no per-row Python.
+* basic tokenisation: clean control characters, isolate CJK ideographs and punctuation. The cased form (the default,
+  as the study's encoder is cased) is one regular expression in the JVM; the lower-cased form also strips accents,
+  which needs Unicode normalisation that Spark SQL does not offer, so it is a small Arrow-batched helper;
+* greedy longest-match-first split of each *distinct* basic token into vocabulary pieces (continuations carry the
+  ``##`` prefix; a token with no split, or longer than ``max_word_chars``, becomes [UNK]): every distinct token's
+  candidate substrings, none longer than the longest piece, are joined with the vocabulary, the longest match per start
+  position is aggregated, and the greedy walk is an ``aggregate`` over the token's positions. No per-row Python, and
+  nothing is broadcast unless Spark sees that it is small.
 """
 
 from __future__ import annotations
@@ -25,10 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from threadtox.operators.ranking import exact_row_number
+from threadtox.operators.text import by_content, join_content
+
 # --- fixed values -------------------------------------------------------------------------------
 UNK = "[UNK]"
 CONTINUATION = "##"
-MAX_WORD_CHARS = 100
+MAX_WORD_CHARS = 200   # default limit of the published tokenizer's longest-match step
 # -------------------------------------------------------------------------------------------------
 
 
@@ -40,7 +41,7 @@ _MARK = regex.compile(r"\p{Mn}")
 _PUNCT = regex.compile(r"([!-/:-@\[-`{-~]|\p{P})")
 
 
-def basic_tokens(text: str | None, lower: bool = True) -> list[str]:
+def basic_tokens(text: str | None, lower: bool = False) -> list[str]:
     """Whitespace/punctuation tokens of one text (the pre-split of WordPiece), in a few regex passes:
     drop control characters, blank out whitespace, space out CJK ideographs, lower-case and strip
     combining marks (NFD), then split punctuation into tokens of their own."""
@@ -52,63 +53,40 @@ def basic_tokens(text: str | None, lower: bool = True) -> list[str]:
     return _PUNCT.sub(r" \1 ", t).split()
 
 
-def split_word(word: str, vocab) -> list[str]:
-    """Greedy longest-match-first pieces of one basic token."""
-    if len(word) > MAX_WORD_CHARS:
-        return [UNK]
-    pieces, start = [], 0
-    while start < len(word):
-        end, found = len(word), None
-        while start < end:
-            cand = word[start:end] if start == 0 else CONTINUATION + word[start:end]
-            if cand in vocab:
-                found = cand
-                break
-            end -= 1
-        if found is None:
-            return [UNK]
-        pieces.append(found)
-        start = end
-    return pieces
-
-
-def basic_tokenize(text: Column, lower: bool = True) -> Column:
-    """Arrow-batched column of basic tokens."""
-    @F.pandas_udf(ArrayType(StringType()))
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: basic_tokens(t, lower))
-    return run(text)
-
-
-def wordpiece_tokens(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "pieces",
-                     key: str = "id", lower: bool = True, max_broadcast: int = 2_000_000) -> DataFrame:
-    """Add the WordPiece pieces of ``text`` (vocabulary table column ``token``)."""
-    n = vocab.count()
-    if n <= max_broadcast:
-        return _broadcast_split(df, vocab, text, out, lower)
-    return _distributed_split(df, vocab, text, out, key, lower)
+# the same pre-split as one pattern, for engines with \\p{..} and \\x{..}
+_PUNCT_CLASS = r"!-/:-@\[-`{-~\p{P}"
+_CJK_CLASS = (r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}"
+              r"\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}")
+CONTROL_PATTERN = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FFFD}\p{Cf}]"
+TOKEN_PATTERN = rf"[{_PUNCT_CLASS}{_CJK_CLASS}]|[^ \t\n\r\p{{Zs}}{_PUNCT_CLASS}{_CJK_CLASS}]+"
 
 
-def _broadcast_split(df: DataFrame, vocab: DataFrame, text: str, out: str, lower: bool) -> DataFrame:
-    spark = df.sparkSession
-    tokens = frozenset(r[0] for r in vocab.select("token").toLocalIterator())
-    bc = spark.sparkContext.broadcast(tokens)
+def basic_tokenize(text: Column, lower: bool = False) -> Column:
+    """Column of basic tokens (null text: none)."""
+    if not lower:
+        clean = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL_PATTERN, "")
+        return F.regexp_extract_all(clean, F.lit(TOKEN_PATTERN), F.lit(0))
 
     @F.pandas_udf(ArrayType(StringType()))
     def run(s: pd.Series) -> pd.Series:
-        v = bc.value
-        return s.map(lambda t: [p for w in basic_tokens(t, lower) for p in split_word(w, v)])
-    return df.withColumn(out, run(F.col(text)))
+        return s.map(lambda t: basic_tokens(t, True))
+    return run(text)
 
 
-def _distributed_split(df: DataFrame, vocab: DataFrame, text: str, out: str, key: str, lower: bool) -> DataFrame:
-    base = df.withColumn("__bt", basic_tokenize(F.col(text), lower))
-    ex = base.select(F.col(key).alias("__k"), F.posexplode("__bt").alias("__pos", "__w"))
+def wordpiece_tokens(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "pieces",
+                     key: str = "id", lower: bool = False, max_word_chars: int = MAX_WORD_CHARS) -> DataFrame:
+    """Add the WordPiece pieces of ``text`` (vocabulary table column ``token``). Rows may share an id or have none."""
+    base = by_content(df.withColumn("__bt", basic_tokenize(F.col(text), lower)), "__bt")
+    at = ["__k", "__h", "__g"]
+    # a text's distinct tokens with their places: a word that is everywhere is one row a text
+    ex = base.select(F.col(key).alias("__k"), "__h", "__g", F.posexplode("__bt").alias("__pos", "__w")) \
+        .groupBy(*at, "__w").agg(F.collect_set("__pos").alias("__at"))
     words = ex.select("__w").distinct().withColumn("__L", F.length("__w"))
-    short = words.where(F.col("__L") <= MAX_WORD_CHARS)
+    longest_piece = vocab.agg(F.max(F.length("token"))).first()[0] or 0
+    short = words.where(F.col("__L") <= max_word_chars)
     # every (start, end) substring of each distinct word, with the continuation prefix after position 0
     cand = (short.withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__L") - 1)))
-            .withColumn("__e", F.explode(F.sequence(F.col("__s") + 1, F.col("__L")))))
+            .withColumn("__e", F.explode(F.sequence(F.col("__s") + 1, F.least(F.col("__L"), F.col("__s") + F.lit(max(1, longest_piece)))))))
     sub = F.substring(F.col("__w"), F.col("__s") + 1, F.col("__e") - F.col("__s"))
     cand = cand.withColumn("__piece", F.when(F.col("__s") == 0, sub).otherwise(F.concat(F.lit(CONTINUATION), sub)))
     hits = cand.join(vocab.select(F.col("token").alias("__piece")), "__piece", "left_semi")
@@ -131,32 +109,29 @@ def _distributed_split(df: DataFrame, vocab: DataFrame, text: str, out: str, key
                           .alias("__pieces"))
     per_word = words.join(split, "__w", "left").select(
         "__w", F.coalesce(F.col("__pieces"), F.array(F.lit(UNK))).alias("__pieces"))
-    j = ex.join(per_word, "__w", "left")
-    coll = j.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct("__pos", "__pieces"))).alias("__p"))
-    coll = coll.select(F.col("__k").alias(key), F.flatten(F.transform("__p", lambda x: x["__pieces"])).alias(out))
-    return df.join(coll, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+    j = ex.join(per_word, "__w", "left").select(*at, F.explode("__at").alias("__pos"), "__pieces")
+    coll = j.groupBy(*at).agg(F.array_sort(F.collect_set(F.struct("__pos", "__pieces"))).alias("__p"))
+    coll = coll.select(*at, F.flatten(F.transform("__p", lambda x: x["__pieces"])).alias("__found"))
+    return join_content(base, coll, key).drop("__bt") \
+        .withColumn(out, F.coalesce(F.col("__found"), F.array().cast("array<string>"))).drop("__found")
 
 
-def wordpiece_vocab(df: DataFrame, text: str = "text", top_words: int = 2000, lower: bool = True) -> DataFrame:
+def wordpiece_vocab(df: DataFrame, text: str = "text", top_words: int | None = None, lower: bool = False) -> DataFrame:
     """A vocabulary derived from the corpus: [PAD] [UNK] [CLS] [SEP], every single character seen (and its
-    continuation form), then the ``top_words`` most frequent basic tokens (ties by token). token, token_id."""
+    continuation form), then all longer basic tokens by frequency (ties by token), or the ``top_words`` most
+    frequent. token, token_id. Ids of the words come from bucketed ranks, so no task orders the whole vocabulary."""
     from threadtox.functions.text import SPECIAL_TOKENS
     spark = df.sparkSession
-    # one Python pass: both consumers read the same token-count aggregate (its shuffle is shared), and
-    # characters come from the distinct tokens rather than from every token occurrence
     counts_all = df.select(F.explode(basic_tokenize(F.col(text), lower)).alias("t")).groupBy("t").count()
-    chars = (counts_all.select(F.explode(F.split(F.col("t"), "")).alias("c")).where(F.col("c") != "").distinct())
-    char_tokens = chars.select(F.col("c").alias("token"), F.lit(1).alias("__grp"), F.col("c").alias("__o")) \
-        .unionByName(chars.select(F.concat(F.lit(CONTINUATION), F.col("c")).alias("token"), F.lit(2).alias("__grp"),
-                                  F.col("c").alias("__o")))
-    counts = counts_all.where(F.length("t") > 1)
-    top = (counts.orderBy(F.col("count").desc(), F.col("t")).limit(top_words)
-           .select(F.col("t").alias("token"), F.lit(3).alias("__grp"),
-                   F.format_string("%020d", F.lit(10 ** 12) - F.col("count")).alias("__o")))
-    specials = spark.createDataFrame([(t, 0, f"{i:020d}") for i, t in enumerate(SPECIAL_TOKENS)],
-                                     "token string, __grp int, __o string")
-    allv = specials.unionByName(char_tokens).unionByName(top.select("token", "__grp", "__o")) \
-        .groupBy("token").agg(F.min(F.struct("__grp", "__o")).alias("__k"))
-    # the vocabulary is bounded (characters + top_words), so one ordered window over it is cheap
-    from pyspark.sql import Window
-    return allv.select("token", (F.row_number().over(Window.orderBy("__k", "token")) - 1).cast("long").alias("token_id"))
+    chars = counts_all.select(F.explode(F.split(F.col("t"), "")).alias("c")).where(F.col("c") != "").distinct()
+    # at most two entries a code point: bounded by Unicode
+    singles = chars.select(F.col("c").alias("token"), F.lit(1).alias("g")) \
+        .unionByName(chars.select(F.concat(F.lit(CONTINUATION), F.col("c")).alias("token"), F.lit(2).alias("g")))
+    first = [r.token for r in singles.orderBy("g", "token").collect()]
+    head = list(dict.fromkeys([*SPECIAL_TOKENS, *first]))
+    head_table = spark.createDataFrame(list(zip(head, range(len(head)))), "token string, token_id long")
+    counts = counts_all.where(F.length("t") > 1).join(F.broadcast(head_table.withColumnRenamed("token", "t")), "t", "left_anti")
+    ranked = exact_row_number(counts, [], [F.col("count").desc(), F.col("t")], [-F.col("count"), F.substring("t", 1, 2)], name="rank")
+    if top_words is not None:
+        ranked = ranked.where(F.col("rank") <= top_words)
+    return head_table.unionByName(ranked.select(F.col("t").alias("token"), (F.col("rank") + F.lit(len(head) - 1)).cast("long").alias("token_id")))

@@ -13,6 +13,7 @@ from threadtox.plans.registry import register
 from threadtox.plans.sql import SEED, SPLITS, TEST_SIZE, auroc_sql, split_table_sql
 from threadtox.session import materialized_once
 from threadtox.sources import fixtures as fx
+from threadtox.sources.sinks import SPLIT_PARTITIONS, by_split
 
 R9 = 9          # doubles are compared rounded to 9 decimals in both engines
 POOLED = 5      # evaluation sets pooled by the significance test
@@ -24,9 +25,22 @@ def r9(c):
 
 
 def split_table(spark: SparkSession, d: str) -> DataFrame:
-    """The MCCV split table of both settings (written once per session, like the study's split files)."""
-    return materialized_once(spark, ("split_table", d), lambda: S.mccv_split(
-        fx.comment_settings(spark, d), splits=SPLITS, seed=SEED, test_size=TEST_SIZE))
+    """The MCCV split table of both settings, without texts: id, label, api by split / setting / part (written once per
+    session, like the study's split files, in a folder for each part)."""
+    def build():
+        rows = fx.comment_settings(spark, d).select("id", "setting", "label", "api")
+        return by_split(S.mccv_split(rows, splits=SPLITS, seed=SEED, test_size=TEST_SIZE))
+    return materialized_once(spark, ("split_table", d), build, SPLIT_PARTITIONS)
+
+
+def with_text(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """The texts of the split rows that are read (both settings annotate the same comments)."""
+    return rows.join(fx.comments(spark, d).select("id", "text", "parent"), "id")
+
+
+def split_text(spark: SparkSession, d: str, split: int, setting: str, part: str) -> DataFrame:
+    t = split_table(spark, d)
+    return with_text(spark, d, t.where((F.col("split") == split) & (F.col("setting") == setting) & (F.col("part") == part)))
 
 
 def gc_val(spark: SparkSession, d: str) -> DataFrame:

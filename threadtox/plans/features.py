@@ -81,13 +81,71 @@ def q_concat_features(spark, d):
     return j.select("id", F.transform(F.concat("pa", "pb"), lambda x: F.round(x, R6)).alias("features"))
 
 
-WORDPIECE_TOP = 2000
+# ---- WordPiece: the vocabulary is every token of the first training part, so unseen words are split ----
 
-
-@register("wordpiece_tokens", "F3")
+def _train_pieces(spark, d):
+    from threadtox.operators import wordpiece as W
+    from threadtox.plans.evaluation import split_text
+    from threadtox.session import materialized_once
+    return materialized_once(spark, ("wordpiece_vocab", d), lambda: W.wordpiece_vocab(split_text(spark, d, 0, "gc", "train")))
+
+
+def _pieces_sql() -> str:
+    from threadtox.operators.wordpiece import CONTROL_PATTERN, TOKEN_PATTERN
+    from threadtox.plans.sql import split_table_sql
+
+    def basic(col: str) -> str:
+        return f"regexp_extract_all(regexp_replace(coalesce({col}, ''), '{CONTROL_PATTERN}', '', 'g'), '{TOKEN_PATTERN}')"
+
+    return f"""split_table AS ({split_table_sql()}),
+      seen AS MATERIALIZED (SELECT t, count(*) AS n FROM (
+        SELECT unnest({basic('text')}) AS t FROM split_table WHERE setting = 'gc' AND split = 0 AND part = 'train') GROUP BY t),
+      letters AS (SELECT DISTINCT unnest(string_split(t, '')) AS c FROM seen),
+      vocab AS MATERIALIZED (
+        SELECT token, row_number() OVER (ORDER BY g, o, token) - 1 AS token_id FROM (
+          SELECT token, min(g) AS g, min_by(o, g) AS o FROM (
+            SELECT unnest({list(SPECIAL_TOKENS)}) AS token, 0 AS g, generate_subscripts({list(SPECIAL_TOKENS)}, 1) AS o
+            UNION ALL SELECT c, 1, 0 FROM letters WHERE c <> '' UNION ALL SELECT '##' || c, 2, 0 FROM letters WHERE c <> ''
+            UNION ALL SELECT t, 3, -n FROM seen WHERE length(t) > 1) GROUP BY token)),
+      basics AS MATERIALIZED (SELECT id, 'text' AS side, {basic('text')} AS b FROM gc UNION ALL SELECT id, 'parent', {basic('parent')} FROM gc),
+      words AS MATERIALIZED (SELECT DISTINCT w FROM (SELECT unnest(b) AS w FROM basics)),
+      cand AS (SELECT w, s, e FROM (SELECT w, s, unnest(range(s + 1, length(w) + 1)) AS e FROM (
+        SELECT w, unnest(range(0, length(w))) AS s FROM words WHERE length(w) <= 200))),
+      longest AS MATERIALIZED (SELECT w, s, max(e) AS e FROM cand
+        WHERE CASE WHEN s = 0 THEN w[1:e] ELSE '##' || w[s + 1:e] END IN (SELECT token FROM vocab) GROUP BY w, s),
+      walk(w, s, pieces) AS (SELECT w, 0::BIGINT, []::VARCHAR[] FROM words
+        UNION ALL SELECT k.w, l.e, list_append(k.pieces, CASE WHEN k.s = 0 THEN k.w[1:l.e] ELSE '##' || k.w[k.s + 1:l.e] END)
+        FROM walk k JOIN longest l ON l.w = k.w AND l.s = k.s),
+      per_word AS MATERIALIZED (SELECT w.w, coalesce(any_value(k.pieces), ['[UNK]']) AS pieces
+        FROM words w LEFT JOIN walk k ON k.w = w.w AND k.s = length(w.w) GROUP BY w.w),
+      pieces AS MATERIALIZED (SELECT id, side, flatten(list(p.pieces ORDER BY i)) AS pieces FROM (
+        SELECT id, side, unnest(b) AS w, generate_subscripts(b, 1) AS i FROM basics) x JOIN per_word p ON p.w = x.w GROUP BY id, side)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("wordpiece_tokens", "F3", _recursive(fx.with_fixtures(
+    f"WITH {_pieces_sql()} SELECT g.id, coalesce(p.pieces, []) AS pieces FROM gc g LEFT JOIN pieces p ON p.id = g.id AND p.side = 'text'",
+    "settings")))
 def q_wordpiece_tokens(spark, d):
     from threadtox.operators import wordpiece as W
-    from threadtox.session import materialize
-    c = fx.comments(spark, d)
-    vocab = materialize(W.wordpiece_vocab(c, top_words=WORDPIECE_TOP), "wordpiece-vocab")
-    return W.wordpiece_tokens(c, vocab).select("id", "pieces")
+    return W.wordpiece_tokens(fx.comments(spark, d), _train_pieces(spark, d)).select("id", "pieces")
+
+
+def _piece_features_sql() -> str:
+    toks = ("toks AS (SELECT g.id, g.label, coalesce(p.pieces, []) AS a, coalesce(q.pieces, []) AS b FROM gc g "
+            "LEFT JOIN pieces p ON p.id = g.id AND p.side = 'text' LEFT JOIN pieces q ON q.id = g.id AND q.side = 'parent')")
+    body = _pair_sql().replace(_TOKS, toks).replace("LEFT JOIN pair_vocab v", "LEFT JOIN vocab v")
+    return body.replace("WITH ", f"WITH {_pieces_sql()}, ", 1)
+
+
+@register("wordpiece_pair_features", "F3 F4 F6 F7 F8 F9 F10 F11 F12", _recursive(fx.with_fixtures(_piece_features_sql(), "settings")))
+def q_wordpiece_pair_features(spark, d):
+    """The encoder's whole input path: pieces of text and parent -> truncated pair -> ids, mask, segments."""
+    from threadtox.operators import wordpiece as W
+    vocab = _train_pieces(spark, d)
+    c = W.wordpiece_tokens(fx.comments(spark, d), vocab, out="a")
+    c = W.wordpiece_tokens(c, vocab, text="parent", out="b")
+    return FE.pair_features(c.select("id", "label", "a", "b"), vocab, "a", "b", MAX_LEN)

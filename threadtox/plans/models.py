@@ -10,7 +10,7 @@ from threadtox.operators import metrics as M
 from threadtox.operators import models as ML
 from threadtox.operators import splits as S
 from threadtox.operators.features import binarize
-from threadtox.plans.evaluation import R9, SEED, r9, split_table, with_splits
+from threadtox.plans.evaluation import R9, SEED, r9, split_table, with_splits, with_text
 from threadtox.plans.registry import register
 from threadtox.plans.sql import SPLITS
 from threadtox.session import scratch_path
@@ -23,7 +23,7 @@ REPEATS = 2
 
 
 def _parts(spark, d, split: int, setting: str = "gc"):
-    rows = S.scan_split(split_table(spark, d), split, setting)
+    rows = with_text(spark, d, S.scan_split(split_table(spark, d), split, setting))
     train = rows.where(F.col("part") == "train")
     dev = rows.where(F.col("part") == "dev")
     val = rows.where(F.col("part") == "val")
@@ -133,7 +133,7 @@ def q_transfer_eval(spark, d):
                                       binarize(F.col("target")).alias("label"))
     train = S.holdout_split(corpus, test_size=0.1, seed=SEED).where(F.col("part") == "train")
     model = ML.fit("ooc", train, CFG)
-    val = split_table(spark, d).where((F.col("setting") == "gc") & (F.col("part") == "val"))
+    val = with_text(spark, d, split_table(spark, d).where((F.col("setting") == "gc") & (F.col("part") == "val")))
     preds = ML.predict(model, "ooc", val, CFG, keep=("split", "label"))
     return M.auroc(preds, ["split"], score="score", n_keys=SPLITS)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadtox.functions.text import pad_pre, pad_pre_sql, word_tokens, word_tokens_sql
 from threadtox.operators import text as T
-from threadtox.plans.evaluation import split_table, with_splits
+from threadtox.plans.evaluation import split_text, with_splits
 from threadtox.plans.registry import register
 from threadtox.plans.sql import split_table_sql
 from threadtox.session import materialized_once
@@ -43,9 +43,7 @@ def q_vocab_size(spark, d):
 def _train_vocab(spark, d):
     """Vocabulary of the first training part (written once per session: sequences and padding share it)."""
     def build():
-        train = split_table(spark, d).where((F.col("setting") == "gc") & (F.col("split") == 0)
-                                            & (F.col("part") == "train"))
-        return T.word_index(train)
+        return T.word_index(split_text(spark, d, 0, "gc", "train"))
     return materialized_once(spark, ("train_vocab", d), build)
 
 

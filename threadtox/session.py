@@ -10,6 +10,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,13 +99,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 _MEMO: dict[tuple, str] = {}
 
 
-def materialized_once(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """``materialize(build())`` once per (application, key); later calls read the same files."""
+def materialized_once(spark: SparkSession, key: tuple, build, partition_by: Sequence[str] = ()) -> DataFrame:
+    """``materialize(build())`` once per (application, key); later calls read the same files. With ``partition_by``
+    the files lie in one folder per value, and readers prune to those they need."""
     k = (spark.sparkContext.applicationId,) + tuple(key)
     path = _MEMO.get(k)
     if path is None:
         df = build()
         path = scratch_path(spark, "-".join(str(x) for x in key[:1]))
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
         _MEMO[k] = path
     return spark.read.parquet(path)

@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 SPLIT_PARTITIONS = ("split", "setting", "part")
 
 
+ROWS_PER_FILE = 4_000_000
+
+
+def by_split(split_table: DataFrame, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Rows brought together by split / setting / part before they are written, each folder's rows in as many tasks
+    as they need files: tasks x folders small files are avoided, and a large part is not one task."""
+    folders = split_table.groupBy(*SPLIT_PARTITIONS).count().agg(F.max("count")).first()[0] or 0
+    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-folders // rows_per_file))))
+    return split_table.repartition(*SPLIT_PARTITIONS, salt)
+
+
 def write_splits(split_table: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One directory level per split / setting / part, so readers prune to the files they need."""
-    split_table.write.mode(mode).partitionBy(*SPLIT_PARTITIONS).parquet(path)
+    by_split(split_table).write.mode(mode).partitionBy(*SPLIT_PARTITIONS).parquet(path)
 
 
 def write_predictions(pred: DataFrame, path: str, run: str, mode: str = "errorifexists") -> None:
