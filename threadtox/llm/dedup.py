@@ -65,6 +65,11 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(sets) if sets else h), at
 
 
+def few_files(df: DataFrame, tag: str) -> DataFrame:
+    """``materialize`` for tables of links and lists: two files a core at most, however many shuffle partitions."""
+    return materialize(df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism)), tag)
+
+
 def signatures(docs: DataFrame, coords: int = 48, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, set_id, sig) for each row; set_id and sig are null without shingles."""
     a, b = _coefficients(coords)
@@ -177,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     while True:
-        links = materialize(links, "links")
+        links = few_files(links, "links")
         roles = links.select(F.col("u").alias("node"), F.lit(1).alias("under"), F.lit(0).alias("over")) \
             .unionAll(links.select(F.col("v").alias("node"), F.lit(0).alias("under"), F.lit(1).alias("over")))
         if roles.groupBy("node").agg(F.sum("under").alias("under"), F.sum("over").alias("over")) \
@@ -225,7 +230,7 @@ def links(classes: DataFrame, docs: DataFrame, percent: int, coords: int, match:
     lists = materialize(postings(classes, coords, match), "postings")
     if lists.isEmpty():
         return None
-    centre = materialize(centres(lists.withColumn("root", F.col("node"))), "centres")
+    centre = few_files(centres(lists.withColumn("root", F.col("node"))), "centres")
     first = confirmed(_centre_pairs(lists.withColumn("root", F.col("node")), centre, percent), 0)
     edges = only_links(first)
     roots = components(edges)
@@ -233,12 +238,12 @@ def links(classes: DataFrame, docs: DataFrame, percent: int, coords: int, match:
     # what the comparison with centre p says of each member of its lists; p itself is wholly inside p
     measured = first.select(F.col("a").alias("node"), F.col("b").alias("p"), F.col("n_a").alias("n"), "both", "linked") \
         .unionAll(centre.select("c.node", "c.n").distinct().select("node", F.col("node").alias("p"), "n", F.col("n").alias("both"), F.lit(True).alias("linked")))
-    measured = materialize(measured.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "measured")
+    measured = few_files(measured.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "measured")
 
     # members not compared with the centre of a list they share
     left = with_roots(lists, roots).join(centre.select("pair", F.col("c.node").alias("p")), "pair") \
         .join(measured.select("node", "p", F.lit(True).alias("seen")), ["node", "p"], "left")
-    left = materialize(left.select("pair", "node", "n", "root", F.coalesce("seen", F.lit(False)).alias("seen")), "lists")
+    left = few_files(left.select("pair", "node", "n", "root", F.coalesce("seen", F.lit(False)).alias("seen")), "lists")
     unseen = across(left, F.expr("NOT (x.seen AND y.seen)"))
 
     # pairs that share nothing outside p: (100 + percent) * min(both) >= percent * (n + n), by size
@@ -251,7 +256,7 @@ def links(classes: DataFrame, docs: DataFrame, percent: int, coords: int, match:
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     # pairs that share shingles outside p: their rarest, with what can still follow the first shared one
-    lists = materialize(with_roots(outside_postings(first, percent), roots), "lists")
+    lists = few_files(with_roots(outside_postings(first, percent), roots), "lists")
     follow = F.expr(f"{percent} * (x.n + y.n) <= {100 + percent} * (least(x.both, y.both) + 1 + least(x.after, y.after))")
     beyond = across(lists, follow)
 
@@ -290,7 +295,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, coords: int = 48, match:
     if edges is None:
         ids = ids.select("set_id", F.col("doc_id").alias("component_id"))
     else:
-        rooted = materialize(ids.join(components(edges), "node", "left"), "rooted")
+        rooted = few_files(ids.join(components(edges), "node", "left"), "rooted")
         smallest = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least_id"))
         ids = rooted.join(smallest, "root", "left").select("set_id", F.coalesce("least_id", "doc_id").alias("component_id"))
     alone = F.col("set_id").isNull() | F.col("doc_id").isNull()
