@@ -23,12 +23,12 @@ def signal(spark, sf, where):
     return c.withColumn(where, F.concat(F.col(where), mark))
 
 
-def fit_eval(spark, sf, where, regime):
+def fit_eval(spark, sf, where, regime, vec=None):
     c = signal(spark, sf, where)
     st = S.holdout_split(c, test_size=0.4, seed=1)
     train, test = st.where(F.col("part") == "train"), st.where(F.col("part") == "dev")
-    model = ML.fit(regime, train, CFG)
-    return M.auroc(ML.predict(model, regime, test, CFG), score="score").first().auroc
+    model = ML.fit(regime, train, CFG, vec)
+    return M.auroc(ML.predict(model, regime, test, CFG, vec), score="score").first().auroc
 
 
 def test_text_signal_seen_by_context_free_model(spark):
@@ -41,6 +41,18 @@ def test_parent_signal_needs_context(spark):
     assert fit_eval(spark, SIGNAL_SF, "parent", "ooc") < 0.8
 
 
+def test_parent_signal_seen_by_the_hybrid_model(spark):
+    assert fit_eval(spark, SIGNAL_SF, "parent", "inc_hybrid", fx.word_vectors(spark, SIGNAL_SF)) > 0.9
+
+
+def test_dev_selection_returns_the_best_model_of_the_grid(spark):
+    c = S.holdout_split(signal(spark, SIGNAL_SF, "text"), test_size=0.4, seed=1)
+    train, dev = c.where(F.col("part") == "train"), c.where(F.col("part") == "dev")
+    model, history = ML.fit_with_dev_selection("ooc", train, dev, (1.0, 0.03), CFG, patience=3)
+    again = M.auroc(ML.predict(model, "ooc", dev, CFG), score="score").first().auroc
+    assert abs(again - max(h[2] for h in history)) < 1e-12 and [h[:2] for h in history] == [(0, 1.0), (1, 0.03)]
+
+
 def test_model_roundtrip_and_score_range(spark, sf):
     c = fx.comments(spark, sf)
     model = ML.fit("ooc", c, CFG)

@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
@@ -166,18 +167,33 @@ def fit_with_dev_selection(regime: str, train: DataFrame, dev: DataFrame, grid:
                            key: str = "id") -> tuple[PipelineModel, list[tuple[int, float, float]]]:
     """Fit one model per regularisation strength in ``grid`` (strong to weak, like growing training
     budgets), score the dev part, stop after ``patience`` candidates without a dev-AUROC gain, and
-    return the best model with the (candidate, reg_param, dev_auroc) history."""
+    return the best model with the (candidate, reg_param, dev_auroc) history.
+
+    The feature stages have nothing to fit, so train and dev are featurised once, kept for the whole grid and
+    released afterwards."""
+    stages = build_pipeline(regime, cfg).getStages()
+    featurise, lr = PipelineModel(stages[:-1]), stages[-1]
+
+    def features(df: DataFrame) -> DataFrame:
+        return featurise.transform(prepare(regime, df, cfg, vectors, key)).select(key, "label", "weight", "features") \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+
+    own, held = features(train), features(dev)
     best_model, best_auc, history, stale = None, None, [], 0
-    for i, reg in enumerate(grid):
-        c = replace(cfg, reg_param=float(reg))
-        model = fit(regime, train, c, vectors, key)
-        dev_auc = M.auroc(predict(model, regime, dev, c, vectors, key), score="score").first()["auroc"]
-        history.append((i, float(reg), dev_auc))
-        # compared at 12 decimals, as in select_best
-        if best_auc is None or (dev_auc is not None and round(dev_auc, 12) > round(best_auc, 12)):
-            best_model, best_auc, stale = model, dev_auc, 0
-        else:
-            stale += 1
-            if stale >= patience:
-                break
-    return best_model, history
+    try:
+        for i, reg in enumerate(grid):
+            model = lr.copy({lr.regParam: float(reg)}).fit(own)
+            scored = model.transform(held).select("label", vector_to_array(F.col("probability"))[1].alias("score"))
+            dev_auc = M.auroc(scored, score="score").first()["auroc"]
+            history.append((i, float(reg), dev_auc))
+            # compared at 12 decimals, as in select_best
+            if best_auc is None or (dev_auc is not None and round(dev_auc, 12) > round(best_auc, 12)):
+                best_model, best_auc, stale = model, dev_auc, 0
+            else:
+                stale += 1
+                if stale >= patience:
+                    break
+    finally:
+        own.unpersist()
+        held.unpersist()
+    return PipelineModel([*featurise.stages, best_model]), history

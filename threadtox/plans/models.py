@@ -1,8 +1,12 @@
 """Registered queries: context regimes, selection, repeated experiments, transfer, persistence
-(M1-M9, X5, K4). Model outputs are checked on rows only, except ``select_best`` (a SQL window query)."""
+(M1-M9, X5, K4). Scores have no SQL form; what is deterministic of them has (which comments are scored, with which label,
+within [0, 1], equal after a reload), and ``select_best`` is a SQL window query."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -11,15 +15,17 @@ from threadtox.operators import models as ML
 from threadtox.operators import splits as S
 from threadtox.operators.features import binarize
 from threadtox.plans.evaluation import R9, SEED, r9, split_table, with_splits, with_text
+from threadtox.plans.io import CAP
 from threadtox.plans.registry import register
 from threadtox.plans.sql import SPLITS
-from threadtox.session import scratch_path
+from threadtox.session import materialized_once, scratch_path
 from threadtox.sources import fixtures as fx
+from threadtox.sources.files import capped_scan
 
-CFG = ML.TrainConfig(reg_param=0.05, max_iter=30, num_features=1 << 14)
-GRID = (1.0, 0.3, 0.1, 0.03, 0.01)
-PATIENCE = 2
-REPEATS = 2
+CFG = ML.TrainConfig()
+GRID = (1.0, 0.3, 0.1, 0.03, 0.01)   # regularisation strengths tried on the dev part, strong to weak
+PATIENCE = 3                          # candidates without a gain before the study stops
+REPEATS = 5                           # Monte-Carlo repetitions of the study
 
 
 def _parts(spark, d, split: int, setting: str = "gc"):
@@ -30,11 +36,16 @@ def _parts(spark, d, split: int, setting: str = "gc"):
     return train, dev, val
 
 
+def select(regime: str, train, dev, vectors=None):
+    """The model that does best on the dev part, as every experiment of the study picks it."""
+    return ML.fit_with_dev_selection(regime, train, dev, GRID, CFG, PATIENCE, vectors)[0]
+
+
 def _regime_query(regime: str):
     def build(spark, d):
-        train, _, val = _parts(spark, d, 0)
+        train, dev, val = _parts(spark, d, 0)
         vec = fx.word_vectors(spark, d) if regime == "inc_hybrid" else None
-        model = ML.fit(regime, train, CFG, vec)
+        model = select(regime, train, dev, vec)
         return ML.predict(model, regime, val, CFG, vec, keep=("split", "label"))
     build.__name__ = f"q_clf_{regime}"
     return build
@@ -49,8 +60,8 @@ register("clf_inc_hybrid", "M4", heavy=True)(_regime_query("inc_hybrid"))
 @register("predict", "M6", heavy=True)
 def q_predict(spark, d):
     """Batch scoring of every comment with a model fitted on one training part."""
-    train, _, _ = _parts(spark, d, 0)
-    model = ML.fit("ooc", train, CFG)
+    train, dev, _ = _parts(spark, d, 0)
+    model = select("ooc", train, dev)
     return ML.predict(model, "ooc", fx.comments(spark, d), CFG)
 
 
@@ -95,50 +106,82 @@ def q_select_best(spark, d):
                     F.col("stopped_at").cast("int").alias("stopped_at"), "evaluated")
 
 
-def mccv_experiment(spark, d, regime: str, setting: str, repeats: int = REPEATS, cfg=CFG):
-    """Train/dev from ``setting``, val always from gc; per-split AUROC and the long predictions."""
-    per_split, preds = [], None
+def _runs_at_once(jobs):
+    """Independent distributed fits side by side: each is many small jobs, which fill a cluster only together."""
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        return list(pool.map(lambda job: job(), jobs))
+
+
+def _one_run(spark, d, regime: str, setting: str, i: int, vec):
+    train, dev, val = _parts(spark, d, i, setting)
+    return ML.predict(select(regime, train, dev, vec), regime, val, CFG, vec, keep=("split", "label"))
+
+
+def mccv_experiment(spark, d, regime: str, setting: str, repeats: int = REPEATS):
+    """Train/dev from ``setting``, val always from gc: the long predictions (split, id, label, score) of all
+    repetitions, written once (the study keeps them), read by every evaluation."""
     vec = fx.word_vectors(spark, d) if regime == "inc_hybrid" else None
-    for i in range(repeats):
-        train, _, val = _parts(spark, d, i, setting)
-        model = ML.fit(regime, train, cfg, vec)
-        p = ML.predict(model, regime, val, cfg, vec, keep=("split", "label"))
-        preds = p if preds is None else preds.unionByName(p)
-    scores = M.auroc(preds, ["split"], score="score", n_keys=SPLITS)
-    return scores, preds
+    split_table(spark, d)
+
+    def build():
+        runs = _runs_at_once([lambda i=i: _one_run(spark, d, regime, setting, i, vec) for i in range(repeats)])
+        return reduce(lambda a, b: a.unionByName(b), runs)
+    return materialized_once(spark, ("predictions", d, regime, setting, repeats), build)
+
+
+def evaluate(preds):
+    """Per split: AUROC with its interval, and mean predicted against mean gold."""
+    auc = M.auroc_ci(preds, ["split"], score="score", n_keys=SPLITS)
+    return auc.join(M.calibration_in_large(preds, ["split"], score="score"), "split")
 
 
 @register("mccv_experiment", "M8 A2 A3", heavy=True)
 def q_mccv_experiment(spark, d):
-    scores, _ = mccv_experiment(spark, d, "ooc", "gn")
+    scores = M.auroc(mccv_experiment(spark, d, "ooc", "gn"), ["split"], score="score", n_keys=SPLITS)
     summary = M.mccv_summary(scores)
     return scores.withColumn("__one", F.lit(1)).join(F.broadcast(summary.withColumn("__one", F.lit(1))), "__one") \
         .drop("__one")
 
 
+@register("mccv_evaluation", "M8 A2 A10 A12", heavy=True)
+def q_mccv_evaluation(spark, d):
+    return evaluate(mccv_experiment(spark, d, "ooc", "gn"))
+
+
+# what is deterministic of the predictions: which comments are scored in which repetition, with which label, within [0, 1]
+@register("mccv_predictions", "M6 M8 K2", with_splits(
+    f"""SELECT id, split, label, true AS in_range FROM split_table
+        WHERE setting = 'gc' AND part = 'val' AND split < {REPEATS}"""), heavy=True)
+def q_mccv_predictions(spark, d):
+    p = mccv_experiment(spark, d, "ooc", "gn")
+    return p.select("id", "split", "label", F.col("score").between(0.0, 1.0).alias("in_range"))
+
+
+MATRIX = (("gn", "ooc"), ("gc", "ooc"), ("gc", "inc_concat"), ("gc", "inc_pair"), ("gc", "inc_hybrid"))
+
+
 @register("regime_matrix", "M9", heavy=True)
 def q_regime_matrix(spark, d):
-    runs = [("gn", "ooc"), ("gc", "ooc"), ("gc", "inc_concat"), ("gc", "inc_pair"), ("gc", "inc_hybrid")]
-    out = None
-    for setting, regime in runs:
-        scores, _ = mccv_experiment(spark, d, regime, setting, repeats=1)
-        s = M.mccv_summary(scores).select(F.lit(setting).alias("setting"), F.lit(regime).alias("regime"), "*")
-        out = s if out is None else out.unionByName(s)
-    return out
+    out = []
+    for setting, regime in MATRIX:
+        scores = M.auroc(mccv_experiment(spark, d, regime, setting), ["split"], score="score", n_keys=SPLITS)
+        out.append(M.mccv_summary(scores).select(F.lit(setting).alias("setting"), F.lit(regime).alias("regime"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
-@register("transfer_eval", "M5 S4 P1 P4 X2", heavy=True)
+@register("transfer_eval", "M5 S4 X4 P1 P4 X2", heavy=True)
 def q_transfer_eval(spark, d):
-    corpus = fx.cctk(spark, d).select("id", F.col("comment_text").alias("text"), F.lit(None).cast("string").alias("parent"),
+    corpus = capped_scan(fx.cctk(spark, d), CAP).select("id", F.col("comment_text").alias("text"), F.lit(None).cast("string").alias("parent"),
                                       binarize(F.col("target")).alias("label"))
-    train = S.holdout_split(corpus, test_size=0.1, seed=SEED).where(F.col("part") == "train")
-    model = ML.fit("ooc", train, CFG)
+    parts = S.holdout_split(corpus, test_size=0.1, seed=SEED)
+    model = select("ooc", parts.where(F.col("part") == "train"), parts.where(F.col("part") == "dev"))
     val = with_text(spark, d, split_table(spark, d).where((F.col("setting") == "gc") & (F.col("part") == "val")))
     preds = ML.predict(model, "ooc", val, CFG, keep=("split", "label"))
     return M.auroc(preds, ["split"], score="score", n_keys=SPLITS)
 
 
-@register("model_roundtrip", "K4", heavy=True)
+@register("model_roundtrip", "K4", with_splits(
+    """SELECT id, true AS same FROM split_table WHERE setting = 'gc' AND split = 0 AND part = 'val'"""), heavy=True)
 def q_model_roundtrip(spark, d):
     train, _, val = _parts(spark, d, 0)
     model = ML.fit("ooc", train, CFG)
@@ -147,5 +190,5 @@ def q_model_roundtrip(spark, d):
     again = PipelineModel.load(path)
     a = ML.predict(model, "ooc", val, CFG).select("id", F.col("score").alias("score"))
     b = ML.predict(again, "ooc", val, CFG).select("id", F.col("score").alias("score_reloaded"))
-    return a.join(b, "id")
+    return a.join(b, "id").select("id", (F.col("score") == F.col("score_reloaded")).alias("same"))
 
