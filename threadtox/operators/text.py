@@ -132,8 +132,11 @@ def parse_word_vectors(lines: DataFrame, line: str = "value", order: Column | No
 
 
 def read_word_vectors(spark, path: str) -> DataFrame:
-    """Text file of word vectors -> word, vector."""
-    return parse_word_vectors(spark.read.text(path))
+    """Text files of word vectors -> word, vector; of a word listed twice the last line counts, in the order of file
+    name, place in the file, line (a file that is read in several pieces keeps its order)."""
+    lines = spark.read.text(path).select("value", F.struct(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("__order"))
+    return parse_word_vectors(lines, order=F.col("__order"))
 
 
 def embedding_lookup(vocab: DataFrame, vectors: DataFrame, dim: int, word: str = "word") -> DataFrame:

@@ -101,6 +101,19 @@ def q_balanced_downsample(spark, d):
     return b.select("setting", "id", "label")
 
 
+@register("balanced_splits", "X3 X1", fx.with_fixtures(
+    f"""WITH balanced AS (SELECT * EXCLUDE (rn, m, n) FROM (
+          SELECT *, row_number() OVER (PARTITION BY setting, label ORDER BY md5(concat_ws(':', {SEED}, 'balance', id)), id) AS rn,
+                 min(n) OVER () AS m
+          FROM (SELECT *, count(*) OVER (PARTITION BY setting, label) AS n FROM settings) x) y WHERE rn <= m),
+        split_table AS ({split_table_sql('balanced')})
+        SELECT setting, split, part, id, label FROM split_table""", "settings"))
+def q_balanced_splits(spark, d):
+    """The study's balanced experiment: splits drawn over the downsampled set."""
+    b = S.balanced_downsample(fx.comment_settings(spark, d).select("id", "setting", "label"), seed=SEED, by=["setting"])
+    return S.mccv_split(b, splits=SPLITS, seed=SEED, test_size=TEST_SIZE).select("setting", "split", "part", "id", "label")
+
+
 @register("pooled_eval_set", "U1 U2 W2", with_splits(
     f"""SELECT id, split, label, api FROM (
           SELECT *, row_number() OVER (PARTITION BY id ORDER BY split) AS rn FROM split_table

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadtox.plans.evaluation import gc_val, split_table, with_splits
+from threadtox.plans.evaluation import gc_val, q_predictions_wide, split_table, with_splits
 from threadtox.plans.features import _pair_sql, q_pair_features
 from threadtox.plans.registry import register
+from threadtox.plans.sql import SPLITS
 from threadtox.session import scratch_path
 from threadtox.sources import fixtures as fx
 from threadtox.sources import files, sinks
@@ -74,6 +75,35 @@ def q_sink_predictions(spark, d):
     return spark.read.parquet(path).select("run", "model", "split", "id", "label", "score")
 
 
+_WIDE = ", ".join(f"max(CASE WHEN split = {i} THEN api END) AS {{p}}{i}" for i in range(SPLITS))
+
+
+def _wide(spark, d, prefix: str):
+    path = scratch_path(spark, "predictions-wide")
+    sinks.write_predictions_wide(q_predictions_wide(spark, d), path, prefix)
+    return spark.read.parquet(path)
+
+
+@register("sink_predictions_wide", "K2 U3", with_splits(
+    f"SELECT id, {_WIDE.format(p='split')} FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY id"))
+def q_sink_predictions_wide(spark, d):
+    return _wide(spark, d, "split")
+
+
+@register("sink_predictions_transfer", "K2 U3 M5", with_splits(
+    f"SELECT id, {_WIDE.format(p='MCCV_')} FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY id"))
+def q_sink_predictions_transfer(spark, d):
+    return _wide(spark, d, "MCCV_")
+
+
+@register("sink_gold_pred", "K2", with_splits(
+    "SELECT split, label AS gold, api AS pred FROM split_table WHERE setting = 'gc' AND part = 'val'"))
+def q_sink_gold_pred(spark, d):
+    path = scratch_path(spark, "gold-pred")
+    sinks.write_gold_pred(gc_val(spark, d).select("split", "label", F.col("api").alias("score")), path)
+    return spark.read.parquet(path).select("split", "gold", "pred")
+
+
 def _features_sql() -> str:
     body = _pair_sql()
     head, tail = body.rsplit("SELECT q.id,", 1)

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from threadtox.functions.hashing import duckdb_uniform as U
 from threadtox.operators.context import context_concat
 from threadtox.operators.scoring import MAX_CHARS, external_score
+from threadtox.plans.evaluation import split_text, with_splits
 from threadtox.plans.registry import register
 from threadtox.sources import fixtures as fx
 
 
-def _stub_sql(text_expr: str) -> str:
+def _stub_sql(text_expr: str, source: str = "gc") -> str:
     capped = f"substr({text_expr}, 1, {MAX_CHARS})"
     return f"""SELECT id,
         CASE WHEN t IS NULL OR uf < 0.02::DOUBLE THEN -1.0::DOUBLE ELSE round(u, 9) END AS score,
         CASE WHEN t IS NULL OR uf < 0.02::DOUBLE THEN 'failed' WHEN uf < 0.1::DOUBLE THEN 'retried' ELSE 'ok' END AS status
-      FROM (SELECT id, {text_expr} AS t, {U(f"concat('f', {capped})")} AS uf, {U(capped)} AS u FROM gc)"""
+      FROM (SELECT id, {text_expr} AS t, {U(f"concat('f', {capped})")} AS uf, {U(capped)} AS u FROM {source})"""
 
 
 def _rounded(df):
@@ -36,3 +37,20 @@ def q_external_score(spark, d):
 def q_external_score_context(spark, d):
     c = fx.comments(spark, d)
     return _rounded(external_score(c, context_concat(F.col("parent"), F.col("text"))))
+
+
+SCORED_SPLIT = 2
+
+
+def score_split(spark, d, split: int, context: bool, part: str = "val"):
+    """Scores of one repetition's part, of the text alone or after its parent."""
+    c = split_text(spark, d, split, "gc", part)
+    return external_score(c, context_concat(F.col("parent"), F.col("text")) if context else F.col("text"))
+
+
+_SCORED = f"(SELECT * FROM split_table WHERE setting = 'gc' AND part = 'val' AND split = {SCORED_SPLIT})"
+
+
+@register("external_score_split", "E2 P2", with_splits(_stub_sql("parent || text", _SCORED)))
+def q_external_score_split(spark, d):
+    return _rounded(score_split(spark, d, SCORED_SPLIT, context=True))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from threadtox.functions.text import pad_pre, pad_pre_sql, word_tokens, word_tokens_sql
 from threadtox.operators import text as T
+from threadtox.operators.context import vocabulary_text
 from threadtox.plans.evaluation import split_text, with_splits
 from threadtox.plans.registry import register
 from threadtox.plans.sql import split_table_sql
-from threadtox.session import materialized_once
+from threadtox.session import materialized_once, scratch_path
 from threadtox.sources import fixtures as fx
 
 SEQ_LEN = 512   # tokens the study's recurrent classifier reads
@@ -92,6 +93,52 @@ def q_scan_word_vectors(spark, d):
     return T.parse_word_vectors(lines, order=F.col("__order"))
 
 
+@register("scan_word_vector_file", "S5", fx.with_fixtures("SELECT word, vector FROM word_vectors", "word_vectors"))
+def q_scan_word_vector_file(spark, d):
+    """The vectors from text files in which every word stands twice, first with zeros: its last line wins."""
+    def line(vector):
+        return F.concat_ws(" ", "word", F.concat_ws(" ", F.transform(vector, lambda x: x.cast("string"))))
+    twice = fx.word_vectors(spark, d).select("word", F.explode(F.array(
+        F.struct(F.lit(0).alias("k"), line(F.transform("vector", lambda x: x * 0)).alias("value")),
+        F.struct(F.lit(1).alias("k"), line(F.col("vector")).alias("value")))).alias("l"))
+    path = scratch_path(spark, "word-vectors")
+    # a word's two lines lie in one file, the zeros first
+    twice.repartition(4, "word").sortWithinPartitions("l.k", "word").select("l.value").write.text(path)
+    return T.read_word_vectors(spark, path)
+
+
+def _augmented_vocab(spark, d):
+    """Vocabulary over text followed by parent, as the context-aware classifiers fit it."""
+    def build():
+        train = split_text(spark, d, 0, "gc", "train")
+        return T.word_index(train.select("id", vocabulary_text(F.col("text"), F.col("parent"), augmented=True).alias("text")))
+    return materialized_once(spark, ("augmented_vocab", d), build)
+
+
+def _branch_sql(col: str) -> str:
+    return f"""(SELECT t.id, list(v.word_id ORDER BY t.pos) AS seq FROM (
+        SELECT id, unnest(tk) AS word, generate_subscripts(tk, 1) AS pos
+        FROM (SELECT id, COALESCE({word_tokens_sql(col)}, []) AS tk FROM gc)) t
+      JOIN augmented_vocab v ON t.word = v.word GROUP BY t.id)"""
+
+
+@register("parent_sequences", "P3 J3 F2", with_splits(
+    f"""WITH augmented_vocab AS (
+    SELECT word, row_number() OVER (ORDER BY freq DESC, fk) AS word_id FROM (
+      SELECT word, count(*) AS freq, min(id * 10000000 + pos) AS fk FROM (
+        SELECT id, unnest(tk) AS word, generate_subscripts(tk, 1) AS pos
+        FROM (SELECT id, COALESCE({word_tokens_sql('text || parent')}, []) AS tk FROM split_table
+              WHERE setting = 'gc' AND split = 0 AND part = 'train')) GROUP BY word))
+    SELECT g.id, {pad_pre_sql('COALESCE(a.seq, [])', SEQ_LEN)} AS text_seq, {pad_pre_sql('COALESCE(b.seq, [])', SEQ_LEN)} AS parent_seq
+    FROM gc g LEFT JOIN {_branch_sql('text')} a ON a.id = g.id LEFT JOIN {_branch_sql('parent')} b ON b.id = g.id"""))
+def q_parent_sequences(spark, d):
+    """Both branches of the context-aware classifiers: text and parent encoded with one augmented vocabulary."""
+    vocab = _augmented_vocab(spark, d)
+    s = T.texts_to_sequences(fx.comments(spark, d), vocab, out="a")
+    s = T.texts_to_sequences(s, vocab, text="parent", out="b")
+    return s.select("id", pad_pre(F.col("a"), SEQ_LEN).alias("text_seq"), pad_pre(F.col("b"), SEQ_LEN).alias("parent_seq"))
+
+
 _POOL_SQL = f"""WITH toks AS (SELECT id, {word_tokens_sql('text')} AS tk FROM gc),
   hits AS (SELECT t.id, v.vector FROM (SELECT id, unnest(tk) AS word FROM toks) t JOIN word_vectors v ON t.word = v.word),
   dims AS (SELECT id, generate_subscripts(vector, 1) AS dim, unnest(vector) AS x FROM hits),

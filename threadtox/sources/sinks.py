@@ -32,6 +32,18 @@ def write_predictions(pred: DataFrame, path: str, run: str, mode: str = "errorif
     pred.withColumn("run", F.lit(run)).write.mode(mode).partitionBy("run").parquet(path)
 
 
+def write_predictions_wide(wide: DataFrame, path: str, prefix: str = "split", mode: str = "errorifexists") -> None:
+    """Wide predictions: one row per id, one column per repetition (``split0`` .., or ``MCCV_0`` .. for a transfer run)."""
+    renamed = {c: prefix + c.removeprefix("split") for c in wide.columns if c.startswith("split")}
+    wide.withColumnsRenamed(renamed).write.mode(mode).parquet(path)
+
+
+def write_gold_pred(pred: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """(gold, pred) pairs of a run, one row per scored comment, a folder per repetition."""
+    pred.select("split", F.col("label").alias("gold"), F.col("score").alias("pred")) \
+        .write.mode(mode).partitionBy("split").parquet(path)
+
+
 def feature_records(features: DataFrame) -> DataFrame:
     """Encoder features as int64 lists: input_ids, input_mask, segment_ids, label_ids (one element),
     is_real_example (one element, 1 for real rows)."""
