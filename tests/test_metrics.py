@@ -48,7 +48,7 @@ def test_auroc_random_against_brute_force(spark):
     rnd = random.Random(7)
     labels = [rnd.random() < 0.3 for _ in range(400)]
     scores = [round(rnd.random() * 0.6 + 0.4 * l * rnd.random(), 2) for l in labels]
-    a = M.auroc(frame(spark, labels, scores), buckets=8).first().auroc
+    a = M.auroc(frame(spark, labels, scores)).first().auroc
     assert a == pytest.approx(brute_auc(labels, scores), abs=1e-12)
 
 
@@ -123,3 +123,28 @@ def test_mccv_summary_sem(spark):
     r = M.mccv_summary(df).first()
     assert r.mean == pytest.approx(0.7)
     assert r.sem == pytest.approx(np.std([0.6, 0.7, 0.8], ddof=1) / math.sqrt(3))
+
+
+def test_score_buckets_keep_the_order_and_spread_crowded_scores(spark):
+    import math
+    import random
+    r = random.Random(5)
+    special = [0.0, -0.0, 5e-324, -5e-324, 1.0, -1.0, 2.0**60, 2.0**-60, float("inf"), float("-inf"), 1e308, -1e308]
+    edges = [math.nextafter(2.0**k, d) for k in range(-30, 30) for d in (0, 10**9)] + [2.0**k for k in range(-30, 30)]
+    values = sorted([*special, *edges, *[-e for e in edges], *[r.gauss(0, 4) for _ in range(2000)], *[r.uniform(0.001, 0.002) for _ in range(2000)]])
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan")]], "s double").coalesce(1)
+    got = [x.b for x in df.select(M.score_bucket(F.col("s")).alias("b")).collect()]
+    assert got == sorted(got)
+    near_zero = {b for b, v in zip(got, values) if 0.001 <= v <= 0.002}
+    assert len(near_zero) > 50 and len({b for b, v in zip(got, values) if 0.5 <= abs(v) <= 8}) > 200
+
+
+def test_auroc_of_logits_and_of_crowded_scores(spark):
+    import random
+    r = random.Random(6)
+    for make in (lambda: r.gauss(0, 5), lambda: r.uniform(0.001, 0.002), lambda: r.choice([0.0, -0.0, 1e-9, -3.0, 700.0])):
+        rows = [(make(), int(r.random() < 0.4)) for _ in range(400)]
+        pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        got = M.auroc(spark.createDataFrame(rows, "score double, label int"), [], score="score").first().auroc
+        assert abs(got - want) < 1e-12

@@ -18,3 +18,7 @@ def test_stream_scores_equal_batch_scores(spark, sf):
     streamed = {r.id: r.score for r in spark.read.parquet(out).collect()}
     batch = {r.id: r.score for r in ML.predict(model, "ooc", c, CFG).collect()}
     assert streamed == batch
+    # a restart of the same call finds its checkpoint: nothing is scored again
+    again = ST.write_scores(ST.score_stream(ST.read_comment_stream(spark, src, 10), model, "ooc", CFG), out, trigger_once=True)
+    again.awaitTermination(300)
+    assert spark.read.parquet(out).count() == len(batch)

@@ -30,29 +30,36 @@ def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
             .drop("__one"))
 
 
-BROADCAST_OFFSETS = 1 << 20  # largest (keys x buckets) offset table that is broadcast
+BUCKETS_PER_OCTAVE = 64
+
+
+def score_bucket(score: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
+    """A monotone coarsening of any double: ``per_octave`` buckets between two powers of two, on both sides of 0.
+
+    Like a double's leading bits it follows the magnitude of the scores, so probabilities crowded near 0 and logits
+    spread as evenly as scores over [0, 1]. NaN comes last, as in Spark's order. At most 4 200 * per_octave values."""
+    size = F.abs(score)
+    octave = F.floor(F.log2(size))
+    # octave * n + (size / 2^octave - 1) * n has no step at a power of two: an octave that is off by one there
+    # (rounding of log2) gives the same bucket
+    place = octave * per_octave + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * per_octave) + 1100 * per_octave
+    top = 1 << 40
+    return (F.when(F.isnan(score), F.lit(top + 1)).when(score == float("inf"), F.lit(top)).when(score == float("-inf"), F.lit(-top))
+            .when(score == 0, F.lit(0)).when(score > 0, place).otherwise(-place)).cast("long")
 
 
 def score_table(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label",
-                buckets: int = 1024, n_keys: int | None = None) -> DataFrame:
+                n_keys: int | None = None) -> DataFrame:
     """One row per (keys, distinct score): pos, neg, pos_below, neg_below (strictly lower scores), P, N.
 
-    ``n_keys`` bounds the number of key groups when the caller knows it from parameters (splits,
-    replicates); the bucket-offset table (n_keys x buckets rows) is then broadcast while it stays within
-    ``BROADCAST_OFFSETS``. Without keys there is one group."""
+    ``n_keys`` is kept for callers; how the bucket offsets are joined is left to AQE, which sees their size."""
     keys = list(keys)
-    if not keys:
-        n_keys = 1
-    bounded = n_keys is not None and n_keys * buckets <= BROADCAST_OFFSETS
     g = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
          .groupBy(*keys, F.col(score).alias("score"))
          .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
               F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg")))
-    # Monotone score range buckets (scores are probabilities; values outside [0, 1] are clamped into the
-    # end buckets, which keeps the order and so the exactness, only with less spread).
-    bucket = F.least(F.greatest(F.floor(F.col("score") * F.lit(float(buckets))), F.lit(0)), F.lit(buckets - 1))
-    rt = running_totals(g, keys, [F.col("score")], [bucket],
-                        {"pos_below": F.col("pos"), "neg_below": F.col("neg")}, totals=True, bounded_buckets=bounded)
+    rt = running_totals(g, keys, [F.col("score")], [score_bucket(F.col("score").cast("double"))],
+                        {"pos_below": F.col("pos"), "neg_below": F.col("neg")}, totals=True)
     return rt.withColumnRenamed("total_pos_below", "P").withColumnRenamed("total_neg_below", "N")
 
 
@@ -62,7 +69,7 @@ def _degenerate(value: Column, ok: Column, degenerate: str) -> Column:
 
 
 def auroc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-          degenerate: str = "null", buckets: int = 1024, n_keys: int | None = None) -> DataFrame:
+          degenerate: str = "null", n_keys: int | None = None) -> DataFrame:
     """Exact area under the ROC curve per group: keys, n_pos, n_neg, auroc.
 
     auroc = sum over positives of (#negatives scored lower + half the tied negatives) / (P * N), with the
@@ -70,7 +77,7 @@ def auroc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label:
     group that lacks one class: 'null' (default), 'one' or 'zero'.
     """
     keys = list(keys)
-    st = score_table(df, keys, score, label, buckets, n_keys)
+    st = score_table(df, keys, score, label, n_keys)
     num = F.col("pos").cast("decimal(38,0)") * (F.lit(2) * F.col("neg_below") + F.col("neg")).cast("decimal(38,0)")
     agg = st.groupBy(*keys).agg(F.sum(num).alias("__num"), F.first("P").alias("n_pos"), F.first("N").alias("n_neg"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
@@ -80,7 +87,7 @@ def auroc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label:
 
 
 def auroc_ci(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-             level_z: float = Z_95, buckets: int = 1024, n_keys: int | None = None) -> DataFrame:
+             level_z: float = Z_95, n_keys: int | None = None) -> DataFrame:
     """AUROC with DeLong's variance and a normal interval (clipped to [0, 1]).
 
     Per positive: V10 = (negatives below + half tied) / N; per negative: V01 = (positives above + half
@@ -88,7 +95,7 @@ def auroc_ci(df: DataFrame, keys: Sequence[str] = (), score: str = "score", labe
     the same component, so the sums run over the score table, weighted by counts.
     """
     keys = list(keys)
-    st = score_table(df, keys, score, label, buckets, n_keys)
+    st = score_table(df, keys, score, label, n_keys)
     n_pos, n_neg = F.col("P").cast("double"), F.col("N").cast("double")
     # guarded divisions: a group missing a class gets nulls instead of a division error
     v10 = F.when(F.col("N") > 0, (F.col("neg_below") + F.lit(0.5) * F.col("neg")) / n_neg)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from threadtox.operators import models as ML
-from threadtox.session import scratch_path
 from threadtox.sources.files import COMMENT_SCHEMA
 
 
@@ -33,9 +32,9 @@ def score_stream(stream: DataFrame, model: PipelineModel, regime: str = "ooc",
 
 def write_scores(scored: DataFrame, out_path: str, checkpoint: str | None = None,
                  trigger_once: bool = False) -> StreamingQuery:
-    """Append scores as parquet; the checkpoint defaults to a fresh folder under the shared one."""
-    spark = scored.sparkSession
-    ckpt = checkpoint or scratch_path(spark, "stream-ckpt")
+    """Append scores as parquet. The checkpoint defaults to a folder beside the output (``<out_path>-checkpoint``), so the
+    same call after a restart goes on where the query stopped and scores no file twice."""
+    ckpt = checkpoint or out_path.rstrip("/") + "-checkpoint"
     w = scored.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ckpt) \
         .outputMode("append")
     if trigger_once:
