@@ -178,9 +178,9 @@ def masked_mean_pool(df: DataFrame, vectors: DataFrame, dim: int | Column, token
     hits = ex.join(vec, "word", "left").withColumn("__v", F.coalesce("__v", array_to_vector(zero)))
     sums = hits.groupBy(*at).agg(Summarizer.sum(F.col("__v"), F.col("__n")).alias("__s"), F.sum("__rows").alias("__rows"))
     sums = sums.select(*at, vector_to_array(F.col("__s")).alias("__sum"), "__rows")
-    r = join_content(d, sums, key)
-    total = F.coalesce(F.transform("__sum", lambda x: x / F.col("__rows")), zero)
-    pooled = F.transform(total, lambda x: x / (F.size(tokens).cast("double") + F.lit(POOL_EPS)))
+    # a column of its own: ``zero`` may hold a subquery, which a higher-order function cannot take
+    r = join_content(d, sums, key).withColumn("__total", F.coalesce(F.transform("__sum", lambda x: x / F.col("__rows")), zero))
+    pooled = F.transform("__total", lambda x: x / (F.size(tokens).cast("double") + F.lit(POOL_EPS)))
     return r.select(key, pooled.alias(out))
 
 
