@@ -16,8 +16,7 @@ How the join is kept small:
   (A, B) of the list: if A and B share no shingle outside the centre p, their overlap is at most
   min(|A & p|, |B & p|). So what is left of a list are pairs whose sizes and overlaps allow a link by that
   bound (joined by size, not by list), and pairs that share a shingle outside the centre, which are posted
-  once more under these shingles only. Members that were not compared with the centre (too different in
-  size) are joined with the rest of the list.
+  once more under these shingles only.
 * Groups: a pair inside one component cannot change any group, so it is not looked at again.
 
 No link between different groups is lost by this, and a group of n near copies costs about n pairs, not
@@ -130,11 +129,10 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, match: int, p
         return classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"),
                               F.col("doc_id").alias(f"id_{x}"), F.col("set_id").alias(f"set_{x}"))
 
-    agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
     texts = typed(docs, doc_id="long", text="string").filter("doc_id IS NOT NULL")
     found = pairs.join(side("a"), "a").join(side("b"), "b")
     if match:
-        found = found.filter(agree >= match)
+        found = found.filter(_agreements("sig_a", "sig_b") >= match)
     found = found.drop("sig_a", "sig_b")
     for x in "ab":
         found = found.join(texts.select(F.col("doc_id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}")), f"id_{x}")
@@ -209,9 +207,12 @@ def with_roots(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(open_lists, "pair")
 
 
-def _centre_pairs(lists: DataFrame, centre: DataFrame, percent: int) -> DataFrame:
-    return lists.join(centre, "pair").filter("root <> c.root").filter(_near_in_size(F.col("n"), F.col("c.n"), percent)) \
-        .select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+def _centre_pairs(lists: DataFrame, centre: DataFrame) -> DataFrame:
+    return lists.join(centre, "pair").filter("root <> c.root").select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+
+
+def _agreements(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
 def links(classes: DataFrame, docs: DataFrame, percent: int, coords: int, match: int, size: int) -> DataFrame | None:
@@ -222,29 +223,19 @@ def links(classes: DataFrame, docs: DataFrame, percent: int, coords: int, match:
     def only_links(compared: DataFrame) -> DataFrame:
         return compared.filter("linked").select("a", "b")
 
-    def across(lists: DataFrame, extra=None) -> DataFrame:
-        x, y = lists.alias("x"), lists.alias("y")
-        cond = F.expr("x.pair = y.pair AND x.node < y.node AND x.root <> y.root") & _near_in_size(F.col("x.n"), F.col("y.n"), percent)
-        return x.join(y, cond if extra is None else cond & extra).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
     lists = materialize(postings(classes, coords, match), "postings")
     if lists.isEmpty():
         return None
     centre = few_files(centres(lists.withColumn("root", F.col("node"))), "centres")
-    first = confirmed(_centre_pairs(lists.withColumn("root", F.col("node")), centre, percent), 0)
+    first = confirmed(_centre_pairs(lists.withColumn("root", F.col("node")), centre), 0)
     edges = only_links(first)
     roots = components(edges)
 
     # what the comparison with centre p says of each member of its lists; p itself is wholly inside p
     measured = first.select(F.col("a").alias("node"), F.col("b").alias("p"), F.col("n_a").alias("n"), "both", "linked") \
         .unionAll(centre.select("c.node", "c.n").distinct().select("node", F.col("node").alias("p"), "n", F.col("n").alias("both"), F.lit(True).alias("linked")))
-    measured = few_files(measured.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "measured")
-
-    # members not compared with the centre of a list they share
-    left = with_roots(lists, roots).join(centre.select("pair", F.col("c.node").alias("p")), "pair") \
-        .join(measured.select("node", "p", F.lit(True).alias("seen")), ["node", "p"], "left")
-    left = few_files(left.select("pair", "node", "n", "root", F.coalesce("seen", F.lit(False)).alias("seen")), "lists")
-    unseen = across(left, F.expr("NOT (x.seen AND y.seen)"))
+    measured = few_files(measured.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                         .join(classes.select("node", "sig"), "node"), "measured")
 
     # pairs that share nothing outside p: (100 + percent) * min(both) >= percent * (n + n), by size
     x = measured.filter("NOT linked") \
@@ -252,23 +243,28 @@ def links(classes: DataFrame, docs: DataFrame, percent: int, coords: int, match:
         .withColumn("most_m", F.expr(f"{100 + percent} * both div {percent} - n")).filter("least_m <= most_m") \
         .withColumn("m", F.explode(F.sequence("least_m", "most_m"))).alias("x")
     y = measured.alias("y")
-    allowed = x.join(y, F.expr(f"x.p = y.p AND x.m = y.n AND x.root <> y.root AND {100 + percent} * least(x.both, y.both) >= {percent} * (x.n + y.n)")) \
+    allowed = x.join(y, F.expr(f"x.p = y.p AND x.m = y.n AND x.root <> y.root AND {100 + percent} * least(x.both, y.both) >= {percent} * (x.n + y.n)")
+                     & (_agreements("x.sig", "y.sig") >= match)) \
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     # pairs that share shingles outside p: their rarest, with what can still follow the first shared one
     lists = few_files(with_roots(outside_postings(first, percent), roots), "lists")
-    follow = F.expr(f"{percent} * (x.n + y.n) <= {100 + percent} * (least(x.both, y.both) + 1 + least(x.after, y.after))")
-    beyond = across(lists, follow)
+    x, y = lists.alias("x"), lists.alias("y")
+    follow = F.expr("x.pair = y.pair AND x.node < y.node AND x.root <> y.root"
+                    f" AND {percent} * (x.n + y.n) <= {100 + percent} * (least(x.both, y.both) + 1 + least(x.after, y.after))")
+    first_shared = ~F.arrays_overlap("x.before", "y.before")
+    beyond = x.join(y, follow & _near_in_size(F.col("x.n"), F.col("y.n"), percent) & first_shared).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
-    second = confirmed(unseen.unionAll(allowed).unionAll(beyond).distinct(), match)
+    second = confirmed(allowed.unionAll(beyond).distinct(), match)
     return edges.unionAll(only_links(second))
 
 
 def outside_postings(compared: DataFrame, percent: int) -> DataFrame:
-    """Postings (pair, node, n, both, after) of each node's shingles outside a centre, rarest first.
+    """Postings (pair, node, n, both, after, before) of each node's shingles outside a centre, rarest first.
 
     A link needs ``need`` shared shingles outside the centre beside those inside it, so the rarest
-    ``outside - need + 1`` shingles suffice; ``after`` counts those that follow in the same order.
+    ``outside - need + 1`` shingles suffice; ``after`` counts those that follow in the same order. ``before`` has up to
+    16 that precede: two nodes that share one of these meet there already.
     """
     u = compared.select(F.col("a").alias("node"), F.col("b").alias("p"), F.col("n_a").alias("n"), "both", "outside") \
         .withColumn("u", F.size("outside").cast("long"))
@@ -279,8 +275,9 @@ def outside_postings(compared: DataFrame, percent: int) -> DataFrame:
         .withColumn("alone", F.col("u") - F.size("own")) \
         .withColumn("need", F.expr(f"greatest(1, ({percent} * (n + ({percent} * n + 99) div 100) + {99 + percent}) div {100 + percent} - both)"))
     return own.withColumn("take", F.expr("cast(greatest(0, least(u - need + 1 - alone, size(own))) as int)")) \
-        .select("node", "n", "both", "u", "alone", F.posexplode(F.expr("slice(own, 1, take)")).alias("i", "x")) \
-        .select(F.col("x.pair").alias("pair"), "node", "n", "both", F.expr("u - alone - i - 1").alias("after"))
+        .select("node", "n", "both", "u", "alone", "own", F.posexplode(F.expr("slice(own, 1, take)")).alias("i", "x")) \
+        .select(F.col("x.pair").alias("pair"), "node", "n", "both", F.expr("u - alone - i - 1").alias("after"),
+                F.expr("transform(slice(own, greatest(1, i - 15), least(i, 16)), x -> x.pair)").alias("before"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, coords: int = 48, match: int = 28, size: int = SHINGLE) -> DataFrame:
