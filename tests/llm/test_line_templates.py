@@ -70,3 +70,15 @@ def test_empty_table_and_no_python(spark):
     assert lt.drop_templates(docs(spark, [])).count() == 0
     plan = lt.drop_templates(docs(spark, corpus()))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow|Cartesian", plan)
+
+
+def _holders(spark, line, n, **options):
+    rows = [(10 + i, f"{'first' if i else 'other'} own{'abcdefgh'[i]} line\n{line}") for i in range(n)]
+    return [r.doc_id for r in lt.drop_templates(docs(spark, rows), **options).orderBy("doc_id").collect() if line in r.text.split("\n")]
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_long_passages_go_from_two_documents_on(spark, n):
+    words = " ".join("abcdefghij"[i % 10] + "klmnopqrst"[i // 10] for i in range(60))
+    assert _holders(spark, words, n) == [10]
+    assert _holders(spark, " ".join(words.split()[:20]), n) == [10 + i for i in range(n)]

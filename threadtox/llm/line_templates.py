@@ -5,10 +5,11 @@ as the variable ``<*>``. Within such a leaf a token is constant at its place if
 at least ``min_docs`` documents, else it is a variable field too. A line's template is its tokens with the variable
 ones as ``<*>``; it counts as a template if at least ``min_share`` percent of its tokens are constant. A template
 that recurs in ``min_docs`` documents or more stays in the document with the smallest ``doc_id`` and is dropped from
-all others, so nothing vanishes from the corpus as a whole.
+all others, so nothing vanishes from the corpus as a whole. For lines of ``long_tokens`` tokens or more all three
+counts (leaf, constant token, template) need only ``long_docs`` documents: a long passage is no chance repeat.
 
 Work follows the repetition in the corpus: first only hashes of leaves and lines are counted; only lines of leaves
-that occur in ``min_docs`` documents are parsed into tokens, each distinct line once. Counts are pre-aggregated
+that occur in enough documents are parsed into tokens, each distinct line once. Counts are pre-aggregated
 before every shuffle, so a line of a third of all documents is one row a task. Joins on a hot line have that line's
 template on the other side once, where Spark's skew join can split it. The list of leaves is broadcast only if a
 count shows at most ``max_broadcast`` of them (16 bytes each), else it is joined by shuffle.
@@ -38,28 +39,35 @@ def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
 
 
+def _need(n_tokens: Column, min_docs: int, long_docs: int, long_tokens: int) -> Column:
+    """Documents that a line of so many tokens must stand in."""
+    return F.when(n_tokens >= long_tokens, min(min_docs, long_docs)).otherwise(min_docs)
+
+
 def lines_of(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc, line, id, leaf): the distinct lines of each row that have tokens, with hashes of the line and its leaf."""
+    """(doc, line, id, leaf, n_tokens): the distinct lines of each row that have tokens, with hashes of the line and its leaf."""
     lines = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL") \
         .select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")) \
         .withColumn("tokens", _tokens(F.col("line"))).filter(F.size("tokens") > 0)
     lead = _masked(F.slice("tokens", 1, depth))
     return lines.select("doc", "line", F.xxhash64("line").alias("id"),
-                        F.xxhash64(F.size("tokens"), F.concat_ws(" ", lead)).alias("leaf"))
+                        F.xxhash64(F.size("tokens"), F.concat_ws(" ", lead)).alias("leaf"), F.size("tokens").alias("n_tokens"))
 
 
-def templates(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_share: int = 80, max_broadcast: int = 1_000_000) -> DataFrame:
-    """(id, template, n_tokens, n_constant) of every distinct line in a leaf that ``min_docs`` documents have."""
+def templates(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_share: int = 80, max_broadcast: int = 1_000_000,
+              long_docs: int = 2, long_tokens: int = 50) -> DataFrame:
+    """(id, template, n_tokens, n_constant) of every distinct line in a leaf that enough documents have."""
+    need = _need(F.col("n_tokens"), min_docs, long_docs, long_tokens)
     lines = lines_of(docs, depth)
-    leaves = materialize(lines.groupBy("leaf").agg(F.count("*").alias("seen")).filter(F.col("seen") >= min_docs).select("leaf"), "leaves")
+    leaves = materialize(lines.groupBy("leaf").agg(F.count("*").alias("seen"), F.max("n_tokens").alias("n_tokens")).filter(F.col("seen") >= need).select("leaf"), "leaves")
     if leaves.count() <= max_broadcast:
         leaves = F.broadcast(leaves)
     parsed = materialize(
         lines.join(leaves, "leaf").groupBy("leaf", "id").agg(F.count("*").alias("docs"), F.first("line").alias("line"))
         .select("leaf", "id", "docs", _masked(_tokens(F.col("line"))).alias("tokens")), "parsed")
-    flat = parsed.select("leaf", "id", "docs", F.posexplode("tokens").alias("place", "token"))
-    constant = flat.filter(F.col("place") >= depth).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs")) \
-        .filter(F.col("docs") >= min_docs).select("leaf", "place", "token", F.lit(True).alias("fixed"))
+    flat = parsed.select("leaf", "id", "docs", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("place", "token"))
+    constant = flat.filter(F.col("place") >= depth).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"), F.max("n_tokens").alias("n_tokens")) \
+        .filter(F.col("docs") >= need).select("leaf", "place", "token", F.lit(True).alias("fixed"))
     fields = flat.filter(F.col("place") >= depth).join(constant, ["leaf", "place", "token"], "left") \
         .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("token")))).alias("rest"))
     whole = parsed.select("id", "tokens").join(fields, "id", "left") \
@@ -69,12 +77,13 @@ def templates(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_share: int
         .filter(F.col("n_constant") * 100 >= F.col("n_tokens") * min_share)
 
 
-def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 5, **options) -> DataFrame:
+def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 5, long_docs: int = 2, long_tokens: int = 50, **options) -> DataFrame:
     """(doc, id): the lines to drop from each document."""
-    known = materialize(templates(docs, depth, min_docs, **options).select("id", F.xxhash64("template").alias("template")), "templates")
+    known = materialize(templates(docs, depth, min_docs, long_docs=long_docs, long_tokens=long_tokens, **options).select("id", "n_tokens", F.xxhash64("template").alias("template")), "templates")
     where = materialize(lines_of(docs, depth).select("doc", "id").distinct().join(known, "id"), "lines")
-    often = where.groupBy("template", "doc").agg(F.lit(1).alias("one")) \
-        .groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("holder")).filter(F.col("n") >= min_docs)
+    often = where.groupBy("template", "doc").agg(F.max("n_tokens").alias("n_tokens")) \
+        .groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("holder"), F.max("n_tokens").alias("n_tokens")) \
+        .filter(F.col("n") >= _need(F.col("n_tokens"), min_docs, long_docs, long_tokens)).select("template", "holder")
     return where.join(often, "template").filter(F.col("doc") > F.col("holder")).select("doc", "id")
 
 
