@@ -82,3 +82,15 @@ def test_long_passages_go_from_two_documents_on(spark, n):
     words = " ".join("abcdefghij"[i % 10] + "klmnopqrst"[i // 10] for i in range(60))
     assert _holders(spark, words, n) == [10]
     assert _holders(spark, " ".join(words.split()[:20]), n) == [10 + i for i in range(n)]
+
+
+@pytest.mark.parametrize("line", ["Copyright 2024 Example Inc.", "Page 1 of 10", "Posted on 2024-01-02 by admin at 10:33", "2024"])
+def test_unchanged_lines_with_digits_go(spark, line):
+    assert _holders(spark, line, 6) == [10]
+    assert _holders(spark, line, 4) == [10, 11, 12, 13]
+
+
+def test_log_template_with_two_fields_of_seven_tokens(spark):
+    rows = [(i, f"own{'abcdefgh'[i]}\nPosted on 2024-01-0{i} by admin at 10:3{i}\n{i}{i} of {i}7") for i in range(6)]
+    got = [r.text.split("\n") for r in lt.drop_templates(docs(spark, rows)).orderBy("doc_id").collect()]
+    assert [len(x) for x in got] == [3, 2, 2, 2, 2, 2] and all(x[-1] == f"{i}{i} of {i}7" for i, x in enumerate(got))

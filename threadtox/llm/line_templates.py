@@ -3,7 +3,9 @@
 Lines are parsed to a fixed depth: token count, then the first ``depth`` tokens, where a token with a digit counts
 as the variable ``<*>``. Within such a leaf a token is constant at its place if the lines that have it there stand in
 at least ``min_docs`` documents, else it is a variable field too. A line's template is its tokens with the variable
-ones as ``<*>``; it counts as a template if at least ``min_share`` percent of its tokens are constant. A template
+ones as ``<*>``; it counts as a template if at least ``min_share`` percent of its tokens are constant, or ``lead_share``
+percent where the first two are. A line that fails this but stands in ``min_docs`` documents unchanged is its own
+template, digits and all. A template
 that recurs in ``min_docs`` documents or more stays in the document with the smallest ``doc_id`` and is dropped from
 all others, so nothing vanishes from the corpus as a whole. For lines of ``long_tokens`` tokens or more all three
 counts (leaf, constant token, template) need only ``long_docs`` documents: a long passage is no chance repeat.
@@ -55,7 +57,7 @@ def lines_of(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def templates(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_share: int = 80, max_broadcast: int = 1_000_000,
-              long_docs: int = 2, long_tokens: int = 50) -> DataFrame:
+              long_docs: int = 2, long_tokens: int = 50, lead_share: int = 70) -> DataFrame:
     """(id, template, n_tokens, n_constant) of every distinct line in a leaf that enough documents have."""
     need = _need(F.col("n_tokens"), min_docs, long_docs, long_tokens)
     lines = lines_of(docs, depth)
@@ -64,17 +66,22 @@ def templates(docs: DataFrame, depth: int = 3, min_docs: int = 5, min_share: int
         leaves = F.broadcast(leaves)
     parsed = materialize(
         lines.join(leaves, "leaf").groupBy("leaf", "id").agg(F.count("*").alias("docs"), F.first("line").alias("line"))
-        .select("leaf", "id", "docs", _masked(_tokens(F.col("line"))).alias("tokens")), "parsed")
+        .withColumns({"raw": _tokens(F.col("line")), "n_tokens": F.size(_tokens(F.col("line")))})
+        .select("leaf", "id", "docs", F.when(F.col("docs") >= need, F.array_join("raw", " ")).alias("same"), _masked(F.col("raw")).alias("tokens")), "parsed")
     flat = parsed.select("leaf", "id", "docs", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("place", "token"))
     constant = flat.filter(F.col("place") >= depth).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"), F.max("n_tokens").alias("n_tokens")) \
         .filter(F.col("docs") >= need).select("leaf", "place", "token", F.lit(True).alias("fixed"))
     fields = flat.filter(F.col("place") >= depth).join(constant, ["leaf", "place", "token"], "left") \
         .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("token")))).alias("rest"))
-    whole = parsed.select("id", "tokens").join(fields, "id", "left") \
-        .select("id", F.concat(F.slice("tokens", 1, depth), F.coalesce(F.transform("rest", lambda x: x["token"]), F.array().cast("array<string>"))).alias("tokens"))
-    return whole.select("id", F.array_join("tokens", " ").alias("template"), F.size("tokens").alias("n_tokens"),
-                        F.size(F.filter("tokens", lambda t: t != "<*>")).alias("n_constant")) \
-        .filter(F.col("n_constant") * 100 >= F.col("n_tokens") * min_share)
+    whole = parsed.select("id", "same", "tokens").join(fields, "id", "left") \
+        .select("id", "same", F.concat(F.slice("tokens", 1, depth), F.coalesce(F.transform("rest", lambda x: x["token"]), F.array().cast("array<string>"))).alias("tokens"))
+    n_constant = F.size(F.filter("tokens", lambda t: t != "<*>"))
+    lead = F.slice("tokens", 1, 2)
+    share = F.when((F.size(lead) == 2) & ~F.array_contains(lead, "<*>"), min(min_share, lead_share)).otherwise(min_share)
+    return whole.withColumns({"n_tokens": F.size("tokens"), "fits": n_constant * 100 >= F.size("tokens") * share}) \
+        .filter("fits OR same IS NOT NULL") \
+        .select("id", F.when(F.col("fits"), F.array_join("tokens", " ")).otherwise(F.col("same")).alias("template"), "n_tokens",
+                F.when(F.col("fits"), n_constant).otherwise(F.col("n_tokens")).alias("n_constant"))
 
 
 def recurring(docs: DataFrame, depth: int = 3, min_docs: int = 5, long_docs: int = 2, long_tokens: int = 50, **options) -> DataFrame:
