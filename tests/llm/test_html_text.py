@@ -65,3 +65,25 @@ def test_empty_table(spark):
     chain = html_text.train(none)
     assert html_text.extract(none, chain).count() == 0
     assert html_text.main_texts([article(1)], chain)[0].startswith("Title 1\nSentence 1 0")
+
+
+def texts(page):
+    return [x.text for x in html_text.leaves(page)]
+
+
+def test_comment_marks_that_are_no_comment():
+    assert texts("<script><!-- var a=1;</script><article><p>One.<p>Two.</article>") == ["One.", "Two."]
+    assert texts("<style><!-- p {} </style><p>One.") == ["One."]
+    assert texts("<p title='<!--'>One.</p><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<p>One.</p><!-- a --><p>Two.</p><!-- <p>no</p> and no end") == ["One.", "Two."]
+
+
+def test_head_without_end_tag():
+    assert texts("<html><head><title>x</title><p>Text") == ["Text"]
+    assert texts("<head><meta charset=utf-8><title>x</title><noscript><img src=a></noscript><style>p</style>Text <b>on</b>") == ["Text on"]
+    assert texts("<head><title>x</title><template><p>no</p></template></head><body><p>Text") == ["Text"]
+
+
+def test_formulas_are_text():
+    page = "<article><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></mrow><annotation>x=2</annotation></semantics></math> hold.</p><p>Next.</p></article>"
+    assert texts(page) == ["Let x=2 hold.", "Next."]

@@ -14,7 +14,8 @@ pages of many shapes. Only training is bounded; every page is decoded whole.
 
 Defined results: a null or empty page, and one without main text, has an empty text. Character references are
 decoded, white space inside a block (``<br>`` included) becomes one space. Scripts, styles, templates, the head
-and markup comments are no text. Broken markup is read on as far as it goes. Rows are read one by one, whatever
+and markup comments are no text, nor is what shows only without scripts (``<noscript>``). A head whose end tag is
+omitted ends where something stands that no head can hold. Formulas are text. Broken markup is read on as far as it goes. Rows are read one by one, whatever
 their id; repeated rows alike; an empty table gives an empty result; other columns are ignored. Without any
 training page the chain is trained on layouts of a fixed sample sentence.
 """
@@ -43,7 +44,12 @@ DIMS = 1024
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
                     "strike strong sub sup time tt u var wbr img br").split())
-NO_TEXT = frozenset("script style template noscript head title iframe object svg math canvas audio video".split())
+MATH = frozenset(("math semantics annotation annotation-xml merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms "
+                  "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover").split())
+INLINE |= MATH
+NO_TEXT = frozenset("script style template noscript head title iframe object svg annotation annotation-xml canvas audio video".split())
+#: What can stand in a head; any other element ends an open one.
+IN_HEAD = frozenset("head title base basefont bgsound link meta noframes noscript script style template".split())
 #: Elements whose open tag ends an open one of the named kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}}
@@ -118,11 +124,18 @@ class Leaves(HTMLParser):
                 break
         return -1
 
+    def _end_head(self) -> None:
+        at = self._last(("head",), ("template", "noscript", "title"))
+        if at >= 0:
+            self._pop(at)
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ("html", "body"):
             at = self._last(("head", "title"))
             if at >= 0:
                 self._pop(at)
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag == "br" or (tag in VOID and tag in INLINE):
             self.parts.append(" ")
             return
@@ -144,9 +157,9 @@ class Leaves(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in ("svg", "math"):
+        if tag not in VOID and tag != "svg" and tag not in MATH:
             return
-        if tag in ("svg", "math"):
+        if tag == "svg" or tag in MATH:
             self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
@@ -155,6 +168,8 @@ class Leaves(HTMLParser):
             self._pop(at)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1].tag == "head" and data.strip():
+            self._end_head()
         if not self.silent:
             self.parts.append(data)
             if any(e.tag == "a" for e in self.open):
@@ -163,11 +178,10 @@ class Leaves(HTMLParser):
 
 def leaves(page: str) -> list[Leaf]:
     """The leaf blocks of a page, with features."""
-    at = page.rfind("<!--")
-    if at >= 0 and "-->" not in page[at:]:
-        page = page[:at]  # a comment that never ends
     p = Leaves()
     p.feed(_UNFINISHED.sub("", page))
+    if p.cdata_elem is None and p.rawdata.startswith("<!--"):
+        p.rawdata = ""  # a comment that never ends; in a script or an attribute it is none
     p.close()
     p.flush()
     for leaf in p.leaves:
