@@ -44,3 +44,11 @@ def test_awkward_rows(spark, repeat):
     got = result(licenses.scan(docs(spark, rows, extra=True)))
     assert got == [(r[0], "", "", 0) for r in rows[:-1]] + [(40, "mit", "MIT", 0)]
     assert licenses.scan(docs(spark, [])).count() == 0
+
+
+def test_no_sentence_needs_a_hint(spark):
+    texts = [("Creative Commons Attribution 4.0 International", "cc-by-4"), ("Attribution-ShareAlike 4.0 International", "cc-by-sa-4"),
+             ("Attribution-NonCommercial 4.0", "cc-by-nc-4"), ("All  rights   reserved", "all-rights"), ("It is in the *public*  domain", "public-domain"),
+             ('It is provided "as is"', "no-warranty"), ("The above  copyright\tnotice shall be included", "keep-notice")]
+    got = result(licenses.scan(docs(spark, [(i, t) for i, (t, _) in enumerate(texts)])))
+    assert [r[1] for r in got] == [x for _, x in texts]
