@@ -52,3 +52,37 @@ def test_no_sentence_needs_a_hint(spark):
              ('It is provided "as is"', "no-warranty"), ("The above  copyright\tnotice shall be included", "keep-notice")]
     got = result(licenses.scan(docs(spark, [(i, t) for i, (t, _) in enumerate(texts)])))
     assert [r[1] for r in got] == [x for _, x in texts]
+
+
+BSD = """Copyright (c) 2020, X
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """%sThis program is free software: you can redistribute it and/or modify
+%sit under the terms of the GNU %sGeneral Public License as published by
+%sthe Free Software Foundation%s either version %s of the License, or
+%s(at your option) any later version.
+"""
+WRAPPED = [
+    (BSD, "BSD-3-Clause"), (BSD.replace("\n", "\r\n"), "BSD-3-Clause"), ("\n".join(" * " + x for x in BSD.split("\n")), "BSD-3-Clause"),
+    (GPL % ("", "", "", "", ",", "3", ""), "GPL-3.0-or-later"), (GPL % ("# ", "# ", "", "# ", ";", "2", "# "), "GPL-2.0-or-later"),
+    (GPL % (" * ", " * ", "Lesser ", " * ", ";", "2.1", " * "), "LGPL-2.1-or-later"),
+    ("GNU General Public License, version 3, or (at your option) any later version.", "GPL-3.0-or-later"),
+    ("Under the GNU General Public License, version\n3. It ends.", "GPL-3.0"),
+    ("Released under the\nMIT\nLicense or the Apache License,\nVersion 2.0", "MIT,Apache-2.0"),
+    ("Copyright (c) X\nPermission is hereby granted, free of\ncharge, to any person.\n\nThe above copyright notice\nshall be included.", "MIT"),
+]
+
+
+def test_wrapped_licence_texts(spark):
+    got = result(licenses.scan(docs(spark, [(i, t) for i, (t, _) in enumerate(WRAPPED)])))
+    assert [r[2] for r in got] == [x for _, x in WRAPPED]

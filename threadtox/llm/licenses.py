@@ -1,8 +1,9 @@
 """License scans by sentence rules.
 
-A text is split into sentences (at line ends and after sentence marks); each is normalised (lower case, quotes and
-markers away, one space, ``licence`` as ``license``, ``version`` as ``v``) and mapped to the identifier of the first
-known licence sentence it matches. The sequence of identifiers of a text is then matched against ordered rules: a
+A text is split into sentences (after sentence marks, at blank lines and list items; wrapped lines are joined); each is
+normalised (lower case, quotes and markers away, one space, ``licence`` as ``license``, ``version`` as ``v``) and mapped
+to the identifiers of all known licence sentences it matches, by place, each once; where two start at one place the
+earlier in the list counts. A ``^`` in a pattern is the start of a line or sentence. The sequence of identifiers of a text is then matched against ordered rules: a
 rule is a run of identifiers and the licence it stands for; an earlier rule takes its run before a later one. What
 no rule takes is reported as unmatched. All of it is one projection of DataFrame functions: no shuffle, no Python.
 
@@ -72,28 +73,49 @@ RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     (("cc-by-nc-4",), "CC-BY-NC-4.0"), (("cc-by-sa-4",), "CC-BY-SA-4.0"), (("cc-by-4",), "CC-BY-4.0"), (("cc0",), "CC0-1.0"),
     (("bsd-3",), "BSD-3-Clause"), (("bsd-2",), "BSD-2-Clause"), (("mpl-2",), "MPL-2.0"), (("public-domain",), "Public-Domain"),
 )
+#: The notices of the GNU licences, which name the licence before its version.
+NOTICES: tuple[tuple[str, str], ...] = (
+    ("agpl-any", "gnu affero general public license"), ("lgpl-any", "gnu (lesser|library) general public license"),
+    ("either-2.1", "either v ?2[.]1"), ("either-2", "either v ?2"), ("either-3", "either v ?3"),
+)
+NOTICE_RULES: tuple[tuple[tuple[str, ...], str], ...] = (
+    (("gpl-any", "either-3", "or-later"), "GPL-3.0-or-later"), (("gpl-any", "either-2", "or-later"), "GPL-2.0-or-later"),
+    (("lgpl-any", "either-3", "or-later"), "LGPL-3.0-or-later"), (("lgpl-any", "either-2.1", "or-later"), "LGPL-2.1-or-later"),
+    (("agpl-any", "either-3", "or-later"), "AGPL-3.0-or-later"),
+    (("gpl-any", "either-3"), "GPL-3.0"), (("gpl-any", "either-2"), "GPL-2.0"), (("lgpl-any",), "LGPL"), (("agpl-any",), "AGPL"),
+)
+#: Ends of sentences in the text: marks, blank lines (of a comment, too), list items; a version number starts no item.
+ENDS = ("[.!?;]+[ \\t\\r\\n]+|\\n[ \\t\\r*#/>]*(?=\\n)"
+        "|(?<!(?i:version|v)[ \\t]{0,2}\\r?)\\n[ \\t]*(?=(?:[-\u2022]|[(]?[0-9a-zA-Z]{1,2}[.)])[ \\t])")
+#: Line ends of the SQL form of the scan, which reads every line by itself.
 BREAK = "[.!?;]+[ \\t\\r]+|\\n"
 
 
 def normalised(sentence: Column) -> Column:
     s = F.lower(sentence)
-    s = F.regexp_replace(s, "[\"'`*#/<>()\\t\\r ]+", " ")
+    s = F.regexp_replace(s, "[\"'`*#/<>()\u201c\u201d\u2018\u2019\\t\\r ]+", " ")
+    s = F.regexp_replace(s, " *\\n[ .,;:!?-]*", "\n")
     s = F.regexp_replace(s, "licence", "license")
     s = F.regexp_replace(s, "version", "v")
-    return F.regexp_replace(s, "^[ .,;:!?-]+|[ .,;:!?-]+$", "")
+    return F.regexp_replace(s, "^[ \\n.,;:!?-]+|[ \\n.,;:!?-]+$", "")
 
 
-def scan(docs: DataFrame, sentences: Sequence[tuple[str, str]] = SENTENCES, rules: Sequence[tuple[tuple[str, ...], str]] = RULES) -> DataFrame:
+def scan(docs: DataFrame, sentences: Sequence[tuple[str, str]] = SENTENCES + NOTICES,
+         rules: Sequence[tuple[tuple[str, ...], str]] = NOTICE_RULES[:5] + RULES[:8] + NOTICE_RULES[5:] + RULES[8:]) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses, n_unmatched) for each row; lists joined by commas, '' if none."""
+    # a blank of a pattern may be the end of a wrapped line
+    wrapped = [(name, "(?ms)" + pattern.replace(" ", "[ \\n]")) for name, pattern in sentences]
+    hint = "|".join(f"(?:{pattern})" for _, pattern in wrapped) or "(?!)"  # no sentence without a match is known
+
     def known(s: Column) -> Column:
-        out = F.when(F.lit(False), F.lit(None).cast("string"))
-        for name, pattern in sentences:
-            out = out.when(s.rlike(pattern), F.lit(name))
-        return out
+        places = F.array(*(F.struct(F.regexp_instr(s, F.lit(pattern)).alias("at"), F.lit(i).alias("rank"), F.lit(name).alias("name"))
+                           for i, (name, pattern) in enumerate(wrapped)))
+        first = F.aggregate(F.array_sort(F.filter(places, lambda x: x["at"] > 0)), F.array().cast("array<struct<at:int,rank:int,name:string>>"),
+                            lambda out, x: F.when(F.exists(out, lambda y: y["at"] == x["at"]), out).otherwise(F.concat(out, F.array(x))))
+        return F.transform(first, lambda x: x["name"])
 
-    hint = "|".join(pattern for _, pattern in sentences) or "(?!)"  # no sentence without a match is known
-    parts = F.filter(F.transform(F.split("text", BREAK), normalised), lambda s: s.rlike(hint))
-    ids = F.filter(F.transform(parts, known), lambda x: x.isNotNull())
+    parts = F.filter(F.transform(F.split("text", ENDS), normalised), lambda s: s.rlike(hint))
+    ids = F.flatten(F.transform(parts, known)) if wrapped else F.array().cast("array<string>")
     found = typed(docs, doc_id="long", text="string") \
         .withColumn("ids", F.coalesce(ids, F.array().cast("array<string>")))
     left = F.array_join(F.transform("ids", lambda x: F.concat(F.lit(";"), x, F.lit(";"))), "")
