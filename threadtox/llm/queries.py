@@ -11,6 +11,7 @@ from threadtox.llm import (
     decontam,
     dedup,
     html_text,
+    impact_index,
     licenses,
     line_quality,
     line_templates,
@@ -283,3 +284,26 @@ MIXING = {"target_entropy": 0.98, "max_repeat": 2.0, "seed": 1, "block_docs": 10
 @query("op8_source_mixing", _mixing_sql(**MIXING))
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), **MIXING)
+
+
+def _top_k_sql(k: int, scale: int, divisor: int) -> str:
+    bound = int(impact_index.BOUND)
+    return f"""
+WITH vectors AS MATERIALIZED (
+  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(least(greatest(CAST(x AS DOUBLE) * {scale}, -{bound}), {bound})) AS BIGINT))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % {divisor} = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= {k}
+"""
+
+
+@query("op12_exact_top_k", _top_k_sql(k=20, scale=64, divisor=20))
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return impact_index.top_k(rows.filter("vec_id % 20 = 0"), rows, k=20, scale=64)
