@@ -61,10 +61,11 @@ def _terms(tokens: str, out: str, cfg: TrainConfig) -> list:
 
 
 def _assemble(inputs: list[str]) -> list:
-    """Concatenate vectors, then drop the assembler's per-slot attribute metadata (one entry per hashed
-    feature: it would otherwise travel in the plan of every optimiser iteration)."""
+    """Concatenate vectors, then drop the assembler's per-slot attribute metadata (one entry per feature: it would
+    otherwise travel in the plan of every optimiser iteration). ``element_at(array(x), 1)`` is an expression that the
+    optimiser does not fold back to the attribute with its metadata, as it does ``coalesce(x)``."""
     return [VectorAssembler(inputCols=inputs, outputCol="__assembled"),
-            SQLTransformer(statement="SELECT *, coalesce(__assembled) AS features FROM __THIS__")]
+            SQLTransformer(statement="SELECT *, element_at(array(__assembled), 1) AS features FROM __THIS__")]
 
 
 def build_pipeline(regime: str, cfg: TrainConfig = TrainConfig()) -> Pipeline:
