@@ -10,6 +10,7 @@ from threadtox.llm import (
     attention_lm,
     decontam,
     dedup,
+    divergence,
     html_text,
     impact_index,
     licenses,
@@ -307,3 +308,47 @@ WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <=
 def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return impact_index.top_k(rows.filter("vec_id % 20 = 0"), rows, k=20, scale=64)
+
+
+def _audit_sql(min_docs: int, top_terms: int, prior: int, scale: int) -> str:
+    def share(count: str, total: str) -> str:
+        return f"1 + CAST({scale} AS HUGEINT) * ({count} + {prior}) // ({total} + {prior} * v.kept)"
+
+    return f"""
+WITH plain AS MATERIALIZED (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), words AS MATERIALIZED (SELECT d, lang, source, unnest(terms) AS term FROM plain
+), kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= {min_docs}
+), vocabulary AS (SELECT l.lang, count(k.term) AS kept FROM (SELECT DISTINCT lang FROM plain) l LEFT JOIN kept k ON k.lang = l.lang GROUP BY l.lang
+), counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM plain) g
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL
+), shares AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {share('coalesce(c.n, 0)', 'g.total')} AS p
+  FROM groups g JOIN vocabulary v ON v.lang = g.lang JOIN kept k ON k.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), general AS (
+  SELECT k.lang, k.term, {share('k.n', 't.total')} AS q FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) k
+  JOIN (SELECT lang, sum(n) AS total FROM counts GROUP BY lang) t ON t.lang = k.lang JOIN vocabulary v ON v.lang = k.lang
+), valued AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b
+    ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) x ON x.lang = a.lang AND x.source = a.source AND x.other = b.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, s.p - g.q FROM shares s JOIN general g ON g.lang = s.lang AND g.term = s.term WHERE s.n > 0 AND s.p > g.q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM valued QUALIFY part = 'pair' OR rank <= {top_terms}
+"""
+
+
+AUDIT = {"min_docs": 30, "top_terms": 50, "prior": 5, "scale": 1_000_000_000}
+
+
+@query("op13_source_divergence", _audit_sql(**AUDIT))
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), **AUDIT)
