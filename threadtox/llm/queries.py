@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadtox.llm import (
     attention_lm,
+    collocations,
     decontam,
     dedup,
     divergence,
@@ -352,3 +353,39 @@ AUDIT = {"min_docs": 30, "top_terms": 50, "prior": 5, "scale": 1_000_000_000}
 @query("op13_source_divergence", _audit_sql(**AUDIT))
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), **AUDIT)
+
+
+def _collocations_sql(min_count: int, percent: int, top: int, scale: int) -> str:
+    return f"""
+WITH pieces AS MATERIALIZED (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), runs AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) sizes(k) WHERE len(w) >= k)
+  GROUP BY ALL
+), sizes AS (SELECT lang, sum(f) AS n FROM runs WHERE k = 1 GROUP BY lang
+), candidates AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM runs WHERE k > 1 AND f >= {min_count}
+), cuts AS (
+  SELECT c.*, cut, l.f AS l, r.f AS r, CAST({scale} AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+  JOIN runs l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN runs r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM candidates WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT x.* FROM (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1) x
+  LEFT JOIN inside i ON i.lang = x.lang AND i.phrase = x.phrase WHERE i.longer IS NULL OR 100 * i.longer < {percent} * x.a
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a,
+       CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(s.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept k JOIN sizes s ON s.lang = k.lang QUALIFY rank <= {top}
+"""
+
+
+COLLOCATIONS = {"min_count": 10, "percent": 50, "top": 2000, "scale": 1_000_000}
+
+
+@query("op11_phrase_collocations", _collocations_sql(**COLLOCATIONS))
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), **COLLOCATIONS)
