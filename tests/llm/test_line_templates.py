@@ -7,27 +7,38 @@ from helpers import awkward, docs, prose
 from threadtox.llm import line_templates as lt
 
 
-def brute(rows, depth=3, min_docs=5, min_share=80):
+def brute(rows, depth=3, min_docs=5, min_share=80, lead_share=70, long_docs=2, long_tokens=50):
     """Each row's text after dropping, by walking all lines."""
     def tokens(line):
-        return ["<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line)]
+        return tuple(re.findall(r"[^\x20\x09-\x0D]+", line))
+
+    def masked(line):
+        return ["<*>" if re.search("[0-9]", t) else t for t in line]
 
-    seen = [(i, line) for i, text in rows if i is not None and text is not None for line in dict.fromkeys(text.split("\n")) if tokens(line)]
-    leaf = {line: (len(tokens(line)), tuple(tokens(line)[:depth])) for _, line in seen}
-    count = defaultdict(int)
-    for _, line in seen:
-        for p, t in enumerate(tokens(line)):
-            count[leaf[line], p, t] += 1
     docs_of = defaultdict(set)
-    template = {}
-    for i, line in seen:
-        t = tuple(x if p < depth or count[leaf[line], p, x] >= min_docs else "<*>" for p, x in enumerate(tokens(line)))
-        if 100 * sum(x != "<*>" for x in t) >= min_share * len(t):
+    for i, text in rows:
+        for line in (text or "").split("\n") if i is not None else []:
+            if tokens(line):
+                docs_of[tokens(line)].add(i)
+    leaf = {line: (len(line), tuple(masked(line)[:depth])) for line in docs_of}
+    count = defaultdict(int)
+    for line, d in docs_of.items():
+        for p, t in enumerate(masked(line)):
+            count[leaf[line], p, t] += len(d)
+    template, holders = {}, defaultdict(set)
+    for line, d in docs_of.items():
+        t = tuple(x if p < depth or count[leaf[line], p, x] >= min_docs else "<*>" for p, x in enumerate(masked(line)))
+        share = lead_share if len(t) > 1 and "<*>" not in t[:2] else min_share
+        if 100 * sum(x != "<*>" for x in t) >= share * len(t):
             template[line] = t
-            docs_of[t].add(i)
-    gone = {t: min(d) for t, d in docs_of.items() if len(d) >= min_docs}
-    return [(i, text if i is None or text is None else "\n".join(
-        x for x in text.split("\n") if not (x in template and template[x] in gone and i > gone[template[x]]))) for i, text in rows]
+            holders[t] |= d
+
+    def stays(i, line):
+        own, of = docs_of[line], holders.get(template.get(line), set())
+        need = long_docs if len(line) >= long_tokens else min_docs
+        return not (len(of) >= min_docs and i > min(of) or len(own) >= need and i > min(own))
+
+    return [(i, text if i is None or text is None else "\n".join(x for x in text.split("\n") if not tokens(x) or stays(i, tokens(x)))) for i, text in rows]
 
 
 def corpus():
@@ -77,6 +88,33 @@ def _holders(spark, line, n, **options):
     return [r.doc_id for r in lt.drop_templates(docs(spark, rows), **options).orderBy("doc_id").collect() if line in r.text.split("\n")]
 
 
+def test_long_lines_that_are_only_alike_stay(spark):
+    words = ["abcdefghij"[i % 10] + "klmnopqrst"[i // 10] for i in range(50)]
+    rows = [(i, " ".join(words[:35] + [f"own{'abcdefgh'[i]}{'abcdefghijklmno'[k]}" for k in range(15)])) for i in range(2)]
+    assert sorted((r.doc_id, r.text) for r in lt.drop_templates(docs(spark, rows)).collect()) == rows == brute(rows)
+
+
+def test_white_space_makes_no_other_line(spark):
+    line = "Copyright 2024 Example Inc."
+    rows = [(i, f"own{'abcdefgh'[i]} words\n" + (line, line + " ", "\t" + line.replace(" ", "  "), line + "\r")[i % 4]) for i in range(6)]
+    got = sorted((r.doc_id, r.text) for r in lt.drop_templates(docs(spark, rows)).collect())
+    assert got == brute(rows) and [line in " ".join(t.split()) for _, t in got] == [True] + [False] * 5
+
+
+def test_counts_replace_columns_of_their_names(spark):
+    df = docs(spark, [(1, "a\nb"), (2, None)]).selectExpr("*", "'x' AS n_lines", "7 AS n_dropped")
+    got = lt.drop_templates(df, counts=True)
+    assert got.columns == [*docs(spark, []).columns, "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got.collect()) == [(1, 2, 0), (2, 0, 0)]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_hot_lines_are_those_of_brute_force(spark, limit):
+    rows = [(i, prose(i, 7) + ("\nthe one line of very many documents here" if i % 3 else f"\nseen by user{i} on the board today again now")) for i in range(300)]
+    got = lt.drop_templates(docs(spark, rows + rows[:9]), max_broadcast=limit)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(brute(rows + rows[:9]))
+
+
 @pytest.mark.parametrize("n", [2, 3, 4])
 def test_long_passages_go_from_two_documents_on(spark, n):
     words = " ".join("abcdefghij"[i % 10] + "klmnopqrst"[i // 10] for i in range(60))

@@ -151,46 +151,48 @@ def op7_attention_lm(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return attention_lm.score(table(spark, sf_dir, "documents"), vocabulary, modulus=7, remainder=2)
 
 
-def _line_dedup_sql(depth: int, min_docs: int, min_share: int) -> str:
+def _line_dedup_sql(depth: int, min_docs: int, min_share: int, lead_share: int, long_docs: int, long_tokens: int) -> str:
+    tokens = "list_filter(string_split_regex({0}, '[\\x09-\\x0D\\x20]+'), lambda t: t <> '')"
+    fixed = f"(f.i <= {depth} OR c.token IS NOT NULL)"
     return f"""
-WITH lines AS MATERIALIZED (
-  SELECT doc_id, line, list_filter(string_split_regex(line, '[\\x09-\\x0D\\x20]+'), lambda t: t <> '') AS t
-  FROM (SELECT doc_id, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents
-        WHERE doc_id IS NOT NULL AND text IS NOT NULL)
-), parsed AS MATERIALIZED (
-  SELECT doc_id, line, m, len(m) || ' ' || array_to_string(m[1:{depth}], ' ') AS leaf
-  FROM (SELECT doc_id, line, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m
-        FROM lines WHERE len(t) > 0)
-), leaves AS (SELECT leaf FROM parsed GROUP BY leaf HAVING count(*) >= {min_docs}
+WITH places AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(t, ' ') AS line, t
+  FROM (SELECT doc_id, {tokens.format("line")} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
+        WHERE doc_id IS NOT NULL AND text IS NOT NULL)) WHERE len(t) > 0
 ), kinds AS MATERIALIZED (
-  SELECT leaf, line, any_value(m) AS m, count(*) AS docs FROM parsed WHERE leaf IN (SELECT leaf FROM leaves) GROUP BY leaf, line
-), flat AS MATERIALIZED (
-  SELECT leaf, line, docs, i, m[i] AS token FROM (SELECT leaf, line, docs, m, unnest(range(1, len(m) + 1)) AS i FROM kinds)
-), constant AS (
-  SELECT leaf, i, token FROM flat WHERE i > {depth} GROUP BY leaf, i, token HAVING sum(docs) >= {min_docs}
+  SELECT *, len(m) || ' ' || array_to_string(m[1:{depth}], ' ') AS leaf
+  FROM (SELECT line, len(t) AS n_tokens, docs, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m
+        FROM (SELECT line, any_value(t) AS t, count(*) AS docs FROM places GROUP BY line))
+), flat AS MATERIALIZED (SELECT leaf, line, docs, n_tokens, i, m[i] AS token FROM (SELECT *, unnest(range(1, n_tokens + 1)) AS i FROM kinds)
+), constant AS (SELECT leaf, i, token FROM flat WHERE i > {depth} GROUP BY leaf, i, token HAVING sum(docs) >= {min_docs}
+), leaves AS (SELECT leaf FROM kinds GROUP BY leaf HAVING sum(docs) >= {min_docs}
 ), templates AS MATERIALIZED (
-  SELECT f.line, string_agg(CASE WHEN f.i <= {depth} OR c.token IS NOT NULL THEN f.token ELSE '<*>' END, ' ' ORDER BY f.i) AS template
-  FROM flat f LEFT JOIN constant c ON c.leaf = f.leaf AND c.i = f.i AND c.token = f.token GROUP BY f.line
-  HAVING 100 * count(*) FILTER ((f.i <= {depth} OR c.token IS NOT NULL) AND f.token <> '<*>') >= {min_share} * count(*)
-), often AS (
-  SELECT template, min(doc_id) AS holder FROM (SELECT DISTINCT p.doc_id, t.template FROM parsed p JOIN templates t ON t.line = p.line)
-  GROUP BY template HAVING count(*) >= {min_docs}
-), gone AS (
-  SELECT p.doc_id, list(DISTINCT p.line) AS lines FROM parsed p JOIN templates t ON t.line = p.line JOIN often o ON o.template = t.template
-  WHERE p.doc_id > o.holder GROUP BY p.doc_id
+  SELECT f.line, string_agg(CASE WHEN {fixed} THEN f.token ELSE '<*>' END, ' ' ORDER BY f.i) AS template
+  FROM flat f LEFT JOIN constant c ON c.leaf = f.leaf AND c.i = f.i AND c.token = f.token WHERE f.leaf IN (FROM leaves) GROUP BY f.line
+  HAVING 100 * count(*) FILTER ({fixed} AND f.token <> '<*>')
+    >= count(*) * CASE WHEN count(*) FILTER (f.i <= 2 AND f.token <> '<*>') = 2 THEN {min(min_share, lead_share)} ELSE {min_share} END
+), rules AS (
+  SELECT p.doc_id, p.line, min(p.doc_id) OVER (PARTITION BY t.template) AS holder, t.template
+  FROM places p JOIN templates t ON t.line = p.line
+  WHERE t.template IN (SELECT t.template FROM places p JOIN templates t ON t.line = p.line GROUP BY t.template HAVING count(DISTINCT p.doc_id) >= {min_docs})
+  UNION ALL
+  SELECT p.doc_id, p.line, min(p.doc_id) OVER (PARTITION BY p.line), NULL FROM places p JOIN kinds k ON k.line = p.line
+  WHERE k.docs >= CASE WHEN k.n_tokens >= {long_tokens} THEN {min(min_docs, long_docs)} ELSE {min_docs} END
+), gone AS (SELECT doc_id, list(DISTINCT line) AS lines FROM rules WHERE doc_id > holder GROUP BY doc_id
 ), kept AS (
-  SELECT d.*, string_split(d.text, chr(10)) AS l, list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(g.lines, []), x)) AS k
+  SELECT d.*, string_split(d.text, chr(10)) AS l,
+         list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(g.lines, []), array_to_string({tokens.format("x")}, ' '))) AS k
   FROM documents d LEFT JOIN gone g ON g.doc_id = d.doc_id
-)"""
+)
+SELECT doc_id, array_to_string(k, chr(10)) AS text, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(k) AS BIGINT) AS n_dropped
+FROM kept
+"""
 
 
-LINE_DEDUP = {"depth": 3, "min_docs": 5, "min_share": 80}
+LINE_DEDUP = {"depth": 3, "min_docs": 5, "min_share": 80, "lead_share": 70, "long_docs": 2, "long_tokens": 50}
 
 
-@query("op5_line_dedup", _line_dedup_sql(**LINE_DEDUP) + """
-SELECT doc_id, array_to_string(k, chr(10)) AS text, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(k) AS BIGINT) AS n_dropped
-FROM kept
-""")
+@query("op5_line_dedup", _line_dedup_sql(**LINE_DEDUP))
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_templates(docs, counts=True, **LINE_DEDUP)
