@@ -1,14 +1,17 @@
+from dataclasses import replace
+
 import pytest
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from threadtox.operators import metrics as M
 from threadtox.operators import models as ML
 from threadtox.operators import splits as S
+from threadtox.operators.stages import LearntVectors
 from threadtox.session import scratch_path
 from threadtox.sources import fixtures as fx
 
-CFG = ML.TrainConfig(reg_param=0.05, max_iter=30, num_features=1 << 14)
+CFG = ML.TrainConfig(reg_param=0.05, max_iter=30, vocab_size=1 << 14)
 # The planted-signal tests need a few hundred training rows to measure a regime: sf0.001 has ~50
 # labelled comments in the training part, sf0.01 about 240.
 SIGNAL_SF = "/root/testdata/sf0.01"
@@ -27,8 +30,8 @@ def fit_eval(spark, sf, where, regime, vec=None):
     c = signal(spark, sf, where)
     st = S.holdout_split(c, test_size=0.4, seed=1)
     train, test = st.where(F.col("part") == "train"), st.where(F.col("part") == "dev")
-    model = ML.fit(regime, train, CFG, vec)
-    return M.auroc(ML.predict(model, regime, test, CFG, vec), score="score").first().auroc
+    model = ML.fit(regime, train, replace(CFG, augmented_vocabulary=where == "parent"), vec)
+    return M.auroc(ML.predict(model, test), score="score").first().auroc
 
 
 def test_text_signal_seen_by_context_free_model(spark):
@@ -45,11 +48,68 @@ def test_parent_signal_seen_by_the_hybrid_model(spark):
     assert fit_eval(spark, SIGNAL_SF, "parent", "inc_hybrid", fx.word_vectors(spark, SIGNAL_SF)) > 0.9
 
 
+def test_learnt_vectors_need_no_table(spark):
+    assert fit_eval(spark, SIGNAL_SF, "parent", "inc_learnt") > 0.9
+
+
+def _model_vocabulary(model):
+    return [s.vocabulary for st in model.stages if isinstance(st, PipelineModel) for s in st.stages if hasattr(s, "vocabulary")]
+
+
+@pytest.mark.parametrize("augmented", [False, True])
+def test_a_word_of_parents_alone_has_weight_only_when_augmented(spark, augmented):
+    rows = [(i, f"plain words {i % 3}", "onlyparent said" if i % 2 else "nothing here", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, parent string, label int")
+    model = ML.fit("inc_concat", df, ML.TrainConfig(augmented_vocabulary=augmented, max_iter=20))
+    target, context = _model_vocabulary(model)
+    assert target == context and ("onlyparent" in target) == augmented and target[0] == ""
+    n = len(target)
+    at = [n + i for i, w in enumerate(context) if w == "onlyparent"]
+    assert bool(at) == augmented and all(model.stages[-1].coefficients[i] > 0.1 for i in at)
+    scores = {r.label: r.score for r in ML.predict(model, df).collect()}
+    assert (scores[1] - scores[0] > 0.2) == augmented
+
+
+def test_learnt_vectors_know_training_words_only(spark):
+    train = spark.createDataFrame([(i, ["red", "green", "blue"][:1 + i % 3], 0) for i in range(30)], "id long, tt array<string>, n int")
+    model = LearntVectors("tt", "v", size=4, min_count=1).fit(train)
+    val = spark.createDataFrame([(1, ["red"]), (2, ["unseen"]), (3, []), (3, ["red", "unseen"])], "id long, tt array<string>")
+    got = [(r.id, len(r.tt), r.v.toArray().tolist()) for r in model.transform(val).collect()]
+    by = {k: v for *k, v in ([i, n, v] for i, n, v in got) for k in [tuple(k)]}
+    assert by[2, 1] == by[3, 0] == [0.0] * 4 and any(by[1, 1]) and by[3, 2] == pytest.approx([x / 2 for x in by[1, 1]], abs=1e-6)
+    empty = LearntVectors("tt", "v", size=4).fit(train.limit(0)).transform(val)
+    assert {tuple(r.v.toArray()) for r in empty.collect()} == {(0.0,) * 4} and empty.count() == 4
+
+
+@pytest.mark.parametrize("regime", ML.REGIMES + ML.NETWORKS)
+def test_features_carry_no_metadata_in_the_executed_plan(spark, sf, regime):
+    """Metadata of every feature would be part of each task of each optimiser iteration."""
+    c = fx.comments(spark, sf)
+    stages = Pipeline(stages=ML.feature_stages(regime, CFG, fx.word_vectors(spark, sf))).fit(c)
+    features = stages.transform(c).select("id", "label", "weight", "features")
+    assert len(features._jdf.queryExecution().executedPlan().schema().json()) < 10_000
+
+
+def test_hybrid_pipeline_is_whole(spark, sf):
+    """Saved and loaded, it scores (id, text, parent) alone, to the same scores; repeated and null ids keep their own."""
+    c = fx.comments(spark, sf)
+    model = ML.fit("inc_hybrid", c, ML.TrainConfig(positive_weight=2.0), fx.word_vectors(spark, sf))
+    path = scratch_path(spark, "t-hybrid")
+    model.write().save(path)
+    again = PipelineModel.load(path)
+    assert again.stages[0].getOrDefault("positiveWeight") == 2.0
+    rows = c.select("id", "text", "parent").limit(20).unionByName(spark.createDataFrame(
+        [(1, "twice", None), (1, "twice", "parent"), (1, None, ""), (None, "no id", "x"), (None, "", None)], "id long, text string, parent string"))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    score = {m: sorted((str(r.id), r.text or "", r.parent or "", r.score) for r in ML.predict(m, rows, keep=("text", "parent")).collect()) for m in (model, again)}
+    assert score[model] == score[again] and len(score[model]) == 25
+
+
 def test_dev_selection_returns_the_best_model_of_the_grid(spark):
     c = S.holdout_split(signal(spark, SIGNAL_SF, "text"), test_size=0.4, seed=1)
     train, dev = c.where(F.col("part") == "train"), c.where(F.col("part") == "dev")
     model, history = ML.fit_with_dev_selection("ooc", train, dev, (1.0, 0.03), CFG, patience=3)
-    again = M.auroc(ML.predict(model, "ooc", dev, CFG), score="score").first().auroc
+    again = M.auroc(ML.predict(model, dev), score="score").first().auroc
     assert abs(again - max(h[2] for h in history)) < 1e-12 and [h[:2] for h in history] == [(0, 1.0), (1, 0.03)]
 
 
@@ -58,8 +118,8 @@ def test_model_roundtrip_and_score_range(spark, sf):
     model = ML.fit("ooc", c, CFG)
     path = scratch_path(spark, "t-model")
     model.write().save(path)
-    a = {r.id: r.score for r in ML.predict(model, "ooc", c, CFG).collect()}
-    b = {r.id: r.score for r in ML.predict(PipelineModel.load(path), "ooc", c, CFG).collect()}
+    a = {r.id: r.score for r in ML.predict(model, c).collect()}
+    b = {r.id: r.score for r in ML.predict(PipelineModel.load(path), c).collect()}
     assert a == b
     assert all(0.0 <= s <= 1.0 for s in a.values())
 
@@ -77,7 +137,7 @@ def test_hybrid_regime_fits(spark, sf):
     c = fx.comments(spark, sf)
     vec = fx.word_vectors(spark, sf)
     model = ML.fit("inc_hybrid", c, CFG, vec)
-    p = ML.predict(model, "inc_hybrid", c, CFG, vec)
+    p = ML.predict(model, c)
     assert p.count() == c.count()
 
 

@@ -1,47 +1,58 @@
 """Context regimes as Spark ML pipelines, dev-set selection with patience, repeated experiments.
 
 The study compares classifiers that see the target text only with classifiers that also see the parent.
-Each regime here is a Spark ML ``Pipeline`` (distributed fit, persistable) over the same inputs, with
-class weights, and is scored by the exact AUROC of :mod:`metrics`:
-
-ooc         target text -> binary hashed terms -> L2 normaliser -> weighted logistic regression
-inc_concat  target and parent featurised separately, vectors concatenated
-inc_pair    one pair sequence: target tokens tagged ``0:``, parent tokens tagged ``1:`` (whole texts
-            by default; ``max_len`` applies the pair budget of the sequence-pair encoders)
-inc_hybrid  pretrained word vectors pooled over the target (masked mean) + learned parent features
-
-Only the scalar metrics of each fit reach the driver; the loops over splits and candidates are loops
-over distributed fits, never over rows.
+Each regime here is a Spark ML ``Pipeline`` (distributed fit, persistable) from rows (id, text, parent, label) to a
+probability, with class weights, and is scored by the exact AUROC of :mod:`metrics`:
+
+ooc           target text -> terms of the fitted vocabulary -> weighted logistic regression
+inc_concat    target and parent encoded separately with one vocabulary, vectors concatenated
+inc_pair      one pair sequence: target tokens tagged ``0:``, parent tokens tagged ``1:`` (whole texts
+              by default; ``max_len`` applies the pair budget of the sequence-pair encoders)
+inc_hybrid    pretrained word vectors pooled over the target (masked mean) + parent terms
+inc_learnt    as inc_hybrid, with word vectors learnt on the training part
+ooc_net       pooled target vectors -> multilayer perceptron (trained in rounds, see :mod:`networks`)
+inc_net       pooled target and parent vectors -> multilayer perceptron
+
+The vocabulary is fitted on the training rows: on their targets, or on targets and parents
+(``augmented_vocabulary``); words it lacks carry no weight. Only the vocabulary's words (at most ``vocab_size``) and the
+scalar metrics of each fit reach the driver; the loops over splits and candidates are loops over distributed fits, never
+over rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import RegexTokenizer, SQLTransformer, VectorAssembler, VectorSizeHint
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadtox.functions.text import WORD_FILTERS
 from threadtox.operators import metrics as M
-from threadtox.operators.features import class_weight
-from threadtox.operators.text import masked_mean_pool, tokenize
+from threadtox.operators.stages import ClassWeight, FittedTerms, LearntVectors, PooledVectors, vector_length
 
-REGIMES = ("ooc", "inc_concat", "inc_pair", "inc_hybrid")
+REGIMES = ("ooc", "inc_concat", "inc_pair", "inc_hybrid", "inc_learnt")
+NETWORKS = ("ooc_net", "inc_net")
+ROWS_PER_TASK = 5_000   # featurised rows of a fit that are worth a task of their own
 
 
 @dataclass(frozen=True)
 class TrainConfig:
     reg_param: float = 0.05
     max_iter: int = 50
-    num_features: int = 1 << 18
+    vocab_size: int = 1 << 18
+    augmented_vocabulary: bool = False   # count the parents' words, too (inc_concat, inc_hybrid, inc_learnt)
     positive_weight: float = 1.0
-    max_len: int | None = None      # pair budget of inc_pair (None: whole texts)
+    max_len: int | None = None           # pair budget of inc_pair (None: whole texts)
+    vector_size: int = 32                # of the vectors that inc_learnt fits
+    hidden: int = 16                     # hidden units of the networks
+    seed: int = 42
 
 
 def _split_pattern() -> str:
@@ -55,76 +66,89 @@ def _tokenizer(inp: str, out: str) -> RegexTokenizer:
                           minTokenLength=1)
 
 
-def _terms(tokens: str, out: str, cfg: TrainConfig) -> list:
-    return [HashingTF(inputCol=tokens, outputCol=out + "_tf", numFeatures=cfg.num_features, binary=True),
-            Normalizer(inputCol=out + "_tf", outputCol=out, p=2.0)]
-
-
 def _assemble(inputs: list[str]) -> list:
     """Concatenate vectors, then drop the assembler's per-slot attribute metadata (one entry per feature: it would
     otherwise travel in the plan of every optimiser iteration). ``element_at(array(x), 1)`` is an expression that the
     optimiser does not fold back to the attribute with its metadata, as it does ``coalesce(x)``."""
-    return [VectorAssembler(inputCols=inputs, outputCol="__assembled"),
-            SQLTransformer(statement="SELECT *, element_at(array(__assembled), 1) AS features FROM __THIS__")]
+    one = inputs[0] if len(inputs) == 1 else "__assembled"
+    return [*([VectorAssembler(inputCols=inputs, outputCol=one)] if len(inputs) > 1 else []),
+            SQLTransformer(statement=f"SELECT *, element_at(array({one}), 1) AS features FROM __THIS__")]
 
 
-def build_pipeline(regime: str, cfg: TrainConfig = TrainConfig()) -> Pipeline:
+def _pair(max_len: int | None) -> str:
+    a, b = "__tt", "__pt"
+    if max_len is not None:
+        budget = max_len - 3
+        a = f"slice(__tt, 1, least(size(__tt), greatest({budget} - size(__pt), {(budget + 1) // 2})))"
+        b = f"slice(__pt, 1, least(size(__pt), greatest({budget} - size(__tt), {budget // 2})))"
+    return f"concat(transform({a}, x -> concat('0:', x)), transform({b}, x -> concat('1:', x)))"
+
+
+def feature_stages(regime: str, cfg: TrainConfig, vectors: DataFrame | None = None, key: str = "id") -> list:
+    """The stages from (id, text, parent[, label]) to ``features`` (and ``weight``)."""
     clean = SQLTransformer(statement="SELECT *, coalesce(text, '') AS __text, coalesce(parent, '') AS __parent "
                                      "FROM __THIS__")
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=cfg.reg_param,
-                            maxIter=cfg.max_iter, standardization=False, probabilityCol="probability")
-    if regime == "ooc":
-        stages = [clean, _tokenizer("__text", "__tt"), *_terms("__tt", "features", cfg)]
-    elif regime == "inc_concat":
-        stages = [clean, _tokenizer("__text", "__tt"), _tokenizer("__parent", "__pt"),
-                  *_terms("__tt", "__tf", cfg), *_terms("__pt", "__pf", cfg), *_assemble(["__tf", "__pf"])]
-    elif regime == "inc_pair":
-        if cfg.max_len is None:
-            pair = ("concat(transform(__tt, x -> concat('0:', x)), transform(__pt, x -> concat('1:', x)))")
-        else:
-            budget = cfg.max_len - 3
-            hi, lo = (budget + 1) // 2, budget // 2
-            ka = f"least(size(__tt), greatest({budget} - size(__pt), {hi}))"
-            kb = f"least(size(__pt), greatest({budget} - size(__tt), {lo}))"
-            pair = (f"concat(transform(slice(__tt, 1, {ka}), x -> concat('0:', x)), "
-                    f"transform(slice(__pt, 1, {kb}), x -> concat('1:', x)))")
-        stages = [clean, _tokenizer("__text", "__tt"), _tokenizer("__parent", "__pt"),
-                  SQLTransformer(statement=f"SELECT *, {pair} AS __pair FROM __THIS__"),
-                  *_terms("__pair", "features", cfg)]
-    elif regime == "inc_hybrid":
-        stages = [clean, _tokenizer("__parent", "__pt"), *_terms("__pt", "__pf", cfg),
-                  *_assemble(["__pooled", "__pf"])]
-    else:
-        raise ValueError(f"regime must be one of {REGIMES}")
-    return Pipeline(stages=stages + [lr])
+    stages = [ClassWeight(positiveWeight=cfg.positive_weight), clean, _tokenizer("__text", "__tt"), _tokenizer("__parent", "__pt")]
+    counted = ["__tt", "__pt"] if cfg.augmented_vocabulary else ["__tt"]
 
-
-def prepare(regime: str, df: DataFrame, cfg: TrainConfig, vectors: DataFrame | None = None,
-            key: str = "id") -> DataFrame:
-    """Training/scoring input: class weight, and for inc_hybrid the pooled target vector (a join with the
-    word-vector table, so it happens before the pipeline)."""
-    out = df.withColumn("weight", class_weight(F.col("label"), cfg.positive_weight))
-    if regime == "inc_hybrid":
+    def pooled(tokens: str, out: str) -> list:
         if vectors is None:
-            raise ValueError("inc_hybrid needs a word-vector table")
-        dim = vectors.select(F.max(F.size("vector"))).scalar()
-        toks = tokenize(out.select(key, "text"), "text", "tokens")
-        # the vector width is a lazy scalar subquery (no driver round trip)
-        pooled = masked_mean_pool(toks, vectors, dim, tokens="tokens", key=key, out="__pooled_arr")
-        out = out.join(pooled.select(key, array_to_vector("__pooled_arr").alias("__pooled")), key, "left")
-    return out
+            raise ValueError(f"{regime} needs a word-vector table")
+        n = vector_length(vectors)
+        return [PooledVectors(vectors, tokens, out, key, n), VectorSizeHint(inputCol=out, size=n)]
+
+    if regime == "ooc":
+        return stages + [FittedTerms(["__tt"], ["__tf"], ["__tt"], cfg.vocab_size), *_assemble(["__tf"])]
+    if regime == "inc_concat":
+        return stages + [FittedTerms(["__tt", "__pt"], ["__tf", "__pf"], counted, cfg.vocab_size), *_assemble(["__tf", "__pf"])]
+    if regime == "inc_pair":
+        return stages + [SQLTransformer(statement=f"SELECT *, {_pair(cfg.max_len)} AS __pair FROM __THIS__"),
+                         FittedTerms(["__pair"], ["__rf"], ["__pair"], cfg.vocab_size), *_assemble(["__rf"])]
+    if regime in ("inc_hybrid", "inc_learnt"):
+        learnt = LearntVectors("__tt", "__pooled", key, size=cfg.vector_size, seed=cfg.seed)
+        target = pooled("__tt", "__pooled") if regime == "inc_hybrid" else [learnt, VectorSizeHint(inputCol="__pooled", size=cfg.vector_size)]
+        return stages + [*target, FittedTerms(["__pt"], ["__pf"], counted, cfg.vocab_size), *_assemble(["__pooled", "__pf"])]
+    if regime == "ooc_net":
+        return stages + [*pooled("__tt", "__pooled"), *_assemble(["__pooled"])]
+    if regime == "inc_net":
+        return stages + [*pooled("__tt", "__pooled"), *pooled("__pt", "__context"), *_assemble(["__pooled", "__context"])]
+    raise ValueError(f"regime must be one of {REGIMES + NETWORKS}")
+
+
+def classifier(cfg: TrainConfig) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=cfg.reg_param,
+                              maxIter=cfg.max_iter, standardization=False, probabilityCol="probability")
+
+
+def build_pipeline(regime: str, cfg: TrainConfig = TrainConfig(), vectors: DataFrame | None = None, key: str = "id") -> Pipeline:
+    if regime not in REGIMES:
+        raise ValueError(f"regime must be one of {REGIMES}")
+    return Pipeline(stages=feature_stages(regime, cfg, vectors, key) + [classifier(cfg)])
 
 
 def fit(regime: str, train: DataFrame, cfg: TrainConfig = TrainConfig(), vectors: DataFrame | None = None,
         key: str = "id") -> PipelineModel:
-    return build_pipeline(regime, cfg).fit(prepare(regime, train, cfg, vectors, key))
+    return build_pipeline(regime, cfg, vectors, key).fit(train)
+
 
+def predict(model: PipelineModel, df: DataFrame, key: str = "id", keep: Sequence[str] = ("label",)) -> DataFrame:
+    """key, kept columns, score = P(toxic), for rows (id, text, parent); the model needs nothing else."""
+    return model.transform(df).select(key, *keep, vector_to_array(F.col("probability"))[1].alias("score"))
 
-def predict(model: PipelineModel, regime: str, df: DataFrame, cfg: TrainConfig = TrainConfig(),
-            vectors: DataFrame | None = None, key: str = "id", keep: Sequence[str] = ("label",)) -> DataFrame:
-    """key, kept columns, score = P(toxic)."""
-    scored = model.transform(prepare(regime, df, cfg, vectors, key))
-    return scored.select(key, *keep, vector_to_array(F.col("probability"))[1].alias("score"))
+
+@contextmanager
+def featurised(stages: PipelineModel, *parts: DataFrame, key: str = "id") -> Iterator[list[DataFrame]]:
+    """The parts as (key, label, weight, features), held while several candidates are fitted. A small part is held in
+    few partitions: each iteration of an optimiser is a job over them."""
+    held = []
+    try:
+        for df in parts:
+            rows = stages.transform(df).select(key, "label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(rows)
+        yield [x.coalesce(max(1, -(-x.count() // ROWS_PER_TASK))) for x in held]
+    finally:
+        for x in held:
+            x.unpersist()
 
 
 # ---- selection on the dev part (X5 / M7) ----------------------------------------------------------
@@ -163,6 +187,26 @@ def select_best(candidates: DataFrame, order: str = "candidate", metric: str = "
     return best
 
 
+def dev_auroc(model, rows: DataFrame) -> float | None:
+    scored = model.transform(rows).select("label", vector_to_array(F.col("probability"))[1].alias("score"))
+    return M.auroc(scored, score="score").first()["auroc"]
+
+
+class Patience:
+    """Early stopping as in :func:`select_best`: metrics are compared at 12 decimals, the earliest best is kept."""
+
+    def __init__(self, patience: int):
+        self.patience, self.best, self.metric, self.stale = patience, None, None, 0
+
+    def done(self, candidate, metric: float | None) -> bool:
+        """Takes the next candidate; whether the walk ends with it."""
+        if self.best is None or (metric is not None and (self.metric is None or round(metric, 12) > round(self.metric, 12))):
+            self.best, self.metric, self.stale = candidate, metric, 0
+        else:
+            self.stale += 1
+        return self.stale >= self.patience
+
+
 def fit_with_dev_selection(regime: str, train: DataFrame, dev: DataFrame, grid: Sequence[float],
                            cfg: TrainConfig = TrainConfig(), patience: int = 3, vectors: DataFrame | None = None,
                            key: str = "id") -> tuple[PipelineModel, list[tuple[int, float, float]]]:
@@ -170,31 +214,15 @@ def fit_with_dev_selection(regime: str, train: DataFrame, dev: DataFrame, grid:
     budgets), score the dev part, stop after ``patience`` candidates without a dev-AUROC gain, and
     return the best model with the (candidate, reg_param, dev_auroc) history.
 
-    The feature stages have nothing to fit, so train and dev are featurised once, kept for the whole grid and
-    released afterwards."""
-    stages = build_pipeline(regime, cfg).getStages()
-    featurise, lr = PipelineModel(stages[:-1]), stages[-1]
-
-    def features(df: DataFrame) -> DataFrame:
-        return featurise.transform(prepare(regime, df, cfg, vectors, key)).select(key, "label", "weight", "features") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-
-    own, held = features(train), features(dev)
-    best_model, best_auc, history, stale = None, None, [], 0
-    try:
+    The feature stages are fitted on the training part once; train and dev are featurised once, kept for the whole grid
+    and released afterwards."""
+    features = Pipeline(stages=feature_stages(regime, cfg, vectors, key)).fit(train)
+    lr, watch, history = classifier(cfg), Patience(patience), []
+    with featurised(features, train, dev, key=key) as (own, held):
         for i, reg in enumerate(grid):
             model = lr.copy({lr.regParam: float(reg)}).fit(own)
-            scored = model.transform(held).select("label", vector_to_array(F.col("probability"))[1].alias("score"))
-            dev_auc = M.auroc(scored, score="score").first()["auroc"]
-            history.append((i, float(reg), dev_auc))
-            # compared at 12 decimals, as in select_best
-            if best_auc is None or (dev_auc is not None and round(dev_auc, 12) > round(best_auc, 12)):
-                best_model, best_auc, stale = model, dev_auc, 0
-            else:
-                stale += 1
-                if stale >= patience:
-                    break
-    finally:
-        own.unpersist()
-        held.unpersist()
-    return PipelineModel([*featurise.stages, best_model]), history
+            metric = dev_auroc(model, held)
+            history.append((i, float(reg), metric))
+            if watch.done(model, metric):
+                break
+    return PipelineModel([features, watch.best]), history

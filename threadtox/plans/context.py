@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadtox.operators import annotations as A
 from threadtox.operators import context as C
 from threadtox.operators import features as FE
+from threadtox.operators import trees as TR
 from threadtox.operators.scoring import MAX_CHARS, char_cap
 from threadtox.plans.registry import register
 from threadtox.sources import fixtures as fx
@@ -73,6 +74,22 @@ def q_thread_topic(spark, d):
     return C.thread_topic(conv).select("conv_id", "turn", "topic")
 
 
+@register("reply_parent", "J5", fx.with_fixtures(
+    "SELECT r.id, r.parent_id, p.text AS parent_text FROM replies r LEFT JOIN replies p ON p.id = r.parent_id", "replies"))
+def q_reply_parent(spark, d):
+    return TR.reply_parent(fx.replies(spark, d)).select("id", "parent_id", "parent_text")
+
+
+@register("reply_topic", "J6", fx.with_fixtures(
+    """WITH tree(id, root_id, depth) AS (SELECT id, id, 0 FROM replies WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM replies)
+       UNION ALL SELECT r.id, t.root_id, t.depth + 1 FROM replies r JOIN tree t ON r.parent_id = t.id)
+       SELECT r.id, t.root_id, t.depth, r.parent_id IS NOT NULL AND r.parent_id NOT IN (SELECT id FROM replies) AS orphan,
+              t.id IS NULL AS cyclic, p.text AS topic
+       FROM replies r LEFT JOIN tree t ON t.id = r.id LEFT JOIN replies p ON p.id = t.root_id""", "replies").replace("WITH ", "WITH RECURSIVE ", 1))
+def q_reply_topic(spark, d):
+    return TR.reply_topic(fx.replies(spark, d))
+
+
 @register("context_delta", "J7", fx.with_fixtures(
     """SELECT gn.id, gn.label AS label_oc, gc.label AS label_ic, gc.label - gn.label AS delta
        FROM gn JOIN gc ON gn.id = gc.id""", "gn"))

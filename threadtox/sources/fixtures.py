@@ -9,6 +9,8 @@ api                    informative external score without context
 toxicity_scores        external score of parent + text, keyed by id
 comments_gn            same ids, ~5% of labels flipped (annotation without context)
 threads                conversations with parent (previous turn) and topic (first turn)
+replies                documents as posts that answer other posts by id: a third answers document 0, a third forms threads
+                       of 1,000 replies in a row, the rest answers a random earlier post
 cctk                   transfer corpus: comment_text, fractional target in {0.0, 0.1, ..., 1.0}
 annotations            ten annotator codes per post and condition (oc = without parent, ic = with)
 """
@@ -33,6 +35,8 @@ ANNOTATORS = 10
 UNSURE_SHARE = 0.001
 TOXIC_VOTE = {(1, "ic"): 0.7, (1, "oc"): 0.6, (0, "ic"): 0.1, (0, "oc"): 0.08}
 GN_FLIP = 0.05
+# Posts of a thread of the reply trees.
+CHAIN = 1000
 # -------------------------------------------------------------------------------------------------
 
 
@@ -87,6 +91,15 @@ def threads(spark: SparkSession, data_dir: str) -> DataFrame:
     return with_parent.join(topics, "conv_id", "left")
 
 
+def replies(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Reply trees: id, text, parent_id (null for the first post of a thread)."""
+    d = table(spark, data_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    star = F.when(F.col("id") > 0, F.lit(0).cast("long"))
+    row = F.when(F.pmod(F.floor(F.col("id") / 3), F.lit(CHAIN)) != 0, F.col("id") - 3)
+    earlier = F.floor(uniform(F.concat(F.lit("reply:"), F.col("id").cast("string"))) * F.col("id"))
+    return d.withColumn("parent_id", F.when(F.col("id") % 3 == 0, star).when(F.col("id") % 3 == 1, row).otherwise(earlier).cast("long"))
+
+
 def cctk(spark: SparkSession, data_dir: str) -> DataFrame:
     """Transfer corpus: id, comment_text, target (0.0 .. 1.0 in tenths)."""
     d = table(spark, data_dir, "documents").select("doc_id", "text")
@@ -175,6 +188,9 @@ SQL = {
                      lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS parent,
                      first_value(text) OVER (PARTITION BY conv_id ORDER BY turn) AS topic
                   FROM conversations""",
+    "replies": f"""SELECT doc_id AS id, text, CAST(CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id > 0 THEN 0 END
+                      WHEN doc_id % 3 = 1 THEN CASE WHEN (doc_id // 3) % {CHAIN} <> 0 THEN doc_id - 3 END
+                      ELSE floor({U("concat('reply:', doc_id)")} * doc_id) END AS BIGINT) AS parent_id FROM documents""",
     "cctk": f"""SELECT doc_id AS id, text AS comment_text,
                    floor({U("concat('t', doc_id)")} * 11) / 10.0::DOUBLE AS target FROM documents""",
     "annotations": f"""SELECT id, text, parent, label, {_code_sql('oc')} AS tox_codes_oc,
@@ -192,7 +208,7 @@ SQL = {
 
 def with_fixtures(sql: str, *names: str) -> str:
     """Prefix a query with the CTEs it needs (gc always comes first: the others read it)."""
-    order = ["gc", "gn", "settings", "toxicity_scores", "threads", "cctk", "annotations", "word_index",
+    order = ["gc", "gn", "settings", "toxicity_scores", "threads", "replies", "cctk", "annotations", "word_index",
              "word_vectors", "pair_vocab"]
     need = set(names) | {"gc"}
     if "settings" in need:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from threadtox.operators import models as ML
+from threadtox.operators.stages import PooledVectors
 from threadtox.sources.files import COMMENT_SCHEMA
 
 
@@ -22,12 +23,15 @@ def read_comment_stream(spark: SparkSession, path: str, max_files_per_trigger: i
             .parquet(path))
 
 
-def score_stream(stream: DataFrame, model: PipelineModel, regime: str = "ooc",
-                 cfg: ML.TrainConfig = ML.TrainConfig()) -> DataFrame:
+def _stages(model: PipelineModel) -> list:
+    return [x for s in model.stages for x in (_stages(s) if isinstance(s, PipelineModel) else [s])]
+
+
+def score_stream(stream: DataFrame, model: PipelineModel) -> DataFrame:
     """id, label, score for every arriving comment (regimes without a table join: ooc, inc_concat, inc_pair)."""
-    if regime == "inc_hybrid":
-        raise ValueError("inc_hybrid joins a word-vector table; score it in batch")
-    return ML.predict(model, regime, stream, cfg)
+    if any(isinstance(s, PooledVectors) for s in _stages(model)):
+        raise ValueError("the model joins a word-vector table; score it in batch")
+    return ML.predict(model, stream)
 
 
 def write_scores(scored: DataFrame, out_path: str, checkpoint: str | None = None,
