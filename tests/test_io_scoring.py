@@ -114,3 +114,75 @@ def test_votes_of_nobody_have_no_rate(spark):
     df = spark.createDataFrame([(1, [], ["TOXIC"]), (2, None, ["NOT", "VERY TOXIC"])], "id long, tox_codes_oc array<string>, tox_codes_ic array<string>")
     assert {(r.id, r.condition): r.rate for r in A.annotator_rate(df).collect()} == {(1, "oc"): None, (1, "ic"): 1.0, (2, "oc"): None, (2, "ic"): 0.5}
     assert [r.sensitive for r in A.context_sensitivity(df).collect()] == [None, None]
+
+
+def _logging_scorer(log, fail=lambda t, lang: False, stop_after=None):
+    """A scorer that writes every successful call to a file; it stops for good after ``stop_after`` of them in all."""
+    stopped = SC.ScoringStopped
+
+    def factory():
+        import hashlib
+        import os
+
+        def score(text, language):
+            done = os.path.getsize(log) if os.path.exists(log) else 0
+            if stop_after is not None and done >= stop_after * 9:
+                raise stopped("quota")
+            if fail(text, language):
+                raise RuntimeError("refused")
+            with open(log, "a") as f:
+                f.write(hashlib.md5(text.encode()).hexdigest()[:8] + "\n")
+            return len(text) / 100
+        return score
+    return factory
+
+
+def test_a_stopped_pass_goes_on_without_repeating_calls(spark, tmp_path):
+    rows = [(i, f"text {i % 70}") for i in range(100)] + [(None, "text 5"), (200, None), (201, "")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    log, ledger = str(tmp_path / "calls"), str(tmp_path / "ledger")
+
+    def refuse(text, language):
+        return text == "text 9" and language is None or text == "text 11"
+    options = {"block_texts": 20, "partitions": 1}
+    with pytest.raises(SC.ScoringStopped):
+        SC.ledger_score(df, ledger, factory=_logging_scorer(log, refuse, stop_after=33), **options)
+    kept = SC.read_ledger(spark, ledger)
+    assert kept.count() == 33
+    got = SC.ledger_score(df, ledger, factory=_logging_scorer(log, refuse), **options)
+    calls = open(log).read().split()
+    assert len(calls) == len(set(calls)) == 70  # 70 texts and the empty one, but for text 11: one successful call each
+    status = {(r.id, r.status) for r in got.collect()}
+    assert got.count() == len(rows) and {s for i, s in status if i in (11, 81, 200)} == {"failed"}
+    assert {s for i, s in status if i in (9, 79)} == {"retried"} and (None, "ok") in status and (201, "ok") in status
+    again = SC.ledger_score(df, ledger, factory=_logging_scorer(log, refuse), **options)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect())) and len(open(log).read().split()) == 70
+
+
+def test_calls_at_a_time_are_bounded(spark, tmp_path):
+    marks = str(tmp_path / "marks")
+
+    def factory():
+        import threading
+        import time
+        lock, now, most = threading.Lock(), [0], [0]
+
+        def score(text, language):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+                open(marks, "a").write(f"{most[0]} ")
+            time.sleep(0.02)
+            with lock:
+                now[0] -= 1
+            return 0.5
+        return score
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(40)], "id long, text string")
+    got = SC.ledger_score(df, str(tmp_path / "ledger"), factory=factory, concurrency=3, partitions=1)
+    assert got.filter("status = 'ok'").count() == 40
+    assert 2 <= max(map(int, open(marks).read().split())) <= 3
+
+
+def test_ledger_of_an_empty_table(spark, tmp_path):
+    df = spark.createDataFrame([], "id long, text string")
+    assert SC.ledger_score(df, str(tmp_path / "ledger")).count() == 0

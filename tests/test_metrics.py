@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -148,3 +149,43 @@ def test_auroc_of_logits_and_of_crowded_scores(spark):
         want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
         got = M.auroc(spark.createDataFrame(rows, "score double, label int"), [], score="score").first().auroc
         assert abs(got - want) < 1e-12
+
+
+def test_poisson_draws():
+    t = [int(x, 16) / 16 ** 8 for x in M.poisson_thresholds()]
+    assert t[0] == pytest.approx(math.exp(-1), abs=1e-9) and t[1] == pytest.approx(2 * math.exp(-1), abs=1e-9) and t == sorted(t)
+
+
+def _draws(seed, replicate, key):
+    h = hashlib.md5(f"{seed}:{(replicate - 1) // 4}:{key}".encode()).hexdigest()[8 * ((replicate - 1) % 4):][:8]
+    return sum(h >= t for t in M.poisson_thresholds())
+
+
+def test_bootstrap_interval_is_that_of_repeated_rows(spark):
+    r = random.Random(4)
+    rows = [(i if i % 9 else None, k, round(r.random() + 0.4 * (i % 2), 1), i % 2) for k in ("a", "b") for i in range(60)]
+    rows += [(1, "c", 0.5, 1), (2, "c", 0.1, 1), (3, "a", None, 1), (4, "a", 0.5, None)]
+    df = spark.createDataFrame(rows, "id long, k string, score double, label int")
+    got = {x.k: x for x in M.auroc_bootstrap(df, ["k"], replicates=50, seed=3).collect()}
+    for k in ("a", "b"):
+        aucs = []
+        for rep in range(1, 51):
+            own = [(s, y) for i, kk, s, y in rows if kk == k and s is not None and y is not None for _ in range(_draws(3, rep, "" if i is None else i))]
+            pos, neg = [s for s, y in own if y == 1], [s for s, y in own if y == 0]
+            aucs.append(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
+        assert got[k].replicates == 50
+        assert [got[k].ci_low, got[k].ci_high] == pytest.approx(list(np.percentile(aucs, [2.5, 97.5])), abs=1e-12)
+        assert got[k].ci_low < got[k].auroc < got[k].ci_high
+    assert (got["c"].auroc, got["c"].replicates, got["c"].ci_low) == (None, 0, None)
+    whole = M.auroc_bootstrap(df, replicates=8).collect()
+    assert len(whole) == 1 and whole[0].replicates == 8
+    assert M.auroc_bootstrap(df.limit(0), ["k"], replicates=8).count() == 0
+
+
+def test_bootstrap_agrees_with_the_delong_interval(spark):
+    """Over 600 rows both intervals are those of a normal estimate: ends within a fifth of their width."""
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, r.gauss(0.8 * (i % 3 == 0), 1.0), int(i % 3 == 0)) for i in range(600)], "id long, score double, label int")
+    b, d = M.auroc_bootstrap(df, replicates=400).first(), M.auroc_ci(df).first()
+    width = d.ci_high - d.ci_low
+    assert b.ci_low < d.auroc < b.ci_high and abs(b.ci_low - d.ci_low) < width / 5 and abs(b.ci_high - d.ci_high) < width / 5

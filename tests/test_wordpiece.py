@@ -1,3 +1,5 @@
+import pytest
+
 from threadtox.operators import wordpiece as W
 
 
@@ -23,11 +25,12 @@ def test_basic_tokens(spark):
     assert W.basic_tokens("Héllo") == ["Héllo"]
 
 
-def test_pieces_are_the_longest_matches(spark):
+@pytest.mark.parametrize("limit", [100, 0])
+def test_pieces_are_the_longest_matches(spark, limit):
     rows = [(1, "Unaffable people, unaffable!"), (2, "abc ab a"), (3, ""), (4, None), (5, "x" * 220), (6, "x" * 150), (1, "ab"), (None, "abc"), (None, "people")]
     df = spark.createDataFrame(rows, "id long, text string")
     vocab = ["[UNK]", "un", "##aff", "##able", "a", "##b", "##c", "people", ",", "!", "x", "##x", "##xxx"]
-    got = W.wordpiece_tokens(df, spark.createDataFrame([(t,) for t in vocab], "token string")).collect()
+    got = W.wordpiece_tokens(df, spark.createDataFrame([(t,) for t in vocab], "token string"), max_broadcast_mb=limit).collect()
     want = [(i, t, [p for w in W.basic_tokens(t) for p in longest_match(w, set(vocab))]) for i, t in rows]
     assert sorted(((r.id, r.text, r.pieces) for r in got), key=str) == sorted(want, key=str)
     assert [p for i, _, p in want if i == 5] == [[W.UNK]] and ["un", "##aff", "##able"] == want[0][2][-4:-1]
@@ -42,3 +45,10 @@ def test_derived_vocabulary_layout(spark):
     assert set(v[4:4 + 2 * len(chars)]) == chars | {"##" + c for c in chars}
     # top words by count (ab 3, cd 2, ef 1), ties by token; single characters are not words
     assert v[4 + 2 * len(chars):] == ["ab", "cd"]
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_an_empty_vocabulary_knows_nothing(spark, limit):
+    df = spark.createDataFrame([(1, "ab c")], "id long, text string")
+    got = W.wordpiece_tokens(df, spark.createDataFrame([], "token string"), max_broadcast_mb=limit).first()
+    assert got.pieces == [W.UNK, W.UNK]

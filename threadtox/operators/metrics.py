@@ -8,6 +8,7 @@ spread over many tasks. Only the final per-group numbers are small.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,15 +50,17 @@ def score_bucket(score: Column, per_octave: int = BUCKETS_PER_OCTAVE) -> Column:
 
 
 def score_table(df: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label",
-                n_keys: int | None = None) -> DataFrame:
-    """One row per (keys, distinct score): pos, neg, pos_below, neg_below (strictly lower scores), P, N.
+                n_keys: int | None = None, weight: str | None = None) -> DataFrame:
+    """One row per (keys, distinct score): pos, neg, pos_below, neg_below (strictly lower scores), P, N. With an integer
+    ``weight`` a row counts that often.
 
     ``n_keys`` is kept for callers; how the bucket offsets are joined is left to AQE, which sees their size."""
     keys = list(keys)
+    n = F.lit(1) if weight is None else F.col(weight)
     g = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
          .groupBy(*keys, F.col(score).alias("score"))
-         .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
-              F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("long").alias("neg")))
+         .agg(F.sum(F.when(F.col(label) == 1, n).otherwise(0)).cast("long").alias("pos"),
+              F.sum(F.when(F.col(label) == 1, 0).otherwise(n)).cast("long").alias("neg")))
     rt = running_totals(g, keys, [F.col("score")], [score_bucket(F.col("score").cast("double"))],
                         {"pos_below": F.col("pos"), "neg_below": F.col("neg")}, totals=True)
     return rt.withColumnRenamed("total_pos_below", "P").withColumnRenamed("total_neg_below", "N")
@@ -69,15 +72,15 @@ def _degenerate(value: Column, ok: Column, degenerate: str) -> Column:
 
 
 def auroc(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-          degenerate: str = "null", n_keys: int | None = None) -> DataFrame:
-    """Exact area under the ROC curve per group: keys, n_pos, n_neg, auroc.
+          degenerate: str = "null", n_keys: int | None = None, weight: str | None = None) -> DataFrame:
+    """Exact area under the ROC curve per group: keys, n_pos, n_neg, auroc. An integer ``weight`` repeats rows.
 
     auroc = sum over positives of (#negatives scored lower + half the tied negatives) / (P * N), with the
     numerator kept as an exact integer (2x) until the final division. ``degenerate`` picks the value for a
     group that lacks one class: 'null' (default), 'one' or 'zero'.
     """
     keys = list(keys)
-    st = score_table(df, keys, score, label, n_keys)
+    st = score_table(df, keys, score, label, n_keys, weight)
     num = F.col("pos").cast("decimal(38,0)") * (F.lit(2) * F.col("neg_below") + F.col("neg")).cast("decimal(38,0)")
     agg = st.groupBy(*keys).agg(F.sum(num).alias("__num"), F.first("P").alias("n_pos"), F.first("N").alias("n_neg"))
     ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
@@ -118,6 +121,67 @@ def auroc_ci(df: DataFrame, keys: Sequence[str] = (), score: str = "score", labe
                       F.least(F.lit(1.0), F.col("auroc") + half).alias("ci_high"))
 
 
+def poisson_thresholds(mean: float = 1.0, digits: int = 8) -> list[str]:
+    """Hex numbers t[0] < t[1] < ... with P(k <= j) = t[j] / 16^digits for a Poisson count k, as far as they differ."""
+    out, term, total, k = [], math.exp(-mean), 0.0, 0
+    while True:
+        total += term
+        k += 1
+        term *= mean / k
+        t = round(total * 16 ** digits)
+        if t >= 16 ** digits or (out and f"{t:0{digits}x}" == out[-1]):
+            return out
+        out.append(f"{t:0{digits}x}")
+
+
+DRAWS = 4   # 8-digit draws of one md5
+
+
+def bootstrap_weights(df: DataFrame, replicates: int, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """``df`` once for each replicate (1 .. replicates) in which the row is drawn, with its ``draws``.
+
+    The number of draws is Poisson(1), read from 8 hex digits of md5(seed:block:id), where a block is ``DRAWS`` replicates: a
+    Poisson bootstrap, which needs no count of the rows and no exchange, and is the same on every run. Rows that share
+    an id share their draws; a null id counts as ''.
+    """
+    limits = poisson_thresholds()
+    blocks = -(-replicates // DRAWS)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__block").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+
+    def draws(i: int) -> Column:
+        digits = F.substring("__md5", 8 * i + 1, 8)
+        n = F.when(digits < F.lit(limits[0]), 0)
+        for k in range(1, len(limits)):
+            n = n.when(digits < F.lit(limits[k]), k)
+        return n.otherwise(len(limits))
+
+    one = F.array(*(F.struct((F.col("__block") * DRAWS + i + 1).alias("replicate"), draws(i).alias("draws")) for i in range(DRAWS)))
+    rows = df.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("__md5", digest)
+    return rows.withColumn("__draw", F.explode(F.filter(one, lambda x: (x["draws"] > 0) & (x["replicate"] <= replicates)))) \
+        .select(*df.columns, F.col("__draw.replicate").alias("replicate"), F.col("__draw.draws").alias("draws"))
+
+
+def auroc_bootstrap(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label", id_col: str = "id",
+                    replicates: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """AUROC with a percentile interval from a Poisson bootstrap: keys, auroc, replicates, ci_low, ci_high.
+
+    Of the drawn rows only (replicate, distinct score, class) totals are shuffled, summed map-side first; every
+    replicate's AUROC is exact. Replicates that lack a class are left out (``replicates`` counts the rest), and a group
+    without a usable one has no interval.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, F.col(id_col).alias("__id"), F.col(score).alias("score"), F.col(label).alias("label")) \
+        .where("score IS NOT NULL AND label IS NOT NULL")
+    drawn = auroc(bootstrap_weights(rows, replicates, seed, "__id"), [*keys, "replicate"], weight="draws")
+    tail = (1 - level) / 2
+    limits = drawn.groupBy(*keys).agg(F.count("auroc").alias("replicates"), F.percentile("auroc", F.lit(tail)).alias("ci_low"),
+                                      F.percentile("auroc", F.lit(1 - tail)).alias("ci_high"))
+    whole = auroc(rows, keys).select(*keys, "auroc")
+    if not keys:
+        return _attach(whole, limits, [])  # one row each
+    return whole.join(limits, keys, "left").withColumn("replicates", F.coalesce("replicates", F.lit(0)).cast("long"))
+
+
 def binned_score(score: Column, thresholds: int = BINNED_THRESHOLDS) -> Column:
     """Index (1 .. thresholds-1) of the last of the evenly spaced thresholds 0-eps, 1/(t-1), .. that the
     score strictly exceeds; two scores in one bin are indistinguishable to the binned AUC."""

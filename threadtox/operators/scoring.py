@@ -3,12 +3,14 @@
 ``join_scores`` is the keyed lookup of a score table (strict: a missing or duplicated id fails the job).
 ``external_score`` calls a user-supplied scorer from inside tasks (``mapInPandas``): one client per
 partition, text capped before the call, failed rows retried once with a language hint, and the first pass
-materialised before the retry pass so a retry never repeats a successful call.
+materialised before the retry pass so a retry never repeats a successful call. ``ledger_score`` keeps the
+answers in a ledger, so that a restarted job does not ask for them again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -104,3 +106,83 @@ def external_score(df: DataFrame, text: Column | str = "text", factory: Callable
     return ok.unionByName(again.select(
         "id", "score", F.when(F.col("score") < 0, F.lit("failed")).otherwise(F.lit("retried")).alias("status")))
 
+
+
+# ---- scoring with a ledger ----------------------------------------------------------------------------
+
+LEDGER = "content string, score double, pass int"
+
+
+class ScoringStopped(RuntimeError):
+    """The service is gone for good (quota, credentials): what is answered is kept, the run ends."""
+
+
+def content_key(text: Column, max_chars: int = MAX_CHARS) -> Column:
+    """What the ledger knows a text by: the hash of what is sent to the service."""
+    return F.sha2(char_cap(text, max_chars), 256)
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    """The answers so far (content, score, pass); none if there is no ledger yet."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def _ask(factory: Callable[[], Scorer], language: str | None, number: int, concurrency: int):
+    """Scores of a partition's texts, ``concurrency`` calls at a time. A failed call leaves its text without an answer;
+    after ScoringStopped no further call is made, and a row without content says so."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, stopped = factory(), False
+
+        def one(text: str) -> float | None:
+            nonlocal stopped
+            if stopped:
+                return None
+            try:
+                return float(scorer(text, language))
+            except ScoringStopped:
+                stopped = True
+            except Exception:  # any other failure of the service counts as a failed call
+                pass
+            return None
+
+        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+            for b in batches:
+                scores = list(pool.map(one, b["sent"]))
+                answered = [(c, s, number) for c, s in zip(b["content"], scores, strict=True) if s is not None]
+                yield pd.DataFrame(answered + [(None, None, number)] * stopped, columns=["content", "score", "pass"])
+    return run
+
+
+def ledger_score(df: DataFrame, ledger: str, text: Column | str = "text", factory: Callable[[], Scorer] = stub_scorer_factory,
+                 key: str = "id", max_chars: int = MAX_CHARS, retry_language: str = RETRY_LANGUAGE, concurrency: int = 1,
+                 block_texts: int = 100_000, partitions: int | None = None) -> DataFrame:
+    """id, score, status as :func:`external_score`, with every answer kept in the parquet table ``ledger``.
+
+    Distinct texts that the ledger has no answer for are sent in blocks of about ``block_texts``, and a block's answers are
+    appended when it ends, so a run that is started again asks only for the rest. If the service stops for good
+    (ScoringStopped), the answers up to then are kept and the run ends with that error; if executors are lost, at most
+    the calls of one block are repeated. ``partitions`` x ``concurrency`` is the most calls at a time. Texts are asked once,
+    however many rows share one; failed texts are not in the ledger and are asked again by the next run.
+    """
+    spark = df.sparkSession
+    t = F.col(text) if isinstance(text, str) else text
+    rows = df.select(F.col(key).alias("id"), char_cap(t, max_chars).alias("sent"), content_key(t, max_chars).alias("content"))
+    texts = rows.filter("content IS NOT NULL").groupBy("content").agg(F.first("sent").alias("sent"))
+    for number, language in ((1, None), (2, retry_language)):
+        todo = write_once(texts.join(read_ledger(spark, ledger), "content", "left_anti"), f"ledger-pass{number}")
+        blocks = -(-todo.count() // block_texts)
+        for b in range(blocks):
+            block = todo.filter(F.pmod(F.xxhash64("content"), F.lit(blocks)) == b)
+            if partitions:
+                block = block.repartition(partitions)
+            got = write_once(block.mapInPandas(_ask(factory, language, number, concurrency), LEDGER), "ledger-block")
+            got.filter("content IS NOT NULL").write.mode("append").parquet(ledger)
+            if got.filter("content IS NULL").limit(1).count():
+                raise ScoringStopped("the scoring service stopped; its answers so far are in the ledger")
+    known = read_ledger(spark, ledger).groupBy("content").agg(F.min(F.struct("pass", "score")).alias("a"))
+    joined = rows.select("id", "content").join(known, "content", "left")
+    return joined.select("id", F.coalesce("a.score", F.lit(FAILED)).alias("score"),
+                         F.when(F.col("a").isNull(), "failed").when(F.col("a.pass") == 1, "ok").otherwise("retried").alias("status"))

@@ -6,25 +6,26 @@ Two steps:
   as the study's encoder is cased) is one regular expression in the JVM; the lower-cased form also strips accents,
   which needs Unicode normalisation that Spark SQL does not offer, so it is a small Arrow-batched helper;
 * greedy longest-match-first split of each *distinct* basic token into vocabulary pieces (continuations carry the
-  ``##`` prefix; a token with no split, or longer than ``max_word_chars``, becomes [UNK]): every distinct token's
-  candidate substrings, none longer than the longest piece, are joined with the vocabulary, the longest match per start
-  position is aggregated, and the greedy walk is an ``aggregate`` over the token's positions. No per-row Python, and
-  nothing is broadcast unless Spark sees that it is small.
+  ``##`` prefix; a token with no split, or longer than ``max_word_chars``, becomes [UNK]). A vocabulary of checked size is
+  broadcast as a set and the distinct tokens are walked in Arrow batches; a larger one is joined with the tokens'
+  candidate substrings.
 """
 
 from __future__ import annotations
 
 import unicodedata
-
-import regex
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from threadtox.operators.ranking import exact_row_number
-from threadtox.operators.text import by_content, join_content
+from threadtox.operators.text import BROADCAST_MB, by_content, fits_broadcast, join_content
+from threadtox.session import ship_package
 
 # --- fixed values -------------------------------------------------------------------------------
 UNK = "[UNK]"
@@ -73,15 +74,43 @@ def basic_tokenize(text: Column, lower: bool = False) -> Column:
     return run(text)
 
 
-def wordpiece_tokens(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "pieces",
-                     key: str = "id", lower: bool = False, max_word_chars: int = MAX_WORD_CHARS) -> DataFrame:
-    """Add the WordPiece pieces of ``text`` (vocabulary table column ``token``). Rows may share an id or have none."""
-    base = by_content(df.withColumn("__bt", basic_tokenize(F.col(text), lower)), "__bt")
-    at = ["__k", "__h", "__g"]
-    # a text's distinct tokens with their places: a word that is everywhere is one row a text
-    ex = base.select(F.col(key).alias("__k"), "__h", "__g", F.posexplode("__bt").alias("__pos", "__w")) \
-        .groupBy(*at, "__w").agg(F.collect_set("__pos").alias("__at"))
-    words = ex.select("__w").distinct().withColumn("__L", F.length("__w"))
+def greedy_pieces(word: str, pieces: frozenset[str], longest: int, max_word_chars: int) -> list[str]:
+    """Longest-match-first split of one basic token; [UNK] if it has none or is too long."""
+    if len(word) > max_word_chars:
+        return [UNK]
+    out, at = [], 0
+    while at < len(word):
+        mark = CONTINUATION if at else ""
+        for end in range(min(len(word), at + longest), at, -1):
+            if (piece := mark + word[at:end]) in pieces:
+                break
+        else:
+            return [UNK]
+        out.append(piece)
+        at = end
+    return out
+
+
+def _split_with_broadcast(words: DataFrame, vocab: DataFrame, max_word_chars: int) -> DataFrame:
+    """__w, __pieces of the distinct basic tokens, walked in Arrow batches with the vocabulary as a broadcast set."""
+    spark = words.sparkSession
+    pieces = frozenset(r.token for r in vocab.select("token").collect() if r.token)
+    shared = spark.sparkContext.broadcast((pieces, max(map(len, pieces), default=1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, longest = shared.value
+        for b in batches:
+            split = [greedy_pieces(w, known, longest, max_word_chars) for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(split, pa.list_(pa.string()))], names=["__w", "__pieces"])
+
+    ship_package(spark)
+    return words.select("__w").mapInArrow(run, "__w string, __pieces array<string>")
+
+
+def _split_with_joins(words: DataFrame, vocab: DataFrame, max_word_chars: int) -> DataFrame:
+    """The same with a vocabulary of any size: every distinct token's candidate substrings, none longer than the longest
+    piece, are joined with it, the longest match per start is aggregated, and the walk is an ``aggregate``."""
+    words = words.withColumn("__L", F.length("__w"))
     longest_piece = vocab.agg(F.max(F.length("token"))).first()[0] or 0
     short = words.where(F.col("__L") <= max_word_chars)
     # every (start, end) substring of each distinct word, with the continuation prefix after position 0
@@ -107,8 +136,24 @@ def wordpiece_tokens(df: DataFrame, vocab: DataFrame, text: str = "text", out: s
     walked = steps.select("__w", F.aggregate(F.sequence(F.lit(1), F.col("__L")), start, walk).alias("__r"))
     split = walked.select("__w", F.when(F.col("__r.ok") & (F.col("__r.pos") >= F.length("__w")), F.col("__r.pieces"))
                           .alias("__pieces"))
-    per_word = words.join(split, "__w", "left").select(
-        "__w", F.coalesce(F.col("__pieces"), F.array(F.lit(UNK))).alias("__pieces"))
+    return words.join(split, "__w", "left").select("__w", F.coalesce(F.col("__pieces"), F.array(F.lit(UNK))).alias("__pieces"))
+
+
+def wordpiece_tokens(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "pieces",
+                     key: str = "id", lower: bool = False, max_word_chars: int = MAX_WORD_CHARS,
+                     max_broadcast_mb: float = BROADCAST_MB) -> DataFrame:
+    """Add the WordPiece pieces of ``text`` (vocabulary table column ``token``). Rows may share an id or have none.
+
+    A vocabulary within ``max_broadcast_mb`` (counted first; about 100 bytes a token) is walked as a broadcast set, a larger
+    one joined; the results are the same."""
+    base = by_content(df.withColumn("__bt", basic_tokenize(F.col(text), lower)), "__bt")
+    at = ["__k", "__h", "__g"]
+    # a text's distinct tokens with their places: a word that is everywhere is one row a text
+    ex = base.select(F.col(key).alias("__k"), "__h", "__g", F.posexplode("__bt").alias("__pos", "__w")) \
+        .groupBy(*at, "__w").agg(F.collect_set("__pos").alias("__at"))
+    words = ex.select("__w").distinct()
+    small = fits_broadcast(vocab.count(), 100, max_broadcast_mb)
+    per_word = (_split_with_broadcast if small else _split_with_joins)(words, vocab, max_word_chars)
     j = ex.join(per_word, "__w", "left").select(*at, F.explode("__at").alias("__pos"), "__pieces")
     coll = j.groupBy(*at).agg(F.array_sort(F.collect_set(F.struct("__pos", "__pieces"))).alias("__p"))
     coll = coll.select(*at, F.flatten(F.transform("__p", lambda x: x["__pieces"])).alias("__found"))

@@ -237,6 +237,27 @@ def q_auroc_ci(spark, d):
     return a.select("split", "n_pos", "n_neg", *[r9(F.col(c)).alias(c) for c in ("auroc", "variance", "ci_low", "ci_high")])
 
 
+def _draws_sql(replicate: str, key: str) -> str:
+    limits = M.poisson_thresholds()
+    digits = f"substr(md5(concat_ws(':', '{SEED}', ({replicate} - 1) // {M.DRAWS}, {key})), 8 * (({replicate} - 1) % {M.DRAWS}) + 1, 8)"
+    return f"(SELECT CASE {' '.join(f'WHEN h < {chr(39)}{t}{chr(39)} THEN {k}' for k, t in enumerate(limits))} ELSE {len(limits)} END FROM (SELECT {digits} AS h))"
+
+
+@register("auroc_bootstrap", "A10", with_splits(
+    f"""WITH drawn AS (SELECT split, replicate, label, api, {_draws_sql('replicate', 'id')} AS n FROM (
+          SELECT split, id, label, api, unnest(range(1, {REPLICATES + 1})) AS replicate FROM {_VAL})),
+        steps AS (SELECT split, replicate, api, sum(n * label) AS pos, sum(n * (1 - label)) AS neg FROM drawn GROUP BY ALL),
+        ranked AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY split, replicate ORDER BY api ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM steps),
+        each AS (SELECT split, replicate, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                   THEN CAST(sum(pos * (2 * below + neg)) AS DOUBLE) / (2.0 * sum(pos) * sum(neg)) END AS auroc FROM ranked GROUP BY ALL)
+        SELECT w.split, round(w.auroc, {R9}) AS auroc, count(e.auroc) AS replicates, round(quantile_cont(e.auroc, 0.025), {R9}) AS ci_low,
+               round(quantile_cont(e.auroc, 0.975), {R9}) AS ci_high
+        FROM ({auroc_sql(_VAL, ['split'], 'api')}) w LEFT JOIN each e ON e.split = w.split GROUP BY w.split, w.auroc"""))
+def q_auroc_bootstrap(spark, d):
+    a = M.auroc_bootstrap(gc_val(spark, d), ["split"], score="api", replicates=REPLICATES, seed=SEED)
+    return a.select("split", r9(F.col("auroc")).alias("auroc"), "replicates", *[r9(F.col(c)).alias(c) for c in ("ci_low", "ci_high")])
+
+
 @register("calibration_in_large", "A12", with_splits(
     f"""SELECT split, round(avg(api), {R9}) AS mean_score, round(avg(CAST(label AS DOUBLE)), {R9}) AS gold_rate,
               count(*) AS n FROM split_table WHERE setting = 'gc' AND part = 'val' GROUP BY split"""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadtox.functions.text import SPECIAL_TOKENS, pad_post_sql, pair_budget_sql, word_tokens, word_tokens_sql
 from threadtox.operators import features as FE
 from threadtox.operators import text as T
+from threadtox.operators.inference import bag_network_factory, bag_network_sql, network_scores
 from threadtox.plans.registry import register
 from threadtox.plans.text import R6, _POOL_SQL
 from threadtox.sources import fixtures as fx
@@ -64,6 +65,18 @@ def q_pair_features(spark, d):
     return FE.pair_features(_tokens(spark, d), fx.pair_vocab(spark, d), "a", "b", MAX_LEN)
 
 
+def _network_sql() -> str:
+    return f"SELECT id, label_id, round({bag_network_sql('input_ids', 'input_mask')}, 9) AS score FROM ({_pair_sql()})"
+
+
+@register("predict_network", "M6 F12", fx.with_fixtures(_network_sql(), "pair_vocab"))
+def q_predict_network(spark, d):
+    """A user's network over the encoder inputs of every comment, in batches in the tasks."""
+    features = FE.pair_features(_tokens(spark, d), fx.pair_vocab(spark, d), "a", "b", MAX_LEN)
+    scored = network_scores(features, bag_network_factory(), {"input_ids": [MAX_LEN], "input_mask": [MAX_LEN]}, keep=["label_id"])
+    return scored.select("id", "label_id", F.round("score", 9).alias("score"))
+
+
 def _concat_sql() -> str:
     text_pool = _POOL_SQL
     parent_pool = _POOL_SQL.replace(word_tokens_sql('text'), f"COALESCE({word_tokens_sql('parent')}, [])")

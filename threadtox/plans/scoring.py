@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from threadtox.functions.hashing import duckdb_uniform as U
 from threadtox.operators.context import context_concat
-from threadtox.operators.scoring import MAX_CHARS, external_score
+from threadtox.operators.scoring import MAX_CHARS, external_score, ledger_score
 from threadtox.plans.evaluation import split_text, with_splits
 from threadtox.plans.registry import register
+from threadtox.session import scratch_path
 from threadtox.sources import fixtures as fx
 
 
@@ -54,3 +55,11 @@ _SCORED = f"(SELECT * FROM split_table WHERE setting = 'gc' AND part = 'val' AND
 @register("external_score_split", "E2 P2", with_splits(_stub_sql("parent || text", _SCORED)))
 def q_external_score_split(spark, d):
     return _rounded(score_split(spark, d, SCORED_SPLIT, context=True))
+
+
+@register("external_score_ledger", "E1 P5 P8", fx.with_fixtures(_stub_sql("text")))
+def q_external_score_ledger(spark, d):
+    """An earlier run answered one label's comments; the next run asks for the rest and reads the ledger for all."""
+    c, ledger = fx.comments(spark, d), scratch_path(spark, "ledger")
+    ledger_score(c.where("label = 1"), ledger)
+    return _rounded(ledger_score(c, ledger, concurrency=4))
