@@ -15,12 +15,12 @@ from threadtox.llm.rows import materialize, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return line_quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return line_quality.keep_good(docs, table(spark, sf_dir, "labels"), min_words=50, max_repeat=50)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; so do documents of which nothing is left then."""
-    left = line_templates.drop_templates(docs, min_docs=5)
+    left = line_templates.drop_templates(docs, depth=3, min_docs=5, min_share=80, lead_share=70, long_docs=2, long_tokens=50)
     if "n_chars" in left.columns:
         left = left.withColumn("n_chars", F.length("text").cast(left.schema["n_chars"].dataType))
     return left.filter(F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
@@ -38,13 +38,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn for the mixture, with their pass and place."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, target_entropy=0.98, max_repeat=2.0, seed=1, block_docs=1000)
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup),
           ("decontamination", decontamination), ("source mixing", source_mixing)]
 
-#: The first stage's model and the third's signatures have no SQL form; tests hold the stages against brute force.
+#: The first stage's model has no SQL form; a test holds run()'s rows to the operators' brute-force versions, chained.
 ORACLE_SQL = None
 
 

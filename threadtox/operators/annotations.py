@@ -56,3 +56,30 @@ def context_sensitivity(df: DataFrame, threshold: float = 0.3, key: str = "id")
     out = out.withColumn("delta", F.col("rate_ic") - F.col("rate_oc"))
     # rates are ratios of small integers: compare with a tolerance so 0.7 - 0.4 counts as 0.3
     return out.withColumn("sensitive", F.abs(F.col("delta")) >= F.lit(threshold - 1e-9))
+
+
+def annotator_votes(df: DataFrame, workers: str = "workers_ic", codes: str = "tox_codes_ic", key: str = "id") -> DataFrame:
+    """One row per annotator: n_posts, n_toxic, rate, and agreement, the share of votes that fall with the post's majority
+    (a tie is no majority: such votes are left out, and without others the agreement is null). Votes are paired with
+    annotators by place; a list that is longer than the other ends with the shorter, a null list has none. Posts are rows."""
+    vote = F.col("__v")
+    n = F.least(F.size(workers), F.size(codes))
+    votes = df.where(F.col(workers).isNotNull() & F.col(codes).isNotNull()).withColumn("__rate", toxic_rate(F.slice(codes, F.lit(1), n))) \
+        .select("__rate", F.explode(F.arrays_zip(F.slice(workers, F.lit(1), n).alias("worker"), F.slice(codes, F.lit(1), n).alias("code"))).alias("__v")) \
+        .select(vote["worker"].alias("worker"), vote["code"].isin(*TOXIC_CODES).alias("toxic"), "__rate").where("worker IS NOT NULL")
+    decided = F.col("__rate") != 0.5
+    agrees = F.when(decided, F.when(F.col("toxic") == (F.col("__rate") > 0.5), 1.0).otherwise(0.0))
+    return votes.groupBy("worker").agg(F.count("*").alias("n_posts"), F.sum(F.col("toxic").cast("long")).alias("n_toxic"),
+                                       F.avg(F.col("toxic").cast("double")).alias("rate"), F.avg(agrees).alias("agreement"))
+
+
+def parent_effect(df: DataFrame, threshold: float = 0.3, parent: str = "tox_codes_parent", key: str = "id") -> DataFrame:
+    """The context effect beside the parent's own toxicity: posts with a toxic parent (half of its votes or more), with
+    another parent, and without votes on the parent: n, mean rates without and with context, mean difference, and how many
+    are context-sensitive."""
+    rate = toxic_rate(F.col(parent))
+    of = F.when(rate >= 0.5, "toxic").when(rate.isNotNull(), "other").otherwise("none")
+    both = context_sensitivity(df.withColumn("__key", F.struct(F.col(key), of.alias("parent"))), threshold, "__key")
+    return both.groupBy(F.col("__key.parent").alias("parent")).agg(
+        F.count("*").alias("n"), F.avg("rate_oc").alias("rate_oc"), F.avg("rate_ic").alias("rate_ic"), F.avg("delta").alias("delta"),
+        F.sum(F.col("sensitive").cast("long")).alias("n_sensitive"))

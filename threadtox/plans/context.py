@@ -11,6 +11,8 @@ from threadtox.operators import features as FE
 from threadtox.operators import trees as TR
 from threadtox.operators.scoring import MAX_CHARS, char_cap
 from threadtox.plans.registry import register
+from threadtox.session import scratch_path
+from threadtox.sources import files
 from threadtox.sources import fixtures as fx
 
 POSITIVE_WEIGHT = 3.0
@@ -141,3 +143,38 @@ def q_annotator_rate(spark, d):
                      {_TOX.format(c='tox_codes_ic')} / len(tox_codes_ic) AS rate_ic FROM {_KEPT})""", "annotations"))
 def q_context_sensitivity(spark, d):
     return A.context_sensitivity(A.drop_unsure(fx.annotations(spark, d)), SENSITIVITY)
+
+
+_N_TOXIC = _TOX.format(c="tox_codes_ic")
+
+
+@register("annotator_votes", "A15", fx.with_fixtures(
+    f"""SELECT worker, count(*) AS n_posts, CAST(sum(CAST(toxic AS INTEGER)) AS BIGINT) AS n_toxic, round(avg(CAST(toxic AS DOUBLE)), 9) AS rate,
+              round(avg(CASE WHEN post <> 0.5 THEN CAST(toxic = (post > 0.5) AS DOUBLE) END), 9) AS agreement
+       FROM (SELECT unnest(workers_ic) AS worker, unnest(tox_codes_ic) IN ('TOXIC', 'VERY TOXIC') AS toxic,
+                    {_N_TOXIC} / len(tox_codes_ic) AS post FROM annotation_corpus) GROUP BY worker""", "annotation_corpus"))
+def q_annotator_votes(spark, d):
+    v = A.annotator_votes(fx.annotation_corpus(spark, d))
+    return v.select("worker", "n_posts", "n_toxic", F.round("rate", 9).alias("rate"), F.round("agreement", 9).alias("agreement"))
+
+
+@register("parent_effect", "A16 A15", fx.with_fixtures(
+    f"""SELECT parent, count(*) AS n, round(avg(oc), 9) AS rate_oc, round(avg(ic), 9) AS rate_ic, round(avg(ic - oc), 9) AS delta,
+              CAST(count_if(abs(ic - oc) >= {SENSITIVITY}::DOUBLE - 1e-9::DOUBLE) AS BIGINT) AS n_sensitive
+       FROM (SELECT CASE WHEN tox_codes_parent IS NULL THEN 'none' WHEN {_TOX.format(c='tox_codes_parent')} / len(tox_codes_parent) >= 0.5 THEN 'toxic'
+                         ELSE 'other' END AS parent,
+                    {_TOX.format(c='tox_codes_oc')} / len(tox_codes_oc) AS oc, {_N_TOXIC} / len(tox_codes_ic) AS ic FROM annotation_corpus)
+       GROUP BY parent""", "annotation_corpus"))
+def q_parent_effect(spark, d):
+    e = A.parent_effect(fx.annotation_corpus(spark, d), SENSITIVITY)
+    return e.select("parent", "n", *(F.round(c, 9).alias(c) for c in ("rate_oc", "rate_ic", "delta")), "n_sensitive")
+
+
+@register("scan_annotations", "S1 A15", fx.with_fixtures(
+    """SELECT id, tox_codes_oc, nullif(text, '') AS text, CAST(toxicity_annotator_count AS INTEGER) AS toxicity_annotator_count, nullif(parent, '') AS parent,
+              tox_codes_ic, tox_codes_parent, workers_ic FROM annotation_corpus""", "annotation_corpus"))
+def q_scan_annotations(spark, d):
+    """The annotated corpus with all its columns, written as CSV and read again."""
+    path = scratch_path(spark, "annotations-csv")
+    files.write_annotations_csv(fx.annotation_corpus(spark, d), path)
+    return files.read_annotations_csv(spark, path)

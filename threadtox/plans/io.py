@@ -11,7 +11,7 @@ from threadtox.plans.registry import register
 from threadtox.plans.sql import SPLITS
 from threadtox.session import scratch_path
 from threadtox.sources import fixtures as fx
-from threadtox.sources import files, sinks
+from threadtox.sources import files, sinks, zipped
 
 CAP = 100_000   # rows of the transfer corpus the study reads
 CUT = 137       # a cap below every table here, so that it cuts
@@ -51,6 +51,16 @@ def q_scan_capped(spark, d):
     return c.select("id", F.col("comment_text").alias("text"), "target")
 
 
+@register("scan_zip", "S4 X4", fx.with_fixtures(
+    f"SELECT id, nullif(comment_text, '') AS text, target FROM cctk ORDER BY id LIMIT {CUT}", "cctk"))
+def q_scan_zip(spark, d):
+    """The capped scan of a corpus that lies in zip archives."""
+    path = scratch_path(spark, "corpus-zip")
+    zipped.write_zip_csv(fx.cctk(spark, d).repartition(2, "id"), path)
+    corpus = zipped.read_zip_csv(spark, path, "id long, comment_text string, target double")
+    return files.capped_scan(corpus, CUT, bucket_bits=6).select("id", F.col("comment_text").alias("text"), "target")
+
+
 @register("scan_capped_cut", "S4 X4", fx.with_fixtures(
     f"SELECT id, comment_text AS text, target FROM cctk ORDER BY id LIMIT {CUT}", "cctk"))
 def q_scan_capped_cut(spark, d):

@@ -33,6 +33,32 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).options(**CSV_WRITE).csv(path)
 
 
+ANNOTATION_SCHEMA = StructType([
+    StructField("id", LongType()), StructField("tox_codes_oc", StringType()), StructField("text", StringType()),
+    StructField("toxicity_annotator_count", IntegerType()), StructField("parent", StringType()), StructField("tox_codes_ic", StringType()),
+    StructField("tox_codes_parent", StringType()), StructField("workers_ic", StringType())])
+ANNOTATION_LISTS = {"tox_codes_oc": "string", "tox_codes_ic": "string", "tox_codes_parent": "string", "workers_ic": "bigint"}
+
+
+def parse_list(text, kind: str = "string"):
+    """A list as it stands in a CSV field, ``['A', 'B C']`` or ``[1, 2]``, with either quote: array of ``kind``; null stays null."""
+    parts = F.regexp_extract_all(text, F.lit("'([^']*)'|\"([^\"]*)\"|([^\\s,\\[\\]'\"]+)"), F.lit(0))
+    return F.transform(parts, lambda x: F.regexp_replace(x, "^['\"]|['\"]$", "").cast(kind))
+
+
+def read_annotations_csv(spark: SparkSession, path: str) -> DataFrame:
+    """The annotated corpus (eight columns) from CSV, its code and annotator lists as arrays."""
+    rows = spark.read.schema(ANNOTATION_SCHEMA).options(**CSV_READ).csv(path)
+    return rows.withColumns({c: parse_list(F.col(c), kind) for c, kind in ANNOTATION_LISTS.items()})
+
+
+def write_annotations_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    def written(c: str, kind: str):
+        cells = F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))) if kind == "string" else F.transform(c, lambda x: x.cast("string"))
+        return F.when(F.col(c).isNotNull(), F.concat(F.lit("["), F.array_join(cells, ", "), F.lit("]")))
+    write_csv(df.select(*(written(f.name, ANNOTATION_LISTS[f.name]).alias(f.name) if f.name in ANNOTATION_LISTS else f.name for f in ANNOTATION_SCHEMA)), path, mode)
+
+
 def read_tsv(spark: SparkSession, path: str, quote: str | None = None) -> DataFrame:
     """Every line of tab-separated files as ``fields`` (array<string>): all fields of all lines, however many a
     line has; an empty field is '', an empty line one empty field. The first line is data (no header handling).

@@ -12,6 +12,7 @@ threads                conversations with parent (previous turn) and topic (firs
 replies                documents as posts that answer other posts by id: a third answers document 0, a third forms threads
                        of 1,000 replies in a row, the rest answers a random earlier post
 cctk                   transfer corpus: comment_text, fractional target in {0.0, 0.1, ..., 1.0}
+annotation_corpus      the published columns: annotations with the parent's codes and the annotators' ids
 annotations            ten annotator codes per post and condition (oc = without parent, ic = with)
 """
 
@@ -33,7 +34,9 @@ CODES = ["NON-TOXIC", "UNSURE", "TOXIC", "VERY TOXIC"]
 ANNOTATORS = 10
 # Share of votes drawn as UNSURE, and toxic-vote probability by (label, condition).
 UNSURE_SHARE = 0.001
-TOXIC_VOTE = {(1, "ic"): 0.7, (1, "oc"): 0.6, (0, "ic"): 0.1, (0, "oc"): 0.08}
+TOXIC_VOTE = {(1, "ic"): 0.7, (1, "oc"): 0.6, (1, "pa"): 0.55, (0, "ic"): 0.1, (0, "oc"): 0.08, (0, "pa"): 0.3}
+# Annotators of the platform.
+WORKERS = 60
 GN_FLIP = 0.05
 # Posts of a thread of the reply trees.
 CHAIN = 1000
@@ -131,6 +134,16 @@ def annotations(spark: SparkSession, data_dir: str) -> DataFrame:
                     F.lit(ANNOTATORS).alias("toxicity_annotator_count"))
 
 
+def annotation_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The eight columns of the annotated corpus: annotations, tox_codes_parent (null without a parent) and workers_ic."""
+    workers = F.sequence(F.lit(0), F.lit(ANNOTATORS - 1))
+    worker = lambda w: F.floor(uniform(F.concat_ws(":", F.lit("w"), F.col("id").cast("string"), w.cast("string"))) * WORKERS).cast("long")
+    return annotations(spark, data_dir).select(
+        "id", "tox_codes_oc", "text", "toxicity_annotator_count", "parent", "tox_codes_ic",
+        F.when(F.col("parent").isNotNull(), F.transform(workers, _codes("pa"))).alias("tox_codes_parent"),
+        F.transform(workers, worker).alias("workers_ic"))
+
+
 def word_vectors(spark: SparkSession, data_dir: str) -> DataFrame:
     """word, vector: the vocabulary word with id k gets the embedding row vec_id = k - 1 (later words none).
     Written once per session: it rests on the full vocabulary ranking, which its readers would redo."""
@@ -195,6 +208,10 @@ SQL = {
                    floor({U("concat('t', doc_id)")} * 11) / 10.0::DOUBLE AS target FROM documents""",
     "annotations": f"""SELECT id, text, parent, label, {_code_sql('oc')} AS tox_codes_oc,
                           {_code_sql('ic')} AS tox_codes_ic, {ANNOTATORS} AS toxicity_annotator_count FROM gc""",
+    "annotation_corpus": f"""SELECT id, tox_codes_oc, text, toxicity_annotator_count, parent, tox_codes_ic,
+                          CASE WHEN parent IS NOT NULL THEN {_code_sql('pa')} END AS tox_codes_parent,
+                          list_transform(range({ANNOTATORS}), lambda w: CAST(floor({U("concat_ws(':', 'w', id, w)")} * {WORKERS}) AS BIGINT)) AS workers_ic
+                          FROM annotations""",
     "word_index": f"""SELECT word, row_number() OVER (ORDER BY freq DESC, fk) AS word_id, freq FROM (
                         SELECT word, count(*) AS freq, min(id * 10000000 + pos) AS fk FROM (
                           SELECT id, unnest(tk) AS word, generate_subscripts(tk, 1) AS pos
@@ -208,11 +225,13 @@ SQL = {
 
 def with_fixtures(sql: str, *names: str) -> str:
     """Prefix a query with the CTEs it needs (gc always comes first: the others read it)."""
-    order = ["gc", "gn", "settings", "toxicity_scores", "threads", "replies", "cctk", "annotations", "word_index",
+    order = ["gc", "gn", "settings", "toxicity_scores", "threads", "replies", "cctk", "annotations", "annotation_corpus", "word_index",
              "word_vectors", "pair_vocab"]
     need = set(names) | {"gc"}
     if "settings" in need:
         need.add("gn")
+    if "annotation_corpus" in need:
+        need.add("annotations")
     if need & {"word_vectors", "pair_vocab"}:
         need.add("word_index")
     ctes = [f"{n} AS ({SQL[n]})" for n in order if n in need]
