@@ -246,6 +246,7 @@ def mccv_summary(per_split: DataFrame, keys: Sequence[str] = (), metric: str = "
         (F.stddev_samp(F.col(metric)) / F.sqrt(F.count(F.col(metric)).cast("double"))).alias("sem"))
 
 
+SWAPS = 32   # swaps read from one md5
 EVALUATORS = ("auroc", "auc_binned", "accuracy")
 
 
@@ -266,17 +267,21 @@ def paired_randomization(df: DataFrame, system: str, baseline: str, label: str =
                          tolerance: float = 1e-12) -> DataFrame:
     """Approximate randomisation test of metric(system) - metric(baseline) on one gold set.
 
-    Replicate 0 is the observed pairing; in replicate r each row swaps its two scores when a hash of
-    (seed, r, id) falls below 1/2. p = (1 + #{r : |Δr| >= |Δ0|}) / (1 + R), two-sided. Rows are expanded
+    Replicate 0 is the observed pairing; in replicate r each row swaps its two scores when its digit of a hash of
+    (seed, block of r, id) says so. p = (1 + #{r : |Δr| >= |Δ0|}) / (1 + R), two-sided. Rows are expanded
     R + 1 times, but every metric collapses them to distinct (replicate, system, score) first.
     """
     base = df.select(F.col(id_col).alias("__id"), F.col(label).alias("label"),
                      F.col(system).alias("__a"), F.col(baseline).alias("__b"))
-    rep = base.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    # u < 1/2 exactly when the top bit of the md5 is 0, i.e. its first hex digit is 0-7: one character
-    # compare instead of a base conversion per (row, replicate)
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("__id").cast("string")))
-    swap = (F.col("replicate") > 0) & (F.col("__a") != F.col("__b")) & (F.substring(digest, 1, 1) < F.lit("8"))
+    # one md5 a row and block of replicates: hex digit j is 0-7, i.e. its top bit is 0, with probability 1/2
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__block").cast("string"), F.col("__id").cast("string")))
+    first = F.col("__block") * SWAPS + 1
+    drawn = base.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // SWAPS))))).withColumn("__md5", digest) \
+        .withColumn("replicate", F.explode(F.when(F.col("__block") * SWAPS < replicates, F.sequence(first, F.least(first + SWAPS - 1, F.lit(replicates))))
+                                           .otherwise(F.array(F.lit(0)))))  # the block after the last stands for the observed pairing
+    rep = drawn.select("replicate", "label", "__a", "__b", F.substring(
+        F.col("__md5"), F.pmod(F.col("replicate") - 1, F.lit(SWAPS)) + 1, F.lit(1)).alias("__digit"))
+    swap = (F.col("replicate") > 0) & (F.col("__a") != F.col("__b")) & (F.col("__digit") < F.lit("8"))
     both = rep.select("replicate", "label", F.explode(F.array(
         F.struct(F.lit("system").alias("system"), F.when(swap, F.col("__b")).otherwise(F.col("__a")).alias("score")),
         F.struct(F.lit("baseline").alias("system"), F.when(swap, F.col("__a")).otherwise(F.col("__b")).alias("score"))

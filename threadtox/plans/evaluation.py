@@ -300,7 +300,7 @@ def _metric_sql(evaluator: str, both: str) -> str:
 
 
 def _paired_sql(evaluator: str = "auroc") -> str:
-    u = fx.U(f"concat_ws(':', '{SEED}', replicate, id)")
+    digit = f"substr(md5(concat_ws(':', '{SEED}', (replicate - 1) // {M.SWAPS}, id)), (replicate - 1) % {M.SWAPS} + 1, 1)"
     both = f"""(SELECT replicate, 'system' AS system, label, CASE WHEN swap THEN api ELSE ca END AS score FROM sw
                UNION ALL SELECT replicate, 'baseline' AS system, label, CASE WHEN swap THEN ca ELSE api END AS score FROM sw)"""
     return f"""WITH split_table AS ({split_table_sql()}),
@@ -308,7 +308,7 @@ def _paired_sql(evaluator: str = "auroc") -> str:
                  WHERE setting = 'gc' AND part = 'val' AND split < {POOLED}) WHERE rn = 1),
       v AS (SELECT p.id, p.label, p.api, t.TOXICITY AS ca FROM pooled p JOIN toxicity_scores t ON p.id = t.id),
       rep AS (SELECT v.*, unnest(range(0, {REPLICATES + 1})) AS replicate FROM v),
-      sw AS (SELECT replicate, id, label, ca, api, (replicate > 0 AND ca <> api AND {u} < 0.5::DOUBLE) AS swap FROM rep),
+      sw AS (SELECT replicate, id, label, ca, api, (replicate > 0 AND ca <> api AND {digit} < '8') AS swap FROM rep),
       m AS ({_metric_sql(evaluator, both)}),
       d AS (SELECT replicate, max(CASE WHEN system = 'system' THEN auroc END) AS s,
                    max(CASE WHEN system = 'baseline' THEN auroc END) AS b FROM m GROUP BY replicate)
