@@ -65,6 +65,7 @@ def test_rows_are_those_of_brute_force(spark, options):
 
 def test_pieces_of_slices(spark, monkeypatch):
     monkeypatch.setattr(co, "SLICE", 200)
+    monkeypatch.setattr(co, "SUFFIX_SLICE", 90)
     rows = corpus()
     assert sorted(tuple(r) for r in co.collocations(table(spark, rows)).collect()) == brute(rows)
 

@@ -41,16 +41,17 @@ from threadtox.session import ship_package
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 TABLE = ta._table(b" \t" + BREAKS, lower=True)
 _IS_BREAK = np.isin(np.arange(256), list(BREAKS))
-SLICE = 8 << 20
+SLICE = 8 << 20         # bytes of text whose words are counted at a time
+SUFFIX_SLICE = 2 << 20  # and whose suffixes are made
 
 
 def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def _occurrences(batch: pa.RecordBatch) -> Iterator[tuple[ta.Words, np.ndarray, np.ndarray, list[str]]]:
+def _occurrences(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[ta.Words, np.ndarray, np.ndarray, list[str]]]:
     """The words of some rows (lang, text), with the key and the piece of every occurrence, and the rows' languages."""
-    for rows, texts in ta.sliced(batch, "text", SLICE):
+    for rows, texts in ta.sliced(batch, "text", limit):
         langs = batch.column(0).slice(rows.start, rows.stop - rows.start).to_pylist()
         salt = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(langs)}
         w = ta.words_of(texts, TABLE)
@@ -63,7 +64,7 @@ def _occurrences(batch: pa.RecordBatch) -> Iterator[tuple[ta.Words, np.ndarray,
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, key, f): every word of each language with its occurrences."""
     def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for w, keys, _, langs in _occurrences(batch):
+        for w, keys, _, langs in _occurrences(batch, SLICE):
             _, at, n = np.unique(keys, return_index=True, return_counts=True)
             row = np.searchsorted(w.first, at, "right") - 1
             yield pa.RecordBatch.from_arrays(
@@ -154,15 +155,28 @@ def merged(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[tuple[np.ndarra
 
 def _hot_pairs(texts: DataFrame, shared, budget: int) -> list:
     """(pair, one, two, n) of two-word prefixes beyond the budget; there are at most occurrences / budget of them."""
-    def of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        for _, keys, piece, _ in _occurrences(batch):
-            at, one, two, _ = p.suffixes(keys, piece)
-            hot = p.parts[at] > 1
-            (one, two), n = merged((one[hot], two[hot]), np.ones(int(hot.sum()), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n)], names=["one", "two", "n"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, held, size = shared.value, [], 0
+
+        def send() -> pa.RecordBatch:
+            one, two = (np.concatenate(x) for x in zip(*held, strict=True))
+            (one, two), n = merged((one, two), np.ones(len(one), dtype=np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(n)], names=["one", "two", "n"])
+
+        for b in batches:
+            for _, keys, piece, _ in _occurrences(b, SUFFIX_SLICE):
+                at, one, two, _ = p.suffixes(keys, piece)
+                hot = p.parts[at] > 1
+                held.append((one[hot], two[hot]))
+                size += len(held[-1][0])
+                if size > 1 << 20:
+                    yield send()
+                    held, size = [], 0
+        if held:
+            yield send()
 
-    return arrow_map(texts, of, "one long, two long, n long").groupBy("one", "two").agg(F.sum("n").alias("n")).filter(F.col("n") > budget).collect()
+    ship_package(texts.sparkSession)
+    return texts.mapInArrow(of, "one long, two long, n long").groupBy("one", "two").agg(F.sum("n").alias("n")).filter(F.col("n") > budget).collect()
 
 
 def _packed(texts: DataFrame, shared, flush: int) -> DataFrame:
@@ -179,7 +193,7 @@ def _packed(texts: DataFrame, shared, flush: int) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, held, size = shared.value, [], 0
         for b in batches:
-            for _, keys, piece, _ in _occurrences(b):
+            for _, keys, piece, _ in _occurrences(b, SUFFIX_SLICE):
                 held.append(p.suffixes(keys, piece))
                 size += len(held[-1][0])
                 if size >= flush:
@@ -245,7 +259,7 @@ def phrases(docs: DataFrame, words: DataFrame, min_count: int, budget: int, max_
 
 
 def collocations(docs: DataFrame, min_count: int = 10, percent: int = 50, top: int = 2000, scale: int = 1_000_000,
-                 budget: int = 1 << 21, max_words: int = 4_000_000, flush: int = 1 << 21) -> DataFrame:
+                 budget: int = 1 << 20, max_words: int = 4_000_000, flush: int = 1 << 19) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the ``top`` phrases of each language of ``docs`` (lang, text).
 
     A phrase of a occurrences whose cut gives parts of l and r scores floor(scale * a * a / (l * r)), at its worst cut. It is
