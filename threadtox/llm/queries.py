@@ -199,23 +199,40 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    known = " ".join(f"WHEN regexp_matches(s, '{p}') THEN '{name}'" for name, p in licenses.SENTENCES)
+    """The scan from its tables of sentences and rules: every sentence of every text is read, none is passed over for lack of a word."""
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''").replace("$1", chr(92) + "1").replace("$2", chr(92) + "2") + "'"
+
+    def replaced(expr: str, steps) -> str:
+        for pattern, to in steps:
+            expr = f"regexp_replace({expr}, {quoted(pattern)}, {quoted(to)}, 'g')"
+        return expr
+
+    patterns = ", ".join(f"({i}, {quoted(name)}, {quoted(licenses.over_lines(p))})" for i, (name, p) in enumerate(licenses.SENTENCES))
+    exact = " ".join(f"WHEN {quoted(x)} THEN {quoted(name)}" for x, name in licenses.EXACT)
     left = "array_to_string(list_transform(ids, lambda x: ';' || x || ';'), '')"
     for run, name in licenses.RULES:
         left = f"replace({left}, '{''.join(f';{x};' for x in run)}', '[{name}]')"
-    norm = "lower(s)"
-    for pattern, to in (("[\"''`*#/<>()\\t\\r ]+", " "), ("licence", "license"), ("version", "v"), ("^[ .,;:!?-]+|[ .,;:!?-]+$", "")):
-        norm = f"regexp_replace({norm}, '{pattern}', '{to}', 'g')"
+    tagged = replaced(f"regexp_extract(s, {quoted(licenses.TAG)}, 1)", [(" with [^ ]+", "")])
     return f"""
-WITH parts AS (
-  SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(text, '{licenses.BREAK}'), lambda s: regexp_matches(s, '{licenses.HINT}')) AS p
-  FROM documents
-), flat AS (
-  SELECT r, i, {norm} AS s FROM (SELECT r, i, p[i] AS s FROM (SELECT r, p, unnest(range(1, len(p) + 1)) AS i FROM parts))
+WITH patterns(k, name, p) AS (VALUES {patterns}
+), numbered AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents
+), parts AS (SELECT r, string_split({replaced("text", licenses.ENDS)}, chr(1)) AS p FROM numbered
+), sentences AS MATERIALIZED (
+  SELECT r, i, {replaced("lower(s)", licenses.CLEAN)} AS s FROM (SELECT r, i, p[i] AS s FROM (SELECT r, p, unnest(range(1, len(p) + 1)) AS i FROM parts))
+), kinds AS MATERIALIZED (
+  SELECT *, CASE replace(s, chr(10), ' ') {exact} END AS whole, regexp_matches(s, {quoted(licenses.TAG)}) AS tag,
+         regexp_matches(s, {quoted("(?s)" + licenses.DENIED)}) AS denied FROM sentences
+), places AS (
+  SELECT r, i, strpos(s, regexp_extract(s, p)) AS pos, k, name FROM kinds, patterns
+  WHERE whole IS NULL AND NOT tag AND NOT denied AND regexp_matches(s, p)
 ), named AS (
-  SELECT r, list(id ORDER BY i) AS ids FROM (SELECT r, i, CASE {known} END AS id FROM flat) WHERE id IS NOT NULL GROUP BY r
+  SELECT r, i, pos, name FROM places QUALIFY row_number() OVER (PARTITION BY r, i, pos ORDER BY k) = 1
+  UNION ALL SELECT r, i, 0, whole FROM kinds WHERE whole IS NOT NULL AND NOT tag
+  UNION ALL SELECT r, i, n, 'spdx:' || regexp_replace(regexp_replace(x[n], '-only$', ''), '[+]$', '-or-later')
+  FROM (SELECT r, i, x, unnest(range(1, len(x) + 1)) AS n FROM (SELECT r, i, string_split({tagged}, ' ') AS x FROM kinds WHERE tag)) WHERE x[n] NOT IN ('', 'and', 'or')
 ), matched AS (
-  SELECT p.doc_id, coalesce(n.ids, []) AS ids FROM parts p LEFT JOIN named n ON n.r = p.r
+  SELECT n.doc_id, coalesce(m.ids, []) AS ids FROM numbered n LEFT JOIN (SELECT r, list(name ORDER BY i, pos) AS ids FROM named GROUP BY r) m ON m.r = n.r
 ), done AS (SELECT doc_id, ids, {left} AS rest FROM matched
 ), lists AS (SELECT doc_id, ids, rest, regexp_extract_all(rest, '\\[([^\\]]+)\\]', 1) AS names FROM done)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
