@@ -9,15 +9,16 @@ Training pages (``training_pages``): of the ``sample`` pages with the smallest h
 have one ``<article>`` label themselves (blocks inside it, but not inside menus, asides, footers, forms or
 comment sections within it, are main text). As real pages differ in layout, the texts of the same pages are
 also laid out anew in ``layouts`` ways each, with other containers for the article, adverts and asides
-between its paragraphs, notices, sidebars, forms and reader comments, so that the chain learns from labelled
-pages of many shapes. Only training is bounded; every page is decoded whole.
+between its paragraphs, lists, tables and captions of a few words, notices, sidebars, forms and reader comments, so that
+the chain learns from labelled pages of many shapes. Only training is bounded; every page is decoded whole.
 
 Defined results: a null or empty page, and one without main text, has an empty text. Character references are
 decoded, white space inside a block (``<br>`` included) becomes one space. Scripts, styles, templates, the head
 and markup comments are no text, nor is what shows only without scripts (``<noscript>``). A head whose end tag is
 omitted ends where something stands that no head can hold. Formulas are text. Broken markup is read on as far as it goes. Rows are read one by one, whatever
 their id; repeated rows alike; an empty table gives an empty result; other columns are ignored. Without any
-training page the chain is trained on layouts of a fixed sample sentence.
+training page the chain is trained on layouts of a fixed sample sentence. Very long pages and blocks are read whole, and
+reading is linear in the page's length, however deep its elements nest.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -72,33 +74,56 @@ _UNFINISHED = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-@dataclass
-class Element:
-    tag: str
-    kinds: frozenset[str] = frozenset()
+def kinds_of(attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+    words = (w.lower() for name, value in attrs if name in ("class", "id", "role") and value for w in _PARTS.findall(value))
+    return frozenset(MEANS[w] for w in words if w in MEANS)
+
+
+_NOT_MAIN = frozenset("nav aside footer form dialog menu".split())
+_IN_MAIN = frozenset(("main", "share", "head"))
+
+
+class Node:
+    """A block element and what its ancestors say, added up from its parent: no walk along the path, however deep."""
+
+    __slots__ = ("tag", "tags", "kinds", "near", "named", "in_article", "own_main")
+
+    def __init__(self, tag: str = "", kinds: frozenset[str] = frozenset(), parent: Node | None = None):
+        self.tag = tag
+        if parent is None:
+            self.tags, self.kinds, self.near, self.named, self.in_article, self.own_main = frozenset(), frozenset(), "none", None, False, False
+            return
+        self.tags = parent.tags if tag in parent.tags else parent.tags | {tag}
+        self.kinds = parent.kinds if kinds <= parent.kinds else parent.kinds | kinds
+        self.near = tag if tag in SECTIONS and tag not in ("div", "body") else parent.near
+        self.named = kinds or parent.named
+        self.in_article = parent.in_article or tag == "article"
+        # inside the first article, with nothing between that says otherwise
+        fits = tag not in _NOT_MAIN and kinds <= _IN_MAIN
+        self.own_main = fits and (parent.own_main if parent.in_article else tag == "article")
+
+
+ROOT = Node()
 
 
 @dataclass
 class Leaf:
-    """A leaf block: its text, the elements around it, and its characters inside links."""
+    """A leaf block: the element around it, its text, and its characters inside links."""
 
-    path: tuple[Element, ...]
+    node: Node
     text: str
     linked: int = 0
     features: list[int] = field(default_factory=list)
 
 
-def kinds_of(attrs: list[tuple[str, str | None]]) -> frozenset[str]:
-    words = (w.lower() for name, value in attrs if name in ("class", "id", "role") and value for w in _PARTS.findall(value))
-    return frozenset(MEANS[w] for w in words if w in MEANS)
-
-
 class Leaves(HTMLParser):
-    """Splits a page into leaf blocks."""
+    """Splits a page into leaf blocks, in time linear in the page: places of open elements are kept by tag."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[Element] = []
+        self.open: list[str] = []
+        self.blocks: list[Node] = [ROOT]  # the open elements that are blocks
+        self.places: dict[str, list[int]] = {}
         self.parts: list[str] = []
         self.linked = 0
         self.silent = 0  # open elements without text
@@ -107,22 +132,33 @@ class Leaves(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.leaves.append(Leaf(tuple(e for e in self.open if e.tag not in INLINE), text, self.linked))
+            self.leaves.append(Leaf(self.blocks[-1], text, self.linked))
         self.parts, self.linked = [], 0
 
+    def _push(self, tag: str, attrs) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(tag)
+        self.silent += tag in NO_TEXT
+        if tag not in INLINE:
+            self.blocks.append(Node(tag, kinds_of(attrs), self.blocks[-1]))
+
     def _pop(self, at: int) -> None:
-        if any(e.tag not in INLINE for e in self.open[at:]):
-            self.flush()
-        self.silent -= sum(e.tag in NO_TEXT for e in self.open[at:])
-        del self.open[at:]
+        flushed = False
+        while len(self.open) > at:
+            tag = self.open[-1]
+            if tag not in INLINE:
+                if not flushed:
+                    self.flush()  # before an element goes: the leaf belongs to the innermost
+                    flushed = True
+                self.blocks.pop()
+            self.open.pop()
+            self.places[tag].pop()
+            self.silent -= tag in NO_TEXT
 
     def _last(self, tags, within=()) -> int:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].tag in tags:
-                return i
-            if self.open[i].tag in within:
-                break
-        return -1
+        """Place of the last open element of the tags, if none of ``within`` is open inside it, else -1."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        return at if at >= max((self.places[t][-1] for t in within if self.places.get(t)), default=-1) else -1
 
     def _end_head(self) -> None:
         at = self._last(("head",), ("template", "noscript", "title"))
@@ -147,13 +183,12 @@ class Leaves(HTMLParser):
             if at >= 0:
                 self._pop(at)
             if tag in ENDS:
-                at = self._last(ENDS[tag], {"ul", "ol", "dl", "table"})
+                at = self._last(ENDS[tag], ("ul", "ol", "dl", "table"))
                 if at >= 0:
                     self._pop(at)
             if tag not in NO_TEXT:
                 self.flush()
-        self.open.append(Element(tag, kinds_of(attrs)))
-        self.silent += tag in NO_TEXT
+        self._push(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -168,11 +203,11 @@ class Leaves(HTMLParser):
             self._pop(at)
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1].tag == "head" and data.strip():
+        if self.open and self.open[-1] == "head" and data.strip():
             self._end_head()
         if not self.silent:
             self.parts.append(data)
-            if any(e.tag == "a" for e in self.open):
+            if self.places.get("a"):
                 self.linked += len(data)
 
 
@@ -189,29 +224,27 @@ def leaves(page: str) -> list[Leaf]:
     return p.leaves
 
 
+@lru_cache(maxsize=1 << 16)
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) % DIMS
 
 
 def _named(leaf: Leaf) -> Iterator[str]:
+    node = leaf.node
     yield "one"
-    tags = [e.tag for e in leaf.path]
-    for t in set(tags):
+    for t in node.tags:
         yield f"in {t}"
-    yield f"own {tags[-1] if tags else 'none'}"
-    near = next((t for t in reversed(tags) if t in SECTIONS and t not in ("div", "body")), "none")
-    yield f"near {near}"
-    kinds = [k for e in leaf.path for k in sorted(e.kinds)]
-    for k in set(kinds):
+    yield f"own {node.tag or 'none'}"
+    yield f"near {node.near}"
+    for k in node.kinds:
         yield f"kind {k}"
-    named = next((e for e in reversed(leaf.path) if e.kinds), None)
-    yield "near kind " + (" ".join(sorted(named.kinds)) if named else "none")
-    if any(k != "main" and k != "share" for k in kinds):
+    yield "near kind " + (" ".join(sorted(node.named)) if node.named else "none")
+    if node.kinds - {"main", "share"}:
         yield "some other kind"
-    after = {"article", "main"} & set(tags) or "main" in kinds
+    after = "article" in node.tags or "main" in node.tags or "main" in node.kinds
     for t in ("nav", "aside", "footer", "form", "header", "dialog"):
-        if t in tags:
-            yield f"{t} with main {bool(after)}"
+        if t in node.tags:
+            yield f"{t} with main {after}"
     words = leaf.text.split()
     size = len(leaf.text)
     yield f"words {min(5, len(words).bit_length())}"
@@ -220,7 +253,7 @@ def _named(leaf: Leaf) -> Iterator[str]:
     yield f"commas {min(2, leaf.text.count(','))}"
     if "©" in leaf.text:
         yield "copyright"
-    yield f"heading {bool(tags) and tags[-1] in ('h1', 'h2', 'h3', 'h4')} {near}"
+    yield f"heading {node.tag in ('h1', 'h2', 'h3', 'h4')} {node.near}"
 
 
 def matrix(pages: list[list[Leaf]]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,17 +266,9 @@ def matrix(pages: list[list[Leaf]]) -> tuple[np.ndarray, np.ndarray]:
 
 # ---- labelled pages
 
-_NOT_MAIN = frozenset("nav aside footer form dialog menu".split())
-
-
 def own_labels(page: list[Leaf]) -> list[int]:
     """Labels by the page's own ``<article>``: inside it, and in none of its menus, asides, forms or comments."""
-    out = []
-    for leaf in page:
-        tags = [e.tag for e in leaf.path]
-        inside = leaf.path[tags.index("article"):] if "article" in tags else ()
-        out.append(int(bool(inside) and not any(e.tag in _NOT_MAIN or e.kinds - {"main", "share", "head"} for e in inside)))
-    return out
+    return [int(leaf.node.own_main) for leaf in page]
 
 
 _FALLBACK = ["One sentence of a text, as long as it goes on, ends here.", "Another one follows it. It has two parts.", "A short one."]
@@ -342,6 +367,27 @@ class Layout:
                 self.wrap(kind, self.r.choice(["", self.cls("comment reply")]), one) if kind else one()
         self.wrap(tag, attrs, fill)
 
+    def items(self) -> None:
+        """Short blocks that belong to the article: list items, table cells, terms and what they mean, a caption."""
+        r = self.r
+        kind = r.choice(["list", "list", "table", "terms", "figure"])
+        def short() -> str:
+            return r.choice([str(r.randint(0, 2100)), f"{r.randint(1, 99)} {self.words(1, 2)}", self.words(1, 2), self.words(1, 4), self.words(2, 9)])
+        if kind == "list":
+            self.wrap(r.choice(["ul", "ul", "ol"]), "", lambda: [self.put("li", short(), 1) for _ in range(r.randint(2, 8))])
+        elif kind == "table":
+            def rows():
+                if r.random() < 0.3:
+                    self.put("caption", self.words(2, 8), 1)
+                n = r.randint(2, 4)
+                for i in range(r.randint(2, 5)):
+                    self.wrap("tr", "", lambda i=i: [self.put("th" if i == 0 and r.random() < 0.8 else "td", short(), 1) for _ in range(n)])
+            self.wrap("table", "", rows)
+        elif kind == "terms":
+            self.wrap("dl", "", lambda: [self.put(t, short(), 1) for _ in range(r.randint(1, 4)) for t in ("dt", "dd")])
+        else:
+            self.wrap("figure", "", lambda: (self.out.append('<img src="/x.png">'), self.put("figcaption", self.words(2, 12), 1)))
+
     def article(self) -> None:
         r = self.r
         tag, attrs = r.choice([("article", ""), ("article", ""), ("article", self.cls("post entry story")), ("main", ""), ("main", self.cls("content main")),
@@ -351,9 +397,12 @@ class Layout:
             if r.random() < 0.9:
                 self.put(r.choice(["h1", "h1", "h2"]), " ".join(self.main[0].split()[:r.randint(2, 12)]), 1)
             spots = {r.randrange(1, len(self.main) + 1): f for f in inside}
+            listed = r.choice([0, 0, 0.15, 0.4])
             for i, t in enumerate(self.main):
                 if i in spots:
                     spots[i]()
+                if r.random() < listed:
+                    self.items()
                 kind = r.random()
                 if kind < 0.06 and len(t.split()) > 6:
                     self.put(r.choice(["h2", "h3"]), " ".join(t.split()[:5]), 1)
@@ -390,7 +439,7 @@ def training_pages(pages: DataFrame, sample: int = 150, layouts: int = 4) -> lis
             rows = []
             for t in texts:
                 page = leaves(t.decode("utf-8", "replace"))
-                if sum("article" in (e.tag for e in leaf.path) for leaf in page) and t.lower().count(b"<article") == 1:
+                if any(leaf.node.in_article for leaf in page) and t.lower().count(b"<article") == 1:
                     cut = page[:200] if len(page) <= 200 else page[:100] + page[-100:]
                     label = dict(zip(map(id, page), own_labels(page), strict=True))
                     rows.append(([label[id(x)] for x in cut], [x.text[:400] for x in cut], [i for x in cut for i in (len(x.features), *x.features)]))
@@ -408,7 +457,7 @@ def training_pages(pages: DataFrame, sample: int = 150, layouts: int = 4) -> lis
         page, at = [], 0
         for t in r.texts:
             n = r.features[at]
-            page.append(Leaf((), t, 0, list(r.features[at + 1:at + 1 + n])))
+            page.append(Leaf(ROOT, t, 0, list(r.features[at + 1:at + 1 + n])))
             at += n + 1
         out.append((page, list(r.labels)))
     for k in range(max(len(rows), 30) * layouts):
