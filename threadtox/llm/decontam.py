@@ -13,7 +13,7 @@ The windows go to the tasks as a broadcast of at most ``max_mb`` per block; a la
 blocks by window hash, and the documents pass one block after another with their hits so far. No document is
 shuffled, so neither frequent passages nor large copy groups meet in one task.
 
-Defined results: null and empty texts have no words, no windows and no hits. Items with a null ``item_id``
+Defined results: null and empty texts have no words, no windows and no hits; very long ones are searched whole. Items with a null ``item_id``
 cannot be named and are left out; repeated items count once. Rows of ``docs`` are judged one by one, whatever
 their id. Empty tables give no rows, or rows without hits. Other columns are ignored.
 """

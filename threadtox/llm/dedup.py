@@ -26,6 +26,7 @@ With the defaults a pair at the threshold (similarity 0.85) agrees on fewer than
 probability of 2e-6, a pair at 0.9 with 2e-9.
 
 Defined results: a null or empty text, or one without words, has no shingles and is a group of its own.
+Very long texts are read whole.
 Rows are documents: repeated rows are exact copies of each other and share a group. A row with a null
 ``doc_id`` links with nothing and is kept, with a null ``component_id``. An empty table gives an empty
 result. Other input columns are ignored.

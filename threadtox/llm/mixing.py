@@ -12,7 +12,7 @@ over documents only inside a block, so a source with a third of all documents is
 
 Defined results: a token is a run of characters without ASCII white space. A null text has no tokens and a null
 source counts as the source ''. Rows are documents: repeated rows are each drawn once a pass, in no given order among
-themselves. Sources without tokens get no rows; without any token, or with an empty table, the result is empty. Other
+themselves. Very long texts are counted whole. Sources without tokens get no rows; without any token, or with an empty table, the result is empty. Other
 columns are ignored.
 """
 

@@ -10,7 +10,7 @@ White space never lies inside a pre-token, so the split is done once for each di
 worker's recent batches; ``cache`` bounds these remembered counts, it does not change any result.
 
 Defined results: a null or empty text has no tokens and no bytes. Special strings inside a text are one token
-each, as the library treats them by default. Rows with null ids and repeated rows are counted like others; an
+each, as the library treats them by default. Very long texts and words are counted whole. Rows with null ids and repeated rows are counted like others; an
 empty table gives an empty result; other columns are ignored.
 """
 
