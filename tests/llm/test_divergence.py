@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from helpers import prose
+from pyspark.sql import functions as F
 
 from threadtox.llm import divergence
 
@@ -63,12 +64,19 @@ def test_rows_are_those_of_brute_force(spark, options):
 
 def test_shared_terms_of_pairs(spark):
     entries = [(1, t, g, 10 * g + t, 3) for t in range(6) for g in range(0, 40, 1 + t)]
-    df = spark.createDataFrame(entries, "lang int, term int, g long, p long, z long").coalesce(1)
+    df = spark.createDataFrame(entries, "lang int, term int, g long, p long, z long").groupBy("term").agg(F.collect_list(F.struct("g", "p", "z")).alias("has"))
     want = divergence._shared_terms(df).groupBy("g", "h").sum("value").collect()
     assert {(r[0], r[1]): r[2] for r in want} == {
         (a, b): sum(abs(10 * (a - b)) - abs(10 * a + t - 3) - abs(3 - 10 * b - t) for t in range(6) if a % (1 + t) == 0 and b % (1 + t) == 0)
         for a in range(40) for b in range(a + 1, 40)}
 
 
+def test_shares_beyond_64_bits(spark):
+    rows = [(c, 10**15 + 7, 1000) for c in (0, 1, 9 * 10**9, 10**10, 10**14)]
+    df = spark.createDataFrame(rows, "c long, total long, kept long")
+    got = df.select("c", divergence._share(F.col("c"), F.col("total"), F.col("kept"), 5, 10**9).alias("p")).collect()
+    assert {r.c: r.p for r in got} == {c: 1 + 10**9 * (c + 5) // (10**15 + 7 + 5000) for c, *_ in rows}
+
+
 def test_empty_table(spark):
     assert divergence.audit(table(spark, [])).collect() == []
