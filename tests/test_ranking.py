@@ -64,3 +64,13 @@ def test_hot_thread_parent_and_topic_against_windows(spark):
     assert j.where(~F.col("parent").eqNullSafe(F.col("p_ref")) | (F.col("topic") != F.col("t_ref"))).count() == 0
     # the hot thread is ranked in many (thread, turn >> 4) buckets, not in one task
     assert df.where(F.col("conv_id") == "hot").select(F.shiftright("turn", 4)).distinct().count() > 100
+
+
+def test_previous_value_moves_each_value_once(spark):
+    rows = [(i * 3, [None, "a", "b"][i % 3], f"t{i}" if i % 5 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "o long, k string, t string")
+    got = previous_value(df, ["k"], "o", "t", out="prev", shift_bits=5)
+    ref = df.withColumn("ref", F.lag("t").over(Window.partitionBy("k").orderBy("o"))).select("o", "ref")
+    assert got.columns == ["o", "k", "t", "prev"] and got.join(ref, "o").where("prev <=> ref").count() == 100 == got.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 3  # one with values, two of bucket ends
