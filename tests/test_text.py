@@ -118,3 +118,32 @@ def test_repeated_and_null_ids_keep_their_own_tokens(spark):
         pooled = sorted(((r.id, [round(x, 6) for x in r.pooled]) for r in T.masked_mean_pool(df, vec, 2, max_broadcast_mb=mb).collect()), key=str)
         want = [(i, [round(2.0 * t.count("a") / max(len(t), 1), 6), round(3.0 * t.count("b") / max(len(t), 1), 6)]) for i, t in rows]
         assert pooled == sorted(want, key=str)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_that_fit_are_looked_up_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, ["a", "b", None, "x"]), (1, ["b"]), (None, None)], "id long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2)], "word string, word_id long")
+    vec = spark.createDataFrame([("a", [2.0, 0.0]), ("b", [0.0, 3.0])], "word string, vector array<float>")
+    seq, pooled = T.tokens_to_ids(df, vocab, "tokens", "seq"), T.masked_mean_pool(df, vec, 2)
+    assert "Exchange" not in _plan(seq) and "Exchange" not in _plan(pooled)
+    assert sorted(((r.id, r.seq) for r in seq.collect()), key=str) == sorted([(1, [1, 2]), (1, [2]), (None, [])], key=str)
+
+
+def test_a_large_vocabulary_is_joined_with_the_distinct_words_of_chunks(spark):
+    from threadtox.operators import lookup as L
+    rows = [(i, [f"w{(i * j) % 29}" for j in range(i % 7)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>").coalesce(2)
+    vocab = spark.createDataFrame([(f"w{k}", k) for k in range(20)], "word string, word_id long")
+    for chunk in (1, 50, 10_000):  # rows longer than a chunk are chunks of their own
+        d = L.coded(df, "tokens", chunk)
+        words = L.chunk_words(d)
+        assert words.count() == words.select("__chunk", "__w").distinct().count()
+        assert chunk < 10_000 or words.count() <= 2 * 29
+        found = words.join(vocab.withColumnRenamed("word", "__w"), "__w").select("__chunk", "__code", words["__code"] * 0 + vocab["word_id"])
+        got = {r.id: r.seq for r in L.decoded(d, found.toDF("__chunk", "__code", "__value"), "seq").collect()}
+        assert got == {i: [int(w[1:]) if int(w[1:]) < 20 else None for w in t] for i, t in rows}
+    assert "posexplode(tokens" not in _plan(T.tokens_to_ids(df, vocab, "tokens", "seq", max_broadcast_mb=0))
