@@ -50,9 +50,8 @@ def pair_features(df: DataFrame, vocab: DataFrame, tokens_a: str, tokens_b: str
     """Encoder inputs for (text_a, optional text_b): input_ids, input_mask, segment_ids (each padded to
     ``max_len``), label_id and is_real_example.
 
-    A missing or empty ``tokens_b`` falls back to the single-sequence form. Token -> id goes through an
-    equi-join with ``vocab(token, token_id)`` (exploded tokens, re-collected in position order); tokens the
-    vocabulary lacks map to the id of ``unknown`` (looked up lazily, as a scalar subquery).
+    A missing or empty ``tokens_b`` falls back to the single-sequence form. Tokens get their id of
+    ``vocab(token, token_id)`` after the cut; tokens the vocabulary lacks map to the id of ``unknown``.
     """
     cls, sep = F.lit(SPECIAL_TOKENS[2]), F.lit(SPECIAL_TOKENS[3])
     empty = F.array().cast("array<string>")
@@ -65,17 +64,17 @@ def pair_features(df: DataFrame, vocab: DataFrame, tokens_a: str, tokens_b: str
         .otherwise(F.concat(F.array(cls), single, F.array(sep)))
     n_a = F.when(has_b, F.size(ta)).otherwise(F.size(single))
     n_b = F.when(has_b, F.size(tb) + F.lit(1)).otherwise(F.lit(0))
-    segments = F.concat(F.array_repeat(F.lit(0).cast("long"), n_a + F.lit(2)),
-                        F.array_repeat(F.lit(1).cast("long"), n_b))
-    base = df.select(F.col(key), tokens.alias("__tokens"), segments.alias("__seg"),
+    base = df.select(F.col(key), tokens.alias("__tokens"), n_a.alias("__na"), n_b.alias("__nb"),
                      label_index(F.col(label), label_list).alias("label_id"))
     unk = vocab.where(F.col("token") == F.lit(unknown)).select(F.min("token_id").cast("long")).scalar()
     ids = tokens_to_ids(base, vocab, "__tokens", "__ids", key=key, word="token", index="token_id", unknown_id=unk)
     zero = 0
+    segments = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__na") + F.lit(2)),
+                        F.array_repeat(F.lit(1).cast("long"), F.col("__nb")))
     return ids.select(
         F.col(key),
         pad_post(F.col("__ids"), max_len, zero).alias("input_ids"),
         pad_post(F.array_repeat(F.lit(1).cast("long"), F.size(F.col("__ids"))), max_len, zero).alias("input_mask"),
-        pad_post(F.col("__seg"), max_len, zero).alias("segment_ids"),
+        pad_post(segments, max_len, zero).alias("segment_ids"),
         F.col("label_id"),
         F.lit(True).alias("is_real_example"))
