@@ -52,3 +52,26 @@ def test_an_empty_vocabulary_knows_nothing(spark, limit):
     df = spark.createDataFrame([(1, "ab c")], "id long, text string")
     got = W.wordpiece_tokens(df, spark.createDataFrame([], "token string"), max_broadcast_mb=limit).first()
     assert got.pieces == [W.UNK, W.UNK]
+
+
+def test_a_large_vocabulary_is_asked_only_for_possible_pieces(spark):
+    rows = [(i, " ".join(("ab" * (i % 5 + 1), "people", f"x{i}", "q", "##b", "a" * 190 + "zz"))) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    vocab = ["people", "ab", "a", "##b", "##a", "##aba", "x", "##1", "##2", "q", "#", "##bab"]
+    table = spark.createDataFrame([(t,) for t in vocab], "token string")
+    got = {r.id: r.pieces for r in W.wordpiece_tokens(df, table, max_broadcast_mb=0).collect()}
+    assert got == {i: [p for w in W.basic_tokens(t) for p in longest_match(w, set(vocab))] for i, t in rows}
+    words = spark.createDataFrame([("people",), ("ab" * 40,)], "__w string")
+    # whole words are taken out by a join before any substring is made
+    assert "LeftAnti" in W._split_with_joins(words, table, 200)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_several_texts_are_split_in_one_pass(spark, limit):
+    rows = [(1, "ab a", "people ab"), (2, None, "ab"), (3, "people", None), (4, "", ""), (4, "x\x00y", "zz ab"), (None, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, parent string")
+    vocab = ["a", "##b", "people", "x", "##y"]
+    got = W.wordpiece_sides(df, spark.createDataFrame([(t,) for t in vocab], "token string"), ["text", "parent"], ["a", "b"], max_broadcast_mb=limit)
+    pieces = lambda t: [p for w in W.basic_tokens(t) for p in longest_match(w, set(vocab))]
+    assert got.columns == ["id", "a", "b"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(i, pieces(t), pieces(p)) for i, t, p in rows], key=str)

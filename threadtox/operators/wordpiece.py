@@ -14,7 +14,7 @@ Two steps:
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -23,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from threadtox.operators import lookup as L
 from threadtox.operators.ranking import exact_row_number
-from threadtox.operators.text import BROADCAST_MB, by_content, fits_broadcast, join_content
+from threadtox.operators.text import BROADCAST_MB, fits_broadcast
 from threadtox.session import ship_package
 
 # --- fixed values -------------------------------------------------------------------------------
 UNK = "[UNK]"
 CONTINUATION = "##"
+_BETWEEN = "\0"      # stands between the texts of a row that are split together
 MAX_WORD_CHARS = 200   # default limit of the published tokenizer's longest-match step
 # -------------------------------------------------------------------------------------------------
 
@@ -108,14 +110,24 @@ def _split_with_broadcast(words: DataFrame, vocab: DataFrame, max_word_chars: in
 
 
 def _split_with_joins(words: DataFrame, vocab: DataFrame, max_word_chars: int) -> DataFrame:
-    """The same with a vocabulary of any size: every distinct token's candidate substrings, none longer than the longest
-    piece, are joined with it, the longest match per start is aggregated, and the walk is an ``aggregate``."""
+    """The same with a vocabulary of any size. A word that is a piece needs no walk. Of the others, the substrings that could be
+    a piece by their length, at the start of a word or after it, are joined with the vocabulary, the longest match per
+    start is aggregated, and the walk is an ``aggregate``."""
+    vocab = vocab.select("token").distinct()
+    known = words.join(vocab.select(F.col("token").alias("__w")).where(F.length("token") <= max_word_chars), "__w", "left_semi")
+    words = words.join(vocab.select(F.col("token").alias("__w")).where(F.length("token") <= max_word_chars), "__w", "left_anti")
+    whole = known.select("__w", F.array("__w").alias("__pieces"))
     words = words.withColumn("__L", F.length("__w"))
-    longest_piece = vocab.agg(F.max(F.length("token"))).first()[0] or 0
+    lengths = vocab.select(F.length("token").alias("n"), F.col("token").startswith(CONTINUATION).alias("inner")).distinct() \
+        .where(F.col("n") <= max_word_chars + len(CONTINUATION)).collect()  # bounded by max_word_chars
+    inside = sorted({r.n - len(CONTINUATION) for r in lengths if r.inner and r.n > len(CONTINUATION)})
+    heads = sorted({r.n for r in lengths if 0 < r.n <= max_word_chars})
+    as_column = lambda ns: F.array(*[F.lit(n) for n in ns]).cast("array<int>")
     short = words.where(F.col("__L") <= max_word_chars)
-    # every (start, end) substring of each distinct word, with the continuation prefix after position 0
-    cand = (short.withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__L") - 1)))
-            .withColumn("__e", F.explode(F.sequence(F.col("__s") + 1, F.least(F.col("__L"), F.col("__s") + F.lit(max(1, longest_piece)))))))
+    # the (start, end) substrings of each distinct word, with the continuation prefix after position 0
+    cand = short.withColumn("__s", F.explode(F.sequence(F.lit(0), F.col("__L") - 1)))
+    cand = cand.withColumn("__n", F.explode(F.when(F.col("__s") == 0, as_column(heads)).otherwise(as_column(inside)))) \
+        .withColumn("__e", F.col("__s") + F.col("__n")).where(F.col("__e") <= F.col("__L"))
     sub = F.substring(F.col("__w"), F.col("__s") + 1, F.col("__e") - F.col("__s"))
     cand = cand.withColumn("__piece", F.when(F.col("__s") == 0, sub).otherwise(F.concat(F.lit(CONTINUATION), sub)))
     hits = cand.join(vocab.select(F.col("token").alias("__piece")), "__piece", "left_semi")
@@ -136,29 +148,44 @@ def _split_with_joins(words: DataFrame, vocab: DataFrame, max_word_chars: int) -
     walked = steps.select("__w", F.aggregate(F.sequence(F.lit(1), F.col("__L")), start, walk).alias("__r"))
     split = walked.select("__w", F.when(F.col("__r.ok") & (F.col("__r.pos") >= F.length("__w")), F.col("__r.pieces"))
                           .alias("__pieces"))
-    return words.join(split, "__w", "left").select("__w", F.coalesce(F.col("__pieces"), F.array(F.lit(UNK))).alias("__pieces"))
+    return whole.unionByName(words.join(split, "__w", "left").select("__w", F.coalesce(F.col("__pieces"), F.array(F.lit(UNK))).alias("__pieces")))
 
 
 def wordpiece_tokens(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "pieces",
                      key: str = "id", lower: bool = False, max_word_chars: int = MAX_WORD_CHARS,
                      max_broadcast_mb: float = BROADCAST_MB) -> DataFrame:
-    """Add the WordPiece pieces of ``text`` (vocabulary table column ``token``). Rows may share an id or have none.
+    """Add the WordPiece pieces of ``text`` (vocabulary table column ``token``). Rows may share an id or have none. The rows are
+    written once with their tokens as integers; only distinct words are split and move with their pieces.
 
     A vocabulary within ``max_broadcast_mb`` (counted first; about 100 bytes a token) is walked as a broadcast set, a larger
     one joined; the results are the same."""
-    base = by_content(df.withColumn("__bt", basic_tokenize(F.col(text), lower)), "__bt")
-    at = ["__k", "__h", "__g"]
-    # a text's distinct tokens with their places: a word that is everywhere is one row a text
-    ex = base.select(F.col(key).alias("__k"), "__h", "__g", F.posexplode("__bt").alias("__pos", "__w")) \
-        .groupBy(*at, "__w").agg(F.collect_set("__pos").alias("__at"))
-    words = ex.select("__w").distinct()
+    pieces = _pieces(df.withColumn("__bt", basic_tokenize(F.col(text), lower)), vocab, out, max_word_chars, max_broadcast_mb)
+    return pieces.withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+
+
+def wordpiece_sides(df: DataFrame, vocab: DataFrame, texts: Sequence[str], outs: Sequence[str], lower: bool = False,
+                    max_word_chars: int = MAX_WORD_CHARS, max_broadcast_mb: float = BROADCAST_MB) -> DataFrame:
+    """The pieces of several text columns, which they replace, in one pass: their tokens lie in one list with a mark between
+    two texts (a control character, which no basic token holds)."""
+    lists = [basic_tokenize(F.col(t), lower) for t in texts]
+    marked = [x for tokens in lists for x in (F.array(F.lit(_BETWEEN)), tokens)][1:]
+    rest = _pieces(df.withColumn("__bt", F.concat(*marked)).drop(*texts), vocab, "__all", max_word_chars, max_broadcast_mb)
+    rest = rest.withColumn("__all", F.coalesce("__all", F.array().cast("array<string>")))
+    for out in outs[:-1]:
+        at = F.array_position("__all", _BETWEEN).cast("int")
+        rest = rest.withColumns({out: F.slice("__all", F.lit(1), at - 1), "__all": F.slice("__all", at + 1, F.size("__all"))})
+    return rest.withColumnRenamed("__all", outs[-1]).select(*(c for c in df.columns if c not in texts), *outs)
+
+
+def _pieces(df: DataFrame, vocab: DataFrame, out: str, max_word_chars: int, max_broadcast_mb: float) -> DataFrame:
+    base = L.coded(df, "__bt")
+    ex = L.chunk_words(base)
+    words = ex.where(F.col("__w") != _BETWEEN).select("__w").distinct()
     small = fits_broadcast(vocab.count(), 100, max_broadcast_mb)
     per_word = (_split_with_broadcast if small else _split_with_joins)(words, vocab, max_word_chars)
-    j = ex.join(per_word, "__w", "left").select(*at, F.explode("__at").alias("__pos"), "__pieces")
-    coll = j.groupBy(*at).agg(F.array_sort(F.collect_set(F.struct("__pos", "__pieces"))).alias("__p"))
-    coll = coll.select(*at, F.flatten(F.transform("__p", lambda x: x["__pieces"])).alias("__found"))
-    return join_content(base, coll, key).drop("__bt") \
-        .withColumn(out, F.coalesce(F.col("__found"), F.array().cast("array<string>"))).drop("__found")
+    mark = df.sparkSession.range(1).select(F.lit(_BETWEEN).alias("__w"), F.array(F.lit(_BETWEEN)).alias("__pieces"))
+    j = ex.join(per_word.unionByName(mark), "__w").select("__chunk", "__code", F.col("__pieces").alias("__value"))
+    return L.decoded(base, j, out)
 
 
 def wordpiece_vocab(df: DataFrame, text: str = "text", top_words: int | None = None, lower: bool = False) -> DataFrame:

@@ -144,7 +144,7 @@ def _recursive(sql: str) -> str:
     "settings")))
 def q_wordpiece_tokens(spark, d):
     from threadtox.operators import wordpiece as W
-    return W.wordpiece_tokens(fx.comments(spark, d), _train_pieces(spark, d)).select("id", "pieces")
+    return W.wordpiece_tokens(fx.comments(spark, d).select("id", "text"), _train_pieces(spark, d)).select("id", "pieces")
 
 
 def _piece_features_sql() -> str:
@@ -159,6 +159,5 @@ def q_wordpiece_pair_features(spark, d):
     """The encoder's whole input path: pieces of text and parent -> truncated pair -> ids, mask, segments."""
     from threadtox.operators import wordpiece as W
     vocab = _train_pieces(spark, d)
-    c = W.wordpiece_tokens(fx.comments(spark, d), vocab, out="a")
-    c = W.wordpiece_tokens(c, vocab, text="parent", out="b")
-    return FE.pair_features(c.select("id", "label", "a", "b"), vocab, "a", "b", MAX_LEN)
+    c = W.wordpiece_sides(fx.comments(spark, d).select("id", "label", "text", "parent"), vocab, ["text", "parent"], ["a", "b"])
+    return FE.pair_features(c, vocab, "a", "b", MAX_LEN)
