@@ -186,3 +186,21 @@ def test_calls_at_a_time_are_bounded(spark, tmp_path):
 def test_ledger_of_an_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "id long, text string")
     assert SC.ledger_score(df, str(tmp_path / "ledger")).count() == 0
+
+
+def test_tasks_get_only_what_is_sent(spark):
+    """The scorer's tasks hold the capped text, in code points, whatever the text's length."""
+    def factory():
+        return lambda text, language: float(len(text))
+    df = spark.createDataFrame([(1, "\U0001f600" * 5000), (2, "ab"), (3, None)], "id long, text string")
+    scored = SC.external_score(df, factory=factory, materialize=False)
+    assert {r.id: r.score for r in scored.collect()} == {1: float(SC.MAX_CHARS), 2: 2.0, 3: -1.0}
+    assert "substring" in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_archives_follow_the_size_of_the_corpus(spark):
+    from threadtox.plans.io import archived
+    df = spark.createDataFrame([(i, "x" * 1000, 0.0) for i in range(100)], "id long, comment_text string, target double")
+    assert archived(df, mb=0.01).rdd.getNumPartitions() == 10
+    assert archived(df).rdd.getNumPartitions() == 2 and archived(df.limit(0)).rdd.getNumPartitions() == 2
+    assert sorted(r.id for r in archived(df, mb=0.01).collect()) == list(range(100))

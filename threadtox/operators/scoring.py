@@ -93,7 +93,7 @@ def external_score(df: DataFrame, text: Column | str = "text", factory: Callable
     rows travel with their text, so repeated or null ids are each scored once per row.
     """
     t = F.col(text) if isinstance(text, str) else text
-    src = df.select(F.col(key).alias("id"), t.alias("__text"))
+    src = df.select(F.col(key).alias("id"), char_cap(t, max_chars).alias("__text"))  # no task holds more than is sent
     schema = StructType([*src.schema.fields, StructField("score", DoubleType())])
 
     def call(rows: DataFrame, language: str | None, tag: str) -> DataFrame:

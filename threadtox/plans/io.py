@@ -51,12 +51,18 @@ def q_scan_capped(spark, d):
     return c.select("id", F.col("comment_text").alias("text"), "target")
 
 
+def archived(corpus, mb: float = 64):
+    """The corpus in partitions of about ``mb`` megabytes of text, two at least: an archive is read by one task."""
+    size = corpus.agg(F.sum(F.octet_length("comment_text"))).first()[0] or 0
+    return corpus.repartition(max(2, -(-size // int(mb * 1e6))), "id")
+
+
 @register("scan_zip", "S4 X4", fx.with_fixtures(
     f"SELECT id, nullif(comment_text, '') AS text, target FROM cctk ORDER BY id LIMIT {CUT}", "cctk"))
 def q_scan_zip(spark, d):
     """The capped scan of a corpus that lies in zip archives."""
     path = scratch_path(spark, "corpus-zip")
-    zipped.write_zip_csv(fx.cctk(spark, d).repartition(2, "id"), path)
+    zipped.write_zip_csv(archived(fx.cctk(spark, d)), path)
     corpus = zipped.read_zip_csv(spark, path, "id long, comment_text string, target double")
     return files.capped_scan(corpus, CUT, bucket_bits=6).select("id", F.col("comment_text").alias("text"), "target")
 
