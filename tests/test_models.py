@@ -145,3 +145,19 @@ def test_select_best_skips_missing_metric(spark):
     t = spark.createDataFrame([(0, 0.6), (1, None), (2, 0.7)], "candidate int, metric double")
     r = ML.select_best(t, patience=3).first()
     assert (r.best_candidate, r.best_metric, r.evaluated) == (2, 0.7, 3)
+
+
+def test_fitted_terms_hand_their_words_over_at_once(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizerModel
+
+    from threadtox.operators.stages import NO_WORD, FittedTerms
+    rows = [(["b", "a", "é x", "b"],), (["", "a中\U0001f600", "b"],)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    words = [NO_WORD, "b", "a", "a中\U0001f600", "é x"]
+    with monkeypatch.context() as m:
+        m.setattr(CountVectorizerModel, "_new_java_array", lambda *a: pytest.fail("a call a word"))
+        model = FittedTerms(["t"], ["f"], ["t"], 10).fit(df.select(F.filter("t", lambda x: x != "").alias("t")))
+    assert model.stages[0].vocabulary == words and model.stages[0].getVocabSize() == len(words)
+    assert [r.f.indices.tolist() for r in model.transform(df.select(F.filter("t", lambda x: x != "").alias("t"))).collect()] == [[1, 2, 4], [1, 3]]
+    odd = FittedTerms(["t"], ["f"], ["t"], 10).fit(spark.createDataFrame([(["x\ny", "z"],)], "t array<string>"))
+    assert odd.stages[0].vocabulary == [NO_WORD, "x\ny", "z"]
