@@ -161,3 +161,52 @@ def test_fitted_terms_hand_their_words_over_at_once(spark, monkeypatch):
     assert [r.f.indices.tolist() for r in model.transform(df.select(F.filter("t", lambda x: x != "").alias("t"))).collect()] == [[1, 2, 4], [1, 3]]
     odd = FittedTerms(["t"], ["f"], ["t"], 10).fit(spark.createDataFrame([(["x\ny", "z"],)], "t array<string>"))
     assert odd.stages[0].vocabulary == [NO_WORD, "x\ny", "z"]
+
+
+def test_featurised_rows_are_written_and_never_in_more_partitions_than_cores(spark, monkeypatch):
+    monkeypatch.setattr(ML, "ROWS_PER_TASK", 1)
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.createDataFrame([(i, f"word{i % 7}", None, i % 2) for i in range(10 * cores)], "id long, text string, parent string, label int") \
+        .repartition(5 * cores)
+    stages = Pipeline(stages=ML.feature_stages("ooc", CFG)).fit(rows)
+    [own] = ML.featurised(stages, rows)
+    assert own.count() == 10 * cores and own.rdd.getNumPartitions() <= cores
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "UDF" not in plan
+
+
+def _two_words(spark):
+    rows = spark.createDataFrame([(i, f"a{i % 5} b{i % 3}", None, i % 2) for i in range(40)], "id long, text string, parent string, label int")
+    return rows.where("id < 30"), rows.where("id >= 30")
+
+
+def test_candidates_are_fitted_side_by_side_and_walked_in_order(spark, monkeypatch):
+    from threading import Barrier
+    together = Barrier(4)
+    by_reg = {1.0: 0.5, 0.3: 0.7, 0.1: 0.6, 0.03: 0.9}
+
+    def metric(model, rows):
+        together.wait(timeout=120)  # only all four at once get past
+        return by_reg[model.getOrDefault("regParam")]
+
+    monkeypatch.setattr(ML, "dev_auroc", metric)
+    model, history = ML.fit_with_dev_selection("ooc", *_two_words(spark), tuple(by_reg), CFG, patience=1)
+    assert history == [(0, 1.0, 0.5), (1, 0.3, 0.7), (2, 0.1, 0.6)]  # the better last one lies behind the stop
+    assert model.stages[-1].getOrDefault("regParam") == 0.3
+
+
+def test_optimisers_wait_for_room_on_the_driver(spark, monkeypatch):
+    from threading import Lock
+    monkeypatch.setattr(ML, "OPTIMISERS_MB", 0)
+    lock, plain = Lock(), ML.LogisticRegression._fit
+
+    def alone(self, rows):
+        assert lock.acquire(blocking=False)
+        try:
+            return plain(self, rows)
+        finally:
+            lock.release()
+
+    monkeypatch.setattr(ML.LogisticRegression, "_fit", alone)
+    _, history = ML.fit_with_dev_selection("ooc", *_two_words(spark), (1.0, 0.1), CFG, patience=2)
+    assert len(history) == 2 and ML._TAKEN == [0]
