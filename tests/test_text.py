@@ -147,3 +147,19 @@ def test_a_large_vocabulary_is_joined_with_the_distinct_words_of_chunks(spark):
         got = {r.id: r.seq for r in L.decoded(d, found.toDF("__chunk", "__code", "__value"), "seq").collect()}
         assert got == {i: [int(w[1:]) if int(w[1:]) < 20 else None for w in t] for i, t in rows}
     assert "posexplode(tokens" not in _plan(T.tokens_to_ids(df, vocab, "tokens", "seq", max_broadcast_mb=0))
+
+
+def test_texts_of_a_row_are_looked_up_in_one_pass_and_do_not_move(spark, monkeypatch):
+    from threadtox.operators import lookup as L
+    rows = [(1, "b x a b", "a a"), (1, "zz", None), (None, None, "b"), (3, "", "x a"), (4, None, None)]
+    df = spark.createDataFrame(rows, "id long, text string, parent string")
+    vocab = spark.createDataFrame([("a", 1), ("b", -1)], "word string, word_id long")
+    ids, moved, plain = {"a": 1, "b": -1}, [], L.coded
+    monkeypatch.setattr(L, "coded", lambda d, *a: moved.append(d.columns) or plain(d, *a))
+    want = sorted(((i, *([ids[w] for w in (t or "").split() if w in ids] for t in own)) for i, *own in rows), key=str)
+    for mb in (100, 0):
+        got = T.sequences(df, vocab, {"text": "a", "parent": "b"}, max_broadcast_mb=mb)
+        assert got.columns == ["id", "a", "b"] and sorted(map(tuple, got.collect()), key=str) == want
+    assert moved == [["id", "__n0", "__n1", "__tok"]]
+    got = T.tokens_to_ids(df.select("id", F.split("text", " ").alias("t")), vocab, "t", "seq", max_broadcast_mb=0, keep_tokens=False)
+    assert got.columns == ["id", "seq"] and moved[1:] == [["id", "t"]]

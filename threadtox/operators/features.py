@@ -67,7 +67,7 @@ def pair_features(df: DataFrame, vocab: DataFrame, tokens_a: str, tokens_b: str
     base = df.select(F.col(key), tokens.alias("__tokens"), n_a.alias("__na"), n_b.alias("__nb"),
                      label_index(F.col(label), label_list).alias("label_id"))
     unk = vocab.where(F.col("token") == F.lit(unknown)).select(F.min("token_id").cast("long")).scalar()
-    ids = tokens_to_ids(base, vocab, "__tokens", "__ids", key=key, word="token", index="token_id", unknown_id=unk)
+    ids = tokens_to_ids(base, vocab, "__tokens", "__ids", key=key, word="token", index="token_id", unknown_id=unk, keep_tokens=False)
     zero = 0
     segments = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("__na") + F.lit(2)),
                         F.array_repeat(F.lit(1).cast("long"), F.col("__nb")))

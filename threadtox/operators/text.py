@@ -8,7 +8,7 @@ global but computed in buckets (see :mod:`ranking`).
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -86,33 +86,56 @@ def join_content(d: DataFrame, r: DataFrame, key: str) -> DataFrame:
 
 def tokens_to_ids(df: DataFrame, vocab: DataFrame, tokens: str, out: str, key: str = "id",
                   word: str = "word", index: str = "word_id", unknown_id: int | Column | None = None,
-                  max_broadcast_mb: float = BROADCAST_MB) -> DataFrame:
+                  max_broadcast_mb: float = BROADCAST_MB, keep_tokens: bool = True) -> DataFrame:
     """Map each token to its vocabulary id, keeping order. Tokens outside the vocabulary are dropped
     (``unknown_id=None``) or mapped to ``unknown_id``. Rows without tokens get an empty list; repeated and null
     ids are fine.
 
     A vocabulary within ``max_broadcast_mb`` (counted first; about 100 bytes a word) is looked up where the rows are.
-    Beyond it the rows are written once with their tokens as integers, and distinct words are joined with it."""
+    Beyond it the rows are written once with their tokens as integers, and distinct words are joined with it; with
+    ``keep_tokens=False`` the tokens themselves neither move nor come back."""
     if isinstance(unknown_id, Column):  # may be a subquery, which a higher-order function cannot take
         unknown_id, keep = df.sparkSession.range(1).select(unknown_id).first()[0], True
     else:
         keep = unknown_id is not None
-    if fits_broadcast(vocab.count(), 100, max_broadcast_mb):
-        r = df.withColumn(out, F.coalesce(L.shared_ids(vocab, word, index)(F.col(tokens)), F.array().cast("array<long>")))
-    else:
-        d = L.coded(df.withColumn("__tokens_of", F.col(tokens)), "__tokens_of")
-        v = vocab.select(F.col(word).alias("__w"), F.col(index).cast("long").alias("__value"))
-        r = L.decoded(d, L.chunk_words(d).join(v, "__w").select("__chunk", "__code", "__value"), out)
+    r = _token_ids(df, vocab, tokens, out, word, index, max_broadcast_mb, keep_tokens)
     if not keep:
         return r.withColumn(out, F.filter(out, lambda x: x.isNotNull()))
     return r if unknown_id is None else r.withColumn(out, F.transform(out, lambda x: F.coalesce(x, F.lit(unknown_id).cast("long"))))
 
 
+def _token_ids(df: DataFrame, vocab: DataFrame, tokens: str, out: str, word: str, index: str, max_broadcast_mb: float, keep_tokens: bool) -> DataFrame:
+    """``df`` with an id for each token, null for words that the vocabulary lacks."""
+    if fits_broadcast(vocab.count(), 100, max_broadcast_mb):
+        r = df.withColumn(out, F.coalesce(L.shared_ids(vocab, word, index)(F.col(tokens)), F.array().cast("array<long>")))
+        return r if keep_tokens else r.drop(tokens)
+    d = L.coded(df.withColumn("__tokens_of", F.col(tokens)), "__tokens_of") if keep_tokens else L.coded(df, tokens)
+    v = vocab.select(F.col(word).alias("__w"), F.col(index).cast("long").alias("__value"))
+    return L.decoded(d, L.chunk_words(d).join(v, "__w").select("__chunk", "__code", "__value"), out)
+
+
 def texts_to_sequences(df: DataFrame, vocab: DataFrame, text: str = "text", out: str = "seq",
                        key: str = "id") -> DataFrame:
     """Word ids of ``text`` in order; words the vocabulary does not know are dropped."""
     t = df.withColumn("__tok", F.coalesce(word_tokens(F.col(text)), F.array().cast("array<string>")))
-    return tokens_to_ids(t, vocab, "__tok", out, key).drop("__tok")
+    return tokens_to_ids(t, vocab, "__tok", out, key, keep_tokens=False)
+
+
+def sequences(df: DataFrame, vocab: DataFrame, texts: dict[str, str], keep: Sequence[str] = ("id",),
+              max_broadcast_mb: float = BROADCAST_MB) -> DataFrame:
+    """The columns ``keep``, and for each text column of ``texts`` its word ids in order under the name given there; words
+    the vocabulary does not know are dropped. All texts of a row are looked up in one pass, as one list of tokens, and
+    no text moves."""
+    none = F.array().cast("array<string>")
+    t = df.select(*keep, *(F.coalesce(word_tokens(F.col(c)), none).alias(f"__t{i}") for i, c in enumerate(texts)))
+    sizes = [F.size(f"__t{i}").alias(f"__n{i}") for i in range(len(texts))]
+    t = t.select(*keep, *sizes, F.concat(*(f"__t{i}" for i in range(len(texts)))).alias("__tok"))
+    r = _token_ids(t, vocab, "__tok", "__ids", "word", "word_id", max_broadcast_mb, keep_tokens=False)
+    outs, start = [], F.lit(1)
+    for i, out in enumerate(texts.values()):
+        outs.append(F.filter(F.slice("__ids", start, F.col(f"__n{i}")), lambda x: x.isNotNull()).alias(out))
+        start = start + F.col(f"__n{i}")
+    return r.select(*keep, *outs)
 
 
 def parse_word_vectors(lines: DataFrame, line: str = "value", order: Column | None = None) -> DataFrame:
