@@ -171,6 +171,8 @@ def test_featurised_rows_are_written_and_never_in_more_partitions_than_cores(spa
     stages = Pipeline(stages=ML.feature_stages("ooc", CFG)).fit(rows)
     [own] = ML.featurised(stages, rows)
     assert own.count() == 10 * cores and own.rdd.getNumPartitions() <= cores
+    [shared] = ML.featurised(stages, rows, together=3)
+    assert shared.count() == 10 * cores and shared.rdd.getNumPartitions() <= -(-cores // 3)
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "UDF" not in plan
 

@@ -144,14 +144,15 @@ def predict(model: PipelineModel, df: DataFrame, key: str = "id", keep: Sequence
     return model.transform(df).select(key, *keep, vector_to_array(F.col("probability"))[1].alias("score"))
 
 
-def featurised(stages: PipelineModel, *parts: DataFrame, key: str = "id") -> list[DataFrame]:
+def featurised(stages: PipelineModel, *parts: DataFrame, key: str = "id", together: int = 1) -> list[DataFrame]:
     """The parts as (key, label, weight, features), written once: every job of an optimiser carries the plan of its rows,
     and all it holds (vocabularies, tables). Each iteration is a job that moves a gradient from every partition, so
-    there are as many as rows are worth a task, and never more than cores."""
+    there are as many as rows are worth a task, and never more than the cores that each of the ``together`` fits side by
+    side can have."""
     held = []
     for df in parts:
         rows = materialize(stages.transform(df).select(key, "label", "weight", "features"), "features")
-        cores = rows.sparkSession.sparkContext.defaultParallelism
+        cores = -(-rows.sparkSession.sparkContext.defaultParallelism // together)
         held.append(rows.coalesce(max(1, min(cores, -(-rows.count() // ROWS_PER_TASK)))))
     return held
 
@@ -243,7 +244,7 @@ def fit_with_dev_selection(regime: str, train: DataFrame, dev: DataFrame, grid:
     they are fitted side by side, as many as the driver has room for, and walked in order; those behind the stop are
     not looked at."""
     features = Pipeline(stages=feature_stages(regime, cfg, vectors, key)).fit(train)
-    own, held = featurised(features, train, dev, key=key)
+    own, held = featurised(features, train, dev, key=key, together=max(1, len(grid)))
     lr, watch, history = classifier(cfg), Patience(patience), []
 
     def candidate(reg: float):
