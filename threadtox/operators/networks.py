@@ -11,16 +11,18 @@ run and machine.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadtox.functions.hashing import uniform
-from threadtox.operators.models import NETWORKS, Patience, TrainConfig, dev_auroc, feature_stages, featurised
+from threadtox.operators.models import NETWORKS, ROWS_PER_TASK, Patience, TrainConfig, dev_auroc, feature_stages
 from threadtox.operators.models import predict as predict  # the same for every regime
 
 
@@ -70,16 +72,30 @@ def train_rounds(own: DataFrame, held: DataFrame, layers: Sequence[int], rounds:
     return watch.best, history
 
 
+@contextmanager
+def held_rows(stages: PipelineModel, *parts: DataFrame, key: str = "id") -> Iterator[list[DataFrame]]:
+    """The parts as (key, label, weight, features), held in the order they come in: a perceptron's gradient is small, but few
+    iterations of it depend on the order in which rows are summed. A small part is held in few partitions."""
+    held = []
+    try:
+        for df in parts:
+            held.append(stages.transform(df).select(key, "label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK))
+        yield [x.coalesce(max(1, -(-x.count() // ROWS_PER_TASK))) for x in held]
+    finally:
+        for x in held:
+            x.unpersist()
+
+
 def fit_network(regime: str, train: DataFrame, dev: DataFrame, vectors: DataFrame, rounds: Sequence[int], cfg: TrainConfig = TrainConfig(),
                 patience: int = 3, key: str = "id") -> tuple[PipelineModel, list[Round]]:
     """The best network of the regime (``ooc_net``, ``inc_net``) on the dev part, and the rounds walked."""
     if regime not in NETWORKS:
         raise ValueError(f"regime must be one of {NETWORKS}")
     features = Pipeline(stages=feature_stages(regime, cfg, vectors, key)).fit(train)
-    own, held = featurised(features, train, dev, key=key)
-    first = own.select("features").first()
-    if first is None:
-        raise ValueError("no rows to train on")
-    layers = [first.features.size, cfg.hidden, 2]
-    best, history = train_rounds(replicate(own, key=key).select("label", "features"), held, layers, rounds, patience, cfg.seed)
+    with held_rows(features, train, dev, key=key) as (own, held):
+        first = own.select("features").first()
+        if first is None:
+            raise ValueError("no rows to train on")
+        layers = [first.features.size, cfg.hidden, 2]
+        best, history = train_rounds(replicate(own, key=key).select("label", "features"), held, layers, rounds, patience, cfg.seed)
     return PipelineModel([features, best]), history
