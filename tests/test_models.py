@@ -212,3 +212,45 @@ def test_optimisers_wait_for_room_on_the_driver(spark, monkeypatch):
     monkeypatch.setattr(ML.LogisticRegression, "_fit", alone)
     _, history = ML.fit_with_dev_selection("ooc", *_two_words(spark), (1.0, 0.1), CFG, patience=2)
     assert len(history) == 2 and ML._TAKEN == [0]
+
+
+def test_the_vocabulary_is_cut_where_it_is_counted(spark, monkeypatch):
+    """A sort with a limit would bring as many words from every partition to the driver."""
+    from collections import Counter
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from threadtox.operators.stages import ranked_words
+    words = [a + b for a in "abcdeé中\U0001f600" for b in ["", *"xyzé\U0001f600"]]
+    rows = [([words[(i * 7 + j * j) % len(words)] for j in range(i % 9)],) for i in range(60)]
+    df = spark.createDataFrame([*rows, (None,)], "t array<string>").repartition(4)
+    want = [w for w, _ in sorted(Counter(w for r in rows for w in r[0]).items(), key=lambda x: (-x[1], x[0].encode()))]
+    plain = DataFrame.collect
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda self: pytest.fail("words as rows") if "word" in self.columns else plain(self))
+        for size in (0, 1, 7, 20, len(want) - 1, len(want), len(want) + 3):
+            assert ranked_words(df, ["t"], size) == want[:size]
+    assert ranked_words(df.limit(0), ["t"], 5) == []
+
+
+def test_fits_share_the_drivers_heap_and_leave_no_rows_behind(spark, monkeypatch):
+    from pathlib import Path
+    from threading import Lock
+
+    from threadtox.session import ensure_checkpoint_dir
+    scratch = Path(ensure_checkpoint_dir(spark).split(":", 1)[-1])
+    before = set(scratch.glob("threadtox-*"))
+    monkeypatch.setattr(ML, "driver_bytes", lambda spark: 1000)  # a heap that has room for one
+    lock, plain = Lock(), ML.LogisticRegression._fit
+
+    def alone(self, rows):
+        assert lock.acquire(blocking=False)
+        try:
+            return plain(self, rows)
+        finally:
+            lock.release()
+
+    monkeypatch.setattr(ML.LogisticRegression, "_fit", alone)
+    model, history = ML.fit_with_dev_selection("ooc", *_two_words(spark), (1.0, 0.1), CFG, patience=2)
+    assert len(history) == 2 and ML._TAKEN == [0]
+    assert set(scratch.glob("threadtox-*")) == before and ML.predict(model, _two_words(spark)[1]).count() == 10
