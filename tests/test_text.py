@@ -163,3 +163,23 @@ def test_texts_of_a_row_are_looked_up_in_one_pass_and_do_not_move(spark, monkeyp
     assert moved == [["id", "__n0", "__n1", "__tok"]]
     got = T.tokens_to_ids(df.select("id", F.split("text", " ").alias("t")), vocab, "t", "seq", max_broadcast_mb=0, keep_tokens=False)
     assert got.columns == ["id", "seq"] and moved[1:] == [["id", "t"]]
+
+
+def test_vectors_too_large_for_the_workers_memory_are_mapped_without_a_shuffle(spark):
+    """Joined, a vector would move for each distinct word of a text."""
+    words = [f"w{i}é" for i in range(40)]
+    listed = [*words, words[3], words[3], words[7], None]
+    for kind in ("float", "double"):
+        vec = spark.createDataFrame([(w, [float(i), i / 4, -1.0]) for i, w in enumerate(listed)], f"word string, vector array<{kind}>").repartition(3)
+        sums = {w: [sum(x) for x in zip(*([float(i), i / 4, -1.0] for i, v in enumerate(listed) if v == w))] for w in words}
+        rows = [(i % 50 or None, [words[(i * j) % 40] if j % 5 else [None, "?"][i % 2] for j in range(i % 9)]) for i in range(120)] + [(1, None)]
+        df = spark.createDataFrame(rows, "id long, tokens array<string>")
+        want = sorted(((i, [round(sum(sums.get(t, [0.0] * 3)[k] for t in ts or []) / max(len(ts or []), 1), 6) + 0.0 for k in range(3)]) for i, ts in rows[:-1]), key=str)
+        for mb, file_mb in ((64, 0), (0, 64), (0, 0)):
+            pooled = T.masked_mean_pool(df.where("tokens IS NOT NULL"), vec, 3, max_broadcast_mb=mb, max_mapped_mb=file_mb)
+            assert ("Exchange" in _plan(pooled)) == (mb == file_mb == 0)
+            assert sorted(((r.id, [round(x, 6) + 0.0 for x in r.pooled]) for r in pooled.collect()), key=str) == want
+    none = T.masked_mean_pool(df, vec.limit(0), 3, max_broadcast_mb=-1)
+    assert {tuple(r.pooled) for r in none.where("size(tokens) > 0").collect()} == {(0.0, 0.0, 0.0)}
+    with pytest.raises(Exception, match="components"):
+        T.masked_mean_pool(df, vec, 4, max_broadcast_mb=0).collect()

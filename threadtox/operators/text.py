@@ -165,7 +165,8 @@ def embedding_lookup(vocab: DataFrame, vectors: DataFrame, dim: int, word: str =
     return j.withColumn("vector", F.coalesce(F.col("vector"), zero))
 
 
-VECTORS_MB = 256   # largest table of word vectors that every Python worker holds
+VECTORS_MB = 64    # largest table of word vectors that every Python worker holds
+MAPPED_MB = 8192   # largest table of word vectors that every machine holds as a file
 
 
 def _vector_bytes(vectors: DataFrame, component: int = 8) -> int:
@@ -174,21 +175,22 @@ def _vector_bytes(vectors: DataFrame, component: int = 8) -> int:
     return 100 + component * max(0, first.n if first and first.n is not None else 0)
 
 
-_POOLS: list[tuple[str, DataFrame, int, Callable[[Column], Column]]] = []
+_POOLS: list[tuple[str, DataFrame, int, tuple[float, float], Callable[[Column], Column]]] = []
 
 
-def mean_pool(vectors: DataFrame, dim: int, max_broadcast_mb: float = VECTORS_MB) -> Callable[[Column], Column] | None:
-    """The masked mean as a function of a token column, for a vector table within ``max_broadcast_mb``; none beyond it. The
-    last few tables stay shared: every stage and run that pools with one takes the same."""
-    app = vectors.sparkSession.sparkContext.applicationId
-    total = next((t for a, v, n, t in _POOLS if a == app and n == dim and v.sameSemantics(vectors)), None)
-    single = vectors.schema["vector"].dataType.elementType.typeName() == "float"
-    if total is None or max_broadcast_mb < VECTORS_MB:
-        if not fits_broadcast(vectors.count(), _vector_bytes(vectors, 4 if single else 8), max_broadcast_mb):
+def mean_pool(vectors: DataFrame, dim: int, max_broadcast_mb: float = VECTORS_MB, max_mapped_mb: float = MAPPED_MB) -> Callable[[Column], Column] | None:
+    """The masked mean as a function of a token column, for a vector table within ``max_broadcast_mb`` in the workers' memory, or
+    within ``max_mapped_mb`` as a file that they map; none beyond it. The last few tables stay shared: every stage and run
+    that pools with one takes the same."""
+    app, bounds = vectors.sparkSession.sparkContext.applicationId, (max_broadcast_mb, max_mapped_mb)
+    total = next((t for a, v, n, b, t in _POOLS if a == app and n == dim and b == bounds and v.sameSemantics(vectors)), None)
+    if total is None:
+        single = vectors.schema["vector"].dataType.elementType.typeName() == "float"
+        rows, each = vectors.count(), _vector_bytes(vectors, 4 if single else 8)
+        if not fits_broadcast(rows, each, max(bounds)):
             return None
-        if total is None:
-            total = L.summed_vectors(vectors, dim)
-            _POOLS[:] = [*_POOLS[-3:], (app, vectors, dim, total)]
+        total = (L.summed_vectors if fits_broadcast(rows, each, max_broadcast_mb) else L.mapped_vectors)(vectors, dim)
+        _POOLS[:] = [*_POOLS[-3:], (app, vectors, dim, bounds, total)]
 
     def pool(tokens: Column) -> Column:
         return F.transform(total(tokens), lambda x: x / (F.size(tokens).cast("double") + F.lit(POOL_EPS)))
@@ -196,18 +198,18 @@ def mean_pool(vectors: DataFrame, dim: int, max_broadcast_mb: float = VECTORS_MB
 
 
 def masked_mean_pool(df: DataFrame, vectors: DataFrame, dim: int | Column, tokens: str = "tokens", key: str = "id",
-                     out: str = "pooled", max_broadcast_mb: float = VECTORS_MB) -> DataFrame:
+                     out: str = "pooled", max_broadcast_mb: float = VECTORS_MB, max_mapped_mb: float = MAPPED_MB) -> DataFrame:
     """Sum of the token vectors over the real tokens / (number of real tokens + 1e-10); tokens without a
     vector contribute zeros but still count.
 
-    Within ``max_broadcast_mb`` (words counted, times the vector's bytes) the tokens are summed where the rows are: nothing
-    is shuffled. Beyond it, tokens are first reduced to (document, word) counts, the join ships one vector per distinct
+    Within ``max_broadcast_mb`` (words counted, times the vector's bytes) in the workers' memory, or within ``max_mapped_mb`` in a
+    file on every machine, the tokens are summed where the rows are: nothing is shuffled. Beyond it, tokens are first reduced to (document, word) counts, the join ships one vector per distinct
     word of a document, weighted by its count, and the sums (``Summarizer``) join back by id and token content, so
     repeated and null ids keep their own results.
     """
     if isinstance(dim, Column):
         dim = df.sparkSession.range(1).select(dim).first()[0]
-    if pool := mean_pool(vectors, dim, max_broadcast_mb):
+    if pool := mean_pool(vectors, dim, max_broadcast_mb, max_mapped_mb):
         return df.select(key, pool(F.col(tokens)).alias(out))
     d = by_content(df.select(key, tokens), tokens)
     at = ["__k", "__h", "__g"]
